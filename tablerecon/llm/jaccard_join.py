@@ -33,6 +33,8 @@ from .textbytes import chunks, mix, shingle_sets
 
 BITS = 1024
 TILE = 1024
+#: up to so many edges (16 bytes each) a step's minima are broadcast
+BROADCAST_EDGES = 200_000
 _U = np.uint64
 
 
@@ -202,10 +204,12 @@ def components(edges: DataFrame) -> DataFrame:
     join is left to Spark's skew splitting.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    small = False
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         near = e if not large else e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = F.broadcast(low) if small else cut(low)
         near = near.join(low, "a")
         if large:
             return near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -214,7 +218,9 @@ def components(edges: DataFrame) -> DataFrame:
     total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
     was = None
     while (now := edges.agg(F.count("*"), total).first()) != was:
-        was, edges = now, cut(star(cut(star(edges, True)), False))
+        small = now[0] <= BROADCAST_EDGES
+        half = star(edges, True)
+        was, edges = now, cut(star(half if small else cut(half), False))
     return edges.select(F.col("a").alias("ent"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("ent"), F.col("b").alias("comp")).distinct())
 
 
@@ -307,7 +313,7 @@ def _tiles(tokens: DataFrame, sets: DataFrame) -> DataFrame:
     return x.join(sets.select("ent", "n", F.size("toks").cast("long").alias("own")), "ent").join(_bitmaps(sets), "ent")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, pairs_per_set: int = 8, bucket_bytes: int = 16 << 20) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, pairs_per_set: int = 32, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
 
     ``component_id`` is the smallest doc_id reachable by links, the row's own included. Null
@@ -340,7 +346,9 @@ def _linked(sets: DataFrame, percent: int, pairs_per_set: int) -> DataFrame | No
     lead = cut(keys.groupBy("k", "mh").agg(F.min("ent").alias("lead"), F.count("*").alias("m")).where("m > 1"))
     pairs = keys.join(lead, ["k", "mh"]).where("ent <> lead").select(F.col("ent").alias("a"), F.col("lead").alias("b")).distinct()
     links = cut(_verified(cut(pairs), sets, percent))
-    comps = components(links) if links.take(1) else None
+    # until links are joined up, a set counts as grouped with its smallest verified leader
+    stars = links.groupBy(F.greatest("a", "b").alias("ent")).agg(F.min(F.least("a", "b")).alias("comp"))
+    comps = stars.unionByName(stars.select(F.col("comp").alias("ent"), "comp").distinct().join(stars.select("ent"), "ent", "left_anti"))
     tokens = cut(sets.select("ent", "n", F.explode(F.slice("toks", 1, F.col("n_pre"))).alias("token")))
     leaders_only = True
     while True:
@@ -358,7 +366,7 @@ def _linked(sets: DataFrame, percent: int, pairs_per_set: int) -> DataFrame | No
             found = cut(_tiles(open_, sets).groupBy(deal.alias("deal")).applyInArrow(_tile_pairs(percent, pairs_per_set), "a long, b long, more boolean"))
             more = found.agg(F.max("more")).first()[0]
             pairs = found.select("a", "b").distinct()
-            pairs_per_set *= 8
+            pairs_per_set *= 16
         links = cut(links.unionByName(_verified(cut(pairs), sets, percent)))
         comps = components(links) if links.take(1) else None
         if not more:
