@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_for
-from .packing import tokenizer
+from .packing import byte_letters, split_ids, tokenizer, whole_ids
 
 SPECIAL = "<|endoftext|>"
-ODD = re.compile(r"[^\t-\r -~¡-ʯ‐-‧‰-⁞€]")
+ODD = re.compile(r"[^\t-\r -~¡-ʯ‐-‧‰-⁞€]|[²³¹¼-¾]")
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: how the tokenizer splits units, for characters that are not ODD
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 BLOCK_UNITS = 3_000_000
 _pieces: dict[str, list[bytes]] = {}
 
@@ -44,12 +46,9 @@ def units(text: str, path: str) -> list[str]:
 
 
 def byte_pieces(path: str) -> list[bytes]:
-    """The id-to-piece table. Byte-level vocabularies write the printable Latin-1 bytes as
-    themselves and the others, in order, as the characters from U+0100."""
+    """The id-to-piece table."""
     if path not in _pieces:
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in set(plain)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+        byte = {c: b for b, c in enumerate(byte_letters())}
         vocab = tokenizer(path).get_vocab(with_added_tokens=True)
         out = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -128,10 +127,9 @@ def _encoded_units(dictionaries: DataFrame, path: str) -> DataFrame:
         words = list({w for own in lists for w in own})
         piece = byte_pieces(path)
         ids: dict[str, tuple[bytes, bytes]] = {}
-        for i in range(0, len(words), 10_000):
-            part = words[i : i + 10_000]
-            for w, e in zip(part, tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, "<u4").tobytes(), b"".join([piece[j] for j in e.ids])
+        for w in words:
+            code = whole_ids(w, path) if w == SPECIAL or ODD.search(w) else b"".join([split_ids(p, path) for p in SPLIT.findall(w)])
+            ids[w] = code, b"".join([piece[j] for j in memoryview(code).cast("I")])
         kind = pa.list_(pa.binary())
         return pa.table([t["block"], t["at"], pa.array([[ids[w][0] for w in own] for own in lists], kind), pa.array([[ids[w][1] for w in own] for own in lists], kind)], names=["block", "at", "ids", "decoded"])
 

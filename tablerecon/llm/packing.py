@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ CAPACITY = 2048
 END_ID = 0
 CACHE = 500_000
 #: characters whose white space and normal form need no library: outside, the whole text is encoded at once
-ODD = re.compile(r"[^\t-\r -~¡-įı-ʯ‐-‧‰-⁞€]|<\|(?:startof|endof)text\|>")
+ODD = re.compile(r"[^\t-\r -~¡-įı-ʯ‐-‧‰-⁞€]|[²³¹¼-¾]|<\|(?:startof|endof)text\|>")
+#: how the tokenizer splits words, for characters that are not ODD
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _cache: dict[str, dict[str, bytes]] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -42,23 +45,61 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def _encoded(texts: list[str], path: str) -> list[bytes]:
-    tok = tokenizer(path)
-    return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+def byte_letters() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if it is
+    printable in Latin-1, else, in order, the characters from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
+_LETTER = byte_letters()
+
+
+def split_ids(part: str, path: str) -> bytes:
+    """Ids of one part that the tokenizer's own splitting leaves whole, as little-endian
+    32-bit integers."""
+    if not part.isascii() or " " in part or part.isspace():
+        part = "".join([_LETTER[b] for b in part.encode()])
+    return array("I", [t.id for t in tokenizer(path).model.tokenize(part)]).tobytes()
+
+
+def whole_ids(text: str, path: str) -> bytes:
+    return array("I", tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian 32-bit integers, for a tokenizer that drops white
-    space and splits at it: words are encoded once and kept."""
+    """Each text's ids as little-endian 32-bit integers, for a tokenizer that lower-cases,
+    drops white space and splits at it: parts of words are encoded once and kept."""
     cache = _cache.setdefault(path, {})
     if len(cache) > CACHE:
         cache.clear()
-    words = [None if ODD.search(t) else t.split() for t in texts]
-    new = list({w for own in words if own for w in own if w not in cache})
-    for i in range(0, len(new), 10_000):
-        cache.update(zip(new[i : i + 10_000], _encoded(new[i : i + 10_000], path), strict=True))
-    get = cache.__getitem__
-    return [_encoded([t], path)[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, words, strict=True)]
+    parts = _cache.setdefault(path + "#parts", {})
+    if len(parts) > CACHE:
+        parts.clear()
+
+    def word(w: str) -> bytes:
+        out = []
+        for p in SPLIT.findall(w.lower()):
+            x = parts.get(p)
+            if x is None:
+                x = parts[p] = split_ids(p, path)
+            out.append(x)
+        return b"".join(out)
+
+    done = []
+    for t in texts:
+        if ODD.search(t):
+            done.append(whole_ids(t, path))
+            continue
+        out = []
+        for w in t.split():
+            x = cache.get(w)
+            if x is None:
+                x = cache[w] = word(w)
+            out.append(x)
+        done.append(b"".join(out))
+    return done
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
