@@ -27,7 +27,7 @@ ODD = re.compile(r"[^\t-\r -~¡-ʯ‐-‧‰-⁞€]|[²³¹¼-¾]")
 UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: how the tokenizer splits units, for characters that are not ODD
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-BLOCK_UNITS = 3_000_000
+BLOCK_UNITS = 5_000_000
 _pieces: dict[str, list[bytes]] = {}
 
 
@@ -84,23 +84,49 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int,
         yield close()
 
 
+def _packed(words: list[str]) -> bytes:
+    """Strings as their lengths and their text, compressed."""
+    size = np.fromiter(map(len, words), np.uint32, len(words))
+    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(words)).tobytes() + _planes(size) + "".join(words).encode())
+
+
+def _unpacked(blob: bytes) -> list[str]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    ends = np.cumsum(_from_planes(raw[4 : 4 + 4 * n])).tolist()
+    text = raw[4 + 4 * n :].decode()
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit integers byte by byte: all lowest bytes first."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _dictionaries(docs: DataFrame, path: str, n_buckets: int) -> DataFrame:
-    """``bucket, block, at, units``: each block's distinct units, dealt by a hash."""
+    """``bucket, block, at, units``: each block's distinct units, dealt by a hash, sorted and
+    packed, and their positions in the block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        pack = zstandard.ZstdCompressor(level=3)
         for block, words, _ in _blocks(batches, path):
             deal = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words)) % n_buckets
-            order = np.argsort(deal, kind="stable")
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+            order = order[np.argsort(deal[order], kind="stable")]
             bounds = np.searchsorted(deal[order], np.arange(n_buckets + 1))
             rows = [(i, order[bounds[i] : bounds[i + 1]]) for i in range(n_buckets) if bounds[i] < bounds[i + 1]]
             yield pa.record_batch(
-                [pa.array([i for i, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([o.astype(np.uint32).tobytes() for _, o in rows], pa.binary()), pa.array([[words[j] for j in o] for _, o in rows], pa.list_(pa.string()))],
+                [pa.array([i for i, _ in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([pack.compress(_planes(o)) for _, o in rows], pa.binary()), pa.array([_packed([words[j] for j in o]) for _, o in rows], pa.binary())],
                 ["bucket", "block", "at", "units"],
             )
 
-    return docs.mapInArrow(run, "bucket int, block long, at binary, units array<string>")
+    return docs.mapInArrow(run, "bucket int, block long, at binary, units binary")
 
 
 def _positions(docs: DataFrame, path: str) -> DataFrame:
@@ -110,9 +136,9 @@ def _positions(docs: DataFrame, path: str) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         for block, _, own in _blocks(batches, path):
             runs = [own[i : i + 512] for i in range(0, len(own), 512)]
-            planes = [np.concatenate([a for _, a in r]).view(np.uint8).reshape(-1, 4).T for r in runs]
+            flat = [np.concatenate([a for _, a in r]) for r in runs]
             yield pa.record_batch(
-                [pa.array([block] * len(runs), pa.int64()), pa.array([[d for d, _ in r] for r in runs], pa.list_(pa.int64())), pa.array([[len(a) for _, a in r] for r in runs], pa.list_(pa.int32())), pa.array([pack.compress(np.ascontiguousarray(p).tobytes()) for p in planes], pa.binary())],
+                [pa.array([block] * len(runs), pa.int64()), pa.array([[d for d, _ in r] for r in runs], pa.list_(pa.int64())), pa.array([[len(a) for _, a in r] for r in runs], pa.list_(pa.int32())), pa.array([pack.compress(_planes(x)) for x in flat], pa.binary())],
                 ["block", "docs", "counts", "at"],
             )
 
@@ -120,20 +146,24 @@ def _positions(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _encoded_units(dictionaries: DataFrame, path: str) -> DataFrame:
-    """``block, at, ids, decoded``: one list entry per unit of the block in this bucket."""
+    """``block, at, counts, ids``: the ids of the block's units in this bucket, packed."""
 
     def run(t: pa.Table) -> pa.Table:
-        lists = t["units"].to_pylist()
-        words = list({w for own in lists for w in own})
-        piece = byte_pieces(path)
-        ids: dict[str, tuple[bytes, bytes]] = {}
-        for w in words:
-            code = whole_ids(w, path) if w == SPECIAL or ODD.search(w) else b"".join([split_ids(p, path) for p in SPLIT.findall(w)])
-            ids[w] = code, b"".join([piece[j] for j in memoryview(code).cast("I")])
-        kind = pa.list_(pa.binary())
-        return pa.table([t["block"], t["at"], pa.array([[ids[w][0] for w in own] for own in lists], kind), pa.array([[ids[w][1] for w in own] for own in lists], kind)], names=["block", "at", "ids", "decoded"])
-
-    return dictionaries.groupBy("bucket").applyInArrow(run, "block long, at binary, ids array<binary>, decoded array<binary>")
+        pack = zstandard.ZstdCompressor(level=3)
+        known: dict[str, bytes] = {}
+        counts, codes = [], []
+        for blob in t["units"].to_pylist():
+            own = []
+            for w in _unpacked(blob):
+                code = known.get(w)
+                if code is None:
+                    code = known[w] = whole_ids(w, path) if w == SPECIAL or ODD.search(w) else b"".join([split_ids(p, path) for p in SPLIT.findall(w)])
+                own.append(code)
+            counts.append(pack.compress(_planes(np.fromiter(map(len, own), np.uint32, len(own)) // 4)))
+            codes.append(pack.compress(_planes(np.frombuffer(b"".join(own), "<u4"))))
+        return pa.table([t["block"], t["at"], pa.array(counts, pa.binary()), pa.array(codes, pa.binary())], names=["block", "at", "counts", "ids"])
+
+    return dictionaries.groupBy("bucket").applyInArrow(run, "block long, at binary, counts binary, ids binary")
 
 
 def encode_and_decode(docs: DataFrame, path: str, bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -147,20 +177,26 @@ def encode_and_decode(docs: DataFrame, path: str, bucket_bytes: int = 8 << 20) -
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = _encoded_units(_dictionaries(docs, path, pieces_for(total * 0.2, bucket_bytes)), path)
+    words = _encoded_units(_dictionaries(docs, path, pieces_for(total * 0.15, bucket_bytes)), path)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        size = 1 + max((int(np.frombuffer(a, np.uint32).max()) for a in right["at"].to_pylist()), default=-1)
-        ids: list[bytes] = [b""] * size
-        decoded: list[bytes] = [b""] * size
-        for k in range(len(right)):
-            for j, x, y in zip(np.frombuffer(right["at"][k].as_py(), np.uint32).tolist(), right["ids"][k].as_py(), right["decoded"][k].as_py(), strict=True):
-                ids[j], decoded[j] = x, y
-        out: list[list] = [[], [], [], []]
         unpack = zstandard.ZstdDecompressor()
+        piece = byte_pieces(path)
+        ids: list[bytes] = []
+        decoded: list[bytes] = []
+        for a, c, x in zip(*(right[k].to_pylist() for k in ("at", "counts", "ids")), strict=True):
+            at, ends, code = (_from_planes(unpack.decompress(v)) for v in (a, c, x))
+            if (size := int(at.max()) + 1) > len(ids):
+                ids += [b""] * (size - len(ids))
+                decoded += [b""] * (size - len(decoded))
+            raw, said, lo = code.tobytes(), [piece[i] for i in code.tolist()], 0
+            for j, hi in zip(at.tolist(), np.cumsum(ends).tolist(), strict=True):
+                ids[j], decoded[j] = raw[4 * lo : 4 * hi], b"".join(said[lo:hi])
+                lo = hi
+        size = len(ids)
+        out: list[list] = [[], [], [], []]
         for own, counts, at in zip(left["docs"].to_pylist(), left["counts"].to_pylist(), left["at"].to_pylist(), strict=True):
-            raw = np.frombuffer(unpack.decompress(at), np.uint8) if sum(counts) else np.zeros(0, np.uint8)
-            flat = np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel().tolist()
+            flat = _from_planes(unpack.decompress(at)).tolist() if sum(counts) else []
             if flat and max(flat) >= size:
                 raise RuntimeError("the two passes over the documents differ; store the table first")
             lo = 0
