@@ -27,9 +27,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality classifier takes for good."""
     ship(spark)
-    labels = table(spark, sf_dir, "labels").where(id_remainder(5) != 0).where("quality is not null")
-    known = docs.select("doc_id", "text").join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    model = quality_qda.fit(document_counts(known), labels)
+    labels = table(spark, sf_dir, "labels").where(id_remainder(5) != 0)
+    model = quality_qda.fit(document_counts(docs), labels)  # joins counts, not texts
     rows = quality_qda.score(document_counts(docs, keep=COLUMNS[1:]), model, keep=COLUMNS[1:])
     return rows.where("predicted = 1").select(*COLUMNS)
 

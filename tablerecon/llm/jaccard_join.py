@@ -96,7 +96,7 @@ def _dealt(docs: DataFrame, k: int, n_buckets: int) -> DataFrame:
                     if len(s) and (d := _digests(s)[0]) not in sets:
                         sets[d] = s
                         held += len(s)
-                    if held > 2_000_000 or len(sets) >= 60_000:
+                    if held > 1_000_000 or len(sets) >= 60_000:
                         yield from flush(sets)
                         sets, held = {}, 0
         if sets:

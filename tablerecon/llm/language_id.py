@@ -156,7 +156,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in chunks(b.column(1), 4 << 20):
+            for t in chunks(b.column(1), 2 << 20):
                 texts = b.column(1).slice(t.lo, t.n).to_pylist()
                 pred, share, out = ["und"] * t.n, np.zeros(t.n), [[] for _ in range(t.n)]
                 if langs:

@@ -25,7 +25,7 @@ from .common import cut
 
 CAPACITY = 2048
 END_ID = 0
-CACHE = 500_000
+CACHE = 150_000
 #: characters whose white space and normal form need no library: outside, the whole text is encoded at once
 ODD = re.compile(r"[^\t-\r -~¡-įı-ʯ‐-‧‰-⁞€]|[²³¹¼-¾]|<\|(?:startof|endof)text\|>")
 #: how the tokenizer splits words, for characters that are not ODD
