@@ -65,3 +65,24 @@ def id_remainder(modulus: int):
 def pieces_for(n_bytes: float, at_most: float, least: int = 8) -> int:
     """How many shuffle groups keep one group under ``at_most`` bytes."""
     return max(least, int(n_bytes / at_most) + 1)
+
+
+#: bytes of one bitmap of 32,768 neighbouring ids
+BITMAP_BYTES = 4096
+
+
+def among(rows: DataFrame, ids: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """The rows whose whole-number ``doc_id`` is among those of ``ids``; null ids are not.
+    Repeated rows stay as they are, repeated ids count once.
+
+    The ids become bitmaps, a bit each where ids are dense, so that texts need not be shuffled.
+    They are broadcast only if all of them take at most ``most_bytes``; else it is a semi-join.
+    """
+    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    bits = cut(ids.groupBy(F.bitmap_bucket_number("doc_id").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("_bits")))
+    if bits.count() * BITMAP_BYTES > most_bytes:
+        return rows.join(ids, "doc_id", "left_semi")
+    place = F.bitmap_bit_position(F.col("doc_id").cast("long"))
+    found = rows.withColumns({"_bucket": F.bitmap_bucket_number(F.col("doc_id").cast("long")), "_place": place.cast("int")}).join(F.broadcast(bits), "_bucket")
+    byte = "cast(conv(hex(substring(_bits, shiftright(_place, 3) + 1, 1)), 16, 10) as int)"
+    return found.where(f"shiftright({byte}, _place & 7) & 1 = 1").select(*rows.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablerecon.llm import bpe, docstats, html_extract, jaccard_join, language_id, licenses, packing, pii, quality_qda, quality_rules, topk_search
-from tablerecon.llm.common import stored
+from tablerecon.llm.common import among, stored
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -272,6 +272,17 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(spark, docs).count() == docs.count() and licenses.scan(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("most_bytes", [64 << 20, 0])
+def test_among(spark, most_bytes):
+    edge = [None, -40000, -32768, -1, 0, 1, 2, 7, 8, 9, 32767, 32768, 32769, 65536, 10**12, 2**62]
+    rows = spark.createDataFrame([(i, "t") for i in [*edge, *range(-300, 300, 3), 5, 5]], "doc_id long, text string")
+    for kept in ([], edge, [1, 1, 32768, None], list(range(-300, 300, 7))):
+        ids = spark.createDataFrame([(i,) for i in kept], "doc_id long")
+        got = among(rows, ids, most_bytes)
+        assert got.columns == rows.columns
+        assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in rows.collect() if r.doc_id is not None and r.doc_id in kept)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
