@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablerecon.llm import jaccard_join, language_id, packing, pii, quality_qda
-from tablerecon.llm.common import id_remainder, ship, stored, table
+from tablerecon.llm.common import among, id_remainder, ship, stored, table
 from tablerecon.llm.docstats import document_counts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,8 +36,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of near duplicates."""
     ship(spark)
-    first = jaccard_join.similar_groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi")
+    first = jaccard_join.similar_groups(docs).where("doc_id = component_id").select("doc_id")
+    return among(docs.select(*COLUMNS), first)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
