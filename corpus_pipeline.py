@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablerecon.llm import jaccard_join, language_id, packing, pii, quality_qda
-from tablerecon.llm.common import among, id_remainder, ship, stored, table
+from tablerecon.llm.common import among, cut, id_remainder, ship, stored, table
 from tablerecon.llm.docstats import document_counts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,10 +34,28 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near duplicates."""
+    """Keeps exactly one row of every group of near duplicates: that with the smallest id,
+    null ids last, then the smallest digest of the row. Groups are of rows: a null id groups
+    like any other, a repeated row is a copy, and rows that share an id are judged apart by
+    their texts. Wordless rows are near nothing, each stands for itself and all stay.
+
+    Where an id is in one row only, ids tell which rows stay, so that texts are not shuffled;
+    of the other rows, one of each distinct kind is shuffled.
+    """
     ship(spark)
-    first = jaccard_join.similar_groups(docs).where("doc_id = component_id").select("doc_id")
-    return among(docs.select(*COLUMNS), first)
+    docs = docs.select(*COLUMNS)
+    digests = [F.xxhash64(F.lit(n), *COLUMNS).alias(f"_h{n}") for n in (1, 2)]
+    key = ["_h1", "_h2"]
+    rows, first = jaccard_join.first_of_groups(docs.select("*", *digests), key)
+    first = cut(first)
+    ids = first.select("doc_id").unionByName(rows.where("n_shingles = 0").select("doc_id")).where("doc_id is not null")
+    often = cut(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"))
+    if not often.take(1):
+        return among(docs, ids)
+    odd = among(docs, often).unionByName(docs.where("doc_id is null"))
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    one = odd.where(worded).groupBy(*digests).agg(F.first(F.struct(*COLUMNS)).alias("row")).join(first.select(*key), key, "left_semi").select("row.*")
+    return among(docs, ids.join(often, "doc_id", "left_anti")).unionByName(one).unionByName(odd.where(~worded))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

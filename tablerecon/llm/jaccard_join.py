@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces_for
+from .common import cut, passed_on, pieces_for
 from .textbytes import chunks, mix, shingle_sets
 
 BITS = 1024
@@ -47,8 +47,11 @@ def _digests(s: np.ndarray) -> tuple[int, int]:
     return tuple(int(np.sum(mix(s ^ _U(c))).astype(np.uint64).view(np.int64)) for c in (0x1234567F, 0x7B00B135FF))
 
 
-def shingle_counts(docs: DataFrame, k: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2``: size and digest of each text's shingle set."""
+def shingle_counts(docs: DataFrame, k: int = 5, keep: list[str] | None = None) -> DataFrame:
+    """``doc_id, n_shingles, d1, d2``: size and digest of each text's shingle set. Columns
+    ``keep`` of ``docs`` are passed on."""
+    keep = keep or []
+    kept, schema = passed_on(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -57,9 +60,9 @@ def shingle_counts(docs: DataFrame, k: int = 5) -> DataFrame:
                 for s in shingle_sets(texts, k):
                     x, y = _digests(s) if len(s) else (0, 0)
                     n.append(len(s)), d1.append(x), d2.append(y)
-            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], ["doc_id", "n_shingles", "d1", "d2"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), *(b.column(c) for c in keep)], ["doc_id", "n_shingles", "d1", "d2", *keep])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return docs.select("doc_id", "text", *kept).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long" + schema)
 
 
 def _dealt(docs: DataFrame, k: int, n_buckets: int) -> DataFrame:
@@ -313,18 +316,13 @@ def _tiles(tokens: DataFrame, sets: DataFrame) -> DataFrame:
     return x.join(sets.select("ent", "n", F.size("toks").cast("long").alias("own")), "ent").join(_bitmaps(sets), "ent")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, pairs_per_set: int = 32, bucket_bytes: int = 16 << 20) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
-
-    ``component_id`` is the smallest doc_id reachable by links, the row's own included. Null
-    and wordless texts have no shingles and link with nothing. Rows with a null doc_id keep
-    it and form groups whose id is the smallest non-null one, if any. Repeated rows come back
-    as often as they came. Other columns are ignored.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counts = cut(shingle_counts(docs, k))
+def _grouped(docs: DataFrame, best: Column, k: int, percent: int, pairs_per_set: int, bucket_bytes: int, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows' ``shingle_counts``, and ``ent, d2, rep, comp`` of every shingle set: ``best``
+    over the rows that hold it, and its group."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(keep or []))
+    counts = cut(shingle_counts(docs, k, keep))
     total = counts.agg(F.sum("n_shingles")).first()[0] or 0
-    reps = counts.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    reps = counts.where("n_shingles > 0").groupBy("d1", "d2").agg(best.alias("rep"))
     comps = None
     if total:
         n = 1 << (pieces_for(total * 8.0, bucket_bytes) - 1).bit_length()
@@ -334,7 +332,27 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, pairs_per_set
         reps = reps.withColumnRenamed("d1", "ent").join(comps, "ent", "left").withColumn("comp", F.coalesce("comp", "ent"))
     else:
         reps = reps.withColumnRenamed("d1", "ent").withColumn("comp", F.col("ent"))
-    reps = cut(reps)
+    return counts, cut(reps)
+
+
+def first_of_groups(docs: DataFrame, key: list[str], k: int = 5, percent: int = 75, pairs_per_set: int = 32, bucket_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, n_shingles`` of every row, and ``doc_id`` with the whole-number columns
+    ``key`` of the first row of each group of ``similar_groups``: the smallest id, null ids
+    last, then the smallest ``key``. Wordless rows are in no group."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *key))
+    counts, reps = _grouped(docs, first, k, percent, pairs_per_set, bucket_bytes, key)
+    return counts.select("doc_id", "n_shingles"), reps.groupBy("comp").agg(F.min("rep").alias("rep")).select("rep.doc_id", *[f"rep.{c}" for c in key])
+
+
+def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, pairs_per_set: int = 32, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
+
+    ``component_id`` is the smallest doc_id reachable by links, the row's own included. Null
+    and wordless texts have no shingles and link with nothing. Rows with a null doc_id keep
+    it and form groups whose id is the smallest non-null one, if any. Repeated rows come back
+    as often as they came. Other columns are ignored.
+    """
+    counts, reps = _grouped(docs, F.min("doc_id"), k, percent, pairs_per_set, bucket_bytes)
     names = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
     label = cut(reps.join(names, "comp").select(F.col("ent").alias("d1"), "d2", "component_id"))
     return counts.join(label, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

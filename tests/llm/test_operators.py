@@ -283,6 +283,39 @@ def test_among(spark, most_bytes):
         assert Counter(r.doc_id for r in got.collect()) == Counter(r.doc_id for r in rows.collect() if r.doc_id is not None and r.doc_id in kept)
 
 
+def test_near_duplicate_stage(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    text = lambda n=60: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    near = lambda t: t + " tail"
+    rows = [
+        (None, a), (None, b), (None, near(b)), (None, near(b)), (7, c), (None, c), (None, near(c)),  # null ids
+        (8, d), (8, d), (8, d), (9, near(d)),  # repeated rows
+        (10, e), (11, f), (11, near(e)), (12, g), (12, text()), (13, near(g)), (14, near(f)),  # shared ids
+        (15, None), (15, None), (None, ""), (None, ""), (None, None), (16, " \n"), (17, "x y"), (17, "x y"), (-3, "X  y"),
+    ]
+    clean = [(i, text(30)) for i in range(100, 110)]
+
+    def wanted(rows):
+        at = brute_groups([(i, t) for i, (_, t) in enumerate((d, t or "") for d, t in rows)])  # ids are row numbers
+        groups = defaultdict(list)
+        for i, n, root in at:
+            groups[root if n else ("alone", i)].append(rows[i])
+        return [{r for r in own if (r[0] is None, r[0] or 0) == min((x is None, x or 0) for x, _ in own)} for own in groups.values()]
+
+    for own in (rows + clean, clean + [(99, near(clean[3][1]))], [r for r in rows if r[0] is None], []):
+        df = spark.createDataFrame([(i, t, None, "s", 1) for i, t in own], "doc_id long, text string, lang string, source string, n_chars long")
+        got = Counter((r.doc_id, r.text) for r in p.near_duplicate_stage(spark, stored(df, "d"), SF).collect())
+        want = wanted(own)
+        assert got.total() == len(want)
+        for options in want:  # a row of each group, of those with its least id
+            own = next(o for o in options if got[o])
+            got[own] -= 1
+        assert got.total() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
