@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text's canonical form has lower-case ASCII, no copyright lines, one spelling of words that
+A text's canonical form has lower-case ASCII, no copyright notices, one spelling of words that
 licences spell in several ways, and single spaces for punctuation and white space. Digests of
 whole texts, and of every line taken as a whole text, are looked up among those of known
 licences and notices.
@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: fixed steps (what a text must hold, pattern, replacement), in this order, after lower-casing;
+#: fixed steps; the scan has NOTICES for the first (what a text must hold, pattern, replacement), in this order, after lower-casing;
 #: the syntax is common to Java, RE2 and Python
 LINES = [
     (("copyright", "(c)", "©"), r"(^|\n)[ \t#*/;%-]*(copyright|\(c\)|©)[^\n]*", "\n"),
@@ -22,6 +22,17 @@ LINES = [
     (("http",), r"https?://(www\.)?", " "),
     (("",), r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’–—©®™]+", " "),
 ]
+_MARGIN = r"[ \t#*/;%-]*"
+#: words that follow "copyright" in running text, unless a colon follows them
+_PROSE = "notices?|holders?|owners?|laws?|licen[cs](?:es?|ing|ed)|statements?|interests?|protect(?:ion|ed)|acts?|and|or|in|is|are|of|to|for|on|as|by law|that|which|this|shall|may|must|will|with|from|any|infringements?|claims?|information|ownership|page|symbols?|lines?|terms?|treat(?:y|ies)|rights?|status|policy|registration|materials?|works?|control|headers?|disclaimers?|years?|dates?|permissions?|grants?|management|assignments?|attributions?|restrictions?|has|have|not|you|if|each|all"
+#: copyright notices, which a line may also begin with by wrapping: (what a text must hold, what
+#: it must not, pattern, replacement). With a mark or a year a line is a notice; with a holder
+#: only, it must begin a paragraph or follow a title. "(c)" after "(b)" is an item of a list
+NOTICES = [
+    (("copyright", "(c)", "©"), None, rf"(^|\n){_MARGIN}(?:©|(?:\(c\)[ \t]*)?copyright[ \t:]*(?:\(c\)|©|&copy;|[\[<{{])|\(c\)[ \t]*copyright|(?:(?:\(c\)|copyright|by)[ \t:,-]*)+(?:19|20)[0-9][0-9]|copyright[ \t:]+(?!(?:{_PROSE})\b(?![ \t]*:))[^\n]*\b(?:19|20)[0-9][0-9]\b)[^\n]*", "$1"),
+    (("copyright",), None, rf"(^|\n{_MARGIN}\n|licen[cs]e[^\n]{{0,12}}\n)(?:{_MARGIN}copyright[ \t:]+(?!(?:{_PROSE})\b(?![ \t]*:))[^ \t\n][^\n]*(?:\n|$))+", "$1\n"),
+    (("(c)",), "(b)", rf"(^|\n{_MARGIN}\n|licen[cs]e[^\n]{{0,12}}\n)(?:{_MARGIN}\(c\)[ \t:]+[^ \t\n][^\n]*(?:\n|$))+", "$1\n"),
+]
 #: equivalent spellings, replaced in this order
 SPELLINGS = [("licence", "license"), ("licensing", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("favour", "favor"), ("judgement", "judgment"), ("whilst", "while"), ("version 2 0", "version 2"), ("version 3 0", "version 3")]
 #: a line without one of these is no known licence; checked against the table of known ones
@@ -56,7 +67,10 @@ KNOWN: list[tuple[str, str]] = [
 def canonical_text(text: str) -> str:
     """The canonical form of one string, for the table of known licences."""
     text = text.lower()
-    for _, pattern, by in LINES:
+    for _, without, pattern, by in NOTICES:
+        if without is None or without not in text:
+            text = re.sub(pattern, by.replace("$1", r"\1"), text)
+    for _, pattern, by in LINES[1:]:
         text = re.sub(pattern, by, text)
     for was, by in SPELLINGS:
         text = text.replace(was, by)
@@ -66,12 +80,14 @@ def canonical_text(text: str) -> str:
 def canonical(text):
     """The canonical form as a column."""
     text = F.lower(text)
-    for holds, pattern, by in LINES:
+    for holds, without, pattern, by in [*NOTICES, *((h, None, p, b) for h, p, b in LINES[1:])]:
         done = F.regexp_replace(text, F.lit(pattern), F.lit(by))
         if any(holds):
             test = F.lit(False)
             for word in holds:
                 test = test | F.contains(text, F.lit(word))
+            if without is not None:
+                test = test & ~F.contains(text, F.lit(without))
             done = F.when(test, done).otherwise(text)
         text = done
     for was, by in SPELLINGS:
@@ -110,7 +126,8 @@ def scan(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] = KN
 
 
 def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
-    """The scan as DuckDB SQL, without the shortcuts."""
+    """The scan as DuckDB SQL, without the shortcuts. It drops every line that begins like a
+    notice (``LINES[0]``), so it is the scan only for texts without such lines."""
 
     def quoted(x: str) -> str:
         return "E'" + x.replace("\\", "\\\\").replace("'", "''").replace("\n", "\\n") + "'"

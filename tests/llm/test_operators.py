@@ -272,6 +272,30 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(spark, docs).count() == docs.count() and licenses.scan(spark, empty).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    heads = ["Copyright (c) 2020 Someone", "# Copyright 2019-2021, Some One <a@b.c>", "(c) 2020 X\n(C) Copyright Y", "© Z", "Copyright The Foo Authors\nCopyright Bar Inc. All rights reserved.", "Copyright Foo 2011", "Copyright <YEAR> <HOLDER>", "(c) Foo Ltd"]
+    rows, want = [], {}
+    for license_id, t in licenses.KNOWN:
+        for width in (20, 33, 40, 57, 60, 65, 72, 76, 79, 80, 100):
+            rows.append("\n".join(textwrap.fill(x, width, break_long_words=False) for x in t.split("\n")))
+            want[rows[-1]] = license_id
+        for head in heads if len(t) > 300 else []:
+            rows.append(head + "\n\n" + t)
+            want[rows[-1]] = license_id
+    lead = dict(reversed(licenses.KNOWN[:2]))["MIT"]
+    for head in heads:
+        rows.append("MIT License\n" + head + "\n\n" + lead)
+        want[rows[-1]] = "MIT"
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.license_id, r.digest) for r in licenses.scan(spark, df).collect()}
+    assert [(t, want[t]) for i, t in enumerate(rows) if got[i][0] != want[t]] == []
+    assert all(hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest() == got[i][1] for i, t in enumerate(rows))
+    for t in ("keep the\ncopyright notice", "the\ncopyright owner agrees", "(a) x\n\n(b) y\n\n(c) you must keep"):
+        assert "copyright" in licenses.canonical_text(t) or "you must keep" in licenses.canonical_text(t)
+
+
 @pytest.mark.parametrize("most_bytes", [64 << 20, 0])
 def test_among(spark, most_bytes):
     edge = [None, -40000, -32768, -1, 0, 1, 2, 7, 8, 9, 32767, 32768, 32769, 65536, 10**12, 2**62]
