@@ -23,19 +23,51 @@ from pyspark.sql import functions as F
 PATH, WORDS, SHARES = 96, 32, 6
 INPUT = PATH + WORDS + SHARES
 HIDDEN = 16
-#: elements whose content is never shown as text
-HIDDEN_TAGS = "script|style|noscript|template|svg|math|iframe|object|textarea|select|head|title"
+#: elements whose content is never shown as text: those of raw text run to their end tag or to
+#: the end of the page, the others are hidden only if they are closed
+RAW = frozenset("script style textarea title".split())
+UNSHOWN = frozenset("noscript template svg math iframe object select".split())
+#: hidden elements that "/>" closes, and the tags that end an unclosed one
+FOREIGN = frozenset("svg math".split())
+BREAKOUT = frozenset("address article aside b big blockquote body br center code dd div dl dt em embed figure footer form h1 h2 h3 h4 h5 h6 head header hr i img li main menu meta nav nobr ol p pre ruby s section small span strike strong sub sup table tt u ul var".split())
+#: tags that do not end the head; any other and any text does
+HEAD_TAGS = frozenset("html base basefont bgsound link meta".split()) | RAW | {"noscript", "template"}
 #: elements that do not end a block
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: elements without content
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: start tags that close an open element of their own kind (the p is closed by any block)
 REPEAT = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN_TAGS})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|[^<]+|<", re.S)
+_RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
+def _tokens(page: str) -> tuple[list[tuple[re.Match, str | None]], dict[int, int]]:
+    """Tags, texts and comments with their tag names, raw text left out; and for each start
+    tag of a closed hidden element the place of its end tag."""
+    out: list[tuple[re.Match, str | None]] = []
+    open_: dict[str, list[int]] = {x: [] for x in UNSHOWN}
+    ends: dict[int, int] = {}
+    at = 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
+        tag = m[2] and m[2].lower()
+        if tag in RAW:
+            if not m[1] and not (m[3].endswith("/") and (open_["svg"] or open_["math"])):
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+        elif tag in UNSHOWN:
+            if not m[1]:
+                if not (tag in FOREIGN and m[3].endswith("/")):
+                    open_[tag].append(len(out))
+            elif open_[tag]:
+                ends[open_[tag].pop()] = len(out)
+        out.append((m, tag))
+    return out, ends
+
+
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
     """The page's blocks: text (references decoded, white space made single spaces), path
     and the share of its characters in links."""
@@ -54,26 +86,51 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             text.clear()
             links = 0
 
-    for m in _TOKEN.finditer(page):
-        tag = m[3]
+    tokens, ends = _tokens(page)
+    past = 0
+    in_head = in_foreign = False
+    for at, (m, tag) in enumerate(tokens):
+        if at < past:
+            continue
+        if in_foreign:  # unclosed: up to a tag that cannot be in it, or that ends what it is in
+            in_foreign = tag is None or not (tag in BREAKOUT or (m[1] and any(tag == x for x, _ in open_)))
+            if in_foreign:
+                continue
         if tag is None:
-            if m[1] is not None:
-                if m[1].lower() not in ("svg", "math"):
-                    close()
-            elif (s := m[0])[0] != "<" or s == "<":
+            if (s := m[0])[0] != "<" or s == "<":
+                if in_head and not s.strip():
+                    continue
+                in_head = False
                 text.append(s)
                 if in_link:
                     links += len(s)
             continue
-        tag = tag.lower()
+        if tag in RAW:
+            close()
+            continue
+        if tag in UNSHOWN:
+            past = ends.get(at, at) + 1
+            if tag not in FOREIGN:
+                close()
+            elif not m[1]:
+                in_foreign = at not in ends and not m[3].endswith("/")
+            continue
+        if tag == "head":
+            close()
+            in_head = not m[1]
+            continue
+        if in_head:
+            if tag in HEAD_TAGS:
+                continue
+            in_head = False
         if tag in INLINE:
             if tag == "br":
                 text.append(" ")
             elif tag == "a":
-                in_link = 0 if m[2] else 1
+                in_link = 0 if m[1] else 1
             continue
         close()
-        if m[2]:
+        if m[1]:
             for k in range(len(open_) - 1, -1, -1):
                 if open_[k][0] == tag:
                     del open_[k:]
@@ -89,7 +146,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             if open_[k][0] in ("ul", "ol", "dl", "table"):
                 break
         if tag not in VOID:
-            names = [w for x in _NAMES.findall(m[4]) for w in _WORD.findall("".join(x).lower())] if m[4] else []
+            names = [w for x in _NAMES.findall(m[3]) for w in _WORD.findall("".join(x).lower())] if m[3] else []
             open_.append((tag, (tag, *[f".{w}" for w in names])))
     close()
     return out

@@ -140,6 +140,26 @@ def test_html(spark):
     assert len(got) == real.count() + 5 and got[got.page_id.isin([-1, -2, -3, -5])].n_chars.sum() == 0
 
 
+def test_html_unclosed():
+    texts = lambda page: [t for t, _, _ in html_extract.blocks(page)]
+    body = "<article><p>One two.</p><p>Three.</p></article>"
+    for head in ("<head><title>x</title>", "<head><title>x</title></head>", "<HEAD><meta a='b'><link><script>a<b</script>\n", "<head><noscript><link></noscript><style>p{}</style>"):
+        for start in ("<body>", ""):
+            assert texts(f"<html>{head}{start}{body}</html>") == ["One two.", "Three."]
+    assert texts("<head><title>x</title>Plain text") == ["Plain text"]
+    assert texts("<p>a <svg width='1'/> b <math/> c</p><p>d</p>") == ["a b c", "d"]
+    assert texts("<p>a <svg><title>t</title><script/><g><text>x</text></g></svg> b</p>") == ["a b"]
+    assert texts("<p>a <svg><path d='x'/> y</p><p>b</p>") == ["a", "b"]
+    for tag in ("select", "object", "noscript", "iframe", "template"):
+        assert texts(f"<p>a</p><{tag}>{body}") == ["a", "One two.", "Three."]
+        assert texts(f"<p>a</p><{tag}>{body}<{tag}>hidden</{tag}>") == ["a", "One two.", "Three."]
+        assert texts(f"<p>a</p><{tag}><i>hidden</i></{tag}>{body}") == ["a", "One two.", "Three."]
+    for tag in ("script", "style", "textarea", "title"):
+        assert texts(f"<p>a</p><{tag}>b<p>c</p>") == ["a"]
+    assert texts("<p>a</p><object>x<object>y</object>z</object><p>b</p>") == ["a", "b"]
+    assert len(texts("<svg>" * 20000 + "<p>a</p>")) == 1
+
+
 def brute_groups(texts):
     sets = []
     for _, t in texts:
