@@ -79,10 +79,14 @@ def cover_tree(x: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+#: score of an empty place; ids may have any sign
+EMPTY = np.iinfo(np.int64).min
+
+
 def dual_search(q: dict[str, np.ndarray], r: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids (queries in tree order x k, best first, ties to smaller ids) of the best
-    vectors with another id; missing places have the id -1."""
-    big = np.iinfo(np.int64).min
+    vectors with another id; missing places have the score EMPTY."""
+    big = EMPTY
     exact = np.abs(q["vectors"]).max(initial=0).astype(float) * np.abs(r["vectors"]).max(initial=0) * q["vectors"].shape[1] < 2**52
     qv, rv = (x["vectors"].astype(np.float64 if exact else np.int64) for x in (q, r))
     score, found = np.full((len(qv), k), big), np.full((len(qv), k), -1)
@@ -203,7 +207,7 @@ def search(vectors: DataFrame, query_test: str, k: int = 5, block: int = 4096, q
             for row in b.to_pylist():
                 q, r = _unpacked(row["q"], row["dim"]), _unpacked(row["r"], row["dim"])
                 score, found = dual_search(q, r, k)
-                ok = found >= 0
+                ok = score > EMPTY
                 yield pa.record_batch([pa.array(np.repeat(q["ids"], k).reshape(found.shape)[ok]), pa.array(found[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
 
     best = tiles.select("dim", "q", "r").mapInArrow(run, "query_id long, vec_id long, score long")

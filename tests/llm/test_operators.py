@@ -94,6 +94,20 @@ def test_topk(spark):
     assert topk_search.search(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_topk_negative_ids(spark):
+    x = np.random.default_rng(6).normal(size=(40, 4)).astype(np.float32)
+    ids = list(range(-20, 20))
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    got = topk_search.search(df, "vec_id % 5 = 0", 5, block=16, query_block=4).toPandas()
+    v = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    for n in range(0, 40, 5):
+        s = v @ v[n]
+        best = [ids[i] for i in np.lexsort((np.arange(40), -s)) if i != n][:5]
+        assert got[got.query_id == ids[n]].sort_values("rank").vec_id.tolist() == best
+    few = topk_search.search(df.where("vec_id in (-5, -1, 3)"), "vec_id = -5", 5)
+    assert {r.vec_id for r in few.collect()} == {-1, 3}
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
