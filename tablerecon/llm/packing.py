@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +22,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
+from .textbytes import plain
 
 CAPACITY = 2048
 END_ID = 0
-CACHE = 150_000
+#: pieces of one length that one task ranks
+SHARE = 500_000
+#: words, and parts of words, whose ids a worker keeps, twice (see Recent); longer ones are not kept
+CACHE = 200_000
+LONGEST_KEPT = 48
 #: characters whose white space and normal form need no library: outside, the whole text is encoded at once
 ODD = re.compile(r"[^\t-\r -~¡-įı-ʯ‐-‧‰-⁞€]|[²³¹¼-¾]|<\|(?:startof|endof)text\|>")
 #: how the tokenizer splits words, for characters that are not ODD
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_cache: dict[str, dict[str, bytes]] = {}
+_words: dict[str, Recent] = {}
 _tokenizers: dict[str, object] = {}
 
 
@@ -68,38 +73,55 @@ def whole_ids(text: str, path: str) -> bytes:
     return array("I", tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
+class Recent(dict):
+    """Values of short strings, made when first asked for. When ``most`` are held they become
+    the older half, which the next ``most`` replace: what is asked for again stays, and memory
+    is bounded however many strings there are."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHE):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            if len(self) >= self.most:
+                self.old = self.copy()
+                self.clear()
+            self[key] = value
+        return value
+
+
+def word_ids(path: str) -> Recent:
+    """The ids of words without ODD characters, by the word."""
+    if path not in _words:
+        parts = Recent(lambda part: split_ids(part, path))
+
+        def word(w: str) -> bytes:
+            w = w.lower()
+            if w.isalpha():
+                return parts[w]
+            if w[:-1].isalpha() and not w[-1].isalnum():
+                return parts[w[:-1]] + parts[w[-1]]
+            return b"".join([parts[p] for p in SPLIT.findall(w)])
+
+        _words[path] = Recent(word)
+    return _words[path]
+
+
+def token_bytes(column: pa.Array, path: str) -> Iterator[bytes]:
     """Each text's ids as little-endian 32-bit integers, for a tokenizer that lower-cases,
     drops white space and splits at it: parts of words are encoded once and kept."""
-    cache = _cache.setdefault(path, {})
-    if len(cache) > CACHE:
-        cache.clear()
-    parts = _cache.setdefault(path + "#parts", {})
-    if len(parts) > CACHE:
-        parts.clear()
-
-    def word(w: str) -> bytes:
-        out = []
-        for p in SPLIT.findall(w.lower()):
-            x = parts.get(p)
-            if x is None:
-                x = parts[p] = split_ids(p, path)
-            out.append(x)
-        return b"".join(out)
-
-    done = []
-    for t in texts:
-        if ODD.search(t):
-            done.append(whole_ids(t, path))
-            continue
-        out = []
-        for w in t.split():
-            x = cache.get(w)
-            if x is None:
-                x = cache[w] = word(w)
-            out.append(x)
-        done.append(b"".join(out))
-    return done
+    known = word_ids(path).__getitem__
+    for text, easy in zip(column.to_pylist(), plain(column).tolist(), strict=True):
+        if not text:
+            yield b""
+        elif (easy and "<|" not in text) or not ODD.search(text):
+            yield b"".join(map(known, text.split()))
+        else:
+            yield whole_ids(text, path)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -112,7 +134,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             for lo in range(0, len(b), 256):
                 part = b.slice(lo, 256)
                 rows: list[list] = [[], [], [], [], []]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), token_bytes([t or "" for t in part.column("text").to_pylist()], path), strict=True):
+                for doc, ids in zip(part.column("doc_id").to_pylist(), token_bytes(part.column("text"), path), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]
@@ -163,13 +185,15 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return bins
 
 
-def pack(pieces_: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
+def pack(pieces_: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``. ``pieces_`` must be stored (its rows
-    are read twice and must not change between). Pieces of equal length are ranked within
-    salted shares, so a length that most pieces have is not one task's."""
-    salted = pieces_.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    are read again and must not change between). Pieces of equal length are ranked within
+    salted shares of about ``share`` pieces, so a length that most pieces have is not one
+    task's at any size of the corpus. Equal pieces may take each other's places."""
+    counts = {r[0]: r[1] for r in pieces_.groupBy("length").count().collect()}  # capacity rows at most
+    lengths = pieces_.sparkSession.createDataFrame([(k, n // share + 1) for k, n in counts.items()], "length long, salts long")
+    salted = pieces_.join(F.broadcast(lengths), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
     shares = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    counts = {r[0]: r[1] for r in shares.groupBy("length").agg(F.sum("n")).collect()}
     slots, base, used = [], 0, dict.fromkeys(counts, 0)
     for many, own in pack_lengths(counts, capacity):
         at = 0
@@ -190,7 +214,7 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataF
             yield pa.record_batch([*cols, pa.array(own[:, 2] + nth // own[:, 3]), pa.array(own[:, 4] + nth % own[:, 3] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    # at most capacity x salts rows
+    # a row for each ``share`` pieces, and capacity more
     starts = F.broadcast(shares.select("length", "salt", before.alias("before")))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("nth", nth).join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth"))

@@ -48,6 +48,31 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["r"][:n], _powers["i"][:n]
 
 
+_ODD_BYTE = np.zeros(256, bool)
+_ODD_BYTE[[*range(9), *range(14, 32), 127, 0xC0, 0xC1, *range(0xCB, 0xE2), *range(0xE3, 256)]] = True
+_ODD_AFTER_C2 = np.ones(256, bool)
+_ODD_AFTER_C2[0xA1:0xC0] = False
+_ODD_AFTER_C2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = True
+
+
+def plain(column: pa.Array) -> np.ndarray:
+    """Which texts hold nothing but tab to carriage return, printable ASCII, U+00A1 to U+02AF
+    without U+0130 and the digits and fractions among them, U+2010 to U+2027, U+2030 to U+205E
+    and U+20AC: characters that tokenizers lower-case and split as Python does. Null is plain."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    bufs = column.buffers()
+    at = np.frombuffer(bufs[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    d = np.frombuffer(bufs[2], np.uint8)[at[0] : at[-1]] if bufs[2] is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    odd = [np.flatnonzero(_ODD_BYTE[d])]
+    for lead, bad in ((0xC2, lambda x, y: _ODD_AFTER_C2[x]), (0xC4, lambda x, y: x == 0xB0), (0xCA, lambda x, y: x > 0xAF), (0xE2, lambda x, y: ~((x == 0x80) & ((y >= 0x90) & (y <= 0xA7) | (y >= 0xB0)) | (x == 0x81) & (y <= 0x9E) | (x == 0x82) & (y == 0xAC)))):
+        found = np.flatnonzero(d == lead)
+        odd.append(found[bad(d[found + 1], d[np.minimum(found + 2, len(d) - 1)])])
+    out = np.ones(len(column), bool)
+    out[np.searchsorted(at, np.concatenate(odd), "right") - 1] = False
+    return out
+
+
 class Texts:
     """Texts ``lo:hi`` of a column: ``data`` holds them one after another, each ended by a
     line break; text i is ``data[at[i]:at[i + 1] - 1]``."""
