@@ -1,8 +1,8 @@
 """Language of texts that may mix languages, word by word.
 
 Byte-trigram log-probabilities of each language, learned from labelled rows, give every word
-one score a language. The scripts of a word's letters narrow its candidates: a language that
-was hardly seen in any of them pays ``OFF_SCRIPT``. A Viterbi pass with a switching penalty
+one score a language. The scripts of a word's letters narrow its candidates to the languages
+that were seen in one of them; if none was, all stay. A Viterbi pass with a switching penalty
 then labels each text's words in spans, over all its words.
 """
 
@@ -20,7 +20,10 @@ from .textbytes import _LOWER, Texts, chunks
 
 CELLS = 1 << 15
 SWITCH = 12.0
-OFF_SCRIPT = 30.0
+#: taken from the score of a language that is no candidate for the word
+NO_CANDIDATE = 1e6
+#: labelled rows of a language to learn from, about
+TRAIN_DOCS = 10_000
 #: UTF-8 lead byte ranges of scripts: latin, greek, cyrillic, armenian and hebrew, arabic,
 #: indic and thai, georgian and others, kana and han, hangul
 SCRIPTS = [(0xC3, 0xCD), (0xCE, 0xCF), (0xD0, 0xD4), (0xD5, 0xD7), (0xD8, 0xDF), (0xE0, 0xE0), (0xE1, 0xE1), (0xE3, 0xE9), (0xEA, 0xED)]
@@ -41,28 +44,41 @@ def _cells(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     return ((key * np.uint32(0x85EBCA6B)) >> np.uint32(17)).astype(np.int64), d != 32
 
 
-def fit(docs: DataFrame, train_docs: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _sample(rows: DataFrame, most: int) -> DataFrame:
+    """Of each language all rows or, if there are more than ``most``, about that many, chosen by
+    a hash; one row at least. One number a language passes through the driver."""
+    by = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(by).alias("least")).collect()
+    if all(r["n"] <= most for r in sizes):
+        return rows
+    below = [(r["lang"], max((1 << 62) if r["n"] <= most else (1 << 62) * most // r["n"], r["least"] + 1)) for r in sizes]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(below, "lang string, below long")), "lang").where(by < F.col("below"))
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-probabilities (cells x languages) and the languages of each script.
 
-    Fits on the rows of ``docs`` (``doc_id, text, lang``) with a language: on all of them or,
-    if there are more than ``train_docs``, on about that many, chosen by a hash of the id.
+    Fits on the rows of ``docs`` (``doc_id, text, lang``) with a language: on all of a
+    language's or, if there are more than ``train_docs``, on about that many of them, chosen by
+    a hash, so that a rare language is learned whatever the size of the table. Null texts are
+    left out; without rows no language is learned.
     """
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    n = rows.count()
-    if n > train_docs:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * train_docs / n))
+    rows = _sample(docs.where("lang is not null and text is not null").select("doc_id", "text", "lang"), train_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for b in batches:
-            langs = b.column("lang").to_pylist()
+            langs = np.array(b.column("lang").to_pylist(), object)
             for t in chunks(b.column("text")):
                 cell, letter = _cells(t)
-                for i in range(t.n):
-                    s = slice(t.at[i], t.at[i + 1])
-                    got = seen.setdefault(langs[t.lo + i], np.zeros(CELLS + 16, np.int64))
-                    got[:CELLS] += np.bincount(cell[s][letter[s]], minlength=CELLS)
-                    scripts = np.bincount(_SCRIPT[t.data[s]], minlength=1)
+                names, of = np.unique(langs[t.lo : t.lo + t.n].astype(str), return_inverse=True)
+                of = np.repeat(of, np.diff(t.at))
+                script = _SCRIPT[t.data]
+                for i, name in enumerate(names.tolist()):
+                    mine = of == i
+                    got = seen.setdefault(name, np.zeros(CELLS + 16, np.int64))
+                    got[:CELLS] += np.bincount(cell[mine & letter], minlength=CELLS)
+                    scripts = np.bincount(script[mine], minlength=1)
                     for k in range(len(SCRIPTS)):
                         if len(scripts) > 1 << k:
                             got[CELLS + k] += scripts[1 << k]
@@ -70,7 +86,7 @@ def fit(docs: DataFrame, train_docs: int = 20_000) -> tuple[list[str], np.ndarra
             cells = np.flatnonzero(got)
             yield pa.record_batch([pa.array([lang] * len(cells), pa.string()), pa.array(cells.astype(np.int32)), pa.array(got[cells])], ["lang", "cell", "n"])
 
-    found = rows.mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("lang", "text").mapInArrow(run, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     count = np.zeros((CELLS + 16, len(langs)))
     count[found["cell"], np.searchsorted(langs, found["lang"]) if langs else []] = found["n"]
@@ -122,21 +138,23 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], switch: float = SWITCH, spans: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row of ``docs`` (``doc_id, text``), then the
-    columns ``keep`` of ``docs``.
-
-    ``lang_pred`` is the language of most letters, ``score`` its share of the letters. Null
-    texts and texts without a letter are ``und`` with score 0, as is every text if no
-    language was learned. With ``spans``, a column of word ranges and their languages
-    follows. Other columns are ignored, repeated rows come back as often.
+    """``doc_id, lang_pred, score, recognised`` of every row of ``docs`` (``doc_id, text``),
+    then the columns ``keep`` of ``docs``.
+
+    ``lang_pred`` is the language of most letters (ties: the first by name), ``score`` its
+    share of the letters, ``recognised`` the share of letters in words of a script that a
+    learned language is written in. Null texts and texts without a letter are ``und`` with
+    score 0, as is every text if no language was learned. With ``spans``, a column of word
+    ranges and their languages follows. Other columns are ignored, repeated rows come back as
+    often, rows with a null id too.
     """
     langs, logp, by_script = model
     keep = keep or []
     carried, kinds = passed_on(docs, keep)
-    kind = "doc_id long, lang_pred string, score double" + (", spans array<struct<first:int,last:int,lang:string>>" if spans else "") + kinds
-    names = ["doc_id", "lang_pred", "score", *["spans"] * spans, *keep]
+    kind = "doc_id long, lang_pred string, score double, recognised double" + (", spans array<struct<first:int,last:int,lang:string>>" if spans else "") + kinds
+    names = ["doc_id", "lang_pred", "score", "recognised", *["spans"] * spans, *keep]
 
-    def score_words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score_words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, first = t.words()
         cell, letter = _cells(t)
         scores = np.empty((len(starts), len(langs)), np.float32)
@@ -145,26 +163,30 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], s
             scores[:, k] = sums[ends] - sums[starts]
         sums = np.concatenate(([0], np.cumsum((_SCRIPT[t.data] > 0))))
         n_letters = sums[ends] - sums[starts]
+        known = np.zeros(len(starts), bool)
         if len(starts):
             has = np.bitwise_or.reduceat(_SCRIPT[t.data], starts)
-            fits = np.zeros((1 << len(SCRIPTS), len(langs)), bool)
+            fits, written = np.zeros((1 << len(SCRIPTS), len(langs)), bool), np.zeros(1 << len(SCRIPTS), bool)
             for mask in np.unique(has):
                 own = [k for k in range(len(SCRIPTS)) if mask >> k & 1]
-                fits[mask] = by_script[own].any(0) if own and by_script[own].any() else True
-            scores[~fits[has]] -= OFF_SCRIPT
-        return scores, n_letters, first
+                written[mask] = bool(own) and bool(by_script[own].any())
+                fits[mask] = by_script[own].any(0) if written[mask] else True
+            scores[~fits[has]] -= NO_CANDIDATE
+            known = written[has]
+        return scores, n_letters, n_letters * known, first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for t in chunks(b.column(1), 2 << 20):
                 texts = b.column(1).slice(t.lo, t.n).to_pylist()
-                pred, share, out = ["und"] * t.n, np.zeros(t.n), [[] for _ in range(t.n)]
+                pred, share, recognised, out = ["und"] * t.n, np.zeros(t.n), np.zeros(t.n), [[] for _ in range(t.n)]
                 if langs:
-                    scores, n_letters, first = score_words(t)
+                    scores, n_letters, n_known, first = score_words(t)
                     labels = viterbi(scores, first, switch)
                     of = np.repeat(np.arange(t.n), np.diff(first))
                     weight = np.bincount(of * len(langs) + labels, n_letters, t.n * len(langs)).reshape(t.n, len(langs))
                     best, total = weight.argmax(1), weight.sum(1)
+                    recognised = np.bincount(of, n_known, t.n) / np.maximum(total, 1)
                     for i in np.flatnonzero(total > 0):
                         pred[i], share[i] = langs[best[i]], weight[i, best[i]] / total[i]
                     # a letter of a script that the ranges do not know still is a letter
@@ -172,12 +194,12 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], s
                         if any(c.isalpha() for c in texts[i] or ""):
                             pred[i], share[i] = langs[0], 1 / len(langs)
                     for i in np.flatnonzero((total > 0) & ~np.array([has_letter(x) for x in texts])):
-                        pred[i], share[i] = "und", 0.0
+                        pred[i], share[i], recognised[i] = "und", 0.0, 0.0
                     if spans:
                         cuts = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (of[1:] != of[:-1])))) if len(labels) else []
                         for lo, hi in zip(cuts, [*cuts[1:], len(labels)], strict=True):
                             out[of[lo]].append({"first": int(lo - first[of[lo]]), "last": int(hi - 1 - first[of[lo]]), "lang": langs[labels[lo]]})
-                cols = [b.column(0).slice(t.lo, t.n), pa.array(pred, pa.string()), pa.array(share)]
+                cols = [b.column(0).slice(t.lo, t.n), pa.array(pred, pa.string()), pa.array(share), pa.array(recognised)]
                 if spans:
                     cols.append(pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))))
                 cols += [b.column(2 + i).slice(t.lo, t.n) for i in range(len(keep))]
@@ -190,6 +212,6 @@ def has_letter(text: str | None) -> bool:
     return any(c.isalpha() for c in text) if text else False
 
 
-def learned(docs: DataFrame, train_docs: int = 20_000) -> tuple[list[str], np.ndarray, np.ndarray]:
+def learned(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """``fit`` on the rows that the split rule gives for learning."""
     return fit(docs.where(id_remainder(3) != 1), train_docs)
