@@ -1,13 +1,15 @@
 """Quality rules whose cutoffs carry a guarantee.
 
-Each rule rejects a document whose statistic exceeds a cutoff. On labelled documents the
-cutoffs are chosen per stratum (a band of word counts) by fixed-sequence testing, from loose
-to tight: a cutoff holds if the exact (Clopper-Pearson) upper bound on the share of good
-documents that it rejects is at most ``alpha`` / rules, at confidence 1 - ``delta`` /
-(rules x strata); the first failure ends the sequence, so the cutoffs of a sequence need no
-further correction, and Bonferroni covers rules and strata. With probability 1 - delta all
-strata together then lose at most ``alpha`` of their good documents. A stratum with too few
-labels proves nothing, and its rules stay off.
+Each rule rejects a document whose statistic exceeds a cutoff. Labelled documents are split by
+a hash of the id. On a fifth of them every rule gets, per stratum (a band of word counts), the
+cutoff that tells bad from good best; the grid levels down to there make up a path of ever
+stricter rule sets, one rule a step. The others test the path by fixed-sequence testing: a step
+holds if the exact (Clopper-Pearson) upper bound on the share of good documents that the whole
+rule set rejects is at most ``alpha``, at confidence 1 - ``delta`` / strata; the first failure
+ends the path. Steps of a fixed sequence need no further correction, Bonferroni covers the
+strata: with probability 1 - delta no stratum's rules reject more than ``alpha`` of its good
+documents. A stratum with fewer than about 80 good test documents proves nothing; its rules
+stay off.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, id_remainder
 from .docstats import document_counts
 
 #: rule -> statistic, each over counts of the document
@@ -36,20 +38,38 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
 
-def binomial_upper(r: int, n: int, delta: float) -> float:
-    """The largest p under which at most ``r`` of ``n`` still has probability ``delta``."""
-    if r >= n:
+def binomial_at_most(r: int, n: int, p: float) -> float:
+    """The probability of at most ``r`` of ``n`` at share ``p``: an incomplete beta function by
+    its continued fraction, in about sqrt(n) steps."""
+    if r >= n or p <= 0:
         return 1.0
+    if p >= 1 or r < 0:
+        return 0.0
+    a, b, x = float(n - r), float(r + 1), 1 - p
+    if swap := x > (a + 1) / (a + b + 2):
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny, c = 1e-300, 1.0
+    d = 1 / ((1 - (a + b) * x / (a + 1)) or tiny)
+    h = d
+    for m in range(1, 10_000_000):
+        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / ((1 + term * d) or tiny)
+            c = (1 + term / c) or tiny
+            h *= c * d
+        if abs(c * d - 1) < 1e-13:
+            break
+    return 1 - front * h if swap else front * h
 
-    def below(p: float) -> float:
-        logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p) for k in range(r + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
 
-    lo, hi = 1e-12, 1 - 1e-12
+def binomial_upper(r: int, n: int, delta: float) -> float:
+    """The largest share under which at most ``r`` of ``n`` still has probability ``delta``."""
+    if r >= n:
+        return 1.0
+    lo, hi = 0.0, 1.0
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below(mid) > delta else (lo, mid)
+        lo, hi = (mid, hi) if binomial_at_most(r, n, mid) > delta else (lo, mid)
     return hi
 
 
@@ -65,26 +85,54 @@ def _value(rule: str):
     return F.col(over) / F.greatest(F.col(under), F.lit(1))
 
 
+def _path(levels: dict[str, int]) -> list[tuple[str, int]]:
+    """Steps (rule, grid level): level by level, each rule down to its own last one."""
+    return [(r, i) for i in range(len(GRID)) for r in RULES if i < levels[r]]
+
+
+def _first_step(paths: dict[int, list[tuple[str, int]]]):
+    """The first step of the stratum's path at which the document is rejected, or the path's
+    length. A value over one level is over all later, stricter ones."""
+    out = F.lit(None).cast("int")
+    for s, path in paths.items():
+        at = {step: n for n, step in enumerate(path)}
+        steps = [F.element_at(F.array(*[F.lit(at.get((r, i), len(path))) for i in range(len(GRID) + 1)]), sum((F.when(_value(r) <= c, 1).otherwise(0) for c in GRID), F.lit(1))) for r in RULES]
+        out = F.when(_stratum() == s, F.least(*steps)).otherwise(out)
+    return out
+
+
 def choose_cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[int, dict[str, float]]:
-    """Cutoffs by stratum and rule, from ``labels`` (``doc_id, quality``): one aggregate of
-    fixed width over all labelled good documents."""
-    good = counts.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    """Cutoffs by stratum and rule, from ``labels`` (``doc_id, quality``): two aggregates of
+    fixed width over all labelled documents. A document labelled good and bad counts as good
+    where good ones are guarded; labels other than 0 and 1 are left out."""
+    own = counts.join(labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id")
+    tests = id_remainder(5) != 0
     sums = [F.count_if(_value(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)]
-    seen = {row["s"]: row for row in good.groupBy(_stratum().alias("s")).agg(F.count("*").alias("n"), *sums).collect()}
-    out: dict[int, dict[str, float]] = {}
-    for s, row in seen.items():
-        out[s] = {}
+    seen = {(row["s"], row["quality"]): row for row in own.where(~tests).groupBy(_stratum().alias("s"), "quality").agg(F.count("*").alias("n"), *sums).collect()}
+    paths = {}
+    for s in range(len(BANDS) + 1):
+        levels = {}
         for r in RULES:
-            for i, c in enumerate(GRID):
-                if binomial_upper(row[f"{r}_{i}"], row["n"], delta / len(RULES) / (len(BANDS) + 1)) > alpha / len(RULES):
-                    break
-                out[s][r] = c
+            share = lambda q, i, s=s, r=r: seen[s, q][f"{r}_{i}"] / seen[s, q]["n"] if (s, q) in seen else 0.0
+            worth = [share(0, i) - 20 * share(1, i) for i in range(len(GRID))]
+            levels[r] = worth.index(max(worth)) + 1 if max(worth) > 0 else 0
+        paths[s] = _path(levels)
+    good = own.where(tests & (F.col("quality") == 1)).groupBy(_stratum().alias("s"), _first_step(paths).alias("step")).agg(F.count("*").alias("n")).collect()
+    out: dict[int, dict[str, float]] = {}
+    for s, path in paths.items():
+        mine = {row["step"]: row["n"] for row in good if row["s"] == s}
+        n, rejected, out[s] = sum(mine.values()), 0, {}
+        for step, (r, i) in enumerate(path):
+            rejected += mine.get(step, 0)
+            if binomial_at_most(rejected, n, alpha) > delta / (len(BANDS) + 1):
+                break
+            out[s][r] = GRID[i]
     return out
 
 
 def apply_rules(counts: DataFrame, cutoffs: dict[int, dict[str, float]]) -> DataFrame:
-    """Adds ``base_failed``, ``failed_rules`` and ``kept``. A document without words fails the
-    base; statistics over nothing count as 0."""
+    """Adds ``base_failed``, ``failed_rules`` (names, in the order of RULES) and ``kept``. A
+    document without words fails the base; statistics over nothing count as 0."""
     failed = [F.when((_stratum() == s) & (_value(r) > c), F.lit(r)) for s, own in sorted(cutoffs.items()) for r, c in own.items()]
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rules = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
@@ -92,7 +140,9 @@ def apply_rules(counts: DataFrame, cutoffs: dict[int, dict[str, float]]) -> Data
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """Every row of ``docs`` (``doc_id, text``) with its counts and verdict; null texts count
-    as empty, repeated rows come back as often, other columns are ignored."""
+    """Every row of ``docs`` (``doc_id, text``) with its counts and verdict. Null texts count as
+    empty, repeated rows come back as often, rows with a null id are judged like others, other
+    columns are ignored; an empty table gives an empty result, and without labels only the base
+    rejects."""
     counts = cut(document_counts(docs))
     return apply_rules(counts, choose_cutoffs(counts, labels, alpha, delta))
