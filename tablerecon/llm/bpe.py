@@ -5,13 +5,19 @@ the one space before it, or white space) and write each block of documents as a
 its distinct units and the positions of its texts in it. The units of all blocks meet in hash
 buckets, where each distinct one is encoded once, and decoded through the table of ids and
 pieces. Ids return to the blocks, and each text is put together by position.
+
+A block has about as many distinct units at any size of the corpus, and there are at most
+MOST_BUCKETS buckets, so a row always holds many units. A bucket is read as a stream; of units
+seen in it, the recent ones are kept (``Recent``), the others are encoded again when they return.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces_for
-from .packing import byte_letters, split_ids, tokenizer, whole_ids
+from .packing import Recent, byte_letters, split_ids, tokenizer, whole_ids
+from .textbytes import plain
 
 SPECIAL = "<|endoftext|>"
 ODD = re.compile(r"[^\t-\r -~¡-ʯ‐-‧‰-⁞€]|[²³¹¼-¾]")
@@ -28,11 +35,12 @@ UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: how the tokenizer splits units, for characters that are not ODD
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 BLOCK_UNITS = 5_000_000
+MOST_BUCKETS = 2048
 _pieces: dict[str, list[bytes]] = {}
 
 
-def units(text: str, path: str) -> list[str]:
-    """The text's units in order; they join to the text."""
+def units(text: str, path: str, easy: bool = False) -> list[str]:
+    """The text's units in order; they join to the text. ``easy`` texts hold no ODD character."""
     if SPECIAL in text:
         parts = text.split(SPECIAL)
         out = units(parts[0], path)
@@ -40,7 +48,7 @@ def units(text: str, path: str) -> list[str]:
             out.append(SPECIAL)
             out += units(p, path)
         return out
-    if ODD.search(text):
+    if not easy and ODD.search(text):
         return [text[a:b] for _, (a, b) in tokenizer(path).pre_tokenizer.pre_tokenize_str(text)]
     return UNIT.findall(text)
 
@@ -57,31 +65,26 @@ def byte_pieces(path: str) -> list[bytes]:
     return _pieces[path]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, list[str], list[tuple[int, np.ndarray]]]]:
-    """Blocks of documents: id, distinct units, and per document its positions in them. The
-    id is a digest of the whole block, so that both passes over a table name it alike."""
-    seen: dict[str, int] = {}
-    docs: list[tuple[int, np.ndarray]] = []
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, take: Callable[[list[str]], object]) -> Iterator[tuple[int, list[tuple[int, object]]]]:
+    """Blocks of documents: an id, and per document what ``take`` makes of its units. The id is
+    a digest of the whole block, so that both passes over a table name it alike. ``take`` is
+    called for all documents of a block before it is given out."""
+    docs: list[tuple[int, object]] = []
     held = 0
     digest = hashlib.blake2b(digest_size=8)
-
-    def close() -> tuple[int, list[str], list[tuple[int, np.ndarray]]]:
-        return int.from_bytes(digest.digest(), "little", signed=True), list(seen), docs
-
     for b in batches:
         for lo in range(0, len(b), 256):
             part = b.slice(lo, 256)
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                own = units(text or "", path)
-                at = np.fromiter((seen.setdefault(u, len(seen)) for u in own), np.uint32, len(own))
+            for doc, text, easy in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), plain(part.column("text")).tolist(), strict=True):
+                own = units(text or "", path, easy)
                 digest.update(repr(doc).encode() + b"\0" + (text or "").encode() + b"\0")
-                docs.append((doc, at))
+                docs.append((doc, take(own)))
                 held += len(own)
                 if held >= BLOCK_UNITS or len(docs) >= 100_000:
-                    yield close()
-                    seen, docs, held, digest = {}, [], 0, hashlib.blake2b(digest_size=8)
+                    yield int.from_bytes(digest.digest(), "little", signed=True), docs
+                    docs, held, digest = [], 0, hashlib.blake2b(digest_size=8)
     if docs:
-        yield close()
+        yield int.from_bytes(digest.digest(), "little", signed=True), docs
 
 
 def _packed(words: list[str]) -> bytes:
@@ -115,7 +118,10 @@ def _dictionaries(docs: DataFrame, path: str, n_buckets: int) -> DataFrame:
         import xxhash
 
         pack = zstandard.ZstdCompressor(level=3)
-        for block, words, _ in _blocks(batches, path):
+        seen: dict[str, None] = {}
+        for block, _ in _blocks(batches, path, lambda own: seen.update(dict.fromkeys(own))):
+            words = list(seen)
+            seen.clear()
             deal = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint32, len(words)) % n_buckets
             order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
             order = order[np.argsort(deal[order], kind="stable")]
@@ -134,7 +140,14 @@ def _positions(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for block, _, own in _blocks(batches, path):
+        seen: dict[str, int] = defaultdict(count().__next__)
+
+        def positions(own: list[str]) -> np.ndarray:
+            return np.fromiter(map(seen.__getitem__, own), np.uint32, len(own))
+
+        for block, own in _blocks(batches, path, positions):
+            seen.clear()
+            seen.default_factory = count().__next__
             runs = [own[i : i + 512] for i in range(0, len(own), 512)]
             flat = [np.concatenate([a for _, a in r]) for r in runs]
             yield pa.record_batch(
@@ -145,23 +158,38 @@ def _positions(docs: DataFrame, path: str) -> DataFrame:
     return docs.mapInArrow(run, "block long, docs array<long>, counts array<int>, at binary")
 
 
+def unit_ids(path: str) -> Recent:
+    """The ids of units, by the unit."""
+    parts = Recent(lambda part: split_ids(part, path), 100_000)
+
+    def unit(u: str) -> bytes:
+        if u == SPECIAL or ODD.search(u):
+            return whole_ids(u, path)
+        space, word = (" ", u[1:]) if u[0] == " " else ("", u)
+        if word.isalpha():
+            return parts[u]
+        if word[:-1].isalpha() and not word[-1].isalnum() and not word[-1].isspace():
+            return parts[space + word[:-1]] + parts[word[-1]]
+        return b"".join([parts[p] for p in SPLIT.findall(u)])
+
+    return Recent(unit)
+
+
 def _encoded_units(dictionaries: DataFrame, path: str) -> DataFrame:
     """``block, at, counts, ids``: the ids of the block's units in this bucket, packed."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        known: dict[str, bytes] = {}
-        counts, codes = [], []
-        for blob in t["units"].to_pylist():
-            own = []
-            for w in _unpacked(blob):
-                code = known.get(w)
-                if code is None:
-                    code = known[w] = whole_ids(w, path) if w == SPECIAL or ODD.search(w) else b"".join([split_ids(p, path) for p in SPLIT.findall(w)])
-                own.append(code)
-            counts.append(pack.compress(_planes(np.fromiter(map(len, own), np.uint32, len(own)) // 4)))
-            codes.append(pack.compress(_planes(np.frombuffer(b"".join(own), "<u4"))))
-        return pa.table([t["block"], t["at"], pa.array(counts, pa.binary()), pa.array(codes, pa.binary())], names=["block", "at", "counts", "ids"])
+        known = unit_ids(path).__getitem__
+        for b in batches:
+            for lo in range(0, len(b), 64):
+                part = b.slice(lo, 64)
+                counts, codes = [], []
+                for blob in part.column("units").to_pylist():
+                    own = list(map(known, _unpacked(blob)))
+                    counts.append(pack.compress(_planes(np.fromiter(map(len, own), np.uint32, len(own)) // 4)))
+                    codes.append(pack.compress(_planes(np.frombuffer(b"".join(own), "<u4"))))
+                yield pa.record_batch([part.column("block"), part.column("at"), pa.array(counts, pa.binary()), pa.array(codes, pa.binary())], ["block", "at", "counts", "ids"])
 
     return dictionaries.groupBy("bucket").applyInArrow(run, "block long, at binary, counts binary, ids binary")
 
@@ -177,7 +205,7 @@ def encode_and_decode(docs: DataFrame, path: str, bucket_bytes: int = 8 << 20) -
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    words = _encoded_units(_dictionaries(docs, path, pieces_for(total * 0.15, bucket_bytes)), path)
+    words = _encoded_units(_dictionaries(docs, path, min(MOST_BUCKETS, pieces_for(total * 0.15, bucket_bytes))), path)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor()
@@ -203,8 +231,8 @@ def encode_and_decode(docs: DataFrame, path: str, bucket_bytes: int = 8 << 20) -
             for doc, n in zip(own, counts, strict=True):
                 text = flat[lo : lo + n]
                 lo += n
-                code = b"".join([ids[j] for j in text])
-                back = b"".join([decoded[j] for j in text]).decode("utf-8", "replace")
+                code = b"".join(map(ids.__getitem__, text))
+                back = b"".join(map(decoded.__getitem__, text)).decode("utf-8", "replace")
                 for col, x in zip(out, (doc, len(code) // 4, hashlib.sha256(code).hexdigest(), hashlib.sha256(back.encode()).hexdigest()), strict=True):
                     col.append(x)
         return pa.table([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -64,7 +64,9 @@ _LETTER = byte_letters()
 def split_ids(part: str, path: str) -> bytes:
     """Ids of one part that the tokenizer's own splitting leaves whole, as little-endian
     32-bit integers."""
-    if not part.isascii() or " " in part or part.isspace():
+    if part[0] == " " and part[1:].isalpha() and part.isascii():
+        part = _LETTER[32] + part[1:]
+    elif not part.isascii() or " " in part or part.isspace():
         part = "".join([_LETTER[b] for b in part.encode()])
     return array("I", [t.id for t in tokenizer(path).model.tokenize(part)]).tobytes()
 
