@@ -8,6 +8,7 @@ per kind, calibrated for precision on held-out examples, selects what is redacte
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -16,11 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: fixed patterns of the base kinds; look-behind and possessive forms only spare retries that
-#: cannot match, \G lets a match start where the last one ended
+#: cannot match, \G lets a match start where the last one ended. A run of digits that is no
+#: card is not taken: a run of fewer than 16 holds none, and starts no longer one
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: what a text must hold for the kind's pattern to match at all
@@ -39,21 +41,63 @@ FEATURES = ["length", "digits", "capitals", "cue", "closed", "varied", "quoted",
 PRECISION = 0.995
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """Start, end and string of the leftmost non-overlapping matches, in code points. ``text``
-    must not hold the two marks."""
+#: array items that one inner loop of ``fold`` takes
+FOLD = 128
+_SPAN = "array<struct<start:int,end:int,s:string,before:string,after:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold(items: Column, zero: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """Goes through ``items`` with a state and joins the arrays (of type ``kind``) that ``emit``
+    makes of the state before an item and the item. Arrays grow within runs of FOLD items and
+    the runs are joined once, so the time is nearly linear in the items."""
+    none, none_of = F.array().cast(kind), F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], emit(acc["state"], x)).alias("out"))
+
+    def run(own: Column) -> Callable[[Column, Column], Column]:
+        def some(acc: Column, i: Column) -> Column:
+            inner = F.aggregate(F.slice(own, i * FOLD + 1, FOLD), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+            return let(inner, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+        return some
+
+    zeros = F.struct(zero.alias("state"), none_of.alias("out"))
+    last = lambda own: F.floor((F.greatest(F.size(own), F.lit(1)) - 1) / FOLD).cast("int")
+    return let(items, lambda own: F.flatten(F.aggregate(F.sequence(F.lit(0), last(own)), zeros, run(own))["out"]))
+
+
+def _tail(x: Column) -> Column:
+    return F.substring(x, F.lit(-24), F.lit(24))
+
+
+def _spans(text: Column, pattern: str, context: bool = False) -> Column:
+    """Start, end and string of the leftmost non-overlapping matches, in code points; with
+    ``context`` also the 24 characters before and the one after (matches that meet have none
+    between). ``text`` must not hold the two marks."""
     parts = F.split(F.regexp_replace(text, F.lit(pattern), F.lit("\x01$0\x02")), "[\x01\x02]", -1)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x)).alias("at"),
-        (~acc["odd"]).alias("odd"),
-        F.when(acc["odd"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("s"))))).otherwise(acc["out"]).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out"))
-    return F.aggregate(parts, zero, step)["out"]
+    nothing = F.lit("")
+
+    def step(st: Column, x: Column) -> Column:
+        tail = _tail(F.concat(st["tail"], x)) if context else nothing
+        return F.struct((st["at"] + F.length(x)).alias("at"), (~st["odd"]).alias("odd"), F.when(st["odd"], x).alias("s"), (F.when(st["odd"], st["tail"]).otherwise("") if context else nothing).alias("before"), tail.alias("tail"))
+
+    def emit(st: Column, x: Column) -> Column:
+        after = F.substring(x, 1, 1) if context else nothing
+        span = F.struct((st["at"] - F.length(st["s"])).alias("start"), st["at"].alias("end"), st["s"].alias("s"), st["before"].alias("before"), after.alias("after"))
+        return F.when(st["s"].isNotNull(), F.array(span)).otherwise(F.array().cast(_SPAN))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.lit(None).cast("string").alias("s"), nothing.alias("before"), nothing.alias("tail"))
+    return fold(parts, zero, step, emit, _SPAN)
 
 
 def _when(test: Column, spans: Column) -> Column:
-    return F.when(test, spans).otherwise(F.array().cast("array<struct<start:int,end:int,s:string>>"))
+    return F.when(test, spans).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(s: Column) -> Column:
@@ -88,8 +132,8 @@ def _candidates(text: Column, kind: str) -> Column:
     def featured(x: Column) -> Column:
         s = x["s"]
         n = F.length(s)
-        before = F.lower(F.substring(text, F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24))))
-        around = F.concat(F.substring(text, x["start"], F.lit(1)), F.lit("|"), F.substring(text, x["end"] + 1, F.lit(1)))
+        before = F.lower(x["before"])
+        around = F.concat(F.substring(x["before"], -1, 1), F.lit("|"), x["after"])
         share = lambda p: (n - F.length(F.regexp_replace(s, p, ""))) / n
         valid = {
             "ssn": ~s.rlike("^(000|666|9[0-9]{2})|-00-|-0000$"),
@@ -105,7 +149,7 @@ def _candidates(text: Column, kind: str) -> Column:
         )
 
     needs = {"hidden_email": text.rlike(r"[(\[{]at[)\]}]"), "secret": F.length(text) >= 20}.get(kind, text.rlike("[0-9]{2}"))
-    return F.transform(_when(needs, _spans(text, EXTRA[kind])), featured)
+    return F.transform(_when(needs, _spans(text, EXTRA[kind], context=True)), featured)
 
 
 @dataclass
@@ -217,11 +261,45 @@ def _base_spans(kind: str, spans: Column) -> Column:
 def _scored_spans(i: int, kind: str, candidates: Column, model: Trees) -> Column:
     def scored(x: Column) -> Column:
         score = model.column({f: x[f] for f in FEATURES} | {"kind": F.lit(float(i))}) - model.cutoffs[kind]
-        return F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+        return F.struct(x["start"].alias("start"), score.alias("score"), F.lit(-i).alias("order"), F.lit(kind).alias("kind"), x["end"].alias("end"))
 
     return F.filter(F.transform(candidates, scored), lambda x: x["score"] >= 0)
 
 
+_SCORED = "struct<start:int,score:double,order:int,kind:string,end:int>"
+
+
+def _by_start(x: Column) -> Column:
+    return F.struct(x["start"].alias("start"), x["score"].alias("score"), x["order"].alias("order"), x["kind"].alias("kind"), x["end"].alias("end"))
+
+
+def _uncovered(base: Column, scored: Column) -> Column:
+    """The scored spans, by start, that no base span covers."""
+    first = lambda x: F.struct(x["start"].alias("start"), F.lit(float("inf")).alias("score"), F.lit(0).alias("order"), F.lit("").alias("kind"), x["end"].alias("end"))
+    mark = lambda x, own: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x.alias("x"))
+    all_ = F.array_sort(F.concat(F.transform(base, lambda x: mark(first(x), 0)), F.transform(scored, lambda x: mark(_by_start(x), 1))))
+    step = lambda st, y: F.when(y["own"] == 0, F.greatest(st, y["x"]["end"])).otherwise(st)
+    emit = lambda st, y: F.when((y["own"] == 1) & (y["x"]["end"] > st), F.array(y["x"])).otherwise(F.array().cast(f"array<{_SCORED}>"))
+    return fold(all_, F.lit(0), step, emit, f"array<{_SCORED}>")
+
+
+def _chains(scored: Column) -> Column:
+    """The spans, sorted by start, in runs that overlap."""
+    none = F.array().cast(f"array<{_SCORED}>")
+    end = F.struct(F.lit(2147483647).alias("start"), F.lit(0.0).alias("score"), F.lit(0).alias("order"), F.lit("").alias("kind"), F.lit(2147483647).alias("end"))
+    step = lambda st, x: F.struct(F.greatest(st["end"], x["end"]).alias("end"), F.when(x["start"] < st["end"], F.concat(st["own"], F.array(x))).otherwise(F.array(x)).alias("own"))
+    emit = lambda st, x: F.when((x["start"] >= st["end"]) & (F.size(st["own"]) > 0), F.array(st["own"])).otherwise(F.array().cast(f"array<array<{_SCORED}>>"))
+    return fold(F.concat(scored, F.array(end)), F.struct(F.lit(0).alias("end"), none.alias("own")), step, emit, f"array<array<{_SCORED}>>")
+
+
+def _greedy(chain: Column) -> Column:
+    """Of one chain the best spans that do not meet."""
+    ranked = F.transform(F.array_sort(F.transform(chain, lambda x: F.struct((-x["score"]).alias("a"), (-x["order"]).alias("b"), x["start"].alias("c"), x.alias("x")))), lambda y: y["x"])
+    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    step = lambda acc, x: F.when(F.exists(acc, lambda y: meets(x, y)), acc).otherwise(F.concat(acc, F.array(x)))
+    return F.when(F.size(chain) > 1, F.aggregate(ranked, F.array().cast(f"array<{_SCORED}>"), step)).otherwise(chain)
+
+
 def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
@@ -230,9 +308,13 @@ def find(docs: DataFrame, model: Trees | None = None, keep: list[str] | None = N
     """Every row of ``docs`` (``doc_id, text``) with ``base`` and ``added``: arrays of
     ``kind, start, end`` in code points, ends exclusive, ordered by kind as listed and start.
 
-    Null text counts as empty. Added spans never overlap base spans, and of overlapping added
-    ones the best score stays (ties: the earlier kind and start). ``keep`` names columns to
-    carry along; others, of whatever name, are ignored. Repeated rows come back as often.
+    Null text counts as empty. Added spans are none that a base span covers; they are taken
+    best score first (ties: the earlier kind, then start), each that meets none taken before.
+    ``keep`` names columns to carry along; others, of whatever name, are ignored. Repeated rows
+    come back as often, rows with a null id too; an empty table gives an empty result.
+
+    Time is nearly linear in a text's length and candidates; only a chain of candidates of
+    which each overlaps the next costs the square of its length.
     """
     model = model or train(docs.sparkSession)
     text = F.col("__text")
@@ -248,26 +330,52 @@ def find(docs: DataFrame, model: Trees | None = None, keep: list[str] | None = N
         if model.cutoffs.get(kind, float("inf")) == float("inf"):
             continue
         scored.append(_scored_spans(i, kind, _candidates(text, kind), model))
-    rows = rows.withColumn("__scored", F.concat(*scored) if scored else F.array().cast("array<struct<score:double,order:int,kind:string,start:int,end:int>>"))
-    meets = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    free = F.filter("__scored", lambda x: ~F.exists("base", lambda y: meets(x, y)))
-    rows = rows.withColumn("__scored", F.when(F.size("__scored") > 0, free).otherwise(F.col("__scored")))
-    rank = lambda x: F.struct(x["score"], x["order"], -x["start"])
-    best = F.filter("__scored", lambda x: ~F.exists("__scored", lambda y: meets(x, y) & (rank(y) > rank(x))))
-    added = F.transform(F.when(F.size("__scored") > 1, best).otherwise(F.col("__scored")), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    rows = rows.withColumn("__scored", F.concat(*scored) if scored else F.array().cast(f"array<{_SCORED}>"))
+    rows = rows.withColumn("__scored", F.when(F.size("__scored") > 0, _uncovered(F.col("base"), F.col("__scored"))).otherwise(F.col("__scored")))
+    best = F.when(F.size("__scored") > 1, F.flatten(F.transform(_chains(F.col("__scored")), _greedy))).otherwise(F.col("__scored"))
+    order = lambda x: F.struct((-x["order"]).alias("nth"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+    added = F.transform(F.array_sort(F.transform(best, order)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return rows.withColumn("added", added).drop("__text", "__scored")
 
 
+#: characters of a text that ``redact`` cuts out at once
+CHUNK = 2048
+
+
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the
-    one that starts first (ties: that ends last) is replaced whole, the rest of others too."""
-    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
-    step = lambda acc, x: F.struct(
-        F.greatest(acc["at"], -x["back"]).alias("at"),
-        F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))))).otherwise(acc["out"]).alias("out"),
-    )
-    done = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    """The text with every span replaced by its kind in brackets; of overlapping spans the one
+    that starts first (ties: that ends last) gives the kind, and what others cover beyond it
+    goes too. Null stays null.
+
+    Works chunk by chunk, for a place in a long text is found only by counting from its start.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("back"), x["kind"].alias("kind"))))
+    hole = "array<struct<start:int,end:int,kind:string>>"
+    step = lambda at, x: F.greatest(at, -x["back"])
+    # what each span adds to what those before it cover; a kind only if it is apart from them
+    emit = lambda at, x: F.when(-x["back"] > at, F.array(F.struct(F.greatest(at, x["start"]).alias("start"), (-x["back"]).alias("end"), F.when(x["start"] >= at, x["kind"]).alias("kind")))).otherwise(F.array().cast(hole))
+    holes = fold(ordered, F.lit(0), step, emit, hole)
+
+    def chunk(all_: Column) -> Callable[[Column], Column]:
+        def done(i: Column) -> Column:
+            lo = i * CHUNK
+            own = F.filter(all_, lambda h: (h["end"] > lo) & (h["start"] < lo + CHUNK))
+            piece = F.substring(text, lo + 1, F.lit(CHUNK))
+
+            def cut_out(of: Column) -> Column:
+                add = lambda acc, h: F.struct(
+                    (h["end"] - lo).alias("at"),
+                    F.concat(acc["out"], F.array(F.substring(of, acc["at"] + 1, F.greatest(h["start"] - lo - acc["at"], F.lit(0))), F.when((h["start"] >= lo) & h["kind"].isNotNull(), F.concat(F.lit("["), F.upper(h["kind"]), F.lit("]"))).otherwise(""))).alias("out"),
+                )
+                end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(of, acc["at"] + 1, F.lit(CHUNK)))
+                return let(F.aggregate(own, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), add), end)
+
+            return F.when(F.size(own) > 0, let(piece, cut_out)).otherwise(piece)
+
+        return done
+
+    last = F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / CHUNK).cast("int")
+    return F.when(F.size(spans) > 0, let(holes, lambda all_: F.array_join(F.transform(F.sequence(F.lit(0), last), chunk(all_)), ""))).otherwise(text)
 
 
 def digests(found: DataFrame) -> DataFrame:
