@@ -1,9 +1,9 @@
 """Licence scan by canonical digests.
 
-A text's canonical form has lower-case ASCII, no copyright notices, one spelling of words that
-licences spell in several ways, and single spaces for punctuation and white space. Digests of
-whole texts, and of every line taken as a whole text, are looked up among those of known
-licences and notices.
+A text's canonical form is lower-cased, without copyright notices, with one spelling of words
+that licences spell in several ways and single spaces for punctuation and white space. Digests
+of whole texts, and of every line taken as a whole text, are hash-joined with the table of
+those of known licences and notices.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: fixed steps; the scan has NOTICES for the first (what a text must hold, pattern, replacement), in this order, after lower-casing;
 #: the syntax is common to Java, RE2 and Python
 LINES = [
@@ -63,6 +65,37 @@ KNOWN: list[tuple[str, str]] = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"), ("ISC", "SPDX-License-Identifier: ISC"),
 ]
 
+#: fixed values: canonical digests of the usual licence texts as published, of each whole and,
+#: where it has the line, up to and without "END OF TERMS AND CONDITIONS"
+WHOLE: dict[str, str] = {
+    "ed3253f0360f22768d8684cecad1f3dbfd8928ab945f33f6b057a8f7f66e0106": "Apache-2.0",
+    "6af045568954dc6ece74e7a460e6117f11328ff5a0c9eb97985b8a8f1926aca3": "Apache-2.0",
+    "5bce3b79777fa38de46d8be7cdc11b60b104f9321d240323b530276127e4c148": "Apache-2.0",
+    "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702": "Artistic-1.0-Perl",
+    "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651": "BSD-3-Clause-UC",
+    "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f": "CC0-1.0",
+    "9240cf82b62ed5dc1ac43771b46a561d66fd096e5bcfafbfa7e70fbad929f15a": "GFDL-1.2",
+    "89f4908df09c43d2fe7346b85c360c28ab9ee447f06a3f3a16726577ee3fc283": "GFDL-1.3",
+    "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224": "GPL-1.0",
+    "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc": "GPL-1.0",
+    "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70": "GPL-1.0",
+    "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821": "GPL-2.0",
+    "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34": "GPL-2.0",
+    "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808": "GPL-2.0",
+    "c0660aac1855cc4cb6715605c820103ebb45be7647de80f593dbf197bf460e67": "GPL-3.0",
+    "a08fe89f9ebaf0a05bb462e69fe69dc0afcf86f3c3b1b3d1b385a6bd20f458c2": "GPL-3.0",
+    "6f34e32d2551535a4abb11e6751dcbfe60cfbdef734b36d369c6dacd5830bd4d": "GPL-3.0",
+    "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908": "LGPL-2.0",
+    "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260": "LGPL-2.0",
+    "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2": "LGPL-2.0",
+    "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891": "LGPL-2.1",
+    "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4": "LGPL-2.1",
+    "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df": "LGPL-2.1",
+    "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be": "LGPL-3.0",
+    "5673fa20f8f092f6750b922c0d57461dfaf076e14f3f138751a6059226bb14f6": "MPL-1.1",
+    "b9ace9910174ea7b059d4c725e05488e0370e00d742c82ca4a28212bec31bd83": "MPL-2.0",
+}
+
 
 def canonical_text(text: str) -> str:
     """The canonical form of one string, for the table of known licences."""
@@ -95,34 +128,34 @@ def canonical(text):
     return F.trim(text)
 
 
-def known_digests(known: list[tuple[str, str]] = KNOWN) -> dict[str, str]:
-    """Digest -> licence id."""
-    return {hashlib.sha256(canonical_text(t).encode()).hexdigest(): i for i, t in known}
+def known_digests(known: list[tuple[str, str]] = KNOWN, whole: dict[str, str] = WHOLE) -> dict[str, str]:
+    """Digest -> licence id: of the texts ``known`` and the digests ``whole``."""
+    return {**whole, **{hashlib.sha256(canonical_text(t).encode()).hexdigest(): i for i, t in known}}
 
 
-def scan(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] = KNOWN, whole: dict[str, str] = WHOLE) -> DataFrame:
     """``doc_id, digest, license_id, line_licenses, n_license_lines`` of every row.
 
     ``license_id`` is the licence that the whole text is, or null; ``line_licenses`` the
-    sorted ids of its lines that are a known notice, joined by commas (empty if none). Null
-    text counts as empty and has no licence. The table of known digests is as long as
-    ``known`` and therefore broadcast. Repeated rows come back as often; other columns are
-    ignored.
+    sorted ids of its lines that are a known text or notice, joined by commas (empty if none).
+    Null text counts as empty and has no licence. The table of known digests is as long as
+    ``known`` and ``whole`` and therefore broadcast. Repeated rows and rows with a null id come
+    back as they are; other columns are ignored; an empty table gives an empty result.
+
+    Texts are read once: what is stored and joined are digests.
     """
-    table = known_digests(known)
-    found = F.broadcast(spark.createDataFrame(sorted(table.items()), "digest string, license_id string"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.split("text", "\n", -1)
-    if all(re.search(ANCHOR, canonical_text(t)) for _, t in known):
-        lines = F.when(F.lower("text").rlike(ANCHOR), F.filter(lines, lambda x: F.lower(x).rlike(ANCHOR))).otherwise(F.array().cast("array<string>"))
-    lines = F.filter(F.transform(lines, lambda x: F.sha2(canonical(x), 256)), lambda x: x.isin(sorted(table)))
-    ids = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
-    out = own.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), lines.alias("lines"))
-    return out.join(found, "digest", "left").select(
-        "doc_id", "digest", "license_id",
-        F.array_join(F.array_sort(F.array_distinct(F.transform("lines", lambda x: F.element_at(ids, x)))), ",").alias("line_licenses"),
-        F.size("lines").cast("long").alias("n_license_lines"),
-    )
+    table = spark.createDataFrame(sorted(known_digests(known, whole).items()), "digest string, license_id string")
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n", -1)
+    if all(re.search(ANCHOR, canonical_text(t)) for _, t in known):  # the texts of ``whole`` hold it
+        lines = F.when(F.lower(text).rlike(ANCHOR), F.filter(lines, lambda x: F.lower(x).rlike(ANCHOR))).otherwise(F.array().cast("array<string>"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(canonical(text), 256).alias("digest"), F.transform(lines, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
+    own = cut(own.withColumn("_row", F.monotonically_increasing_id()))
+    found = own.select("_row", F.explode("lines").alias("digest")).join(F.broadcast(table), "digest")
+    lines = found.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"), F.count("*").alias("n_license_lines"))
+    return own.join(lines, "_row", "left").join(F.broadcast(table), "digest", "left").select(
+        "doc_id", "digest", "license_id", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"), F.coalesce("n_license_lines", F.lit(0)).cast("long").alias("n_license_lines")
+    )
 
 
 def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
