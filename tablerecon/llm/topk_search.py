@@ -1,16 +1,27 @@
 """Exact top-k by inner product with dual trees.
 
-Data vectors are dealt into blocks, each indexed by a cover tree: every node has a point, a
-radius that covers all below it, and children whose points lie at least half the node's
-radius apart. Queries are dealt into blocks with trees of their own. For two nodes the inner
-product of any query below one and any vector below the other is at most
-<q, r> + radius_q |r| + radius_r |q| + radius_q radius_r; a pair of nodes is pruned when that
-is under the worst k-th score of the query node's group. Each pair of blocks gives its best k
-a query; a window keeps the k best of all.
+Vectors are dealt to the nearest of a few pivots, and the vectors of a pivot into blocks of a
+bounded size; each block is indexed by a cover tree: every node has a point, a radius that
+covers all below it, and up to CHILDREN children around points of their own, each the farthest
+from those before, until all is within ``1 / BASE`` of the radius.
+Queries are dealt and indexed alike. For two nodes the inner product of any query below one and
+any vector below the other is at most <q, r> + radius_q |r| + radius_r |q| + radius_q radius_r;
+a pair of nodes is pruned when that is under the worst k-th score of the query node's group.
+
+1. Every query block searches one data block of its own pivot, which gives each query a k-th
+   score to beat.
+2. The roots of all other blocks are held against the worst of these; only pairs of blocks that
+   may hold something better are searched, with the k-th scores as floors.
+3. A window keeps the k best of all.
+
+Where vectors have no structure (directions spread evenly over many dimensions), no bound of
+this kind prunes, and all pairs of queries and vectors are scored, in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,43 +29,51 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-LEAF = 48
+LEAF = 64
+#: queries that descend together
+GROUP = 16
+BASE = 1.3
+#: children of a node, at most; in many dimensions no few of them cover it that well
+CHILDREN = 16
+#: vectors that stand for parts of the space, at most
+PIVOTS = 256
+#: data blocks whose roots one task compares with one query block's at once
+CHUNK = 64
 _TREE = ["ids", "vectors", "centre", "radius", "first", "last", "child", "children"]
 
 
-def cover_tree(x: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
+def cover_tree(x: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> dict[str, np.ndarray]:
     """The tree over the rows of ``x`` as flat arrays: rows in tree order and, per node, its
     point, radius, range of rows and range of children (none for a leaf)."""
     order: list[int] = []
     centre, radius, first, last, child, children = [], [], [], [], [], []
     f = x.astype(np.float64)
     norms = (f**2).sum(1)
-    queue = [(np.arange(len(x)), 0, -1)]
+
+    def distances(rows: np.ndarray, c: int) -> np.ndarray:
+        return np.sqrt(np.maximum(norms[rows] + norms[c] - 2 * (f[rows] @ f[c]), 0))
+
+    queue = [(np.arange(len(x)), 0)] if len(x) else []
     spans: list[np.ndarray] = []
     while queue:  # breadth first, so that children of a node are neighbours
         nxt = []
-        for rows, c, _ in queue:
-            d = np.sqrt(np.maximum(norms[rows] + norms[c] - 2 * (f[rows] @ f[c]), 0))
-            r = float(d.max()) if len(rows) else 0.0
+        for rows, c in queue:
+            d = distances(rows, c)
             centre.append(c)
-            radius.append(r)
+            radius.append(float(d.max()))
             spans.append(rows)
             child.append(-1)
             children.append(0)
-            if len(rows) > LEAF and r > 1e-6:
-                nxt.append((len(centre) - 1, rows, c, d, r))
-        queue = []
-        base = len(centre)
-        for node, rows, c, d, r in nxt:
-            left, at, dist = rows, c, d
-            own = []
-            while len(left):
-                near = dist <= r / 2
-                own.append((left[near], at, node))
-                left = left[~near]
-                if len(left):
-                    at = left[0]
-                    dist = np.sqrt(np.maximum(norms[left] + norms[at] - 2 * (f[left] @ f[at]), 0))
+            if len(rows) > leaf and radius[-1] > 1e-6:
+                nxt.append((len(centre) - 1, rows, c, d))
+        queue, base = [], len(centre)
+        for node, rows, c, d in nxt:
+            heads, near = [c], [d]
+            while len(heads) < CHILDREN and (far := np.minimum.reduce(near)).max() > radius[node] / BASE:
+                heads.append(int(rows[far.argmax()]))
+                near.append(distances(rows, heads[-1]))
+            of = np.argmin(near, 0)
+            own = [(rows[of == i], h) for i, h in enumerate(heads) if (of == i).any()]
             child[node], children[node] = base + len(queue), len(own)
             queue += own
     # a depth-first walk gives every node a run of rows
@@ -83,68 +102,80 @@ def cover_tree(x: np.ndarray, ids: np.ndarray) -> dict[str, np.ndarray]:
 EMPTY = np.iinfo(np.int64).min
 
 
-def dual_search(q: dict[str, np.ndarray], r: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one after another."""
+    n = last - first
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def dual_search(q: dict[str, np.ndarray], r: dict[str, np.ndarray], k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Scores and ids (queries in tree order x k, best first, ties to smaller ids) of the best
-    vectors with another id; missing places have the score EMPTY."""
-    big = EMPTY
+    vectors with another id and, per query, a score of at least ``floor``; missing places have
+    the score EMPTY. Then how many pairs were scored."""
     exact = np.abs(q["vectors"]).max(initial=0).astype(float) * np.abs(r["vectors"]).max(initial=0) * q["vectors"].shape[1] < 2**52
     qv, rv = (x["vectors"].astype(np.float64 if exact else np.int64) for x in (q, r))
-    score, found = np.full((len(qv), k), big), np.full((len(qv), k), -1)
+    score, found = np.full((len(qv), k), EMPTY), np.full((len(qv), k), -1)
+    floor = np.full(len(qv), EMPTY) if floor is None else floor
     qc, rc = q["centre"].astype(float), r["centre"].astype(float)
     qn, rn = np.linalg.norm(qc, axis=1), np.linalg.norm(rc, axis=1)
+    scored = 0
 
     def bounds(a: int, b: np.ndarray) -> np.ndarray:
         return (rc[b] @ qc[a] + q["radius"][a] * rn[b] + r["radius"][b] * (qn[a] + q["radius"][a])) * (1 + 1e-12) + 1e-3
 
     def worst(a: int) -> float:
-        return float(score[q["first"][a] : q["last"][a], -1].min())
+        own = slice(q["first"][a], q["last"][a])
+        return float(np.maximum(score[own, -1], floor[own]).min())
+
+    def below(nodes: np.ndarray) -> np.ndarray:
+        return _ranges(r["child"][nodes], r["child"][nodes] + r["children"][nodes])
 
-    def take(a: int, b: np.ndarray) -> None:
+    def take(a: int, leaves: np.ndarray) -> int:
         lo, hi = q["first"][a], q["last"][a]
-        rows = np.concatenate([np.arange(r["first"][n], r["last"][n]) for n in b])
+        rows = _ranges(r["first"][leaves], r["last"][leaves])
         s = np.rint(qv[lo:hi] @ rv[rows].T).astype(np.int64)
-        ids = np.broadcast_to(r["ids"][rows], s.shape)
-        s = np.where(ids == q["ids"][lo:hi, None], big, s)
-        s, ids = np.concatenate((score[lo:hi], s), 1), np.concatenate((found[lo:hi], ids), 1)
-        for i in range(hi - lo):
-            own = np.flatnonzero(s[i] > big)
-            if len(own) > k:
-                cut_at = np.partition(s[i][own], -k)[-k]
-                own = own[s[i][own] >= cut_at]
-            own = own[np.lexsort((ids[i][own], -s[i][own]))[:k]]
-            score[lo + i, : len(own)], found[lo + i, : len(own)] = s[i][own], ids[i][own]
+        s[(s < floor[lo:hi, None]) | (r["ids"][rows] == q["ids"][lo:hi, None])] = EMPTY
+        all_ = np.concatenate((score[lo:hi], s), 1)
+        kth = np.partition(all_, all_.shape[1] - k, axis=1)[:, -k]
+        i, j = np.nonzero((all_ >= kth[:, None]) & (all_ > EMPTY))
+        ids = np.where(j < k, found[lo + i, np.minimum(j, k - 1)], r["ids"][rows[np.maximum(j - k, 0)]])
+        got = all_[i, j]
+        order = np.lexsort((ids, -got, i))
+        i, ids, got = i[order], ids[order], got[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = nth < k
+        score[lo + i[keep], nth[keep]], found[lo + i[keep], nth[keep]] = got[keep], ids[keep]
+        return s.size
 
     stack = [(0, np.array([0]))] if len(qv) and len(rv) else []
     while stack:
         a, b = stack.pop()
-        up = bounds(a, b)
-        b, up = b[up >= worst(a)], up[up >= worst(a)]
+        b = b[bounds(a, b) >= worst(a)]
         if not len(b):
             continue
         if q["children"][a]:
-            wide = np.concatenate([np.arange(r["child"][n], r["child"][n] + r["children"][n]) if r["children"][n] else [n] for n in b]).astype(np.int64)
+            inner = r["children"][b] > 0
+            wide = np.concatenate((b[~inner], below(b[inner]))) if inner.any() else b
             stack += [(q["child"][a] + j, wide) for j in range(q["children"][a])]
             continue
-        leaves = []  # a group of queries: descend the data tree, best bounds first
+        leaves = []  # a group of queries: descend the data tree, then best bounds first
         while len(b):
             inner = r["children"][b] > 0
             leaves.append(b[~inner])
-            b = np.concatenate([np.arange(r["child"][n], r["child"][n] + r["children"][n]) for n in b[inner]]) if inner.any() else b[:0]
+            b = below(b[inner]) if inner.any() else b[:0]
             if len(b):
                 b = b[bounds(a, b) >= worst(a)]
         leaves = np.concatenate(leaves)
         up = bounds(a, leaves)
         order = np.argsort(-up, kind="stable")
         leaves, up = leaves[order], up[order]
-        at = 0
-        while at < len(leaves) and up[at] >= worst(a):
-            size, to = 0, at
-            while to < len(leaves) and size < 256 and up[to] >= worst(a):
-                size += r["last"][leaves[to]] - r["first"][leaves[to]]
-                to += 1
-            take(a, leaves[at:to])
-            at = to
-    return score, found
+        size = np.cumsum(r["last"][leaves] - r["first"][leaves])
+        at, most = 0, 4 * LEAF
+        while at < len(leaves) and up[at] >= (low := worst(a)):
+            to = max(at + 1, min(int(np.searchsorted(size, (size[at - 1] if at else 0) + most)), int(np.searchsorted(-up, -low, "right"))))
+            scored += take(a, leaves[at:to])
+            at, most = to, min(2 * most, 4096)
+    return score, found, scored
 
 
 def _packed(tree: dict[str, np.ndarray]) -> list[bytes]:
@@ -156,26 +187,49 @@ def _unpacked(row: dict, dim: int) -> dict[str, np.ndarray]:
     return out | {c: out[c].reshape(-1, dim).astype(np.int64) for c in ("vectors", "centre")}
 
 
-def _trees(rows: DataFrame, n_blocks: int, copies: int) -> DataFrame:
-    """One row a block: its tree. Of equal vectors only the ``copies`` smallest ids stay."""
+def _near_pivots(rows: DataFrame, pivots: list[list[int]]) -> DataFrame:
+    """``dim, cell, vec_id, v``: each vector with the number of its nearest pivot of its own
+    dimension (0 if there is none)."""
+    by_dim = {d: (np.array([i for i, p in enumerate(pivots) if len(p) == d]), np.array([p for p in pivots if len(p) == d], np.float64)) for d in {len(p) for p in pivots}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = np.asarray(b.column("dim"))
+            for d in np.unique(dims).tolist():
+                part = b.filter(pa.array(dims == d)) if len(np.unique(dims)) > 1 else b
+                cell = np.zeros(len(part), np.int32)
+                if d in by_dim and d:
+                    names, p = by_dim[d]
+                    x = np.asarray(part.column("v").flatten()).reshape(-1, d).astype(np.float64)
+                    cell = names[((p**2).sum(1) - 2 * (x @ p.T)).argmin(1)].astype(np.int32)
+                yield pa.record_batch([part.column("dim"), pa.array(cell), part.column("vec_id"), part.column("v")], ["dim", "cell", "vec_id", "v"])
+
+    return rows.select("dim", "vec_id", "v").mapInArrow(run, "dim int, cell int, vec_id long, v array<long>")
+
+
+def _trees(cells: DataFrame, size: int, copies: int, leaf: int = LEAF) -> DataFrame:
+    """``dim, cell, block`` and the block's tree; about ``size`` vectors of a cell make a block.
+    Of equal vectors in a block only the ``copies`` smallest ids stay."""
 
     def run(t: pa.Table) -> pa.Table:
         dim = t["dim"][0].as_py()
         ids = np.asarray(t["vec_id"])
-        x = np.asarray(t["v"].combine_chunks().flatten()).reshape(-1, dim)
+        x = np.asarray(t["v"].combine_chunks().flatten()).reshape(len(ids), dim)
         order = np.lexsort((ids, *x.T[::-1])) if dim else np.argsort(ids)
         ids, x = ids[order], x[order]
         fresh = np.concatenate(([True], (x[1:] != x[:-1]).any(1) if dim else np.zeros(len(x) - 1, bool)))
         nth = np.arange(len(x)) - np.maximum.accumulate(np.where(fresh, np.arange(len(x)), 0))
         ids, x = ids[nth < copies], x[nth < copies]
         narrow = bool(np.abs(x).max(initial=0) < 2**31 - 1)
-        tree = cover_tree(x, ids)
+        tree = cover_tree(x, ids, leaf)
         if narrow:
             tree |= {c: tree[c].astype(np.int32) for c in ("vectors", "centre")}
-        return pa.table([t["dim"][:1], t["block"][:1], pa.array([narrow]), *(pa.array([b], pa.binary()) for b in _packed(tree))], names=["dim", "block", "narrow", *_TREE])
+        return pa.table([t["dim"][:1], t["cell"][:1], t["block"][:1], pa.array([narrow]), *(pa.array([b], pa.binary()) for b in _packed(tree))], names=["dim", "cell", "block", "narrow", *_TREE])
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    return cut(dealt.groupBy("dim", "block").applyInArrow(run, "dim int, block int, narrow boolean, " + ", ".join(f"{c} binary" for c in _TREE)))
+    # a row for each dimension and pivot
+    parts = cells.groupBy("dim", "cell").agg(F.floor(F.count("*") / size + 1).alias("parts"))
+    dealt = cells.join(F.broadcast(parts), ["dim", "cell"]).withColumn("block", F.col("cell") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), "parts"))
+    return cut(dealt.select("dim", "cell", "block", "vec_id", "v").groupBy("dim", "block").applyInArrow(run, "dim int, cell int, block long, narrow boolean, " + ", ".join(f"{c} binary" for c in _TREE)))
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -187,29 +241,88 @@ def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     return rows.select("vec_id", F.size("embedding").alias("dim"), F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e).cast("long")).alias("v")).distinct()
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(len(b)):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def _first_search(queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
+    """Step 1: per query block, packed, the scores and ids found in one block of its pivot, and
+    the worst k-th score. Every pivot is a data vector, so each query block meets a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            q, r = _unpacked(row["q"], row["dim"]), _unpacked(row["r"], row["dim"])
+            score, found, _ = dual_search(q, r, k)
+            cols = [[row["dim"]], [row["qb"]], [row["db"]], [int(score[:, -1].min(initial=np.iinfo(np.int64).max))], [score.tobytes()], [found.tobytes()], [q["ids"].tobytes()]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dim", "qb", "db", "worst", "score", "found", "ids"])
+
+    first = data.groupBy("dim", "cell").agg(F.min("block").alias("block"))
+    left = queries.select("dim", "cell", F.col("block").alias("qb"), F.struct("narrow", *_TREE).alias("q"))
+    right = data.join(first, ["dim", "cell", "block"]).select("dim", "cell", F.col("block").alias("db"), F.struct("narrow", *_TREE).alias("r"))
+    return cut(left.join(right.hint("merge"), ["dim", "cell"]).mapInArrow(run, "dim int, qb long, db long, worst long, score binary, found binary, ids binary"))
+
+
+def block_pairs(queries: DataFrame, data: DataFrame, first: DataFrame) -> DataFrame:
+    """Step 2: ``dim, qb, db`` of the pairs of blocks whose roots leave something to find."""
+    root = lambda df, name: df.select("dim", F.col("block").alias(name), "narrow", F.substring("centre", 1, F.when(F.col("narrow"), F.col("dim") * 4).otherwise(F.col("dim") * 8)).alias("centre"), F.substring("radius", 1, F.lit(8)).alias("radius"))
+    n = data.count() // CHUNK + 1
+    chunk = F.pmod(F.xxhash64("db"), F.lit(n))
+    right = root(data, "db").groupBy("dim", chunk.alias("chunk")).agg(F.collect_list(F.struct("db", "narrow", "centre", "radius")).alias("roots"))  # about CHUNK of them
+    left = root(queries, "qb").join(first.select("dim", "qb", F.col("db").alias("done"), "worst"), ["dim", "qb"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+
+    def point(row: dict) -> np.ndarray:
+        return np.frombuffer(row["centre"], np.int32 if row["narrow"] else np.int64).astype(float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            q, rq = point(row), np.frombuffer(row["radius"])[0]
+            db = np.array([x["db"] for x in row["roots"]], np.int64)
+            c, rr = np.stack([point(x) for x in row["roots"]]), np.array([np.frombuffer(x["radius"])[0] for x in row["roots"]])
+            up = (c @ q + rq * np.linalg.norm(c, axis=1) + rr * (np.linalg.norm(q) + rq)) * (1 + 1e-12) + 1e-3
+            db = db[(up >= row["worst"]) & (db != row["done"])]
+            yield pa.record_batch([pa.array(np.full(len(db), row["dim"], np.int32)), pa.array(np.full(len(db), row["qb"])), pa.array(db)], ["dim", "qb", "db"])
+
+    return left.join(right, ["dim", "chunk"]).mapInArrow(run, "dim int, qb long, db long")
+
+
 def search(vectors: DataFrame, query_test: str, k: int = 5, block: int = 4096, query_block: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every vector that meets ``query_test`` (SQL over
     ``vec_id``) its ``k`` best by integer inner product among all vectors with another id,
-    ties to the smaller id; fewer if there are fewer. Vectors of another dimension than the
-    query's are not compared with it. Other columns are ignored."""
+    ties to the smaller id; fewer if there are fewer.
+
+    Vectors of another dimension than the query's are not compared with it; rows with a null
+    id are left out. An id with several different vectors is that many candidates, and as a
+    query it has its k best over all of its vectors. Other columns are ignored; an empty table
+    gives an empty result.
+    """
     rows = cut(integer_vectors(vectors))
-    asked = rows.where(query_test)
-    n, m = rows.count(), asked.count()
-    parts, query_parts = n // block + 1, m // query_block + 1
-    data = _trees(rows, parts, k + 1)
-    queries = _trees(asked, query_parts, 1 << 62)
-    left = queries.select("dim", F.col("block").alias("qb"), F.struct("narrow", *_TREE).alias("q")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = data.select("dim", F.col("block").alias("db"), F.struct("narrow", *_TREE).alias("r")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1))))
-    tiles = left.join(right.hint("merge"), ["dim", "qb", "db"])
-
-    def run(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                q, r = _unpacked(row["q"], row["dim"]), _unpacked(row["r"], row["dim"])
-                score, found = dual_search(q, r, k)
-                ok = score > EMPTY
-                yield pa.record_batch([pa.array(np.repeat(q["ids"], k).reshape(found.shape)[ok]), pa.array(found[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
+    n = rows.count()
+    pivots = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(PIVOTS, n // block + 1)).select("v").collect()]
+    data = _trees(_near_pivots(rows, pivots), block, k + 1)
+    queries = _trees(_near_pivots(rows.where(query_test), pivots), query_block, 1 << 62, GROUP)
+    first = _first_search(queries, data, k)
+
+    def results(score: np.ndarray, found: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        ok = score > EMPTY
+        return pa.record_batch([pa.array(np.repeat(ids, k).reshape(found.shape)[ok]), pa.array(found[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            score, found, ids = (np.frombuffer(row[c], np.int64) for c in ("score", "found", "ids"))
+            yield results(score.reshape(-1, k), found.reshape(-1, k), ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            q, r = _unpacked(row["q"], row["dim"]), _unpacked(row["r"], row["dim"])
+            score, found, _ = dual_search(q, r, k, np.frombuffer(row["score"], np.int64).reshape(-1, k)[:, -1])
+            yield results(score, found, q["ids"])
 
-    best = tiles.select("dim", "q", "r").mapInArrow(run, "query_id long, vec_id long, score long")
+    left = queries.select("dim", F.col("block").alias("qb"), F.struct("narrow", *_TREE).alias("q")).join(first.select("dim", "qb", "score"), ["dim", "qb"])
+    right = data.select("dim", F.col("block").alias("db"), F.struct("narrow", *_TREE).alias("r"))
+    tiles = block_pairs(queries, data, first).join(left.hint("merge"), ["dim", "qb"]).join(right.hint("merge"), ["dim", "db"])
+    kind = "query_id long, vec_id long, score long"
+    best = tiles.select("dim", "q", "r", "score").mapInArrow(run, kind).unionByName(first.select("score", "found", "ids").mapInArrow(unpack, kind))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

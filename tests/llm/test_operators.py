@@ -108,6 +108,35 @@ def test_topk_negative_ids(spark):
     assert {r.vec_id for r in few.collect()} == {-1, 3}
 
 
+def test_topk_clashing_ids(spark):
+    """An id with two vectors is two candidates."""
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.5]), (2, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [0.25, 0.0]), (None, [9.0, 9.0])], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r.vec_id, r.score) for r in topk_search.search(df, "vec_id = 1", 2).orderBy("rank").collect()] == [(1, 2, 65536), (2, 2, 32768)]
+
+
+def test_topk_prunes(spark):
+    """On clustered vectors most pairs are never scored, blocks of other clusters are not even
+    searched, and the result is still exact."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16)) * 4
+    x = np.concatenate([c + rng.normal(size=(250, 16)) * 0.05 for c in centres])
+    v = np.floor(256 * x).astype(np.int64)
+    tree, asked = topk_search.cover_tree(v, np.arange(len(v))), topk_search.cover_tree(v[::50], np.arange(0, len(v), 50), topk_search.GROUP)
+    _, _, scored = topk_search.dual_search(asked, tree, 5)
+    assert scored < 0.35 * len(v) * len(v[::50])
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk_search.search(df, "vec_id % 50 = 0", 5, block=128, query_block=16).toPandas()
+    for q in range(0, len(v), 50):
+        s = v @ v[q]
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:5]
+    rows = stored(topk_search.integer_vectors(df), "v")
+    pivots = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(24).collect()]
+    data = topk_search._trees(topk_search._near_pivots(rows, pivots), 128, 6)
+    queries = topk_search._trees(topk_search._near_pivots(rows.where("vec_id % 50 = 0"), pivots), 16, 1 << 62, topk_search.GROUP)
+    pairs = topk_search.block_pairs(queries, data, topk_search._first_search(queries, data, 5)).count()
+    assert pairs < 0.35 * data.count() * queries.count()
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
