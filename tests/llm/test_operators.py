@@ -204,10 +204,11 @@ def test_pii_overlaps(spark):
 
 def test_html(spark):
     model = html_extract.train()
-    pages = [html_extract.generated_page(np.random.default_rng(s)) for s in range(500, 620)]
-    own = [(b, p) for b, p in zip(html_extract.label([a for a, _ in pages], model), pages, strict=True) if b[0] == [t for t, _ in p[1]]]
-    right = sum(int(((b[1] >= 0.5) == np.array([y for _, y in p[1]])).sum()) for b, p in own)
-    assert len(own) == len(pages) and right / sum(len(b[0]) for b, _ in own) > 0.99
+    for style in html_extract.STYLES:
+        pages = [html_extract.generated_page(np.random.default_rng(s), style) for s in range(500, 560)]
+        own = [(b, p) for b, p in zip(html_extract.label([a for a, _ in pages], model), pages, strict=True) if b[0] == [t for t, _ in p[1]]]
+        right = sum(int(((b[1] >= 0.5) == np.array([y for _, y in p[1]])).sum()) for b, p in own)
+        assert len(own) == len(pages) and right / sum(len(b[0]) for b, _ in own) > (0.99 if style == "named" else 0.97)
     real = spark.read.parquet(f"{SF}/pages.parquet")
     odd = spark.createDataFrame([(-1, None, None), (-2, "u", ""), (-3, None, "<p>" * 3000), (-4, "v", "no tags & <"), (-5, "w", "<script>alert(1)")], "page_id long, url string, html string")
     got = html_extract.extract(real.unionByName(odd).withColumn("text", F.lit(1)), model).toPandas()
@@ -220,6 +221,45 @@ def test_html(spark):
     assert len(got) == real.count() + 5 and got[got.page_id.isin([-1, -2, -3, -5])].n_chars.sum() == 0
 
 
+def test_html_unknown_layouts():
+    """Pages as people write them, with names that no generated page has."""
+    model = html_extract.train()
+    some = "It was late when the train from the north came in, and nobody had thought of a porter or of the rain that fell on the old platform"
+    para = lambda n: f"<p>{' '.join([some] * n)}.</p>"
+    head = "<html><head><title>x</title></head><body>"
+    pages = {
+        f'{head}<div class="zone-x"><a href="1">Start</a> <a href="2">Archive</a></div><div class="zone-a">{para(3)}{para(4)}</div><div class="zone-b">Copyright 2020 Someone</div></body>': (2, 2),
+        f'{head}<table><tr><td><a href="1">Start</a><br><a href="2">Archive</a></td><td><h1>The late train</h1>{para(3)}{para(2)}</td></tr></table></body>': (3, 1),
+        f'{head}<article><h1>The late train</h1>{para(3)}{para(4)}{para(2)}</article><section class="responses"><h3>2 responses</h3><div><b>Ann</b>{para(1)}</div><div><b>Bob</b>{para(1)}</div></section></body>': (4, 5),
+        f'{head}<div class="q7"><div class="q8">{para(2)}{para(2)}{para(5)}</div></div></body>': (3, 0),
+    }
+    for (texts, p), (main, other) in zip(html_extract.label(list(pages), model), pages.values(), strict=True):
+        assert len(texts) == main + other and sum(p >= 0.5) == main
+        assert all((some in t or t == "The late train") for t, x in zip(texts, p, strict=True) if x >= 0.5)
+
+
+def test_html_layout_left_out():
+    """Trained without tables, with which the model is then tested."""
+    styles = {"named": 0.5, "opaque": 0.3, "bare": 0.2}
+    model = html_extract.train(5, 500, 6, 48, tuple(styles))
+    pages = [html_extract.generated_page(np.random.default_rng(s), "table") for s in range(900, 960)]
+    own = list(zip(html_extract.label([a for a, _ in pages], model), pages, strict=True))
+    right = sum(int(((b[1] >= 0.5) == np.array([y for _, y in p[1]])).sum()) for b, p in own)
+    assert right / sum(len(b[0]) for b, _ in own) > 0.93
+
+
+def test_html_linear():
+    """A megabyte of what has no end."""
+    import time
+
+    began = time.time()
+    for page in ("<a " * 300_000, '<a x=">" ' * 110_000, "<! " * 300_000, "</script " * 100_000, "<script>" + "</script " * 110_000, "<div>x" * 150_000, "<div>" * 100_000 + "</x>" * 100_000, "<svg>" * 100_000 + "<g>" * 100_000, "&amp" * 250_000, "<p class='" * 100_000):
+        html_extract.leaf_blocks(page)
+    assert time.time() - began < 30
+    texts = lambda page: [t for t, _, _ in html_extract.blocks(page)]
+    assert texts("<p>1 < 2</p><p>a</p><p title='x>y'>b</p><p title=it's>c</p><p>d <b") == ["1 < 2", "a", "b", "c", "d"]
+
+
 def test_html_unclosed():
     texts = lambda page: [t for t, _, _ in html_extract.blocks(page)]
     body = "<article><p>One two.</p><p>Three.</p></article>"
