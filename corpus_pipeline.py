@@ -12,20 +12,25 @@ from tablerecon.llm.common import among, cut, id_remainder, ship, stored, table
 from tablerecon.llm.docstats import document_counts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: the least share of letters in the predicted language
-LEAST_SHARE = 0.5
+#: the least share of letters in words of a script that a learned language is written in
+LEAST_RECOGNISED = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a recognised language; goes: ``und`` and texts whose main language
-    has less than LEAST_SHARE of the letters. Learns from the documents' own labels."""
+    """Keeps documents in recognised languages, one or several mixed; goes: texts without a
+    letter (null and empty ones too), and texts of which under LEAST_RECOGNISED of the letters
+    are in a script that any learned language is written in. Learns from the documents' own
+    labels. Repeated rows and rows with a null id are judged like others."""
     ship(spark)
     rows = language_id.identify(docs, language_id.learned(docs), keep=COLUMNS[1:])
-    return rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
+    return rows.where((F.col("lang_pred") != "und") & (F.col("recognised") >= LEAST_RECOGNISED)).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality classifier takes for good."""
+    """Keeps documents that the quality classifier takes for good. Null and empty texts are
+    scored like others, by statistics of nothing; repeated rows and rows with a null id are
+    judged like others (a null id has no label). Without labels of both classes nothing is
+    learned, every score is 0.5 and all documents stay."""
     ship(spark)
     labels = table(spark, sf_dir, "labels").where(id_remainder(5) != 0)
     model = quality_qda.fit(document_counts(docs), labels)  # joins counts, not texts
@@ -59,14 +64,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind."""
+    """Replaces personal data by its kind; keeps every row, repeated ones and those with a
+    null id or text as well. ``n_chars`` follows the text, null for a null text."""
     found = pii.find(docs, keep=COLUMNS[1:])
     text = pii.redact(F.col("text"), F.concat("base", "added"))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
+    """Packs what is left into sequences: every row, as often as it comes; a null or empty text
+    is its end token alone."""
     ship(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -78,7 +85,7 @@ STAGES = [
     ("pii", pii_stage),
     ("best_fit_packing", packing_stage),
 ]
-#: learned models and tokenizers are beyond SQL; tests hold each stage against a plain version
+#: learned models and tokenizers are beyond SQL; tests hold the stages against plain versions
 ORACLE_SQL = None
 
 
