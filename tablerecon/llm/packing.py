@@ -190,10 +190,11 @@ def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
 def pack(pieces_: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``. ``pieces_`` must be stored (its rows
     are read again and must not change between). Pieces of equal length are ranked within
-    salted shares of about ``share`` pieces, so a length that most pieces have is not one
+    salted shares of at most about ``share`` pieces, so a length that most pieces have is not one
     task's at any size of the corpus. Equal pieces may take each other's places."""
     counts = {r[0]: r[1] for r in pieces_.groupBy("length").count().collect()}  # capacity rows at most
-    lengths = pieces_.sparkSession.createDataFrame([(k, n // share + 1) for k, n in counts.items()], "length long, salts long")
+    salts = [(k, max(n // share + 1, min(64, n // 64 + 1))) for k, n in counts.items()]
+    lengths = pieces_.sparkSession.createDataFrame(salts, "length long, salts long")
     salted = pieces_.join(F.broadcast(lengths), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts"))
     shares = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     slots, base, used = [], 0, dict.fromkeys(counts, 0)
@@ -216,7 +217,7 @@ def pack(pieces_: DataFrame, capacity: int = CAPACITY, share: int = SHARE) -> Da
             yield pa.record_batch([*cols, pa.array(own[:, 2] + nth // own[:, 3]), pa.array(own[:, 4] + nth % own[:, 3] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
-    # a row for each ``share`` pieces, and capacity more
+    # a row for each ``share`` pieces, and 64 for each length more
     starts = F.broadcast(shares.select("length", "salt", before.alias("before")))
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = salted.withColumn("nth", nth).join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth"))
