@@ -24,6 +24,10 @@ ACCEPTED = {
 }
 
 
+#: the table property that holds a table's key
+KEYS_PROPERTY = "keys"
+
+
 class ContractError(ValueError):
     """The contract itself is wrong; raised before any data is read."""
 
@@ -75,7 +79,8 @@ class Contract:
         """CREATE TABLE text; Spark has no enforced key, so keys are a table property."""
         kind = lambda c: f"varchar({c.max_length})" if c.type == "string" and c.max_length else c.sql_type
         cols = ", ".join(f"`{c.name}` {kind(c)}" + ("" if c.nullable else " NOT NULL") for c in self.columns)
-        return f"CREATE TABLE IF NOT EXISTS {self.table} ({cols}) USING parquet TBLPROPERTIES ('keys' = '{','.join(self.keys)}')"
+        keys = ",".join(self.keys)
+        return f"CREATE TABLE IF NOT EXISTS {self.table} ({cols}) USING parquet TBLPROPERTIES ('{KEYS_PROPERTY}' = '{keys}')"
 
 
 def load(raw: dict[str, Any] | str) -> Contract:

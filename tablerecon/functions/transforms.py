@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .values import strip
+from .values import strip, whole_part
 
 FUNCTIONS = {"lower": 1, "upper": 1, "strip": 1, "round": 2}
 
@@ -59,6 +59,8 @@ def inputs_of(t: Transform) -> list[str]:
 
 
 def compiled(t: Transform) -> Column:
+    """The transform as a column. ``round`` of text that is no number is null."""
+
     def arg(parts: tuple[Part, ...]) -> Column:
         own = [F.coalesce(F.col(p.value).cast("string"), F.lit("")) if p.kind == "column" else F.lit(p.value) for p in parts]
         return own[0] if len(own) == 1 else F.concat(*own)
@@ -73,7 +75,9 @@ def compiled(t: Transform) -> Column:
     if t.function == "strip":
         return strip(x)
     digits = int(float(t.args[1][0].value)) if len(t.args) > 1 else 0
-    return F.round(strip(x).try_cast("decimal(38,18)"), digits).cast("decimal(38,%d)" % max(digits, 0)).cast("string")
+    if digits >= 0:  # a cast rounds half up, in one step
+        return strip(x).try_cast(f"decimal(38,{digits})").cast("string")
+    return F.round(whole_part(strip(x), "decimal(38,0)"), digits).cast("decimal(38,0)").cast("string")
 
 
 def expected(feed, contract, carry: list[str] | None = None):

@@ -12,10 +12,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: what text stripping removes
-WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TRUE = ["true", "1", "t", "yes"]
 #: directives that a format may hold
 DIRECTIVES = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s", "%f": "[SSSSSS][SSSSS][SSSS][SSS][SS][S]"}
+#: numbers as text: digits in groups, a fraction, an exponent
+_DIGITS = r"[0-9]+(_[0-9]+)*"
+_PLAIN = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})$"
+NUMBER = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+#: scales that a number is held at, from the finest: what overflows one is tried at the next
+SCALES = (18, 10, 0)
 
 
 def date_pattern(fmt: str) -> str:
@@ -42,13 +48,15 @@ def strip(c: Column) -> Column:
 
 
 def text(c: Column) -> Column:
-    """Stripped text, null if blank; NaN counts as blank."""
+    """Stripped text, null if blank. The NaN of a float or double column is null too; the text
+    "NaN" of a feed is a text like any other."""
     s = strip(c)
-    return F.when((s == "") | (s == "NaN"), None).otherwise(s)
+    nan = F.typeof(c).isin("float", "double") & (s == "NaN")
+    return F.when((s == "") | nan, None).otherwise(s)
 
 
 def is_empty(c: Column) -> Column:
-    return strip(c).isNull() | (strip(c) == "")
+    return text(c).isNull()
 
 
 @dataclass(frozen=True)
@@ -59,24 +67,53 @@ class Value:
     def shown(self) -> Column:
         return F.coalesce(self.typed.cast("string"), self.raw)
 
-    def same(self, other: Value) -> Column:
-        return self.typed.eqNullSafe(other.typed) & self.raw.eqNullSafe(other.raw)
+    def part(self) -> Column:
+        """One text that is never null: V: and the value, B: and unreadable text, N: for null."""
+        typed = F.concat(F.lit("V:"), self.typed.cast("string"))
+        return F.when(self.typed.isNotNull(), typed).when(self.raw.isNotNull(), F.concat(F.lit("B:"), self.raw)).otherwise("N:")
 
 
 def _time(s: Column, fmt: str) -> Column:
     return F.try_to_timestamp(F.regexp_replace(s, r"\s+", " "), F.lit(date_pattern(fmt))).cast("timestamp_ntz")
 
 
+def _ungrouped(s: Column) -> Column:
+    """A number's text without the underscores between digits; other text as it is."""
+    return F.when(s.rlike(NUMBER), F.replace(s, F.lit("_"), F.lit(""))).otherwise(s)
+
+
+def whole_part(s: Column, kind: str) -> Column:
+    """A number's digits before the point (cut off, not rounded) as ``kind``; null if the text
+    is no number or too large."""
+    digits = _ungrouped(s)
+    cut = F.regexp_extract(digits, r"^([+-]?[0-9]*)", 1)
+    cut = F.when(cut.isin("", "+", "-"), "0").otherwise(cut)
+    return F.when(s.rlike(_PLAIN), cut.try_cast(kind)).when(s.rlike(NUMBER), digits.try_cast("decimal(38,18)").try_cast(kind))
+
+
+def in_range(s: Column, lo: object, hi: object) -> Column:
+    """Whether a number is within inclusive bounds: exactly up to 38 digits, beyond that by its
+    double. Null if the text is no number."""
+    digits, out = _ungrouped(s), None
+    for scale in SCALES:
+        x = digits.try_cast(f"decimal(38,{scale})")
+        test = x.between(*[F.lit(str(b)).try_cast("decimal(38,18)") for b in (lo, hi)])
+        out = F.when(x.isNotNull(), test) if out is None else out.when(x.isNotNull(), test)
+    plain = s.try_cast("decimal(38,18)")
+    exact = F.when(s.rlike(NUMBER), out.otherwise(digits.try_cast("double").between(float(lo), float(hi))))
+    return F.when(plain.isNotNull(), plain.between(*[F.lit(str(b)).try_cast("decimal(38,18)") for b in (lo, hi)])).otherwise(exact)
+
+
 def normalize(c: Column, spec) -> Value:
     """The normal form of ``c`` under the contract column ``spec``."""
     s = text(c)
     if spec.type == "integer":
-        typed = s.try_cast("decimal(38,10)").try_cast("bigint")
+        typed = F.coalesce(s.try_cast("bigint"), whole_part(s, "bigint"))
     elif spec.type == "decimal":
-        typed = s.try_cast(f"decimal(38,{spec.scale})")
-    elif spec.type == "date":
-        typed = _time(s, spec.date_format).cast("date")
-        typed = typed if spec.date_format == "%Y-%m-%d" else F.coalesce(typed, _time(s, "%Y-%m-%d").cast("date"))
+        kind = f"decimal(38,{spec.scale})"
+        typed = F.coalesce(s.try_cast(kind), _ungrouped(s).try_cast(kind))
+    elif spec.type == "date":  # a typed date is one already; text must have the declared format
+        typed = F.when(F.typeof(c) == "date", _time(s, "%Y-%m-%d")).otherwise(_time(s, spec.date_format)).cast("date")
     elif spec.type == "timestamp":
         formats = ([spec.ts_format] if spec.ts_format else []) + ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f"]
         typed = F.coalesce(*[_time(s, f) for f in formats])
@@ -88,12 +125,14 @@ def normalize(c: Column, spec) -> Value:
 
 
 def readable(c: Column, spec) -> Column:
-    """Whether populated text has the stricter form that the type rule asks for."""
+    """Whether populated text has the stricter form that the type rule asks for. Numbers are
+    judged by their form, so their size does not matter; NaN and Infinity are no numbers here,
+    a deliberate difference, for no decimal column can hold them."""
     s = strip(c)
     if spec.type == "integer":
-        return s.rlike(r"^[+-]?\d+(_\d+)*$")
+        return s.rlike(rf"^[+-]?{_DIGITS}$")
     if spec.type == "decimal":
-        return s.try_cast("decimal(38,18)").isNotNull()
+        return s.rlike(NUMBER)
     if spec.type == "date":
         return _time(s, spec.date_format).isNotNull()
     if spec.type == "timestamp":

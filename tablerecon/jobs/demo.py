@@ -1,25 +1,32 @@
 """The library's operations over the order, line item, customer and event tables: a feed with
 seeded defects against a drifted target. Feed and target are SQL that Spark and DuckDB share,
-so every query has an independent DuckDB version."""
+so every query has an independent DuckDB version (``demo_sql``)."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import contract as contracts
 from ..functions.transforms import compiled, expected, parse
-from ..functions.values import normalize
+from ..functions.values import in_range, normalize
 from ..operators import compare, rules, schema_check
 from ..sources import files, io
-from . import pipeline, report
+from . import demo_sql, pipeline, report
+
+Query = Callable[[SparkSession, str], DataFrame]
 
 FEED_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
 ORDERS = {
-    "contract_name": "orders", "version": "1.0", "source": {"type": "csv", "columns": FEED_COLUMNS}, "target": {"type": "table", "table": "orders_target"}, "keys": ["order_id"],
+    "contract_name": "orders",
+    "version": "1.0",
+    "source": {"type": "csv", "columns": FEED_COLUMNS},
+    "target": {"type": "table", "table": "orders_target"},
+    "keys": ["order_id"],
     "columns": [
         {"name": "order_id", "source_name": "o_orderkey", "type": "integer", "nullable": False, "unique": True},
         {"name": "customer_id", "source_name": "o_custkey", "type": "integer", "nullable": False},
@@ -27,48 +34,52 @@ ORDERS = {
         {"name": "status_code", "source_name": "o_orderstatus", "type": "string", "nullable": False, "allowed_values": ["F", "O", "P"], "max_length": 1},
         {"name": "total", "source_name": "o_totalprice", "type": "decimal", "nullable": False, "scale": 2, "range": [0, 1000000], "transform": "round({o_totalprice}, 1)"},
         {"name": "order_date", "source_name": "o_orderdate", "type": "date", "nullable": False},
-        {"name": "priority", "source_name": "o_orderpriority", "type": "string", "nullable": False, "max_length": 15, "regex": "[0-9]-[A-Z]"},
+        {"name": "priority", "source_name": "o_orderpriority", "type": "string", "nullable": False, "max_length": 15, "regex": "[1-4]-[A-Z]"},
         {"name": "label", "type": "string", "nullable": False, "transform": "{o_orderpriority}/{o_orderstatus}"},
     ],
-}
+}
+#: the same for whole runs: every priority of the table is allowed
+RUN = {**ORDERS, "contract_name": "orders_run", "columns": [{**c, "regex": "[0-9]-[A-Z]"} if "regex" in c else c for c in ORDERS["columns"]]}
 LINES = {
-    "contract_name": "lines", "version": "1", "source": {"type": "table", "columns": ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]}, "target": {"type": "table", "table": "lines"}, "keys": ["order_id", "line"],
+    "contract_name": "lines",
+    "version": "1",
+    "source": {"type": "table", "columns": ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]},
+    "target": {"type": "table", "table": "lines"},
+    "keys": ["order_id", "line"],
     "columns": [
-        {"name": "order_id", "source_name": "l_orderkey", "type": "integer", "nullable": False}, {"name": "line", "source_name": "l_linenumber", "type": "integer", "nullable": False},
-        {"name": "quantity", "source_name": "l_quantity", "type": "decimal", "nullable": False}, {"name": "flag", "source_name": "l_returnflag", "type": "string", "nullable": False},
+        {"name": "order_id", "source_name": "l_orderkey", "type": "integer", "nullable": False},
+        {"name": "line", "source_name": "l_linenumber", "type": "integer", "nullable": False},
+        {"name": "quantity", "source_name": "l_quantity", "type": "decimal", "nullable": False},
+        {"name": "flag", "source_name": "l_returnflag", "type": "string", "nullable": False},
     ],
-}
-#: shared by both engines; {date} is the engine's ISO date text of o_orderdate
-FEED_SQL = """select case when k % 73 = 17 then cast(k - 1 as string) when k % 67 = 9 then concat('abc', cast(k as string)) else cast(k as string) end as o_orderkey,
- cast(o_custkey as string) as o_custkey, case when k % 83 = 11 then 'Z' else o_orderstatus end as o_orderstatus,
- case when k % 89 = 7 then '-1.00' else cast(cast(o_totalprice as decimal(18,2)) as string) end as o_totalprice,
- case when k % 79 = 13 then 'not-a-date' else {date} end as o_orderdate,
- case when k % 97 = 5 then '' when k % 71 = 3 then concat('  ', o_orderpriority, '  ') else o_orderpriority end as o_orderpriority, k as seq
- from (select *, o_orderkey as k from orders) t"""
-TARGET_SQL = """select order_id, customer_id, case when order_id % 37 = 0 then upper(code) else lower(code) end as status, code as status_code,
- cast(round(price, 1) + case when order_id % 41 = 0 then 0.01 else 0.00 end as decimal(38,2)) as total, day as order_date,
- case when order_id % 31 = 0 then null else o_orderpriority end as priority, concat(o_orderpriority, '/', code) as label
- from (select o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as code, cast(o_totalprice as decimal(18,2)) as price, cast(o_orderdate as date) as day, o_orderpriority from orders where o_orderkey % 50 <> 0
- union all select o_orderkey + 10000000, o_custkey, o_orderstatus, cast(o_totalprice as decimal(18,2)), cast(o_orderdate as date), o_orderpriority from orders where o_orderkey % 61 = 0) t"""
-DUCK_FEED = FEED_SQL.replace("{date}", "strftime(o_orderdate, '%Y-%m-%d')")
+}
+#: columns of a line item that put those of one key in order
+LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 CONTRACT = contracts.load(ORDERS)
+RUN_CONTRACT = contracts.load(RUN)
 LINE_CONTRACT = contracts.load(LINES)
+SPARK_DATE = "date_format(o_orderdate, 'yyyy-MM-dd')"
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def _sql(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
-    return spark.sql(sql.replace("from orders", "from {orders}"), **tables)
+def _sql(spark: SparkSession, d: str, sql: str) -> DataFrame:
+    text = sql.replace("{date}", SPARK_DATE).replace("from orders", "from {orders}")
+    return spark.sql(text, orders=_t(spark, d, "orders"))
 
 
 def feed(spark: SparkSession, d: str) -> DataFrame:
-    return _sql(spark, FEED_SQL.replace("{date}", "date_format(o_orderdate, 'yyyy-MM-dd')"), orders=_t(spark, d, "orders"))
+    return _sql(spark, d, demo_sql.FEED_SQL)
+
+
+def clean_feed(spark: SparkSession, d: str) -> DataFrame:
+    return _sql(spark, d, demo_sql.CLEAN_SQL)
 
 
 def target(spark: SparkSession, d: str) -> DataFrame:
-    return _sql(spark, TARGET_SQL, orders=_t(spark, d, "orders"))
+    return _sql(spark, d, demo_sql.TARGET_SQL)
 
 
 def _expected(spark: SparkSession, d: str) -> DataFrame:
@@ -80,26 +91,190 @@ def _joined(spark: SparkSession, d: str, columns: list[str] | None = None) -> Da
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder that the whole cluster can reach."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the whole cluster can reach")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def _csv(spark: SparkSession, d: str, header: list[str]) -> str:
-    """The feed as files, under another header."""
-    path = _folder(spark, "feed")
-    feed(spark, d).select(*[F.col(a).alias(b) for a, b in zip(FEED_COLUMNS, header, strict=True)]).write.option("header", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+def _write_csv(rows: DataFrame, header: list[str], columns: list[str], path: str) -> str:
+    named = rows.select(*[F.col(a).alias(b) for a, b in zip(columns, header, strict=True)])
+    writer = named.write.option("header", True).option("emptyValue", "")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
+def _csv(spark: SparkSession, d: str, header: list[str], columns: list[str] = FEED_COLUMNS) -> str:
+    """The feed as files, under another header."""
+    return _write_csv(feed(spark, d), header, columns, _folder(spark, "feed"))
+
+
 def _report(spark: SparkSession, d: str) -> DataFrame:
     return rules.report(feed(spark, d), CONTRACT, ["seq"])
 
 
-def _rule(name: str):
-    return lambda s, d: _report(s, d).where(F.split("rule_id", ":")[0] == name).select("rule_id", "column", "failing_rows")
+# --- sources and targets
+
+
+def read_feed(spark: SparkSession, d: str) -> DataFrame:
+    return files.read_feed(spark, _csv(spark, d, FEED_COLUMNS), CONTRACT)
+
+
+def read_target(spark: SparkSession, d: str) -> DataFrame:
+    """Columns in another order and one too many, as loaded by somebody else."""
+    path = _folder(spark, "target")
+    rows = target(spark, d)
+    rows.select(*reversed(rows.columns), F.lit(1).alias("loaded_by")).write.parquet(path)
+    got = io.read_target(spark, CONTRACT, path=path)
+    return got.select("order_id", "customer_id", "status", F.col("total").cast("string"), F.col("order_date").cast("string"), "priority", "label")
+
+
+def target_query(spark: SparkSession, d: str) -> DataFrame:
+    return io.query(spark, "select order_id, customer_id from {t} where order_id % 50 = :r", {"t": target(spark, d)}, r=1)
+
+
+def row_counts(spark: SparkSession, d: str) -> DataFrame:
+    side = lambda df, name: df.agg(F.count("*").alias("n")).withColumn("side", F.lit(name))
+    return side(feed(spark, d), "source").unionByName(side(target(spark, d), "target"))
+
+
+def describe_schema(spark: SparkSession, d: str) -> DataFrame:
+    return io.profile(target(spark, d))
+
+
+def load_expected(spark: SparkSession, d: str) -> DataFrame:
+    """Loaded twice, which must leave the same table."""
+    path = _folder(spark, "target")
+    counts = [io.load_expected(_expected(spark, d), CONTRACT, path) for _ in range(2)]
+    assert counts[0] == counts[1]
+    got = io.read_target(spark, CONTRACT, path=path)
+    return got.select(F.col("order_id").cast("string"), F.col("customer_id").cast("string"), "status", F.col("total").cast("string"), F.col("order_date").cast("string"), "priority")
+
+
+def contract_schema(spark: SparkSession, d: str) -> DataFrame:
+    """What was loaded, read under the contract's schema: declared nullability beside the nulls
+    that are there."""
+    path = _folder(spark, "target")
+    io.load_expected(_expected(spark, d), CONTRACT, path)
+    declared = spark.createDataFrame([(f.name, f.nullable) for f in CONTRACT.struct()], "name string, nullable boolean")
+    return io.profile(spark.read.schema(CONTRACT.struct()).parquet(path)).join(declared, "name").select("name", "type", "nullable", "n_rows", "n_nulls")
+
+
+def feed_files(spark: SparkSession, d: str) -> DataFrame:
+    """A prefix of several files, one per order status."""
+    path = _folder(spark, "feed")
+    rows = feed(spark, d).select(*FEED_COLUMNS, F.col("o_orderstatus").alias("part")).repartition(1)
+    rows.write.option("header", True).partitionBy("part").csv(path)
+    part = F.regexp_extract("file", "part=([^/]+)/", 1).alias("part")
+    return files.file_counts(spark, path, CONTRACT).select(part, "records", "rows")
+
+
+# --- file checks
+
+
+def _shape(rows: DataFrame) -> DataFrame:
+    return rows.select("check", "position", "message").distinct()
+
+
+def header_errors(spark: SparkSession, d: str) -> DataFrame:
+    header = [*FEED_COLUMNS[:3], "total_price", *FEED_COLUMNS[4:]]
+    return _shape(files.header_errors(spark, _csv(spark, d, header), CONTRACT))
+
+
+def header_count_errors(spark: SparkSession, d: str) -> DataFrame:
+    own = [c for c in FEED_COLUMNS if c != "o_totalprice"]
+    return _shape(files.header_errors(spark, _csv(spark, d, own, own), CONTRACT))
+
+
+def _bytes(spark: SparkSession, d: str, every: int, byte: str) -> str:
+    """Customer names in one file, with a byte in every few of them."""
+    path = _folder(spark, "bytes")
+    name = F.encode("c_name", "UTF-8")
+    broken = F.when(F.col("c_custkey") % every == 0, F.concat(name, F.unhex(F.lit(byte)))).otherwise(name)
+    _t(spark, d, "customer").coalesce(1).select(broken.cast("string").alias("line")).write.text(path)
+    return path
+
+
+def encoding_errors(spark: SparkSession, d: str) -> DataFrame:
+    return _shape(files.encoding_errors(spark, _bytes(spark, d, 29, "FF"), CONTRACT))
+
+
+def encoding_declared(spark: SparkSession, d: str) -> DataFrame:
+    """cp1252 has no character for 0x81; é would be fine."""
+    contract = contracts.load({**ORDERS, "metadata": {"encoding": "cp1252"}})
+    return _shape(files.encoding_errors(spark, _bytes(spark, d, 23, "E981"), contract))
+
+
+def _ragged(spark: SparkSession, d: str) -> tuple[str, contracts.Contract]:
+    """Lines of the feed in order, in one file, every 53rd of them cut before its last field."""
+    path = _folder(spark, "ragged")
+    cells = [F.col(c) for c in FEED_COLUMNS]
+    line = F.when(F.col("seq") % 53 == 1, F.concat_ws(",", *cells[:5])).otherwise(F.concat_ws(",", *cells))
+    feed(spark, d).orderBy("seq").coalesce(1).select(line.alias("line")).write.text(path)
+    return path, contracts.load({**ORDERS, "source": {**ORDERS["source"], "header": False}})
+
+
+def ragged_rows(spark: SparkSession, d: str) -> DataFrame:
+    return files.ragged_rows(spark, *_ragged(spark, d)).select("record", "number", "width", "expected")
+
+
+def ragged_errors(spark: SparkSession, d: str) -> DataFrame:
+    return _shape(files.ragged_errors(spark, *_ragged(spark, d)))
+
+
+def row_count_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The feed beside an empty file, under one prefix."""
+    path = _folder(spark, "feed")
+    _write_csv(feed(spark, d), FEED_COLUMNS, FEED_COLUMNS, f"{path}/a")
+    spark.createDataFrame([], "line string").coalesce(1).write.text(f"{path}/b")
+    contract = contracts.load({**ORDERS, "metadata": {"expected_row_count": 7}})
+    return _shape(files.count_errors(files.file_counts(spark, f"{path}/*", contract), contract))
+
+
+def row_count_check(spark: SparkSession, d: str) -> DataFrame:
+    return files.row_count_check(feed(spark, d), 7)
+
+
+def control_totals(spark: SparkSession, d: str) -> DataFrame:
+    return files.control_totals(_t(spark, d, "events"), "value")
+
+
+# --- transforms and normal forms
+
+
+def map_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _expected(spark, d).select("order_id", "customer_id", "status_code")
+
+
+def _transform(text: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> Query:
+    """A transform over the customers."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = prepare(_t(spark, d, "customer"))
+        return df.select(F.col("c_custkey").alias("k"), compiled(parse(text, set(df.columns))).cast("string").alias("value"))
+
+    return run
+
+
+def _padded(df: DataFrame) -> DataFrame:
+    return df.withColumn("padded", F.concat(F.lit("\t  "), "c_mktsegment", F.lit(" \u3000\n")))
+
+
+def transform_round(spark: SparkSession, d: str) -> DataFrame:
+    b = F.col("c_acctbal").cast("decimal(18,2)").cast("string")
+    df = _t(spark, d, "customer").withColumn("b", b).withColumn("big", F.lit("123456789012345678901234567890.125"))
+    said = {"value": "round(b, 1)", "hundreds": "round(b, -2)", "large": "round(big, 2)"}
+    return df.select(F.col("c_custkey").alias("k"), *[compiled(parse(text, set(df.columns))).alias(name) for name, text in said.items()])
+
+
+def expected_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _expected(spark, d).drop("seq")
 
 
-def _values(table: str, column: str, spec: dict, key: str, text):
+def _values(table: str, column: str, key: str, text: Callable[[Column, Column], Column], **spec) -> Query:
     """A normal form over a table's values written in awkward ways."""
     c = contracts.Column(name="x", nullable=True, **spec)
 
@@ -110,163 +285,244 @@ def _values(table: str, column: str, spec: dict, key: str, text):
     return run
 
 
-def _transform(table: str, key: str, text: str):
+def _integers(c: Column, k: Column) -> Column:
+    minus = F.concat(F.lit(" -"), c.cast("string"), F.lit(".99999999999 "))
+    return F.when(k % 3 == 0, minus).when(k % 3 == 1, F.concat(F.lit("x"), c.cast("string"))).otherwise(c.cast("string"))
+
+
+def _dates(c: Column, k: Column) -> Column:
+    return F.when(k % 7 == 0, "2024-02-30").otherwise(F.date_format(c, " yyyy-M-d"))
+
+
+def _times(c: Column, k: Column) -> Column:
+    return F.when(k % 5 == 0, "soon").otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def _of_list(texts: list[str], k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, texts)), (k % len(texts) + 1).cast("int"))
+
+
+def normalize_blank(spark: SparkSession, d: str) -> DataFrame:
+    """Blanks and nulls are null, the text NaN is not, the NaN of a double is."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 5 == 0, "   ").when(k % 5 == 1, None).when(k % 5 == 3, "NaN").otherwise(F.col("o_orderpriority"))
+    v = normalize(text, contracts.Column(name="x", type="string", nullable=True))
+    nan = F.when(k % 2 == 0, F.lit(float("nan"))).otherwise(F.lit(1.0))
+    number = normalize(nan, contracts.Column(name="x", type="decimal", nullable=True))
+    is_null = number.typed.isNull() & number.raw.isNull()
+    return _t(spark, d, "orders").select(k.alias("k"), v.typed.alias("value"), v.raw.alias("unreadable"), is_null.alias("nan_is_null"))
+
+
+def normalize_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Each order key takes its turn at the edge values of three types."""
+    k, parts = F.col("o_orderkey"), []
+    for kind, texts in demo_sql.EDGES.items():
+        v = normalize(_of_list(texts, k), contracts.Column(name="x", type=kind, nullable=True, date_format="%d.%m.%Y"))
+        parts.append(F.struct(F.lit(kind).alias("kind"), v.typed.cast("string").alias("value"), v.raw.alias("unreadable")))
+    return _t(spark, d, "orders").select(k.alias("k"), F.inline(F.array(*parts)))
+
+
+def range_edges(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _t(spark, d, "orders").select(k.alias("k"), in_range(_of_list(demo_sql.RANGES, k), 0, 100).alias("passes"))
+
+
+# --- rules, schema, keys
+
+
+def _rule(name: str) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        df = _t(spark, d, table)
-        return df.select(F.col(key).alias("k"), compiled(parse(text, set(df.columns))).cast("string").alias("value"))
+        return _report(spark, d).where(F.split("rule_id", ":")[0] == name).select("rule_id", "column", "failing_rows")
 
     return run
 
 
-def _load(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "target")
-    counts = [io.load_expected(_expected(spark, d), CONTRACT, path) for _ in range(2)]
-    assert counts[0] == counts[1]
-    return io.read_target(spark, CONTRACT, path=path).select(F.col("order_id").cast("string"), F.col("customer_id").cast("string"), "status", F.col("total").cast("string"), F.col("order_date").cast("string"), "priority")
+def dq_report(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d).select("rule_id", "column", "failing_rows")
 
 
-def _summary(spark: SparkSession, d: str) -> DataFrame:
-    run = pipeline.reconcile(CONTRACT, feed(spark, d), target(spark, d), ["seq"], ["order_id"], timestamp="2024-01-01T00:00:00", stop_at_gates=False)
-    return run.summary
+def dq_samples(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d).select("rule_id", F.to_json("samples").alias("samples"))
 
 
-def _written_summary(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark, "summary")
-    s = _summary(spark, d)
-    io.write_summary(s, path)
-    return spark.read.schema(s.schema).json(path)
+def dq_totals(spark: SparkSession, d: str) -> DataFrame:
+    return rules.totals(_report(spark, d))
 
 
-def _trend(spark: SparkSession, d: str) -> DataFrame:
-    """History: one run per order year; its mismatches are the orders over 200,000."""
-    runs = _t(spark, d, "orders").groupBy(F.year("o_orderdate").cast("string").alias("y")).agg(F.count_if(F.col("o_totalprice") > 200000).alias("mismatch_count"))
-    history = runs.select(F.lit("orders").alias("contract"), F.lit("test").alias("environment"), F.concat("y", F.lit("-01-01T00:00:00")).alias("timestamp"), "mismatch_count")
-    path = _folder(spark, "history")
-    io.append_history(history, path)
-    return report.trend(spark.read.parquet(path)).select("contract", "environment", "timestamp", "mismatch_count", F.col("before").cast("string"), F.col("change").cast("string"))
+def schema_errors(spark: SparkSession, d: str) -> DataFrame:
+    """A live table without one column, with a double for a decimal and with nulls."""
+    priority = F.when(F.col("o_orderkey") % 31 != 0, F.col("o_orderpriority"))
+    live = _t(spark, d, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.lower("o_orderstatus").alias("status"), F.col("o_orderstatus").alias("status_code"),
+        F.col("o_totalprice").alias("total"), F.col("o_orderdate").cast("date").alias("order_date"), priority.alias("priority"),
+    )
+    return schema_check.schema_report(live, CONTRACT)
+
+
+def nullability_check(spark: SparkSession, d: str) -> DataFrame:
+    return schema_check.null_counts(target(spark, d), CONTRACT)
 
 
 def _lines(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = _t(spark, d, "lineitem").withColumn("at", F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
-    e = expected(rows, LINE_CONTRACT, carry=["at"])
-    a = rows.where("l_orderkey % 50 <> 0").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), (F.col("l_quantity") + F.when(F.col("l_partkey") % 41 == 0, 1).otherwise(0)).cast("decimal(18,2)").alias("quantity"), F.col("l_returnflag").alias("flag"), "at")
-    return e, a
+    rows = _t(spark, d, "lineitem").withColumn("at", F.struct(*LINE_ORDER))
+    quantity = F.col("l_quantity") + F.when(F.col("l_partkey") % 41 == 0, 1).otherwise(0)
+    actual = rows.where("l_orderkey % 50 <> 0").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), quantity.cast("decimal(18,2)").alias("quantity"), F.col("l_returnflag").alias("flag"), "at"
+    )
+    return expected(rows, LINE_CONTRACT, carry=["at"]), actual
 
 
-def _composite(spark: SparkSession, d: str) -> DataFrame:
-    e, a = _lines(spark, d)
-    rows = compare.joined(e, a, LINE_CONTRACT, (["at"], ["at"]))
-    return compare.counts(rows, e, a)
+def key_integrity(spark: SparkSession, d: str) -> DataFrame:
+    return schema_check.key_integrity(_lines(spark, d)[0], LINE_CONTRACT)
 
 
-def _last_wins(spark: SparkSession, d: str) -> DataFrame:
-    e, _ = _lines(spark, d)
-    return compare.last_wins(e, LINE_CONTRACT, ["at"]).select("order_id", "line", F.col("quantity").cast("decimal(18,2)").cast("string").alias("quantity"), "flag")
+def normalized_keys(spark: SparkSession, d: str) -> DataFrame:
+    return compare.with_keys(_expected(spark, d), CONTRACT).select("seq", F.col("__k0").alias("key"))
 
 
-_BAD_HEADER = [*FEED_COLUMNS[:3], "total_price", *FEED_COLUMNS[4:]]
+# --- comparison
 
 
-def _header(spark: SparkSession, d: str) -> DataFrame:
-    rows = files.header_errors(spark, _csv(spark, d, _BAD_HEADER), CONTRACT)
-    return rows.select("check", "position", "message").distinct()
+def last_wins(spark: SparkSession, d: str) -> DataFrame:
+    rows = compare.last_wins(_lines(spark, d)[0], LINE_CONTRACT, ["at"])
+    return rows.select("order_id", "line", F.col("quantity").cast("decimal(18,2)").cast("string").alias("quantity"), "flag")
 
 
-def _ragged(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of the feed, every 53rd of them cut before its last field."""
-    path = _folder(spark, "ragged")
-    cells = [F.col(c) for c in FEED_COLUMNS]
-    feed(spark, d).select(F.when(F.col("seq") % 53 == 1, F.concat_ws(",", *cells[:5])).otherwise(F.concat_ws(",", *cells)).alias("line")).write.text(path)
-    c = contracts.load({**ORDERS, "source": {**ORDERS["source"], "header": False}})
-    return files.ragged_rows(spark, path, c).select("record", "o_orderkey")
+def missing_in_target(spark: SparkSession, d: str) -> DataFrame:
+    return compare.missing(_joined(spark, d), CONTRACT)
 
 
-def _encoding(spark: SparkSession, d: str) -> DataFrame:
-    """Customer names, with a broken byte in every 29th."""
-    path = _folder(spark, "bytes")
-    _t(spark, d, "customer").select(F.when(F.col("c_custkey") % 29 == 0, F.concat(F.encode("c_name", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("c_name", "UTF-8")).cast("string").alias("line")).write.text(path)
-    return files.encoding_errors(spark, path).agg(F.sum("bad_lines").alias("bad_lines"))
-
-
-_CTE = f"""with feed as ({DUCK_FEED}), target as ({TARGET_SQL}),
-e0 as (select seq, try_cast(trim(o_orderkey) as decimal(38,10)) as kd, trim(o_orderkey) as kraw, trim(o_custkey) as customer_id, nullif(trim(lower(o_orderstatus)), '') as status, nullif(trim(o_orderstatus), '') as status_code,
- cast(cast(round(try_cast(trim(o_totalprice) as decimal(38,10)), 1) as decimal(38,2)) as varchar) as total, coalesce(cast(cast(try_strptime(trim(o_orderdate), '%Y-%m-%d') as date) as varchar), trim(o_orderdate)) as order_date,
- nullif(trim(o_orderpriority), '') as priority, trim(concat(o_orderpriority, '/', o_orderstatus)) as label from feed),
-e1 as (select *, case when kd is null then kraw else cast(cast(trunc(kd) as bigint) as varchar) end as order_id from e0),
-e as (select * from e1 qualify row_number() over (partition by order_id order by seq desc) = 1),
-a as (select cast(order_id as varchar) as order_id, cast(customer_id as varchar) as customer_id, status, status_code, cast(total as varchar) as total, cast(order_date as varchar) as order_date, priority, label from target),
-j as (select coalesce(e.order_id, a.order_id) as order_id, case when a.order_id is null then 'missing' when e.order_id is null then 'extra' else 'matched' end as kind, {", ".join(f"e.{c} as e_{c}, a.{c} as a_{c}" for c in ["customer_id", "status", "status_code", "total", "order_date", "priority", "label"])} from e full join a on e.order_id = a.order_id),
-d as ({" union all ".join(f"select order_id, '{c}' as \"column\", e_{c} as expected, a_{c} as actual from j where kind = 'matched' and e_{c} is distinct from a_{c}" for c in ["customer_id", "status", "status_code", "total", "order_date", "priority", "label"])}),
-f as (select seq, o_orderkey as sample, unnest([
- case when trim(o_orderpriority) = '' then 'transform_input_not_null:o_orderpriority' end, case when trim(o_orderpriority) = '' then 'not_null:priority' end,
- case when not regexp_matches(trim(o_orderkey), '^[+-]?[0-9]+$') then 'type:order_id' end, case when try_strptime(trim(o_orderdate), '%Y-%m-%d') is null then 'type:order_date' end,
- case when try_cast(trim(o_totalprice) as decimal(18,2)) not between 0 and 1000000 then 'range:total' end, case when trim(o_orderstatus) not in ('F', 'O', 'P') then 'allowed_values:status_code' end,
- case when trim(o_orderpriority) <> '' and length(o_orderpriority) > 15 then 'max_length:priority' end, case when length(o_orderstatus) > 1 then 'max_length:status_code' end,
- case when trim(o_orderpriority) <> '' and not regexp_matches(trim(o_orderpriority), '^[0-9]-[A-Z]') then 'regex:priority' end,
- case when count(*) over (partition by o_orderkey) > 1 then 'unique:order_id' end]) as rule_id from feed),
-r as (select rule_id, split_part(rule_id, ':', 2) as "column", count(*) as failing_rows, to_json((array_agg(sample order by seq))[1:5]) as samples from f where rule_id is not null group by rule_id)
-"""
-_LINES = """with l as (select l_orderkey as order_id, l_linenumber as line, cast(l_quantity as decimal(18,2)) as quantity, l_returnflag as flag, l_partkey, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc, l_quantity desc, l_extendedprice desc, l_discount desc, l_tax desc, l_returnflag desc, l_linestatus desc, l_shipdate desc) as n from lineitem)
-"""
-_COUNTS = "(select count(*) from feed) as source_count, (select count(*) from target) as target_count, (select count(*) from j where kind = 'missing') as missing, (select count(*) from j where kind = 'extra') as extra, (select count(*) from d) as diffs"
-_KIND = "case when expected is null or actual is null then 'null-vs-value' when lower(expected) = lower(actual) then 'case-only' when regexp_replace(expected, '\\s', '', 'g') = regexp_replace(actual, '\\s', '', 'g') then 'whitespace-only' when try_cast(expected as decimal(38,10)) is not null and try_cast(actual as decimal(38,10)) is not null then 'numeric-delta' else 'other' end"
-_RULES = ["transform_input_not_null", "not_null", "type", "range", "max_length", "regex", "allowed_values", "unique"]
-_META = ["n", "total", "least", "greatest"]
-
-#: name -> (query, DuckDB SQL)
-DEMO = {
-    "read_feed": (lambda s, d: files.read_feed(s, _csv(s, d, FEED_COLUMNS), CONTRACT), f"select * exclude (seq) replace (nullif(o_orderpriority, '') as o_orderpriority) from ({DUCK_FEED})"),
-    "read_target": (lambda s, d: target(s, d).select("order_id", "customer_id", "status", F.col("total").cast("string"), F.col("order_date").cast("string"), "priority", "label"), f"select order_id, customer_id, status, cast(total as varchar) as total, cast(order_date as varchar) as order_date, priority, label from ({TARGET_SQL})"),
-    "target_query": (lambda s, d: s.sql("select order_id, customer_id from {t} where order_id % 50 = :r", args={"r": 1}, t=target(s, d)), f"select order_id, customer_id from ({TARGET_SQL}) where order_id % 50 = 1"),
-    "row_counts": (lambda s, d: feed(s, d).agg(F.count("*").alias("n")).withColumn("side", F.lit("source")).unionByName(target(s, d).agg(F.count("*").alias("n")).withColumn("side", F.lit("target"))), f"select 'source' as side, count(*) as n from ({DUCK_FEED}) union all select 'target', count(*) from ({TARGET_SQL})"),
-    "describe_schema": (lambda s, d: io.describe(target(s, d)).join(target(s, d).agg(F.count("*").alias("n_rows")), how="cross"), f"select x.*, (select count(*) from ({TARGET_SQL})) as n_rows from (values (1, 'order_id', 'bigint'), (2, 'customer_id', 'bigint'), (3, 'status', 'string'), (4, 'status_code', 'string'), (5, 'total', 'decimal(38,2)'), (6, 'order_date', 'date'), (7, 'priority', 'string'), (8, 'label', 'string')) x(position, name, type)"),
-    "load_expected": (_load, _CTE + "select cast(cast(trunc(kd) as bigint) as varchar) as order_id, customer_id, status, total, case when order_date = 'not-a-date' then null else order_date end as order_date, nullif(f.o_orderpriority, '') as priority from e1 join feed f using (seq)"),
-    "run_summary": (_written_summary, None),
-    "contract_schema": (lambda s, d: s.createDataFrame([(c.name, c.sql_type, c.nullable) for c in CONTRACT.columns], "name string, type string, nullable boolean").join(feed(s, d).agg(F.count("*").alias("n_rows")), how="cross"), f"select x.*, (select count(*) from ({DUCK_FEED})) as n_rows from (values ('order_id', 'bigint', false), ('customer_id', 'bigint', false), ('status', 'string', false), ('status_code', 'string', false), ('total', 'decimal(38,2)', false), ('order_date', 'date', false), ('priority', 'string', false), ('label', 'string', false)) x(name, type, nullable)"),
-    "header_errors": (_header, "select 'header_name' as \"check\", cast(4 as bigint) as position, 'header column 4: expected ''o_totalprice'', got ''total_price''' as message"),
-    "encoding_errors": (_encoding, "select count(*) as bad_lines from customer where c_custkey % 29 = 0"),
-    "ragged_rows": (_ragged, f"select concat_ws(',', o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate) as record, o_orderkey from ({DUCK_FEED}) where seq % 53 = 1"),
-    "row_count_check": (lambda s, d: files.row_count_check(feed(s, d), 7), f"select count(*) as n, 'row count: expected 7, got ' || count(*) as message from ({DUCK_FEED})"),
-    "control_totals": (lambda s, d: files.control_totals(_t(s, d, "events"), "value"), "select count(value) as n, cast(sum(cast(value as decimal(18,2))) as varchar) as total, cast(min(cast(value as decimal(18,2))) as varchar) as least, cast(max(cast(value as decimal(18,2))) as varchar) as greatest from events"),
-    "map_columns": (lambda s, d: _expected(s, d).select("order_id", "customer_id", "status_code"), f"select o_orderkey as order_id, o_custkey as customer_id, o_orderstatus as status_code from ({DUCK_FEED})"),
-    "transform_template": (_transform("customer", "c_custkey", "{c_name} <{c_mktsegment}>"), "select c_custkey as k, concat(c_name, ' <', c_mktsegment, '>') as value from customer"),
-    "transform_lower": (_transform("customer", "c_custkey", "lower({c_name})"), "select c_custkey as k, lower(c_name) as value from customer"),
-    "transform_upper": (_transform("customer", "c_custkey", "upper({c_mktsegment}-{c_name})"), "select c_custkey as k, upper(concat(c_mktsegment, '-', c_name)) as value from customer"),
-    "transform_strip": (_transform("customer", "c_custkey", "strip(  {c_mktsegment}  )"), "select c_custkey as k, c_mktsegment as value from customer"),
-    "transform_round": (lambda s, d: _t(s, d, "customer").withColumn("b", F.col("c_acctbal").cast("decimal(18,2)").cast("string")).select(F.col("c_custkey").alias("k"), compiled(parse("round(b, 1)", {"b"})).alias("value")), "select c_custkey as k, cast(cast(round(cast(c_acctbal as decimal(18,2)), 1) as decimal(38,1)) as varchar) as value from customer"),
-    "transform_direct_call": (_transform("customer", "c_custkey", "upper(c_mktsegment)"), "select c_custkey as k, upper(c_mktsegment) as value from customer"),
-    "expected_rows": (lambda s, d: _expected(s, d).drop("seq"), f"select o_orderkey as order_id, o_custkey as customer_id, lower(o_orderstatus) as status, o_orderstatus as status_code, cast(cast(round(cast(o_totalprice as decimal(38,2)), 1) as decimal(38,1)) as varchar) as total, o_orderdate as order_date, o_orderpriority as priority, concat(o_orderpriority, '/', o_orderstatus) as label from ({DUCK_FEED})"),
-    "normalize_integer": (_values("orders", "o_orderkey", {"type": "integer"}, "o_orderkey", lambda c, k: F.when(k % 3 == 0, F.concat(F.lit(" -"), c.cast("string"), F.lit(".7 "))).when(k % 3 == 1, F.concat(F.lit("x"), c.cast("string"))).otherwise(c.cast("string"))), "select o_orderkey as k, case when o_orderkey % 3 = 0 then cast(case when o_orderkey = 0 then 0 else -o_orderkey end as varchar) when o_orderkey % 3 = 2 then cast(o_orderkey as varchar) end as value, case when o_orderkey % 3 = 1 then 'x' || o_orderkey end as unreadable from orders"),
-    "normalize_decimal": (_values("orders", "o_totalprice", {"type": "decimal", "scale": 1}, "o_orderkey", lambda c, k: c.cast("decimal(18,2)").cast("string")), "select o_orderkey as k, cast(cast(round(cast(o_totalprice as decimal(18,2)), 1) as decimal(38,1)) as varchar) as value, cast(null as varchar) as unreadable from orders"),
-    "normalize_date": (_values("orders", "o_orderdate", {"type": "date"}, "o_orderkey", lambda c, k: F.when(k % 7 == 0, "2024-02-30").otherwise(F.date_format(c, " yyyy-M-d"))), "select o_orderkey as k, case when o_orderkey % 7 <> 0 then strftime(o_orderdate, '%Y-%m-%d') end as value, case when o_orderkey % 7 = 0 then '2024-02-30' end as unreadable from orders"),
-    "normalize_timestamp": (lambda s, d: _values("events", "ts", {"type": "timestamp"}, "event_id", lambda c, k: F.when(k % 5 == 0, "soon").otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")))(s, d).withColumn("value", F.substring("value", 1, 19)), "select event_id as k, case when event_id % 5 <> 0 then strftime(ts, '%Y-%m-%d %H:%M:%S') end as value, case when event_id % 5 = 0 then 'soon' end as unreadable from events"),
-    "normalize_boolean": (_values("orders", "o_orderkey", {"type": "boolean"}, "o_orderkey", lambda c, k: F.element_at(F.array(*map(F.lit, ["TRUE", " t ", "yes", "0", "maybe", ""])), (k % 6 + 1).cast("int"))), "select o_orderkey as k, case when o_orderkey % 6 < 3 then 'true' when o_orderkey % 6 < 5 then 'false' end as value, cast(null as varchar) as unreadable from orders"),
-    "normalize_string": (_values("customer", "c_name", {"type": "string"}, "c_custkey", lambda c, k: F.concat(F.lit("\t "), c, F.lit(" \n"))), "select c_custkey as k, c_name as value, cast(null as varchar) as unreadable from customer"),
-    "normalize_blank": (_values("orders", "o_orderpriority", {"type": "string"}, "o_orderkey", lambda c, k: F.when(k % 4 == 0, "   ").when(k % 4 == 1, None).otherwise(c)), "select o_orderkey as k, case when o_orderkey % 4 > 1 then o_orderpriority end as value, cast(null as varchar) as unreadable from orders"),
-    **{f"rule_{r}": (_rule(r), _CTE + f"select rule_id, \"column\", failing_rows from r where split_part(rule_id, ':', 1) = '{r}'") for r in _RULES},
-    "dq_report": (lambda s, d: _report(s, d).select("rule_id", "column", "failing_rows"), _CTE + 'select rule_id, "column", failing_rows from r'),
-    "dq_samples": (lambda s, d: _report(s, d).select("rule_id", F.to_json("samples").alias("samples")), _CTE + "select rule_id, cast(samples as varchar) as samples from r"),
-    "dq_totals": (lambda s, d: rules.totals(_report(s, d)), _CTE + "select count(*) as failing_rules, cast(sum(failing_rows) as bigint) as failing_rows from r"),
-    "schema_errors": (lambda s, d: s.createDataFrame([(m,) for m in schema_check.schema_errors(_t(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.lit("x").alias("status"), F.col("o_orderstatus").alias("status_code"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").cast("date").alias("order_date"), F.col("o_orderpriority").alias("priority")), CONTRACT) if "order/count" not in m], "message string").join(_t(s, d, "orders").agg(F.count("*").alias("n_rows")), how="cross"), "select message, (select count(*) from orders) as n_rows from (values ('column ''total'' type mismatch: expected decimal, got double'), ('missing column ''label''')) x(message)"),
-    "nullability_check": (lambda s, d: schema_check.null_counts(target(s, d), CONTRACT), " union all ".join(f"select '{c}' as \"column\", count(*) filter (where {c} is null) as nulls from ({TARGET_SQL})" for c in ["order_id", "customer_id", "status", "status_code", "total", "order_date", "priority", "label"])),
-    "key_integrity": (lambda s, d: schema_check.key_integrity(_lines(s, d)[0], LINE_CONTRACT), "select cast(0 as bigint) as null_keys, count(*) filter (where n > 1) as duplicate_keys, cast(sum(n - 1) as bigint) as surplus_rows from (select count(*) as n from lineitem group by l_orderkey, l_linenumber)"),
-    "normalized_keys": (lambda s, d: compare.with_keys(_expected(s, d), CONTRACT).select("seq", F.col("__k0").alias("key")), _CTE + "select seq, case when kd is null then 'B:' || kraw else 'V:' || order_id end as key from e1"),
-    "last_wins": (_last_wins, _LINES + "select cast(order_id as varchar) as order_id, cast(line as varchar) as line, cast(quantity as varchar) as quantity, flag from l where n = 1"),
-    "missing_in_target": (lambda s, d: compare.missing(_joined(s, d), CONTRACT), _CTE + "select order_id from j where kind = 'missing'"),
-    "extra_in_target": (lambda s, d: compare.extra(_joined(s, d), CONTRACT), _CTE + "select order_id from j where kind = 'extra'"),
-    "column_diffs": (lambda s, d: compare.diffs(_joined(s, d), CONTRACT), _CTE + "select * from d"),
-    "column_diffs_subset": (lambda s, d: compare.diffs(_joined(s, d, ["total", "priority"]), CONTRACT), _CTE + "select * from d where \"column\" in ('total', 'priority')"),
-    "recon_counts": (lambda s, d: compare.counts(_joined(s, d), _expected(s, d), target(s, d)), _CTE + f"select *, missing + extra + diffs as mismatch_count from (select {_COUNTS})"),
-    "transform_diffs": (lambda s, d: compare.transform_diffs(_joined(s, d), CONTRACT), _CTE + "select * from d where \"column\" in ('status', 'total', 'label')"),
-    "mismatch_detail": (lambda s, d: compare.detail(_joined(s, d), CONTRACT), _CTE + "select * from (select order_id, null as \"column\", null as expected, null as actual, kind from j where kind = 'missing' order by order_id limit 10) union all select * from (select order_id, null, null, null, kind from j where kind = 'extra' order by order_id limit 10) union all select * from (select *, 'diff' from d order by order_id, \"column\" limit 10)"),
-    "composite_key_compare": (_composite, _LINES + ", e as (select * from l where n = 1), a as (select * from (select * exclude (n), row_number() over (partition by order_id, line order by n) as n from l where order_id % 50 <> 0) where n = 1), c as (select (select count(*) from l) as source_count, (select count(*) from l where order_id % 50 <> 0) as target_count, (select count(*) from e anti join a using (order_id, line)) as missing, cast(0 as bigint) as extra, (select count(*) from a where l_partkey % 41 = 0) as diffs) select *, missing + extra + diffs as mismatch_count from c"),
-    "full_reconciliation": (_summary, None),
-    "failure_layers": (lambda s, d: report.failure_layers(_joined(s, d), _report(s, d), CONTRACT), _CTE + "select layer, cast(sum(n) as bigint) as failures from (select 'source data' as layer, failing_rows as n from r union all select 'load', 1 from j where kind <> 'matched' union all select case when \"column\" in ('status', 'total', 'label') then 'transform' else 'load' end, 1 from d) group by layer"),
-    "mismatch_clusters": (lambda s, d: report.mismatch_clusters(_joined(s, d), CONTRACT), _CTE + f'select "column", {_KIND} as kind, count(*) as cells, min(order_id) as example from d group by 1, 2'),
-    "batch_aggregates": (lambda s, d: report.batch_aggregates(_expected(s, d), target(s, d), {"rows": "count(*)", "total": "sum(cast(total as decimal(18,2)))", "customers": "count(distinct cast(customer_id as bigint))"}), _CTE + "select metric, expected, actual, expected = actual as agrees from (select unnest(['rows', 'total', 'customers']) as metric, unnest((select [cast(count(*) as varchar), cast(sum(cast(total as decimal(18,2))) as varchar), cast(count(distinct customer_id) as varchar)] from e1)) as expected, unnest((select [cast(count(*) as varchar), cast(sum(cast(total as decimal(18,2))) as varchar), cast(count(distinct customer_id) as varchar)] from target)) as actual)"),
-    "row_hash_compare": (lambda s, d: compare.differing_keys(_expected(s, d), target(s, d), CONTRACT, (["seq"], ["order_id"])), _CTE + "select distinct order_id from d"),
-    "run_trend": (_trend, "select 'orders' as contract, 'test' as environment, y || '-01-01T00:00:00' as timestamp, n as mismatch_count, cast(lag(n) over (order by y) as varchar) as before, cast(n - lag(n) over (order by y) as varchar) as change from (select cast(year(o_orderdate) as varchar) as y, count(*) filter (where o_totalprice > 200000) as n from orders group by 1)"),
-}
-_SUMMARY_SQL = _CTE + f"select 'orders' as contract, '1.0' as contract_version, 'test' as environment, target_count, source_count, missing + extra + diffs as mismatch_count, (select cast(sum(failing_rows) as bigint) from r) as validation_rule_failures, cast(0 as bigint) as schema_errors, 'FAIL' as final_status, '2024-01-01T00:00:00' as timestamp from (select {_COUNTS})"
-QUERIES = {k: q for k, (q, _) in DEMO.items()}
-ORACLE_SQL = {k: sql or _SUMMARY_SQL for k, (_, sql) in DEMO.items()}
+def extra_in_target(spark: SparkSession, d: str) -> DataFrame:
+    return compare.extra(_joined(spark, d), CONTRACT)
+
+
+def column_diffs(spark: SparkSession, d: str) -> DataFrame:
+    return compare.diffs(_joined(spark, d), CONTRACT)
+
+
+def column_diffs_subset(spark: SparkSession, d: str) -> DataFrame:
+    return compare.diffs(_joined(spark, d, ["total", "priority"]), CONTRACT)
+
+
+def recon_counts(spark: SparkSession, d: str) -> DataFrame:
+    return compare.counts(_joined(spark, d))
+
+
+def transform_diffs(spark: SparkSession, d: str) -> DataFrame:
+    return compare.transform_diffs(_joined(spark, d), CONTRACT)
+
+
+def mismatch_detail(spark: SparkSession, d: str) -> DataFrame:
+    return compare.detail(_joined(spark, d), CONTRACT)
+
+
+def composite_key_compare(spark: SparkSession, d: str) -> DataFrame:
+    return compare.counts(compare.joined(*_lines(spark, d), LINE_CONTRACT, (["at"], ["at"])))
+
+
+def row_hash_compare(spark: SparkSession, d: str) -> DataFrame:
+    return compare.differing_keys(_expected(spark, d), target(spark, d), CONTRACT, (["seq"], ["order_id"]))
+
+
+# --- runs and reports
+
+
+def full_reconciliation(spark: SparkSession, d: str) -> DataFrame:
+    """All steps although the first ones fail, for the whole picture; the gates have queries of
+    their own."""
+    return pipeline.reconcile(CONTRACT, feed(spark, d), target(spark, d), ["seq"], ["order_id"], timestamp="2024-01-01T00:00:00", stop_at_gates=False).summary
+
+
+def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    path = _folder(spark, "summary")
+    summary = full_reconciliation(spark, d)
+    io.write_summary(summary, path)
+    return spark.read.schema(summary.schema).json(path)
+
+
+def _gated(spark: SparkSession, rows: DataFrame, header: list[str] = FEED_COLUMNS, live: DataFrame | None = None) -> DataFrame:
+    """A whole run over files: with a load, or against ``live`` as it was loaded before."""
+    feed_path = _write_csv(rows, header, FEED_COLUMNS, _folder(spark, "feed"))
+    target_path = _folder(spark, "target")
+    if live is not None:
+        live.write.parquet(target_path)
+    return pipeline.stage_of(pipeline.run(spark, RUN_CONTRACT, feed_path, target_path, load=live is None))
+
+
+def _loaded(spark: SparkSession, d: str) -> DataFrame:
+    return io.typed(expected(clean_feed(spark, d), RUN_CONTRACT), RUN_CONTRACT)
+
+
+def gate_pass(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, clean_feed(spark, d))
+
+
+def gate_files(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, clean_feed(spark, d), ["key", *FEED_COLUMNS[1:]])
+
+
+def gate_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, feed(spark, d))
+
+
+def gate_schema(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, clean_feed(spark, d), live=_loaded(spark, d).drop("label"))
+
+
+def gate_count(spark: SparkSession, d: str) -> DataFrame:
+    return _gated(spark, clean_feed(spark, d), live=_loaded(spark, d).where("order_id % 50 <> 0"))
+
+
+def gate_compare(spark: SparkSession, d: str) -> DataFrame:
+    total = F.when(F.col("order_id") % 41 == 0, F.col("total") + F.lit("0.01").cast("decimal(3,2)")).otherwise(F.col("total"))
+    return _gated(spark, clean_feed(spark, d), live=_loaded(spark, d).withColumn("total", total.cast("decimal(38,2)")))
+
+
+def failure_layers(spark: SparkSession, d: str) -> DataFrame:
+    return report.failure_layers(_joined(spark, d), _report(spark, d), CONTRACT)
+
+
+def mismatch_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return report.mismatch_clusters(_joined(spark, d), CONTRACT)
+
+
+def batch_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    metrics = {"rows": "count(*)", "total": "sum(cast(total as decimal(18,2)))", "customers": "count(distinct cast(customer_id as bigint))"}
+    return report.batch_aggregates(_expected(spark, d), target(spark, d), metrics)
+
+
+def run_trend(spark: SparkSession, d: str) -> DataFrame:
+    """History: one run per order year; its mismatches are the orders over 200,000."""
+    runs = _t(spark, d, "orders").groupBy(F.year("o_orderdate").cast("string").alias("y")).agg(F.count_if(F.col("o_totalprice") > 200000).alias("mismatch_count"))
+    summaries = runs.select(F.lit("orders").alias("contract"), F.lit("test").alias("environment"), F.concat("y", F.lit("-01-01T00:00:00")).alias("timestamp"), "mismatch_count", "y")
+    path = _folder(spark, "history")
+    for i in range(2):  # two batches of runs, as a history grows
+        io.append_history(summaries.where(F.col("y").cast("int") % 2 == i).drop("y"), path, "run-")
+    history = spark.read.parquet(path).withColumn("run_id", F.concat("run_id", F.substring("timestamp", 1, 4)))
+    return report.trend(history).select("contract", "environment", "timestamp", "run_id", "mismatch_count", F.col("before").cast("string"), F.col("change").cast("string"))
+
+
+_TRANSFORMS: dict[str, Query] = {
+    "transform_template": _transform("{c_name} <{c_mktsegment}>"),
+    "transform_lower": _transform("lower({c_name})"),
+    "transform_upper": _transform("upper({c_mktsegment}-{c_name})"),
+    "transform_strip": _transform("strip(padded)", _padded),
+    "transform_direct_call": _transform("upper(c_mktsegment)"),
+}
+_NORMAL_FORMS: dict[str, Query] = {
+    "normalize_integer": _values("orders", "o_orderkey", "o_orderkey", _integers, type="integer"),
+    "normalize_decimal": _values("orders", "o_totalprice", "o_orderkey", lambda c, k: c.cast("decimal(18,2)").cast("string"), type="decimal", scale=1),
+    "normalize_date": _values("orders", "o_orderdate", "o_orderkey", _dates, type="date"),
+    "normalize_timestamp": _values("events", "ts", "event_id", _times, type="timestamp"),
+    "normalize_boolean": _values("orders", "o_orderkey", "o_orderkey", lambda c, k: _of_list(["TRUE", " t ", "yes", "0", "maybe", ""], k), type="boolean"),
+    "normalize_string": _values("customer", "c_name", "c_custkey", lambda c, k: F.concat(F.lit("\t "), c, F.lit(" \n")), type="string"),
+}
+_NAMED = [
+    read_feed, read_target, target_query, row_counts, describe_schema, load_expected, contract_schema, run_summary, feed_files, header_errors, header_count_errors, encoding_errors,
+    encoding_declared, ragged_rows, ragged_errors, row_count_errors, row_count_check, control_totals, map_columns, transform_round, expected_rows, normalize_blank, normalize_edges,
+    range_edges, dq_report, dq_samples, dq_totals, schema_errors, nullability_check, key_integrity, normalized_keys, last_wins, missing_in_target, extra_in_target, column_diffs,
+    column_diffs_subset, recon_counts, transform_diffs, mismatch_detail, composite_key_compare, full_reconciliation, gate_pass, gate_files, gate_rules, gate_schema, gate_count,
+    gate_compare, failure_layers, mismatch_clusters, batch_aggregates, row_hash_compare, run_trend,
+]
+QUERIES: dict[str, Query] = {f.__name__: f for f in _NAMED} | _TRANSFORMS | _NORMAL_FORMS | {f"rule_{x}": _rule(x) for x in demo_sql.RULES}
+ORACLE_SQL: dict[str, str] = demo_sql.SQL

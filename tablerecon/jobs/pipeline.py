@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.transforms import expected as expected_rows
 from ..operators import compare, rules, schema_check
+from ..sources import files, io
+
+SUMMARY = (
+    "contract string, contract_version string, environment string, target_count long, source_count long, mismatch_count long, "
+    "validation_rule_failures long, schema_errors long, final_status string, timestamp string"
+)
+#: file findings that a run keeps
+MOST_ERRORS = 100
 
 
 @dataclass
@@ -19,42 +28,120 @@ class Run:
     rows: DataFrame | None = None
 
 
-def reconcile(contract, feed: DataFrame, target: DataFrame | None, feed_order: list[str], target_order: list[str], environment: str = "test", timestamp: str = "1970-01-01T00:00:00", file_errors: list[str] | None = None, stop_at_gates: bool = True) -> Run:
-    """File checks, rules, schema, count, comparison; the first failing gate stops the run
-    unless told otherwise, and the summary is made in any case. Only counts reach the driver."""
-    spark = feed.sparkSession
-    got = {"target_count": 0, "source_count": feed.count(), "mismatch_count": 0, "validation_rule_failures": 0, "schema_errors": 0}
-    failed: list[str] = []
-    rows = None
-
-    def gate(name: str, bad: bool) -> bool:
+class _Gates:
+    """What has failed so far; ``closed`` after the first failure, if gates stop the run."""
+
+    def __init__(self, stop: bool):
+        self.stop, self.failed = stop, []
+
+    def check(self, name: str, bad: bool) -> None:
         if bad:
-            failed.append(name)
-        return bool(failed) and stop_at_gates
-
-    errors = list(file_errors or [])
-    done = gate("files", bool(errors))
-    if not done:
-        bad = rules.totals(rules.report(feed, contract, feed_order)).first()
-        got["validation_rule_failures"] = bad["failing_rows"]
-        done = gate("rules", bad["failing_rules"] > 0)
-    if not done:
-        own = schema_check.schema_errors(target, contract)
-        errors += own
-        got["schema_errors"] = len(own)
-        done = gate("schema", bool(own)) or target is None
-    if not done:
-        got["target_count"] = target.count()
-        want = contract.metadata.get("expected_row_count", got["source_count"])
-        done = gate("count", got["target_count"] != want)
-    if not done:
-        exp = expected_rows(feed, contract, carry=[c for c in feed_order if c not in {x.name for x in contract.columns}])
-        rows = compare.joined(exp, target, contract, (feed_order, target_order))
-        got["mismatch_count"] = compare.counts(rows, exp, target).first()["mismatch_count"]
-        gate("compare", got["mismatch_count"] > 0)
-    status = "FAIL" if failed else "PASS"
-    summary = spark.createDataFrame(
-        [(contract.name, contract.version, environment, *[int(v) for v in got.values()], status, timestamp)],
-        "contract string, contract_version string, environment string, target_count long, source_count long, mismatch_count long, validation_rule_failures long, schema_errors long, final_status string, timestamp string",
-    )
-    return Run(status, failed[0] if failed else None, summary, errors, rows)
+            self.failed.append(name)
+
+    @property
+    def closed(self) -> bool:
+        return bool(self.failed) and self.stop
+
+
+def file_errors(spark: SparkSession, path: str, contract) -> list[str]:
+    """Messages of the header and metadata checks, up to MOST_ERRORS of each."""
+    header = files.header_errors(spark, path, contract) if contract.source.get("header", True) else None
+    found = [r["message"] for r in header.limit(MOST_ERRORS).collect()] if header is not None else []
+    return found + [r["message"] for r in files.metadata_errors(spark, path, contract).limit(MOST_ERRORS).collect()]
+
+
+def _after_load(gates: _Gates, got: dict[str, int], contract, expected: DataFrame, target: DataFrame | None, order: tuple[list[str], list[str]], errors: list[str]) -> DataFrame | None:
+    """Schema, count and comparison of a target with the expected rows."""
+    own = schema_check.schema_errors(target, contract)
+    errors += own
+    got["schema_errors"] = len(own)
+    gates.check("schema", bool(own))
+    if gates.closed or target is None or set(target.columns) != {c.name for c in contract.columns}:
+        return None
+    rows = compare.joined(expected, target, contract, order)
+    counts = compare.counts(rows).first()
+    got["target_count"] = counts["target_count"]
+    gates.check("count", counts["target_count"] != contract.metadata.get("expected_row_count", counts["source_count"]))
+    if gates.closed:
+        return None
+    got["mismatch_count"] = counts["mismatch_count"]
+    gates.check("compare", counts["mismatch_count"] > 0)
+    return rows
+
+
+def _finish(spark: SparkSession, contract, gates: _Gates, got: dict[str, int], errors: list[str], rows: DataFrame | None, environment: str, timestamp: str) -> Run:
+    status = "FAIL" if gates.failed else "PASS"
+    order = ("target_count", "source_count", "mismatch_count", "validation_rule_failures", "schema_errors")
+    values = (contract.name, contract.version, environment, *[int(got[k]) for k in order], status, timestamp)
+    return Run(status, gates.failed[0] if gates.failed else None, spark.createDataFrame([values], SUMMARY), errors, rows)
+
+
+def _nothing() -> dict[str, int]:
+    return {"target_count": 0, "source_count": 0, "mismatch_count": 0, "validation_rule_failures": 0, "schema_errors": 0}
+
+
+def _rules(gates: _Gates, got: dict[str, int], contract, feed: DataFrame) -> None:
+    bad = rules.failing_counts(feed, contract)
+    got["validation_rule_failures"] = sum(n for _, n in bad.values())
+    gates.check("rules", bool(bad))
+
+
+def _carried(contract, order: list[str]) -> list[str]:
+    return [c for c in order if c not in {x.name for x in contract.columns}]
+
+
+def reconcile(contract, feed: DataFrame, target: DataFrame | None, feed_order: list[str], target_order: list[str], environment: str = "test", timestamp: str = "1970-01-01T00:00:00", file_errors: list[str] | None = None, stop_at_gates: bool = True) -> Run:
+    """A feed and a target that are there already: file findings (from the caller), rules,
+    schema, count, comparison. The first failing gate stops the run unless told otherwise, and
+    the summary is made in any case. Only counts reach the driver."""
+    gates, got, errors, rows = _Gates(stop_at_gates), _nothing(), list(file_errors or []), None
+    got["source_count"] = feed.count()
+    gates.check("files", bool(errors))
+    if not gates.closed:
+        _rules(gates, got, contract, feed)
+    if not gates.closed:
+        expected = expected_rows(feed, contract, carry=_carried(contract, feed_order))
+        rows = _after_load(gates, got, contract, expected, target, (feed_order, target_order), errors)
+    return _finish(feed.sparkSession, contract, gates, got, errors, rows, environment, timestamp)
+
+
+def run(spark: SparkSession, contract, feed_path: str, target_path: str, load: bool = True, read_only: bool = False, environment: str = "test", timestamp: str = "1970-01-01T00:00:00", stop_at_gates: bool = True) -> Run:
+    """From feed files to a verdict: header and metadata checks, rules, load of the expected
+    rows into ``target_path`` (with ``load``; else what is there is checked), schema, count,
+    comparison. The first failing gate stops the run, so nothing is loaded from a feed that
+    failed before; the summary is made in any case.
+
+    Rows of one key that occur more than once are taken in file order, target rows by all of
+    their columns.
+    """
+    gates, got, rows = _Gates(stop_at_gates), _nothing(), None
+    errors = file_errors(spark, feed_path, contract)
+    gates.check("files", bool(errors))
+    feed = files.with_order(files.read_feed(spark, feed_path, contract), "__order")
+    if not gates.closed:
+        got["source_count"] = feed.count()
+        _rules(gates, got, contract, feed)
+    if not gates.closed:
+        expected = expected_rows(feed, contract, carry=["__order"])
+        if load:
+            io.load_expected(expected.drop("__order"), contract, target_path, read_only)
+        target = _read_or_none(spark, contract, target_path)
+        order = (["__order"], [c for c in target.columns] if target is not None else [])
+        rows = _after_load(gates, got, contract, expected, target, order, errors)
+    return _finish(spark, contract, gates, got, errors, rows, environment, timestamp)
+
+
+def _read_or_none(spark: SparkSession, contract, path: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def stage_of(run_: Run) -> DataFrame:
+    """The summary with the gate that stopped the run, if any."""
+    return run_.summary.withColumn("stopped_at", F.lit(run_.stopped_at).cast("string"))

@@ -1,61 +1,77 @@
 """Keyed comparison of an expected and an actual table.
 
 Key parts are never null, so one equality partitioning serves the last-wins step and the full
-outer join: one exchange a side. Duplicates are reduced before the join, which leaves no key
-that could be skewed.
+outer join: one exchange a side. The last-wins step is an aggregate that combines before the
+exchange, so a key that holds much of a table costs a row a task, and it counts the rows of
+each key on the way: all counts of a comparison come from the join itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import normalize
 
+_CELLS = "array<struct<column:string,expected:string,actual:string>>"
+
 
 def with_keys(df: DataFrame, contract) -> DataFrame:
     """Adds a text part per key column: V: and the value, N: for null, B: and unreadable text."""
-    out = df
-    for i, k in enumerate(contract.keys):
-        v = normalize(F.col(k), contract.column(k))
-        out = out.withColumn(f"__k{i}", F.when(v.typed.isNotNull(), F.concat(F.lit("V:"), v.typed.cast("string"))).when(v.raw.isNotNull(), F.concat(F.lit("B:"), v.raw)).otherwise("N:"))
-    return out
+    parts = {f"__k{i}": normalize(F.col(k), contract.column(k)).part() for i, k in enumerate(contract.keys)}
+    return df.withColumns(parts)
 
 
 def key_names(contract) -> list[str]:
     return [f"__k{i}" for i in range(len(contract.keys))]
 
 
+def shown_keys(contract) -> list[Column]:
+    """The key columns as text again."""
+    return [F.when(F.col(f"__k{i}") != "N:", F.substring(f"__k{i}", 3, 1 << 30)).alias(k) for i, k in enumerate(contract.keys)]
+
+
+def _last(df: DataFrame, contract, value: Column, order_by: list[str]) -> DataFrame:
+    """Key parts, ``row`` (``value`` of the key's last row in ``order_by``) and ``rows``, their
+    number."""
+    keyed = with_keys(df, contract)
+    last = F.max_by(value, F.struct(*order_by))
+    return keyed.groupBy(*key_names(contract)).agg(last.alias("row"), F.count("*").alias("rows"))
+
+
 def last_wins(df: DataFrame, contract, order_by: list[str]) -> DataFrame:
-    """One row a key: the last in ``order_by``."""
-    w = Window.partitionBy(*key_names(contract)).orderBy(*[F.col(c).desc() for c in order_by])
-    return with_keys(df, contract).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """One row a key, the last in ``order_by``, with its key parts. Rows that tie in it may take
+    each other's places."""
+    names = df.columns
+    return _last(df, contract, F.struct(*names), order_by).select(*[F.col("row")[c].alias(c) for c in names], *key_names(contract))
 
 
 def _side(df: DataFrame, contract, columns: list[str], order_by: list[str], name: str) -> DataFrame:
-    rows = last_wins(df, contract, order_by)
-    cols = []
+    cells = []
     for c in columns:
-        v = normalize(F.col(c), contract.column(c))
-        cols.append(F.struct(v.typed.alias("typed"), v.raw.alias("raw"), v.shown().alias("shown")).alias(c))
-    return rows.select(*key_names(contract), F.struct(F.lit(True).alias("here"), *cols).alias(name))
+        v = normalize(F.col("row")[c], contract.column(c))
+        cells.append(F.struct(v.typed.alias("typed"), v.raw.alias("raw"), v.shown().alias("shown")).alias(c))
+    rows = _last(df, contract, F.struct(*(columns or key_names(contract)[:1])), order_by)
+    return rows.select(*key_names(contract), F.struct(F.col("rows"), *cells).alias(name))
 
 
 def joined(expected: DataFrame, actual: DataFrame, contract, order_by: tuple[list[str], list[str]], columns: list[str] | None = None) -> DataFrame:
-    """``kind`` (missing, extra, matched), the keys as text and ``diffs``, an array of differing
-    cells. Keys are not compared again; null equals null."""
+    """``kind`` (missing, extra, matched), the keys as text, ``source_rows`` and ``target_rows``
+    of the key, and ``diffs``, an array of differing cells. Keys are not compared again; null
+    equals null."""
     names = [c for c in columns or [c.name for c in contract.columns] if c not in contract.keys]
     e, a = _side(expected, contract, names, order_by[0], "e"), _side(actual, contract, names, order_by[1], "a")
     both = e.join(a, key_names(contract), "full_outer")
-    cells = [
-        F.when(~(F.col(f"e.{c}.typed").eqNullSafe(F.col(f"a.{c}.typed")) & F.col(f"e.{c}.raw").eqNullSafe(F.col(f"a.{c}.raw"))), F.struct(F.lit(c).alias("column"), F.col(f"e.{c}.shown").alias("expected"), F.col(f"a.{c}.shown").alias("actual")))
-        for c in names
-    ]
+    cells = []
+    for c in names:
+        same = F.col(f"e.{c}.typed").eqNullSafe(F.col(f"a.{c}.typed")) & F.col(f"e.{c}.raw").eqNullSafe(F.col(f"a.{c}.raw"))
+        cell = F.struct(F.lit(c).alias("column"), F.col(f"e.{c}.shown").alias("expected"), F.col(f"a.{c}.shown").alias("actual"))
+        cells.append(F.when(~same, cell))
     kind = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra").otherwise("matched")
-    none = F.array().cast("array<struct<column:string,expected:string,actual:string>>")
+    none = F.array().cast(_CELLS)
     diffs = F.when(kind == "matched", F.array_compact(F.array(*cells)) if cells else none).otherwise(none)
-    keys = [F.when(F.col(f"__k{i}") != "N:", F.substring(f"__k{i}", 3, 1 << 30)).alias(k) for i, k in enumerate(contract.keys)]
-    return both.select(*keys, kind.alias("kind"), diffs.alias("diffs"))
+    rows = [F.coalesce(F.col(f"{side}.rows"), F.lit(0)).alias(name) for side, name in (("e", "source_rows"), ("a", "target_rows"))]
+    return both.select(*shown_keys(contract), kind.alias("kind"), diffs.alias("diffs"), *rows)
 
 
 def missing(rows: DataFrame, contract) -> DataFrame:
@@ -75,33 +91,45 @@ def transform_diffs(rows: DataFrame, contract) -> DataFrame:
     return diffs(rows, contract).where(F.col("column").isin([c.name for c in contract.columns if c.transform]))
 
 
-def counts(rows: DataFrame, expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """One row; source and target counts are of all rows, duplicates included."""
-    tally = rows.agg(F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "extra").alias("extra"), F.coalesce(F.sum(F.size("diffs")), F.lit(0)).cast("long").alias("diffs"))
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    return n(expected, "source_count").crossJoin(n(actual, "target_count")).crossJoin(tally).withColumn("mismatch_count", F.expr("missing + extra + diffs"))  # one row each
+def counts(rows: DataFrame) -> DataFrame:
+    """One row, in one pass over the join; source and target counts are of all rows, duplicates
+    included."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    tally = rows.agg(
+        total(F.col("source_rows")).alias("source_count"),
+        total(F.col("target_rows")).alias("target_count"),
+        F.count_if(F.col("kind") == "missing").alias("missing"),
+        F.count_if(F.col("kind") == "extra").alias("extra"),
+        total(F.size("diffs")).alias("diffs"),
+    )
+    return tally.withColumn("mismatch_count", F.expr("missing + extra + diffs"))
 
 
 def detail(rows: DataFrame, contract, limit: int = 10) -> DataFrame:
     """The first ``limit`` of each list, by key."""
     none = F.lit(None).cast("string")
-    part = lambda df, kind: df.orderBy(*contract.keys, *(["column"] if kind == "diff" else [])).limit(limit).withColumn("kind", F.lit(kind))
-    keys_only = lambda df: df.select(*contract.keys, none.alias("column"), none.alias("expected"), none.alias("actual"))
-    return part(keys_only(missing(rows, contract)), "missing").unionByName(part(keys_only(extra(rows, contract)), "extra")).unionByName(part(diffs(rows, contract), "diff"))
+
+    def part(df: DataFrame, kind: str) -> DataFrame:
+        order = [*contract.keys, *(["column"] if kind == "diff" else [])]
+        return df.orderBy(*order).limit(limit).withColumn("kind", F.lit(kind))
+
+    def keys_only(df: DataFrame) -> DataFrame:
+        return df.select(*contract.keys, none.alias("column"), none.alias("expected"), none.alias("actual"))
+
+    out = part(keys_only(missing(rows, contract)), "missing")
+    return out.unionByName(part(keys_only(extra(rows, contract)), "extra")).unionByName(part(diffs(rows, contract), "diff"))
 
 
 def row_hashes(df: DataFrame, contract, order_by: list[str]) -> DataFrame:
-    """Keys and one digest of all normal forms, nulls and unreadable text marked."""
-    parts = []
-    for c in contract.columns:
-        v = normalize(F.col(c.name), c)
-        parts.append(F.when(v.typed.isNotNull(), F.concat(F.lit("V:"), v.typed.cast("string"))).when(v.raw.isNotNull(), F.concat(F.lit("B:"), v.raw)).otherwise("N:"))
-    return last_wins(df, contract, order_by).select(*key_names(contract), F.sha2(F.to_json(F.array(*parts)), 256).alias("digest"))
+    """Keys and one digest of all normal forms, nulls and unreadable text marked. Digests are
+    made before the last-wins step, so only they are shuffled."""
+    parts = [normalize(F.col(c.name), c).part() for c in contract.columns]
+    digest = F.sha2(F.to_json(F.array(*parts)), 256)
+    return _last(df, contract, digest, order_by).select(*key_names(contract), F.col("row").alias("digest"))
 
 
 def differing_keys(expected: DataFrame, actual: DataFrame, contract, order_by: tuple[list[str], list[str]]) -> DataFrame:
     """Keys on both sides whose digests differ: only keys and digests are shuffled."""
     e = row_hashes(expected, contract, order_by[0]).withColumnRenamed("digest", "d")
     a = row_hashes(actual, contract, order_by[1])
-    both = e.join(a, key_names(contract)).where("d <> digest")
-    return both.select(*[F.when(F.col(f"__k{i}") != "N:", F.substring(f"__k{i}", 3, 1 << 30)).alias(k) for i, k in enumerate(contract.keys)])
+    return e.join(a, key_names(contract)).where("d <> digest").select(*shown_keys(contract))

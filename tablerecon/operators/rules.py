@@ -1,37 +1,40 @@
-"""Data-quality rules over a raw feed: one scan for all flags, one shuffle per unique column."""
+"""Data-quality rules over a raw feed: one pass counts all flags, one more finds samples of
+those that fail; a unique column costs one pre-aggregated shuffle."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import inputs_of, parse
-from ..functions.values import is_empty, java_regex, readable, strip
+from ..functions.values import in_range, is_empty, java_regex, readable, strip
 
 SAMPLES = 5
+REPORT = "rule_id string, column string, failing_rows long, samples array<string>"
 
 
-def flags(contract, feed_columns: list[str]) -> list[tuple[str, str, object]]:
+def flags(contract, feed_columns: list[str]) -> list[tuple[str, str, Column]]:
     """(rule id, column, failing condition) of every rule but uniqueness. Rules on inputs of
     transforms go by source names, the others by target names."""
     own = set(feed_columns)
-    out = []
-    inputs = sorted({x for c in contract.columns if c.transform and not c.nullable for x in inputs_of(parse(c.transform, own)) if x in own})
-    out += [(f"transform_input_not_null:{x}", x, is_empty(F.col(x))) for x in inputs]
+    out: list[tuple[str, str, Column]] = []
+    inputs = {x for c in contract.columns if c.transform and not c.nullable for x in inputs_of(parse(c.transform, own)) if x in own}
+    out += [(f"transform_input_not_null:{x}", x, is_empty(F.col(x))) for x in sorted(inputs)]
     for c in contract.columns:
         if not c.source_name or c.source_name not in own:
             continue
         raw = F.col(c.source_name)
         s, there = strip(raw), ~is_empty(raw)
-        add = lambda rule, bad, c=c: out.append((f"{rule}:{c.name}", c.name, F.coalesce(bad, F.lit(False))))
+
+        def add(rule: str, bad: Column, c=c) -> None:
+            out.append((f"{rule}:{c.name}", c.name, F.coalesce(bad, F.lit(False))))
+
         if not c.nullable:
             add("not_null", is_empty(raw))
         if c.type != "string":
             add("type", there & ~F.coalesce(readable(raw, c), F.lit(False)))
         if c.type in ("integer", "decimal") and c.range:
-            add("range", there & ~s.try_cast("decimal(38,18)").between(*[F.lit(str(x)).cast("decimal(38,18)") for x in c.range]))
+            add("range", there & ~in_range(s, *c.range))
         if c.max_length:
             add("max_length", there & (F.char_length(raw) > c.max_length))
         if c.regex:
@@ -41,36 +44,75 @@ def flags(contract, feed_columns: list[str]) -> list[tuple[str, str, object]]:
     return out
 
 
-def failures(feed: DataFrame, contract, order_by: list[str]) -> DataFrame:
-    """``rule_id, column, sample`` and the order columns, one row per failing row and rule. A
-    sample is the value of the first feed column."""
-    first = F.col(contract.source_columns[0] if contract.source_columns else feed.columns[0])
-    order = [F.col(c) for c in order_by]
-    all_ = [F.when(bad, F.struct(F.lit(rule).alias("rule_id"), F.lit(col).alias("column"))) for rule, col, bad in flags(contract, feed.columns)]
-    out = feed.select(first.alias("sample"), *order, F.inline(F.array_compact(F.array(*all_)))) if all_ else None
-    for c in contract.columns:
-        if c.unique and c.source_name in feed.columns:
-            raw = F.col(c.source_name)
-            twice = feed.where(~is_empty(raw)).groupBy(raw.alias("__v")).count().where("count > 1").select("__v")
-            rows = feed.join(twice, raw == F.col("__v"), "left_semi").select(first.alias("sample"), *order, F.lit(f"unique:{c.name}").alias("rule_id"), F.lit(c.name).alias("column"))
-            out = rows if out is None else out.unionByName(rows)
+def unique_columns(contract, feed_columns: list[str]) -> list[tuple[str, str, str]]:
+    """(rule id, column, feed column) of the uniqueness rules."""
+    return [(f"unique:{c.name}", c.name, c.source_name) for c in contract.columns if c.unique and c.source_name in feed_columns]
+
+
+def _repeated(feed: DataFrame, source: str) -> DataFrame:
+    """``__v, n``: populated raw values that occur more than once."""
+    values = feed.where(~is_empty(F.col(source))).groupBy(F.col(source).alias("__v"))
+    return values.agg(F.count("*").alias("n")).where("n > 1")
+
+
+def _first_column(contract, feed: DataFrame) -> Column:
+    return F.col(contract.source_columns[0] if contract.source_columns else feed.columns[0])
+
+
+def failures(feed: DataFrame, contract, order_by: list[str], only: set[str] | None = None) -> DataFrame | None:
+    """``rule_id, column, sample`` and the order columns, one row per failing row and rule (of
+    ``only``, if given); None without rules. A sample is the value of the first feed column.
+    Flags are told once for all rules of a row, as bits of one number."""
+    first, order = _first_column(contract, feed).cast("string"), [F.col(c) for c in order_by]
+    rules_ = [x for x in flags(contract, feed.columns) if only is None or x[0] in only]
+    parts = []
+    for lo in range(0, len(rules_), 60):
+        some = rules_[lo : lo + 60]
+        bits = sum((F.when(bad, F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, _, bad) in enumerate(some)), F.lit(0).cast("long"))
+        marked = feed.select(first.alias("sample"), *order, bits.alias("__bits")).where("__bits <> 0")
+        named = [F.when(F.col("__bits").bitwiseAND(1 << i) != 0, F.struct(F.lit(rule).alias("rule_id"), F.lit(col).alias("column"))) for i, (rule, col, _) in enumerate(some)]
+        parts.append(marked.select("sample", *order_by, F.inline(F.array_compact(F.array(*named)))))
+    for rule, col, source in unique_columns(contract, feed.columns):
+        if only is not None and rule not in only:
+            continue
+        rows = feed.join(_repeated(feed, source), F.col(source) == F.col("__v"), "left_semi")
+        parts.append(rows.select(first.alias("sample"), *order, F.lit(rule).alias("rule_id"), F.lit(col).alias("column")))
+    out = parts[0] if parts else None
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
+def failing_counts(feed: DataFrame, contract) -> dict[str, tuple[str, int]]:
+    """Rule id -> (column, failing rows) of the rules that fail: one aggregate over the feed for
+    all flags, one per unique column. One row each reaches the driver."""
+    found: dict[str, tuple[str, int]] = {}
+    rules_ = flags(contract, feed.columns)
+    if rules_:
+        row = feed.agg(*[F.count_if(bad).alias(f"f{i}") for i, (_, _, bad) in enumerate(rules_)]).first()
+        found |= {rule: (col, row[i]) for i, (rule, col, _) in enumerate(rules_) if row[i]}
+    for rule, col, source in unique_columns(contract, feed.columns):
+        n = _repeated(feed, source).agg(F.sum("n")).first()[0]
+        if n:
+            found[rule] = (col, n)
+    return found
+
+
 def report(feed: DataFrame, contract, order_by: list[str]) -> DataFrame:
     """``rule_id, column, failing_rows, samples``: failing rules, up to SAMPLES samples each in
-    row order. Counts are pre-aggregated and samples limited before the shuffle."""
-    rows = failures(feed, contract, order_by)
-    n = rows.groupBy("rule_id", "column").agg(F.count("*").alias("failing_rows"))
-    w = Window.partitionBy("rule_id").orderBy(*order_by)
-    some = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= SAMPLES).groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("__n", "sample"))).alias("s"))
-    return n.join(some, "rule_id").select("rule_id", "column", "failing_rows", F.transform("s", lambda x: x["sample"]).alias("samples"))
+    row order. Runs at once: counts first, then samples of the rules that fail, limited before
+    the shuffle; a feed without failures is read once, and once more per unique column."""
+    found = failing_counts(feed, contract)
+    samples: dict[str, list[str]] = {}
+    if found:
+        w = Window.partitionBy("rule_id").orderBy(*order_by)
+        some = failures(feed, contract, order_by, set(found)).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= SAMPLES)
+        for r in some.select("rule_id", "__n", "sample").orderBy("rule_id", "__n").collect():  # SAMPLES rows a rule
+            samples.setdefault(r["rule_id"], []).append(r["sample"])
+    rows = [(rule, col, n, samples.get(rule, [])) for rule, (col, n) in found.items()]
+    return feed.sparkSession.createDataFrame(rows, REPORT)
 
 
 def totals(report_: DataFrame) -> DataFrame:
     """Failing rules, and the sum of their failing rows."""
     return report_.agg(F.count("*").alias("failing_rules"), F.coalesce(F.sum("failing_rows"), F.lit(0)).alias("failing_rows"))
-
-
-def rule_of(rule_id: str) -> str:
-    return re.split(":", rule_id)[0]

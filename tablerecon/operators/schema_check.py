@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contract import ACCEPTED
+from .. import messages
+from ..contract import ACCEPTED, KEYS_PROPERTY
 from ..functions.values import normalize
 from .compare import key_names, with_keys
 
+_FINDING = "struct<check:string,column:string,message:string,rows:bigint>"
 
-def schema_errors(live: DataFrame | None, contract) -> list[str]:
-    """Messages on a missing table, column order, missing columns and types."""
+
+def findings(live: DataFrame | None, contract, declared: bool = False) -> list[tuple[str, str | None, str]]:
+    """(check, column, message) on a missing table, column order, missing columns and types;
+    with ``declared`` also on nullability as the table declares it, which Spark's file tables
+    do not (there ``schema_report`` looks at the data)."""
     if live is None:
-        return [f"table {contract.table} does not exist"]
+        return [("exists", None, messages.NO_TABLE.format(table=contract.table))]
     names, out = [c.name for c in contract.columns], []
     if live.columns != names:
-        out.append(f"column order/count mismatch: expected {names}, got {live.columns}")
+        out.append(("order", None, messages.COLUMN_ORDER.format(expected=names, got=live.columns)))
     for c in contract.columns:
         if c.name not in live.columns:
-            out.append(f"missing column '{c.name}'")
-        elif not isinstance(live.schema[c.name].dataType, ACCEPTED[c.type]):
-            out.append(f"column '{c.name}' type mismatch: expected {c.type}, got {live.schema[c.name].dataType.simpleString()}")
+            out.append(("missing", c.name, messages.MISSING_COLUMN.format(column=c.name)))
+            continue
+        field = live.schema[c.name]
+        if not isinstance(field.dataType, ACCEPTED[c.type]):
+            out.append(("type", c.name, messages.TYPE_MISMATCH.format(column=c.name, expected=c.type, got=field.dataType.simpleString())))
+        if declared and field.nullable != c.nullable:
+            out.append(("nullability", c.name, messages.NULLABILITY.format(column=c.name, expected=c.nullable, got=field.nullable)))
     return out
 
 
+def schema_errors(live: DataFrame | None, contract, declared: bool = False) -> list[str]:
+    """The messages of ``findings``."""
+    return [message for _, _, message in findings(live, contract, declared)]
+
+
+def table_or_none(spark: SparkSession, name: str) -> DataFrame | None:
+    """A catalog table, or None if there is none of that name."""
+    return spark.read.table(name) if spark.catalog.tableExists(name) else None
+
+
+def declared_key_errors(spark: SparkSession, table: str, contract) -> list[str]:
+    """Whether the key that ``Contract.ddl`` left in the table's properties is the contract's."""
+    row = spark.sql(f"SHOW TBLPROPERTIES {table}").where(F.col("key") == KEYS_PROPERTY).first()
+    got = row["value"].split(",") if row else []
+    return [] if got == list(contract.keys) else [messages.PRIMARY_KEY.format(expected=list(contract.keys), got=got)]
+
+
 def null_counts(live: DataFrame, contract) -> DataFrame:
     """Nulls of every column that the contract forbids them in, one pass."""
     cols = [c.name for c in contract.columns if not c.nullable and c.name in live.columns]
@@ -32,6 +58,20 @@ def null_counts(live: DataFrame, contract) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in cols])))
 
 
+def schema_report(live: DataFrame, contract) -> DataFrame:
+    """``check, column, message, rows``: the findings, each with the rows it concerns, and a
+    nullability finding for every column that holds nulls against the contract; one pass."""
+    found = findings(live, contract)
+    named = [c for c in contract.columns if c.name in live.columns]
+    nulls = {c.name: F.count_if(F.col(c.name).isNull()) for c in named if not c.nullable}
+    row = live.agg(F.count("*").alias("__n"), *[n.alias(c) for c, n in nulls.items()])
+    out = [F.struct(F.lit(check).alias("check"), F.lit(col).cast("string").alias("column"), F.lit(message).alias("message"), F.col("__n").alias("rows")) for check, col, message in found]
+    for c in nulls:
+        message = messages.NULLABILITY.format(column=c, expected=False, got=True)
+        out.append(F.when(F.col(c) > 0, F.struct(F.lit("nullability").alias("check"), F.lit(c).alias("column"), F.lit(message).alias("message"), F.col(c).alias("rows"))))
+    return row.select(F.inline(F.array_compact(F.array(*[x.cast(_FINDING) for x in out]))))
+
+
 def key_integrity(live: DataFrame, contract) -> DataFrame:
     """Rows with a null key part, keys that occur more than once, and the rows beyond their
     first; one pre-aggregated shuffle."""

@@ -1,60 +1,197 @@
-"""Feed files: reading, header, encoding, width and count checks."""
+"""Feed files: reading, header, encoding, width and count checks. Checks give rows
+``file, check, position, message``; texts are those of ``messages``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import messages
+
 BAD = "__bad_record"
+CHECKS = "file string, check string, position long, message string"
+#: record numbers that a message names
+NAMED = 5
+UTF8 = ("utf-8", "utf8", "utf-8-sig")
+#: encodings in which a line feed is not the one byte 0x0A
+WIDE = ("utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be")
 
 
 def read_feed(spark: SparkSession, path: str, contract, keep_bad: bool = False) -> DataFrame:
     """The feed with every column text, under the contract's names; an empty field reads as
-    null, which everywhere in this library is the same as blank. A path
-    may be a file, a folder or a prefix of any store that Spark reads."""
+    null, which everywhere in this library is the same as blank. A path may be a file, a folder
+    or a prefix of any store that Spark reads."""
     src = contract.source
-    fields = [T.StructField(c, T.StringType()) for c in contract.source_columns] + ([T.StructField(BAD, T.StringType())] if keep_bad else [])
-    out = (
-        spark.read.schema(T.StructType(fields)).option("header", src.get("header", True)).option("enforceSchema", True).option("sep", src.get("delimiter", ",")).option("encoding", src.get("encoding", "utf-8"))
-        .option("quote", '"').option("escape", '"').option("multiLine", src.get("multi_line", False)).option("mode", "PERMISSIVE").option("columnPruning", not keep_bad).option("columnNameOfCorruptRecord", BAD).csv(path)
-    )
-    return out
+    fields = [T.StructField(c, T.StringType()) for c in contract.source_columns]
+    if keep_bad:
+        fields.append(T.StructField(BAD, T.StringType()))
+    reader = spark.read.schema(T.StructType(fields)).option("header", src.get("header", True)).option("enforceSchema", True)
+    reader = reader.option("sep", src.get("delimiter", ",")).option("encoding", src.get("encoding", "utf-8")).option("quote", '"').option("escape", '"')
+    reader = reader.option("multiLine", src.get("multi_line", False)).option("mode", "PERMISSIVE").option("columnPruning", not keep_bad)
+    return reader.option("columnNameOfCorruptRecord", BAD).csv(path)
+
+
+def with_order(feed: DataFrame, name: str = "seq") -> DataFrame:
+    """Adds the rows' order in their files: file, place of the split in it, place in the split."""
+    order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return feed.withColumn(name, order)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    file = F.regexp_replace("_metadata.file_path", "^file:/+", "file:///")
+    place = [file.alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("id"))
 
 
-def header_errors(spark: SparkSession, path: str, contract) -> DataFrame:
-    """``file, check, position, message``: the header's count and names against the contract,
-    per file. A file's first line is in its first block, and first in it."""
-    first = _lines(spark, path).where("block = 0").groupBy("file").agg(F.first("value").alias("value"))
-    expected = contract.source_columns
-    got = F.transform(F.split("value", "[" + contract.source.get("delimiter", ",") + "]", -1), lambda x: F.regexp_replace(x, '^"|"$', ""))
-    row = lambda check, i, message: F.struct(F.lit(check).alias("check"), i.cast("long").alias("position"), message.alias("message"))
-    n = F.lit(len(expected))
-    want = F.array(*map(F.lit, expected))
-    count = F.when(F.size("got") != n, F.array(row("header_count", F.size("got"), F.concat(F.lit(f"header column count: expected {len(expected)}, got "), F.size("got"))))).otherwise(F.array().cast("array<struct<check:string,position:bigint,message:string>>"))
-    pairs = F.transform(F.sequence(F.lit(1), F.least(n, F.size("got"))), lambda i: row("header_name", i, F.concat(F.lit("header column "), i, F.lit(": expected '"), F.element_at(want, i), F.lit("', got '"), F.element_at(F.col("got"), i), F.lit("'"))))
-    bad = F.filter(pairs, lambda p: F.element_at(want, p["position"].cast("int")) != F.element_at(F.col("got"), p["position"].cast("int")))
-    return first.withColumn("got", got).select("file", F.inline(F.concat(count, bad)))
+def _input_files(spark: SparkSession, path: str) -> list[str]:
+    return sorted(re.sub("^file:/+", "file:///", f) for f in spark.read.text(path).inputFiles())
 
 
-def encoding_errors(spark: SparkSession, path: str) -> DataFrame:
-    """Files with lines that are no UTF-8, and how many."""
-    return _lines(spark, path).groupBy("file").agg(F.count_if(~F.is_valid_utf8("value")).alias("bad_lines")).where("bad_lines > 0")
+def header_errors(spark: SparkSession, path: str, contract) -> DataFrame:
+    """The header's count and names against the contract, per file. Of each file only its first
+    line is read; a file without one has an empty header. One line a file reaches the driver."""
+    src, expected, out = contract.source, contract.source_columns, []
+    for file in _input_files(spark, path):
+        first = spark.read.option("encoding", src.get("encoding", "utf-8")).text(file).first()
+        got = next(csv.reader([first["value"]], delimiter=src.get("delimiter", ",")), []) if first else []
+        if len(got) != len(expected):
+            out.append((file, "header_count", len(got), messages.HEADER_COUNT.format(expected=len(expected), got=len(got))))
+        for i, (want, name) in enumerate(zip(expected, got, strict=False), 1):
+            if want != name:
+                out.append((file, "header_name", i, messages.HEADER_NAME.format(i=i, expected=want, got=name)))
+    return spark.createDataFrame(out, CHECKS)
+
+
+def _undecodable(lines: DataFrame, encoding: str) -> DataFrame:
+    """``file, n``: the lines of each file that are not of the encoding. UTF-8 and ASCII are
+    told by column functions, others by Python's codec over batches of lines."""
+    if encoding in UTF8:
+        return lines.groupBy("file").agg(F.count_if(~F.is_valid_utf8("value")).alias("n"))
+    raw = lines.select("file", F.col("value").cast("binary").alias("raw"))
+    if encoding in ("ascii", "us-ascii"):
+        return raw.groupBy("file").agg(F.count_if(F.hex("raw").rlike("^(..)*[89A-F].")).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad: dict[str, int] = {}
+            for file, line in zip(b.column("file").to_pylist(), b.column("raw").to_pylist(), strict=True):
+                try:
+                    line.decode(encoding)
+                    bad.setdefault(file, 0)
+                except UnicodeDecodeError:
+                    bad[file] = bad.get(file, 0) + 1
+            yield pa.record_batch([pa.array(list(bad), pa.string()), pa.array(list(bad.values()), pa.int64())], ["file", "n"])
+
+    return raw.mapInArrow(run, "file string, n long").groupBy("file").agg(F.sum("n").alias("n"))
+
+
+def encoding_errors(spark: SparkSession, path: str, contract=None) -> DataFrame:
+    """Files that hold lines which are not of ``metadata.encoding`` (UTF-8 if none is declared);
+    ``position`` is how many. Encodings of two or four bytes a character are read file by file,
+    whole; there ``position`` is 1."""
+    encoding = (contract.metadata.get("encoding", "utf-8") if contract else "utf-8").lower().replace("_", "-")
+    if encoding in WIDE:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bad = []
+                for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                    try:
+                        content.decode(encoding)
+                    except UnicodeDecodeError:
+                        bad.append(file)
+                yield pa.record_batch([pa.array(bad, pa.string()), pa.array([1] * len(bad), pa.int64())], ["file", "n"])
+
+        found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, n long")
+    else:
+        found = _undecodable(_lines(spark, path), encoding).where("n > 0")
+    head, tail = messages.NOT_DECODABLE.format(encoding=encoding, lines="\0").split("\0")
+    message = F.concat(F.lit(head), F.col("n"), F.lit(tail))
+    return found.select("file", F.lit("encoding").alias("check"), F.col("n").alias("position"), message.alias("message"))
+
+
+def _width(contract) -> Column:
+    """Fields of a line; delimiters within quotes do not count, a blank line has none."""
+    bare = F.regexp_replace("value", '"([^"]|"")*"', "")
+    delimiter = F.lit(contract.metadata.get("delimiter", contract.source.get("delimiter", ",")))
+    return F.when(F.col("value") == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, delimiter, F.lit(""))) + 1)
+
+
+def _blocks(lines: DataFrame) -> DataFrame:
+    """Per split of a file: its lines, the id and width of its first one, and the lines before
+    it in the file. A row a split."""
+    per = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min_by("width", "id").alias("head"))
+    w = Window.partitionBy("file").orderBy("block")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return per.select("file", "block", "n", "first", F.first("head").over(whole).alias("expected"), (F.sum("n").over(w) - F.col("n")).alias("before"))
 
 
 def ragged_rows(spark: SparkSession, path: str, contract) -> DataFrame:
-    """Records whose width is not the contract's, as text."""
-    return read_feed(spark, path, contract, keep_bad=True).where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("record"), *contract.source_columns[:1])
+    """``file, number, width, expected, record``: lines whose width is not that of the file's
+    first record, by their number in the file (header is 1). Records are lines; in a feed with
+    line breaks within quotes (``multi_line``) a record's lines are told one by one."""
+    lines = _lines(spark, path).withColumn("width", _width(contract))
+    blocks = _blocks(lines).withColumnRenamed("n", "in_block")
+    bad = lines.join(blocks, ["file", "block"]).where(F.col("width") != F.col("expected"))
+    number = F.col("before") + F.col("id") - F.col("first") + 1
+    return bad.select("file", number.alias("number"), "width", "expected", F.col("value").alias("record"))
+
+
+def ragged_errors(spark: SparkSession, path: str, contract) -> DataFrame:
+    """One row per file with ragged records: ``position`` is the first, the message names the
+    first NAMED."""
+    w = Window.partitionBy("file").orderBy("number")
+    few = ragged_rows(spark, path, contract).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= NAMED)
+    per = few.groupBy("file", "expected").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
+    named = F.concat(F.lit("["), F.array_join("numbers", ", "), F.lit("]"))
+    width, lines = messages.RAGGED.split("{width}")[0], messages.RAGGED.split("{width}")[1].split("{lines}")[0]
+    message = F.concat(F.lit(width), F.col("expected"), F.lit(lines), named)
+    return per.select("file", F.lit("ragged").alias("check"), F.col("numbers")[0].alias("position"), message.alias("message"))
+
+
+def file_counts(spark: SparkSession, path: str, contract) -> DataFrame:
+    """``file, records, rows``: lines of every file under a path or prefix, and those that are
+    data. Empty files count as well."""
+    files = spark.createDataFrame([(f,) for f in _input_files(spark, path)], "file string")
+    n = _lines(spark, path).groupBy("file").agg(F.count("*").alias("records"))
+    records = F.coalesce("records", F.lit(0).cast("long"))
+    header = 1 if contract.source.get("header", True) else 0
+    return files.join(n, "file", "left").select("file", records.alias("records"), F.greatest(records - header, F.lit(0)).cast("long").alias("rows"))
+
+
+def count_errors(counts: DataFrame, contract) -> DataFrame:
+    """From ``file_counts``: files without a record, and ``metadata.expected_row_count`` against
+    the rows of all files (a feed of headers only has 0). A feed that is empty throughout has
+    the first finding alone."""
+    empty = counts.where("records = 0").select("file", F.lit("empty").alias("check"), F.lit(0).cast("long").alias("position"), F.lit(messages.EMPTY_FILE).alias("message"))
+    expected = contract.metadata.get("expected_row_count")
+    if expected is None:
+        return empty
+    total = counts.agg(F.sum("records").alias("records"), F.sum("rows").alias("got")).where((F.col("records") > 0) & (F.col("got") != expected))
+    head = messages.ROW_COUNT.format(expected=expected, got="")
+    return empty.unionByName(total.select(F.lit(None).cast("string").alias("file"), F.lit("row_count").alias("check"), F.col("got").alias("position"), F.concat(F.lit(head), F.col("got")).alias("message")))
+
+
+def metadata_errors(spark: SparkSession, path: str, contract) -> DataFrame:
+    """Encoding (alone, if it fails), then empty files, ragged records and the row count."""
+    bad = encoding_errors(spark, path, contract)
+    if bad.take(1):
+        return bad
+    return count_errors(file_counts(spark, path, contract), contract).unionByName(ragged_errors(spark, path, contract))
 
 
 def row_count_check(feed: DataFrame, expected: int | None) -> DataFrame:
-    """The feed's rows, and a message if they are not as many as declared (none: no check)."""
+    """The rows of a feed that is read already, and a message if they are not as many as
+    declared (none: no check)."""
     n = feed.agg(F.count("*").alias("n"))
-    return n.select("n", F.when(F.col("n") == 0, "file is empty").when(F.lit(expected) != F.col("n"), F.concat(F.lit(f"row count: expected {expected}, got "), F.col("n"))).alias("message"))
+    head = messages.ROW_COUNT.format(expected=expected, got="")
+    return n.select("n", F.when(F.lit(expected) != F.col("n"), F.concat(F.lit(head), F.col("n"))).alias("message"))
 
 
 def control_totals(df: DataFrame, column: str) -> DataFrame:
