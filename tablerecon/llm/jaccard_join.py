@@ -5,8 +5,11 @@ Two documents link when their sets of distinct k-word shingles have a Jaccard si
 
 1. Texts with equal shingle sets fall together first (one *set* stands for all its copies).
 2. Shingle hashes are dealt into buckets as packed arrays; each bucket finds the shingles that
-   at least two sets hold, and how many hold them. A set whose shared shingles are fewer than
-   the similarity needs can link with nothing and leaves.
+   at least two sets hold, and how many hold them. Shingles that a sample shows to be in very
+   many sets are dealt by row instead, over all buckets: that they are shared is known. A set
+   whose shared shingles are fewer than the similarity needs can link with nothing and leaves.
+   A task writes at most LANES packed rows per run of shingles; more buckets, or groups of
+   sets, than that are reached in a second exchange, so rows stay well filled at any size.
 3. A set's shingles are ordered rarest first; two sets over the threshold share a shingle
    within the first n - ceil(t n) + 1 of each (prefix principle), so only sets that meet
    under such a shingle are compared.
@@ -33,6 +36,13 @@ from .textbytes import chunks, mix, shingle_sets
 
 BITS = 1024
 TILE = 1024
+#: rows that a run of shingles is dealt to at once
+LANES = 4096
+#: shingles of one run
+RUN = 1_000_000
+#: the share of documents, and the most of them, that are searched for hot shingles; a shingle is
+#: hot if HOT_SETS of their sets, and one in HOT_ONE_IN, hold it
+HOT_SHARE, HOT_DOCS, HOT_SETS, HOT_ONE_IN = 0.02, 200_000, 20, 200
 #: up to so many edges (16 bytes each) a step's minima are broadcast
 BROADCAST_EDGES = 200_000
 _U = np.uint64
@@ -65,30 +75,102 @@ def shingle_counts(docs: DataFrame, k: int = 5, keep: list[str] | None = None) -
     return docs.select("doc_id", "text", *kept).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long" + schema)
 
 
-def _dealt(docs: DataFrame, k: int, n_buckets: int) -> DataFrame:
-    """Shingle hashes by bucket. A row holds one task run's entries of a bucket: the sets'
-    digests and sizes, and per entry 48 hash bits over a 16-bit index into those sets."""
-    shift = _U(64 - (n_buckets - 1).bit_length()) if n_buckets > 1 else _U(0)
+def _parts(rows: dict[str, list], part: np.ndarray, ent: np.ndarray, size: np.ndarray, token: np.ndarray, rank: np.ndarray) -> None:
+    """Adds a packed row per part to ``rows``: the part's sets, their sizes and numbers of
+    tokens, the tokens and ranks."""
+    order = np.lexsort((ent, part))
+    part, ent, size, token, rank = part[order], ent[order], size[order], token[order], rank[order]
+    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
+    for lo, hi in zip(first, [*first[1:], len(part)], strict=True):
+        own = ent[lo:hi]
+        head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        rows["part"].append(int(part[lo]))
+        rows["sets"].append(own[head].tobytes())
+        rows["sizes"].append(size[lo:hi][head].astype(np.int32).tobytes())
+        rows["counts"].append(np.diff(np.append(head, hi - lo)).astype(np.int32).tobytes())
+        rows["tokens"].append(token[lo:hi].tobytes())
+        rows["ranks"].append(rank[lo:hi].tobytes())
+
+
+_PART = ["part", "sets", "sizes", "counts", "tokens", "ranks"]
+_PART_KIND = "part int, sets binary, sizes binary, counts binary, tokens binary, ranks binary"
+_DEALT_KIND = "bucket int, sub int, sets binary, sizes binary, entries binary"
+
+
+def _flat_parts(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Set, size, token and rank of every entry of packed part rows."""
+    kinds = {"sets": np.int64, "sizes": np.int32, "counts": np.int32, "tokens": np.uint64, "ranks": np.uint8}
+    cols = {c: np.concatenate([np.frombuffer(x, d) for x in t[c].to_pylist()]) for c, d in kinds.items()}
+    return np.repeat(cols["sets"], cols["counts"]), np.repeat(cols["sizes"], cols["counts"]), cols["tokens"], cols["ranks"]
+
+
+def _hot(docs: DataFrame, k: int, share: float) -> np.ndarray:
+    """Hashes of shingles that many sets hold, by a sample of the documents. It only decides
+    which way a shingle goes; results are the same with any."""
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * share)).select("text")
+    sets = _entries_of(sample, k)
+    n = sets.agg(F.countDistinct("d")).first()[0]
+    held = sets.groupBy("h").agg(F.countDistinct("d").alias("n")).where(F.col("n") >= max(HOT_SETS, n // HOT_ONE_IN))
+    return np.sort(np.array([r["h"] for r in held.select("h").collect()], np.int64).view(np.uint64))  # HOT_ONE_IN times a set's size at most
+
+
+def _entries_of(docs: DataFrame, k: int) -> DataFrame:
+    """``d, h``: digest and shingle hash, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for texts in chunks(b.column("text"), 1 << 18):
+                sets = [s for s in shingle_sets(texts, k) if len(s)]
+                if sets:
+                    d = np.repeat(np.array([_digests(s)[0] for s in sets], np.int64), [len(s) for s in sets])
+                    yield pa.record_batch([pa.array(d), _as_long(np.concatenate(sets))], ["d", "h"])
+
+    return docs.mapInArrow(run, "d long, h long")
+
+
+def _pack_entries(rows: dict[str, list], bucket: int, sub: int, keys: np.ndarray, size: np.ndarray, key: np.ndarray, of: np.ndarray) -> None:
+    """Adds a row of a bucket: its sets, and per entry 48 bits over a 16-bit index into them."""
+    own, idx = np.unique(of, return_inverse=True)
+    rows["bucket"].append(bucket)
+    rows["sub"].append(sub)
+    rows["sets"].append(keys[own].tobytes())
+    rows["sizes"].append(size[own].astype(np.int32).tobytes())
+    rows["entries"].append((key & ~_U(0xFFFF) | idx.astype(np.uint64)).tobytes())
+
+
+def _dealt_batch(rows: dict[str, list]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(rows["bucket"], pa.int32()), pa.array(rows["sub"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("sets", "sizes", "entries"))], list(rows))
+
+
+def _no_rows() -> dict[str, list]:
+    return {"bucket": [], "sub": [], "sets": [], "sizes": [], "entries": []}
+
+
+def _dealt(docs: DataFrame, k: int, n_lanes: int, hot: np.ndarray) -> DataFrame:
+    """Shingle hashes by lane, the first bits of the hash. A row holds one task run's entries of
+    a lane. Hot shingles go, by their number in ``hot``, to lanes from ``n_lanes`` on, whichever
+    the run is dealt to."""
+    bits = (n_lanes - 1).bit_length()
 
     def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys = np.fromiter(sets, np.int64, len(sets))
         size = np.fromiter((len(s) for s in sets.values()), np.int64, len(sets))
         h = np.concatenate(list(sets.values()))
         of = np.repeat(np.arange(len(keys)), size)
-        bucket = (h >> shift).astype(np.int64) if n_buckets > 1 else np.zeros(len(h), np.int64)
-        order = np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-        rows: dict[str, list] = {"bucket": [], "sets": [], "sizes": [], "entries": []}
-        h, of = (h << (_U(64) - shift if n_buckets > 1 else _U(0)))[order], of[order]
-        for i in range(n_buckets):
-            lo, hi = at[i], at[i + 1]
-            if lo < hi:
-                own, idx = np.unique(of[lo:hi], return_inverse=True)
-                rows["bucket"].append(i)
-                rows["sets"].append(keys[own].tobytes())
-                rows["sizes"].append(size[own].astype(np.int32).tobytes())
-                rows["entries"].append((h[lo:hi] & ~_U(0xFFFF) | idx.astype(np.uint64)).tobytes())
-        yield pa.record_batch([pa.array(rows["bucket"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("sets", "sizes", "entries"))], list(rows))
+        rows = _no_rows()
+        if len(hot):
+            nth = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+            known = hot[nth] == h
+            if known.any():
+                _pack_entries(rows, n_lanes + int(mix(keys[:1].view(np.uint64))[0] % _U(n_lanes)), 0, keys, size, nth[known].astype(np.uint64) << _U(16), of[known])
+            h, of = h[~known], of[~known]
+        lane = (h >> _U(64 - bits)).astype(np.uint16) if bits else np.zeros(len(h), np.uint16)
+        order = np.argsort(lane, kind="stable")
+        at = np.searchsorted(lane[order], np.arange(n_lanes + 1))
+        h, of = (h << _U(bits))[order], of[order]
+        for i in np.flatnonzero(at[1:] > at[:-1]):
+            _pack_entries(rows, int(i), 0, keys, size, h[at[i] : at[i + 1]], of[at[i] : at[i + 1]])
+        yield _dealt_batch(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -99,19 +181,60 @@ def _dealt(docs: DataFrame, k: int, n_buckets: int) -> DataFrame:
                     if len(s) and (d := _digests(s)[0]) not in sets:
                         sets[d] = s
                         held += len(s)
-                    if held > 1_000_000 or len(sets) >= 60_000:
+                    if held > RUN or len(sets) >= 60_000:
                         yield from flush(sets)
                         sets, held = {}, 0
         if sets:
             yield from flush(sets)
 
-    return docs.select("text").mapInArrow(run, "bucket int, sets binary, sizes binary, entries binary")
+    return docs.select("text").mapInArrow(run, _DEALT_KIND)
+
+
+def _deal_again(dealt: DataFrame, n_lanes: int, n_sub: int) -> DataFrame:
+    """Splits every lane by the next bits of its hashes into ``n_sub`` parts, ``sub``; the rows
+    of hot shingles are dealt by row."""
+    bits = _U((n_sub - 1).bit_length())
 
+    def flush(lane: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        base = np.cumsum([0, *(len(s) for s, _, _ in held)])
+        keys, size = np.concatenate([s for s, _, _ in held]), np.concatenate([n for _, n, _ in held])
+        entries = np.concatenate([e for _, _, e in held])
+        of = (entries & _U(0xFFFF)).astype(np.int64) + np.repeat(base[:-1], [len(e) for _, _, e in held])
+        sub = (entries >> (_U(64) - bits)).astype(np.int64) if lane < n_lanes else np.full(len(entries), int(mix(keys[:1].view(np.uint64))[0] % _U(n_sub)))
+        order = np.argsort(sub, kind="stable")
+        at = np.searchsorted(sub[order], np.arange(n_sub + 1))
+        rows = _no_rows()
+        for i in np.flatnonzero(at[1:] > at[:-1]):
+            own = order[at[i] : at[i + 1]]
+            _pack_entries(rows, lane, int(i), keys, size, entries[own], of[own])
+        yield _dealt_batch(rows)
 
-def _shared(dealt: DataFrame, n_groups: int, n_buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lanes: dict[int, list] = {}
+        count: dict[int, list[int]] = {}
+        for b in batches:
+            for i in range(len(b)):
+                row = b.slice(i, 1).to_pylist()[0]
+                lane, own = row["bucket"], (np.frombuffer(row["sets"], np.int64), np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["entries"], np.uint64))
+                n = count.setdefault(lane, [0, 0])
+                if n[0] + len(own[0]) > 60_000 or n[1] > RUN:
+                    yield from flush(lane, lanes.pop(lane))
+                    n = count[lane] = [0, 0]
+                lanes.setdefault(lane, []).append(own)
+                n[0] += len(own[0])
+                n[1] += len(own[2])
+        for lane, held in lanes.items():
+            yield from flush(lane, held)
+
+    # a lane is many tasks' work: it goes to as many as it will have parts
+    return dealt.repartition(F.col("bucket"), F.pmod(F.xxhash64("sets"), F.lit(max(1, n_sub // 4)))).mapInArrow(run, _DEALT_KIND)
+
+
+def _shared(dealt: DataFrame, n_parts: int, n_lanes: int, hot: np.ndarray) -> DataFrame:
     """Per bucket: the entries whose shingle at least two sets hold, dealt by set. ``rank`` is
-    a coarse logarithm of the number of holders, the order of step 3."""
-    bits = _U((n_buckets - 1).bit_length())
+    a coarse logarithm of the number of holders, the order of step 3; hot shingles come last."""
+    bits = _U((n_lanes - 1).bit_length())
+    low = _U((1 << (16 - int(bits))) - 1)
 
     def run(t: pa.Table) -> pa.Table:
         ents, sizes, entries, of, base = [], [], [], [], 0
@@ -122,42 +245,58 @@ def _shared(dealt: DataFrame, n_groups: int, n_buckets: int) -> DataFrame:
             of.append((entries[-1] & _U(0xFFFF)).astype(np.int64) + base)
             base += len(ents[-1])
         ent, size, key, of = np.concatenate(ents), np.concatenate(sizes), np.concatenate(entries) >> _U(16), np.concatenate(of)
-        order = np.argsort(key)
-        key, of = key[order], of[order]
-        same = key[1:] == key[:-1]
-        twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        key, of = key[twice], of[twice]
+        bucket = int(t["bucket"][0].as_py())
+        if bucket < n_lanes:
+            order = np.argsort(key)
+            key, of = key[order], of[order]
+            same = key[1:] == key[:-1]
+            twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            key, of = key[twice], of[twice]
         order = np.lexsort((ent[of], key))
         key, of = key[order], of[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (ent[of][1:] != ent[of][:-1])
         key, of = key[new], of[new]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        holders = np.diff(np.append(first, len(key)))
-        rank = np.repeat(np.minimum(255, np.log2(np.maximum(holders, 1)) * 8).astype(np.uint8), holders)
-        keep = np.repeat(holders > 1, holders)
-        key, of, rank = key[keep], of[keep], rank[keep]
-        bucket = _U(int(t["bucket"][0].as_py()))
-        token = (bucket << (_U(64) - bits) if bits else _U(0)) | (key << (_U(16) - bits) if bits <= 16 else key)
-        group = (mix(ent[of].view(np.uint64)) % _U(n_groups)).astype(np.int64)
-        order = np.lexsort((ent[of], group))
-        group, of, token, rank = group[order], of[order], token[order], rank[order]
-        at = np.searchsorted(group, np.arange(n_groups + 1))
-        rows: dict[str, list] = {"part": [], "sets": [], "sizes": [], "counts": [], "tokens": [], "ranks": []}
-        for g in range(n_groups):
-            lo, hi = at[g], at[g + 1]
-            if lo < hi:
-                own = ent[of[lo:hi]]
-                head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-                rows["part"].append(g)
-                rows["sets"].append(own[head].tobytes())
-                rows["sizes"].append(size[of[lo:hi]][head].tobytes())
-                rows["counts"].append(np.diff(np.append(head, hi - lo)).astype(np.int32).tobytes())
-                rows["tokens"].append(token[lo:hi].tobytes())
-                rows["ranks"].append(rank[lo:hi].tobytes())
-        return pa.table([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in list(rows)[1:])], names=list(rows))
-
-    return dealt.groupBy("bucket").applyInArrow(run, "part int, sets binary, sizes binary, counts binary, tokens binary, ranks binary")
+        if bucket < n_lanes:
+            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            holders = np.diff(np.append(first, len(key)))
+            rank = np.repeat(np.minimum(254, np.log2(np.maximum(holders, 1)) * 8).astype(np.uint8), holders)
+            keep = np.repeat(holders > 1, holders)
+            key, of, rank = key[keep], of[keep], rank[keep]
+            token = (_U(bucket) << (_U(64) - bits) if bits else _U(0)) | (key << (_U(16) - bits))
+        else:
+            token, rank = hot[key.astype(np.int64)] & ~low, np.full(len(key), 255, np.uint8)
+        rows: dict[str, list] = {c: [] for c in _PART}
+        _parts(rows, (mix(ent[of].view(np.uint64)) % _U(n_parts)).astype(np.int64), ent[of], size[of], token, rank)
+        return pa.table([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in _PART[1:])], names=_PART)
+
+    return dealt.groupBy("bucket", "sub").applyInArrow(run, _PART_KIND)
+
+
+def _part_again(shared: DataFrame, n_parts: int, n_sub: int) -> DataFrame:
+    """Splits every part of sets into ``n_sub``, ``part`` then being of n_parts x n_sub."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush() -> pa.RecordBatch:
+            ent, size, token, rank = (np.concatenate(x) for x in zip(*held, strict=True))
+            h = mix(ent.view(np.uint64))
+            rows: dict[str, list] = {c: [] for c in _PART}
+            _parts(rows, (h % _U(n_parts) * _U(n_sub) + h // _U(n_parts) % _U(n_sub)).astype(np.int64), ent, size, token, rank)
+            return pa.record_batch([pa.array(rows["part"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in _PART[1:])], _PART)
+
+        for b in batches:
+            for lo in range(0, len(b), 16):
+                held.append(_flat_parts(b.slice(lo, 16)))
+                n += len(held[-1][0])
+                if n > RUN:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
+
+    return shared.repartition(F.col("part"), F.pmod(F.xxhash64("tokens"), F.lit(max(1, n_sub // 4)))).mapInArrow(run, _PART_KIND)
 
 
 def _able(shared: DataFrame, percent: int) -> DataFrame:
@@ -165,10 +304,8 @@ def _able(shared: DataFrame, percent: int) -> DataFrame:
     ``n_pre`` (how many of them are in the prefix) and ``mh`` (two min-hashes)."""
 
     def run(t: pa.Table) -> pa.Table:
-        cols = {c: [np.frombuffer(x, d) for x in t[c].to_pylist()] for c, d in (("sets", np.int64), ("sizes", np.int32), ("counts", np.int32), ("tokens", np.uint64), ("ranks", np.uint8))}
-        cols = {c: np.concatenate(v) for c, v in cols.items()}
-        ent, size, token = np.repeat(cols["sets"], cols["counts"]), np.repeat(cols["sizes"], cols["counts"]), cols["tokens"]
-        order = np.lexsort((token, cols["ranks"], ent))
+        ent, size, token, rank = _flat_parts(t)
+        order = np.lexsort((token, rank, ent))
         ent, size, token = ent[order], size[order], token[order]
         head = np.flatnonzero(np.concatenate(([True], ent[1:] != ent[:-1])))
         count, n = np.diff(np.append(head, len(ent))), size[head].astype(np.int64)
@@ -316,7 +453,20 @@ def _tiles(tokens: DataFrame, sets: DataFrame) -> DataFrame:
     return x.join(sets.select("ent", "n", F.size("toks").cast("long").alias("own")), "ent").join(_bitmaps(sets), "ent")
 
 
-def _grouped(docs: DataFrame, best: Column, k: int, percent: int, pairs_per_set: int, bucket_bytes: int, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def _shared_of(docs: DataFrame, k: int, total: int, bucket_bytes: int, lanes: int, n_docs: int) -> DataFrame:
+    """Step 2 for ``total`` shingles: as many buckets as keep one under ``bucket_bytes``, and as
+    many parts of sets."""
+    n = 1 << (pieces_for(total * 8.0, bucket_bytes) - 1).bit_length()
+    hot = _hot(docs, k, min(HOT_SHARE, HOT_DOCS / max(1, n_docs)))
+    first = min(n, lanes)
+    dealt = _dealt(docs, k, first, hot)
+    if n > first:
+        dealt = _deal_again(dealt, first, n // first)
+    shared = _shared(dealt, first, first, hot)
+    return _part_again(shared, first, n // first) if n > first else shared
+
+
+def _grouped(docs: DataFrame, best: Column, k: int, percent: int, pairs_per_set: int, bucket_bytes: int, keep: list[str] | None = None, lanes: int = LANES) -> tuple[DataFrame, DataFrame]:
     """The rows' ``shingle_counts``, and ``ent, d2, rep, comp`` of every shingle set: ``best``
     over the rows that hold it, and its group."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(keep or []))
@@ -325,9 +475,7 @@ def _grouped(docs: DataFrame, best: Column, k: int, percent: int, pairs_per_set:
     reps = counts.where("n_shingles > 0").groupBy("d1", "d2").agg(best.alias("rep"))
     comps = None
     if total:
-        n = 1 << (pieces_for(total * 8.0, bucket_bytes) - 1).bit_length()
-        sets = cut(_able(_shared(_dealt(docs, k, n), n, n), percent))
-        comps = _linked(sets, percent, pairs_per_set)
+        comps = _linked(cut(_able(_shared_of(docs, k, total, bucket_bytes, lanes, counts.count()), percent)), percent, pairs_per_set)
     if comps is not None:
         reps = reps.withColumnRenamed("d1", "ent").join(comps, "ent", "left").withColumn("comp", F.coalesce("comp", "ent"))
     else:
@@ -344,7 +492,7 @@ def first_of_groups(docs: DataFrame, key: list[str], k: int = 5, percent: int =
     return counts.select("doc_id", "n_shingles"), reps.groupBy("comp").agg(F.min("rep").alias("rep")).select("rep.doc_id", *[f"rep.{c}" for c in key])
 
 
-def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, pairs_per_set: int = 32, bucket_bytes: int = 16 << 20) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, pairs_per_set: int = 32, bucket_bytes: int = 16 << 20, lanes: int = LANES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
 
     ``component_id`` is the smallest doc_id reachable by links, the row's own included. Null
@@ -352,8 +500,8 @@ def similar_groups(docs: DataFrame, k: int = 5, percent: int = 75, pairs_per_set
     it and form groups whose id is the smallest non-null one, if any. Repeated rows come back
     as often as they came. Other columns are ignored.
     """
-    counts, reps = _grouped(docs, F.min("doc_id"), k, percent, pairs_per_set, bucket_bytes)
-    names = reps.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    counts, reps = _grouped(docs, F.min("doc_id"), k, percent, pairs_per_set, bucket_bytes, lanes=lanes)
+    names = cut(reps.groupBy("comp").agg(F.min("rep").alias("component_id")))
     label = cut(reps.join(names, "comp").select(F.col("ent").alias("d1"), "d2", "component_id"))
     return counts.join(label, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -366,7 +514,8 @@ def _linked(sets: DataFrame, percent: int, pairs_per_set: int) -> DataFrame | No
     links = cut(_verified(cut(pairs), sets, percent))
     # until links are joined up, a set counts as grouped with its smallest verified leader
     stars = links.groupBy(F.greatest("a", "b").alias("ent")).agg(F.min(F.least("a", "b")).alias("comp"))
-    comps = stars.unionByName(stars.select(F.col("comp").alias("ent"), "comp").distinct().join(stars.select("ent"), "ent", "left_anti"))
+    heads = cut(stars.select("comp").distinct()).select(F.col("comp").alias("ent"), "comp")
+    comps = stars.unionByName(heads.join(stars.select("ent"), "ent", "left_anti"))
     tokens = cut(sets.select("ent", "n", F.explode(F.slice("toks", 1, F.col("n_pre"))).alias("token")))
     leaders_only = True
     while True:

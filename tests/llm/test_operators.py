@@ -306,7 +306,7 @@ def brute_groups(texts):
     return Counter((d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(texts))
 
 
-def test_jaccard(spark, docs, empty, texts):
+def test_jaccard(spark, docs, empty, texts, monkeypatch):
     rng = random.Random(1)
     base = [f"w{rng.randint(0, 400)}" for _ in range(120)]
     made = []
@@ -317,9 +317,14 @@ def test_jaccard(spark, docs, empty, texts):
         made.append((10_000 + i, " ".join(w[: rng.randint(90, 120)])))
     made += [(20_000 + i, " ".join(base[:60]) + f" tail{i} " + " ".join(f"q{i}_{j}" for j in range(rng.randint(5, 40)))) for i in range(40)]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
-    for most in (32, 1):
-        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(stored(df, "j"), pairs_per_set=most).collect())
-        assert got == brute_groups(texts + made)
+    want = brute_groups(texts + made)
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 1.0)  # the sample is all: shingles of the made texts are hot
+    monkeypatch.setattr(jaccard_join, "HOT_ONE_IN", 10)
+    df = stored(df, "j")
+    assert len(jaccard_join._hot(df, 5, 1.0)) > 20
+    for more in ({}, {"pairs_per_set": 1}, {"bucket_bytes": 4096, "lanes": 8}):  # the last with a second exchange
+        got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(df, **more).collect())
+        assert got == want, more
     assert jaccard_join.similar_groups(empty).count() == 0
 
 
