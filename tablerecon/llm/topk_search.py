@@ -234,9 +234,10 @@ def _trees(cells: DataFrame, size: int, copies: int, leaf: int = LEAF) -> DataFr
 
 def integer_vectors(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """``vec_id, dim, v``: floor(scale * x) of every component as a long. Vectors that are
-    null or hold a null or non-finite component are left out; repeated rows count once."""
+    null, have no component or hold a null or non-finite one are left out; repeated rows count
+    once."""
     x = F.transform("embedding", lambda e: e.cast("double"))
-    good = F.col("embedding").isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    good = (F.size("embedding") > 0) & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.coalesce(good, F.lit(False)))
     return rows.select("vec_id", F.size("embedding").alias("dim"), F.transform(x, lambda e: F.floor(F.lit(float(scale)) * e).cast("long")).alias("v")).distinct()
 
