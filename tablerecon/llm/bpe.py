@@ -172,7 +172,7 @@ def unit_ids(path: str) -> Recent:
             return parts[space + word[:-1]] + parts[word[-1]]
         return b"".join([parts[p] for p in SPLIT.findall(u)])
 
-    return Recent(unit)
+    return Recent(unit, 200_000)
 
 
 def _encoded_units(dictionaries: DataFrame, path: str) -> DataFrame:

@@ -17,9 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: rows of an Arrow batch, where the session has Spark's default: documents are long
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package: sent with the job, once a context, unless the
-    workers' path already has it."""
+    workers' path already has it. Batches to workers are made smaller, unless the session has
+    a size of its own, for a batch of long texts is held several times over."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tablerecon_shipped", False):

@@ -37,11 +37,17 @@ _FOLD[[x for x in range(128) if not chr(x).isalpha()]] = 32
 
 def _cells(t: Texts) -> tuple[np.ndarray, np.ndarray]:
     """The trigram cell centred on each byte, and which bytes belong to letters."""
-    d = _FOLD[t.data].astype(np.uint32)
-    before, after = np.concatenate(([32], d[:-1])).astype(np.uint32), np.concatenate((d[1:], [32])).astype(np.uint32)
-    key = (before << np.uint32(16)) | (d << np.uint32(8)) | after
+    d = _FOLD[t.data]
+    key = d.astype(np.uint32) << np.uint32(8)
+    key[1:] |= d[:-1].astype(np.uint32) << np.uint32(16)
+    key[:-1] |= d[1:]
+    if len(d):  # white space before the first text and after the last
+        key[0] |= np.uint32(32 << 16)
+        key[-1] |= np.uint32(32)
     key = (key * np.uint32(0x9E3779B1)) ^ (key >> np.uint32(11))
-    return ((key * np.uint32(0x85EBCA6B)) >> np.uint32(17)).astype(np.int64), d != 32
+    key *= np.uint32(0x85EBCA6B)
+    key >>= np.uint32(17)
+    return key.view(np.int32), d != 32
 
 
 def _sample(rows: DataFrame, most: int) -> DataFrame:
@@ -150,6 +156,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], s
     """
     langs, logp, by_script = model
     keep = keep or []
+    columns = [np.ascontiguousarray(logp[:, k]) for k in range(len(langs))]
     carried, kinds = passed_on(docs, keep)
     kind = "doc_id long, lang_pred string, score double, recognised double" + (", spans array<struct<first:int,last:int,lang:string>>" if spans else "") + kinds
     names = ["doc_id", "lang_pred", "score", "recognised", *["spans"] * spans, *keep]
@@ -157,9 +164,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], s
     def score_words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, first = t.words()
         cell, letter = _cells(t)
-        scores = np.empty((len(starts), len(langs)), np.float32)
+        scores, sums = np.empty((len(starts), len(langs)), np.float32), np.zeros(len(cell) + 1)
         for k in range(len(langs)):
-            sums = np.concatenate(([0.0], np.cumsum(np.where(letter, logp[cell, k], 0), dtype=np.float64)))
+            np.cumsum(np.where(letter, columns[k][cell], 0), dtype=np.float64, out=sums[1:])
             scores[:, k] = sums[ends] - sums[starts]
         sums = np.concatenate(([0], np.cumsum((_SCRIPT[t.data] > 0))))
         n_letters = sums[ends] - sums[starts]

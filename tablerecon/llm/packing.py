@@ -29,7 +29,7 @@ END_ID = 0
 #: pieces of one length that one task ranks
 SHARE = 500_000
 #: words, and parts of words, whose ids a worker keeps, twice (see Recent); longer ones are not kept
-CACHE = 200_000
+CACHE = 60_000
 LONGEST_KEPT = 48
 #: characters whose white space and normal form need no library: outside, the whole text is encoded at once
 ODD = re.compile(r"[^\t-\r -~¡-įı-ʯ‐-‧‰-⁞€]|[²³¹¼-¾]|<\|(?:startof|endof)text\|>")
@@ -99,7 +99,7 @@ class Recent(dict):
 def word_ids(path: str) -> Recent:
     """The ids of words without ODD characters, by the word."""
     if path not in _words:
-        parts = Recent(lambda part: split_ids(part, path))
+        parts = Recent(lambda part: split_ids(part, path), 2 * CACHE)
 
         def word(w: str) -> bytes:
             w = w.lower()
