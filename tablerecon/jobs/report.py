@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from ..operators import compare
 
 
-def failure_layers(rows: DataFrame, rule_report: DataFrame, contract) -> DataFrame:
-    """Failures by likely layer: rules are source data, keys are load, transformed columns
-    transform, other cells load."""
+def failure_layers(rows: DataFrame, rule_report: DataFrame, contract, file_checks: DataFrame | None = None, schema_errors: list[str] | None = None) -> DataFrame:
+    """Failures by likely layer: file checks are extract, rules are source data, schema errors
+    target schema, keys are load, transformed columns transform, other cells load."""
     derived = [c.name for c in contract.columns if c.transform]
+    one = F.lit(1).cast("long").alias("n")
     parts = rule_report.select(F.lit("source data").alias("layer"), F.col("failing_rows").alias("n"))
-    parts = parts.unionByName(rows.where("kind <> 'matched'").select(F.lit("load").alias("layer"), F.lit(1).cast("long").alias("n")))
-    parts = parts.unionByName(compare.diffs(rows, contract).select(F.when(F.col("column").isin(derived), "transform").otherwise("load").alias("layer"), F.lit(1).cast("long").alias("n")))
+    parts = parts.unionByName(rows.where("kind <> 'matched'").select(F.lit("load").alias("layer"), one))
+    cells = compare.diffs(rows, contract).select(F.when(F.col("column").isin(derived), "transform").otherwise("load").alias("layer"), one)
+    parts = parts.unionByName(cells)
+    if file_checks is not None:
+        parts = parts.unionByName(file_checks.select(F.lit("extract").alias("layer"), one))
+    if schema_errors:
+        found = [("target schema", len(schema_errors))]
+        parts = parts.unionByName(rows.sparkSession.createDataFrame(found, "layer string, n long"))
     return parts.groupBy("layer").agg(F.sum("n").alias("failures"))
 
 

@@ -71,7 +71,8 @@ def failures(feed: DataFrame, contract, order_by: list[str], only: set[str] | No
         bits = sum((F.when(bad, F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, _, bad) in enumerate(some)), F.lit(0).cast("long"))
         marked = feed.select(first.alias("sample"), *order, bits.alias("__bits")).where("__bits <> 0")
         named = [F.when(F.col("__bits").bitwiseAND(1 << i) != 0, F.struct(F.lit(rule).alias("rule_id"), F.lit(col).alias("column"))) for i, (rule, col, _) in enumerate(some)]
-        parts.append(marked.select("sample", *order_by, F.inline(F.array_compact(F.array(*named)))))
+        # outer: else Spark filters by the size of the array, for which all flags are told again
+        parts.append(marked.select("sample", *order_by, F.inline_outer(F.array_compact(F.array(*named)))))
     for rule, col, source in unique_columns(contract, feed.columns):
         if only is not None and rule not in only:
             continue

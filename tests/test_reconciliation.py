@@ -346,6 +346,18 @@ def test_missing_target(spark, tmp_path):
     assert run.stopped_at == "schema" and run.errors == ["table customer does not exist"]
 
 
+def test_failure_layers(spark, tmp_path):
+    from tablerecon.jobs import report
+
+    feed, target = clean(spark)
+    bad = spark.createDataFrame([[*ROWS[0][:4], "-1", "active", 1], *[list(r) for r in ROWS[1:]]], KIND)
+    live = target.where("id <> 5").selectExpr("id", "case when id = 7 then 'x' else name end as name", "email", "balance", "case when id = 8 then 'inactive' else status end as status")
+    rows = compare.joined(expected(bad, C, ["seq"]), live, C, (["seq"], ["id"]))
+    checks = files.header_errors(spark, write(tmp_path / "h.csv", HEADER.replace("email", "mail") + "\n"), C)
+    got = report.failure_layers(rows, rules.report(bad, C, ["seq"]), C, checks, ["missing column 'x'"])
+    assert dict(map(tuple, got.collect())) == {"extract": 1, "source data": 1, "target schema": 1, "load": 2, "transform": 2}
+
+
 def test_history(spark, tmp_path):
     feed, target = clean(spark)
     for i in (1, 2):
