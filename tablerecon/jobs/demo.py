@@ -86,8 +86,8 @@ def _expected(spark: SparkSession, d: str) -> DataFrame:
     return expected(feed(spark, d), CONTRACT, carry=["seq"])
 
 
-def _joined(spark: SparkSession, d: str, columns: list[str] | None = None) -> DataFrame:
-    return compare.joined(_expected(spark, d), target(spark, d), CONTRACT, (["seq"], ["order_id"]), columns)
+def _joined(spark: SparkSession, d: str, columns: list[str] | None = None, counted: bool = False) -> DataFrame:
+    return compare.joined(_expected(spark, d), target(spark, d), CONTRACT, (["seq"], ["order_id"]), columns, counted)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -405,7 +405,7 @@ def column_diffs_subset(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recon_counts(spark: SparkSession, d: str) -> DataFrame:
-    return compare.counts(_joined(spark, d))
+    return compare.counts(_joined(spark, d, counted=True))
 
 
 def transform_diffs(spark: SparkSession, d: str) -> DataFrame:
@@ -417,7 +417,7 @@ def mismatch_detail(spark: SparkSession, d: str) -> DataFrame:
 
 
 def composite_key_compare(spark: SparkSession, d: str) -> DataFrame:
-    return compare.counts(compare.joined(*_lines(spark, d), LINE_CONTRACT, (["at"], ["at"])))
+    return compare.counts(compare.joined(*_lines(spark, d), LINE_CONTRACT, (["at"], ["at"]), counted=True))
 
 
 def row_hash_compare(spark: SparkSession, d: str) -> DataFrame:

@@ -58,7 +58,7 @@ def _after_load(gates: _Gates, got: dict[str, int], contract, expected: DataFram
     gates.check("schema", bool(own))
     if gates.closed or target is None or set(target.columns) != {c.name for c in contract.columns}:
         return None
-    rows = compare.joined(expected, target, contract, order)
+    rows = compare.joined(expected, target, contract, order, counted=True)
     counts = compare.counts(rows).first()
     got["target_count"] = counts["target_count"]
     gates.check("count", counts["target_count"] != contract.metadata.get("expected_row_count", counts["source_count"]))

@@ -1,14 +1,15 @@
 """Keyed comparison of an expected and an actual table.
 
 Key parts are never null, so one equality partitioning serves the last-wins step and the full
-outer join: one exchange a side. The last-wins step is an aggregate that combines before the
-exchange, so a key that holds much of a table costs a row a task, and it counts the rows of
-each key on the way: all counts of a comparison come from the join itself.
+outer join: one exchange a side. The last-wins step leaves a row a key and task before the
+exchange, so a key that holds much of a table does not land in one task. Where counts are asked
+for, the step is an aggregate that also counts the rows of each key, so that all counts of a
+comparison come from the join itself; else it is a window, which sorts once less.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import normalize
@@ -31,36 +32,39 @@ def shown_keys(contract) -> list[Column]:
     return [F.when(F.col(f"__k{i}") != "N:", F.substring(f"__k{i}", 3, 1 << 30)).alias(k) for i, k in enumerate(contract.keys)]
 
 
-def _last(df: DataFrame, contract, value: Column, order_by: list[str]) -> DataFrame:
-    """Key parts, ``row`` (``value`` of the key's last row in ``order_by``) and ``rows``, their
-    number."""
-    keyed = with_keys(df, contract)
-    last = F.max_by(value, F.struct(*order_by))
-    return keyed.groupBy(*key_names(contract)).agg(last.alias("row"), F.count("*").alias("rows"))
+def _last(df: DataFrame, contract, value: Column, order_by: list[str], counted: bool = False) -> DataFrame:
+    """Key parts, ``row`` (``value`` of the key's last row in ``order_by``) and, if ``counted``,
+    ``rows``, how many the key has. Rows that tie may take each other's places."""
+    keys = key_names(contract)
+    keyed = with_keys(df, contract).select(*keys, value.alias("row"), F.struct(*order_by).alias("at"))
+    if counted:
+        return keyed.groupBy(*keys).agg(F.max_by("row", "at").alias("row"), F.count("*").alias("rows"))
+    w = Window.partitionBy(*keys).orderBy(F.col("at").desc())
+    return keyed.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*keys, "row")
 
 
 def last_wins(df: DataFrame, contract, order_by: list[str]) -> DataFrame:
-    """One row a key, the last in ``order_by``, with its key parts. Rows that tie in it may take
-    each other's places."""
+    """One row a key, the last in ``order_by``, with its key parts."""
     names = df.columns
     return _last(df, contract, F.struct(*names), order_by).select(*[F.col("row")[c].alias(c) for c in names], *key_names(contract))
 
 
-def _side(df: DataFrame, contract, columns: list[str], order_by: list[str], name: str) -> DataFrame:
+def _side(df: DataFrame, contract, columns: list[str], order_by: list[str], name: str, counted: bool) -> DataFrame:
     cells = []
     for c in columns:
         v = normalize(F.col("row")[c], contract.column(c))
         cells.append(F.struct(v.typed.alias("typed"), v.raw.alias("raw"), v.shown().alias("shown")).alias(c))
-    rows = _last(df, contract, F.struct(*(columns or key_names(contract)[:1])), order_by)
-    return rows.select(*key_names(contract), F.struct(F.col("rows"), *cells).alias(name))
+    rows = _last(df, contract, F.struct(*(columns or key_names(contract)[:1])), order_by, counted)
+    n = F.col("rows") if counted else F.lit(1).cast("long")
+    return rows.select(*key_names(contract), F.struct(n.alias("rows"), *cells).alias(name))
 
 
-def joined(expected: DataFrame, actual: DataFrame, contract, order_by: tuple[list[str], list[str]], columns: list[str] | None = None) -> DataFrame:
-    """``kind`` (missing, extra, matched), the keys as text, ``source_rows`` and ``target_rows``
-    of the key, and ``diffs``, an array of differing cells. Keys are not compared again; null
-    equals null."""
+def joined(expected: DataFrame, actual: DataFrame, contract, order_by: tuple[list[str], list[str]], columns: list[str] | None = None, counted: bool = False) -> DataFrame:
+    """``kind`` (missing, extra, matched), the keys as text, and ``diffs``, an array of differing
+    cells; if ``counted``, also ``source_rows`` and ``target_rows`` of the key. Keys are not
+    compared again; null equals null."""
     names = [c for c in columns or [c.name for c in contract.columns] if c not in contract.keys]
-    e, a = _side(expected, contract, names, order_by[0], "e"), _side(actual, contract, names, order_by[1], "a")
+    e, a = (_side(df, contract, names, order, name, counted) for df, order, name in ((expected, order_by[0], "e"), (actual, order_by[1], "a")))
     both = e.join(a, key_names(contract), "full_outer")
     cells = []
     for c in names:
@@ -71,7 +75,7 @@ def joined(expected: DataFrame, actual: DataFrame, contract, order_by: tuple[lis
     none = F.array().cast(_CELLS)
     diffs = F.when(kind == "matched", F.array_compact(F.array(*cells)) if cells else none).otherwise(none)
     rows = [F.coalesce(F.col(f"{side}.rows"), F.lit(0)).alias(name) for side, name in (("e", "source_rows"), ("a", "target_rows"))]
-    return both.select(*shown_keys(contract), kind.alias("kind"), diffs.alias("diffs"), *rows)
+    return both.select(*shown_keys(contract), kind.alias("kind"), diffs.alias("diffs"), *(rows if counted else []))
 
 
 def missing(rows: DataFrame, contract) -> DataFrame:
@@ -92,8 +96,8 @@ def transform_diffs(rows: DataFrame, contract) -> DataFrame:
 
 
 def counts(rows: DataFrame) -> DataFrame:
-    """One row, in one pass over the join; source and target counts are of all rows, duplicates
-    included."""
+    """One row, in one pass over a join that was ``counted``; source and target counts are of all
+    rows, duplicates included."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
     tally = rows.agg(
         total(F.col("source_rows")).alias("source_count"),
@@ -122,7 +126,7 @@ def detail(rows: DataFrame, contract, limit: int = 10) -> DataFrame:
 
 def row_hashes(df: DataFrame, contract, order_by: list[str]) -> DataFrame:
     """Keys and one digest of all normal forms, nulls and unreadable text marked. Digests are
-    made before the last-wins step, so only they are shuffled."""
+    made before the last-wins step, so only they and the order are shuffled."""
     parts = [normalize(F.col(c.name), c).part() for c in contract.columns]
     digest = F.sha2(F.to_json(F.array(*parts)), 256)
     return _last(df, contract, digest, order_by).select(*key_names(contract), F.col("row").alias("digest"))

@@ -62,17 +62,16 @@ def _first_column(contract, feed: DataFrame) -> Column:
 def failures(feed: DataFrame, contract, order_by: list[str], only: set[str] | None = None) -> DataFrame | None:
     """``rule_id, column, sample`` and the order columns, one row per failing row and rule (of
     ``only``, if given); None without rules. A sample is the value of the first feed column.
-    Flags are told once for all rules of a row, as bits of one number."""
+    Flags are told once for all rules of a row."""
     first, order = _first_column(contract, feed).cast("string"), [F.col(c) for c in order_by]
     rules_ = [x for x in flags(contract, feed.columns) if only is None or x[0] in only]
     parts = []
-    for lo in range(0, len(rules_), 60):
-        some = rules_[lo : lo + 60]
-        bits = sum((F.when(bad, F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, _, bad) in enumerate(some)), F.lit(0).cast("long"))
-        marked = feed.select(first.alias("sample"), *order, bits.alias("__bits")).where("__bits <> 0")
-        named = [F.when(F.col("__bits").bitwiseAND(1 << i) != 0, F.struct(F.lit(rule).alias("rule_id"), F.lit(col).alias("column"))) for i, (rule, col, _) in enumerate(some)]
-        # outer: else Spark filters by the size of the array, for which all flags are told again
-        parts.append(marked.select("sample", *order_by, F.inline_outer(F.array_compact(F.array(*named)))))
+    if rules_:
+        told = feed.select(first.alias("sample"), *order, *[bad.alias(f"__b{i}") for i, (_, _, bad) in enumerate(rules_)])
+        named = [F.when(F.col(f"__b{i}"), F.struct(F.lit(rule).alias("rule_id"), F.lit(col).alias("column"))) for i, (rule, col, _) in enumerate(rules_)]
+        # outer, and filtered after: a filter before would tell all flags again
+        rows = told.select("sample", *order_by, F.inline_outer(F.array_compact(F.array(*named))))
+        parts.append(rows.where("rule_id is not null"))
     for rule, col, source in unique_columns(contract, feed.columns):
         if only is not None and rule not in only:
             continue

@@ -71,11 +71,11 @@ def test_comparison_exchanges(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = compare.joined(expected(feed, C, ["seq"]), target, C, (["seq"], ["id"]))._jdf.queryExecution().executedPlan().toString()
+        plans = [compare.joined(expected(feed, C, ["seq"]), target, C, (["seq"], ["id"]), counted=x)._jdf.queryExecution().executedPlan().toString() for x in (False, True)]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert plan.count("Exchange hashpartitioning") == 2
+    assert [plan.count("Exchange hashpartitioning") for plan in plans] == [2, 2]
 
 
 @pytest.mark.parametrize(
@@ -288,10 +288,12 @@ def test_last_row_of_a_hot_key(spark):
     c = contracts.load({**CUSTOMER, "columns": [CUSTOMER["columns"][0], {"name": "n", "source_name": "balance", "type": "integer", "nullable": True}]})
     e = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).cast("string").alias("id"), F.col("id").cast("string").alias("n"), F.col("id").alias("seq"))
     a = e.where("id <> 20").select("id", F.when(F.col("id") == "7", "2999").otherwise(F.col("n")).alias("n"), "seq")
-    rows = compare.joined(e, a, c, (["seq"], ["seq"]))
+    rows = compare.joined(e, a, c, (["seq"], ["seq"]), counted=True)
     assert compare.counts(rows).first().asDict() == {"source_count": 3000, "target_count": 2999, "missing": 1, "extra": 0, "diffs": 0, "mismatch_count": 1}
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("partial_max_by") >= 2
+    plan = compare.joined(e, a, c, (["seq"], ["seq"]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4  # before and after each exchange
 
 
 def test_counts_and_rules_read_once(spark, tmp_path):
@@ -300,7 +302,7 @@ def test_counts_and_rules_read_once(spark, tmp_path):
     feed, target = clean(spark)
     feed.write.parquet(str(tmp_path / "f")), target.write.parquet(str(tmp_path / "t"))
     feed, target = spark.read.parquet(str(tmp_path / "f")), spark.read.parquet(str(tmp_path / "t"))
-    rows = compare.counts(compare.joined(expected(feed, C, ["seq"]), target, C, (["seq"], ["id"])))
+    rows = compare.counts(compare.joined(expected(feed, C, ["seq"]), target, C, (["seq"], ["id"]), counted=True))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
     marked = rules.failures(feed, C, ["seq"])._jdf.queryExecution().optimizedPlan().toString()
     assert marked.count("Relation [") == 3  # flags once, the unique column and its repeated values
