@@ -43,8 +43,13 @@ def java_regex(pattern: str) -> str:
     return "(?U)^(?:" + pattern.replace("(?P<", "(?<") + ")"
 
 
+#: types whose text has no blanks; told when the plan is made, at no cost to rows
+_BARE = "^(tinyint|smallint|int|bigint|decimal.*|float|double|date|timestamp.*|boolean)$"
+
+
 def strip(c: Column) -> Column:
-    return F.btrim(c.cast("string"), F.lit(WHITE))
+    s = c.cast("string")
+    return F.when(F.typeof(c).rlike(_BARE), s).otherwise(F.btrim(s, F.lit(WHITE)))
 
 
 def text(c: Column) -> Column:
@@ -73,6 +78,15 @@ class Value:
         return F.when(self.typed.isNotNull(), typed).when(self.raw.isNotNull(), F.concat(F.lit("B:"), self.raw)).otherwise("N:")
 
 
+def _day(s: Column, fmt: str) -> Column:
+    """A date by its format; the usual form of ISO dates is read without a formatter."""
+    slow = _time(s, fmt).cast("date")
+    if fmt != "%Y-%m-%d":
+        return slow
+    usual = (F.length(s) == 10) & (F.substring(s, 5, 1) == "-") & (F.substring(s, 8, 1) == "-") & (s >= "0") & (s < ":")
+    return F.when(usual, s.try_cast("date")).otherwise(slow)
+
+
 def _time(s: Column, fmt: str) -> Column:
     return F.try_to_timestamp(F.regexp_replace(s, r"\s+", " "), F.lit(date_pattern(fmt))).cast("timestamp_ntz")
 
@@ -113,7 +127,7 @@ def normalize(c: Column, spec) -> Value:
         kind = f"decimal(38,{spec.scale})"
         typed = F.coalesce(s.try_cast(kind), _ungrouped(s).try_cast(kind))
     elif spec.type == "date":  # a typed date is one already; text must have the declared format
-        typed = F.when(F.typeof(c) == "date", _time(s, "%Y-%m-%d")).otherwise(_time(s, spec.date_format)).cast("date")
+        typed = F.when(F.typeof(c) == "date", s.try_cast("date")).otherwise(_day(s, spec.date_format))
     elif spec.type == "timestamp":
         formats = ([spec.ts_format] if spec.ts_format else []) + ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f"]
         typed = F.coalesce(*[_time(s, f) for f in formats])
@@ -134,7 +148,7 @@ def readable(c: Column, spec) -> Column:
     if spec.type == "decimal":
         return s.rlike(NUMBER)
     if spec.type == "date":
-        return _time(s, spec.date_format).isNotNull()
+        return _day(s, spec.date_format).isNotNull()
     if spec.type == "timestamp":
         return _time(s, spec.ts_format or "%Y-%m-%d %H:%M:%S").isNotNull()
     if spec.type == "boolean":
