@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, jaccard_join, language_id, licenses, packing, pii, quality_qda, quality_rules, topk_search
+from . import bpe, filter_audit, hard_negatives, html_extract, jaccard_join, language_id, licenses, mixing, packing, pii, quality_qda, quality_rules, topk_search
 from .common import id_remainder, ship, table
 
 
@@ -55,6 +55,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -65,9 +77,12 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
-    for f in (op1_best_fit_packing, op2_topk_search, op3_pii, op4_html_extraction, op5_jaccard_join, op6_quality_rules, op7_bpe, op8_language_id, op9_quality_classifier, op10_license_scan)
-}
-#: searches and digests that SQL can say; the others are tested against brute force
+    for f in (
+        op1_best_fit_packing, op2_topk_search, op3_pii, op4_html_extraction, op5_jaccard_join, op6_quality_rules, op7_bpe, op8_language_id, op9_quality_classifier, op10_license_scan,
+        op11_source_mixing, op12_hard_negatives, op13_filter_audit,
+    )
+}
+#: searches, digests and counts that SQL can say; the others are tested against brute force
 ORACLE_SQL: dict[str, str] = {
     "op2_topk_search": """
 with v as (select distinct vec_id, embedding, list_transform(embedding, lambda e: cast(floor(256 * cast(e as double)) as bigint)) as x from embeddings
@@ -78,4 +93,7 @@ pairs as (select q.vec_id as query_id, d.vec_id as vec_id, cast(sum(q.c * d.c) a
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from pairs qualify rank <= 5""",
     "op10_license_scan": licenses.oracle_sql(),
+    "op11_source_mixing": mixing.ORACLE_SQL,
+    "op12_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,8 +33,11 @@ COLUMNS = {
     "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op9_quality_classifier": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_license_scan": "doc_id bigint, digest string, license_id string, line_licenses string, n_license_lines bigint",
+    "op11_source_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op12_hard_negatives": "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint",
+    "op13_filter_audit": "part string, filter_order string, step int, kept bigint, removed bigint, redundant bigint, unique_fails bigint, good_lost bigint, toxic_lost bigint, shapley bigint",
 }
-PER_DOCUMENT = [n for n in COLUMNS if n.startswith(("op3", "op5", "op6", "op7", "op8", "op9", "op10"))]
+PER_DOCUMENT = [n for n in COLUMNS if n.startswith(("op3", "op5", "op6", "op7", "op8", "op9", "op10", "op11"))]
 
 
 @pytest.fixture(scope="module")
@@ -48,8 +52,8 @@ def folder(spark, tmp_path_factory):
     labels.select("doc_id", F.col("quality").cast("int"), F.col("toxic").cast("int")).unionByName(odd_labels).withColumn("n_words", F.lit(1)).write.parquet(f"{root}/labels.parquet")
     pages = spark.read.parquet(f"{SF}/pages.parquet").limit(10)
     pages.unionByName(spark.createDataFrame([(None, None, None), (-1, "u", ""), (-1, "u", ""), (-2, None, "<p>")], "page_id long, url string, html string")).withColumn("text", F.lit(1)).write.parquet(f"{root}/pages.parquet")
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").limit(60)
-    odd_vectors = spark.createDataFrame([(None, [1.0] * 64), (1000, None), (1050, [float("nan")] * 64), (1100, [None] * 64), (1150, []), (1200, [0.5] * 64), (1200, [0.5] * 64)], "vec_id long, embedding array<float>")
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding", "label").limit(60)
+    odd_vectors = spark.createDataFrame([(None, [1.0] * 64), (1000, None), (1050, [float("nan")] * 64), (1100, [None] * 64), (1150, []), (1200, [0.5] * 64), (1200, [0.5] * 64)], "vec_id long, embedding array<float>").withColumn("label", F.lit(None).cast("int"))
     vectors.unionByName(odd_vectors).withColumn("dim", F.lit(1)).write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
@@ -102,6 +106,17 @@ def test_odd_rows(spark, folder, name):
         assert {r.doc_id for r in got if r.lang_pred == "und" and r.doc_id is not None} == letterless
 
 
+@pytest.mark.parametrize("name", ["op11_source_mixing", "op12_hard_negatives", "op13_filter_audit"])
+def test_against_sql(spark, folder, name):
+    """On odd rows, by other means than the operator's."""
+    con = duckdb.connect()
+    for t in ("documents", "labels", "embeddings"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, folder).select(*want.columns)
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want.fetchall())
+
+
 @pytest.mark.parametrize("name", list(COLUMNS))
 def test_empty_tables(spark, nothing, name):
     assert QUERIES[name](spark, nothing).count() == 0
