@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import types as T
 
 from .functions.transforms import inputs_of, parse
-from .functions.values import date_pattern, java_regex
+from .functions.values import bound, date_pattern, java_regex
 
 TYPES = {"integer", "decimal", "string", "date", "timestamp", "boolean"}
 #: SQL type names of a contract's types, as created
@@ -83,9 +83,10 @@ class Contract:
         return f"CREATE TABLE IF NOT EXISTS {self.table} ({cols}) USING parquet TBLPROPERTIES ('{KEYS_PROPERTY}' = '{keys}')"
 
 
-def load(raw: dict[str, Any] | str) -> Contract:
+def load(raw: dict[str, Any] | str, unknown_inputs: bool = False) -> Contract:
     """A contract from a dict or YAML text, checked in full: required fields, types, ranges,
-    keys that are columns, inputs that are in the feed, transforms and formats that parse."""
+    keys that are columns, inputs that are in the feed, transforms and formats that parse. With
+    ``unknown_inputs``, placeholders that the feed lacks are let through and render as nothing."""
     if isinstance(raw, str):
         import yaml
 
@@ -103,9 +104,12 @@ def load(raw: dict[str, Any] | str) -> Contract:
             raise ContractError(f"column {where}: unknown type {c['type']}")
         if "range" in c and len(c["range"]) != 2:
             raise ContractError(f"column {where}: range needs two numbers")
+        for b in c.get("range", ()):
+            bound(b)
         if not c.get("source_name") and not c.get("transform"):
             raise ContractError(f"column {where}: neither source_name nor transform")
-        used = ([c["source_name"]] if c.get("source_name") else []) + (inputs_of(parse(c["transform"], feed)) if c.get("transform") else [])
+        inputs = inputs_of(parse(c["transform"], feed)) if c.get("transform") else []
+        used = ([c["source_name"]] if c.get("source_name") else []) + ([] if unknown_inputs else inputs)
         if feed and set(used) - feed:
             raise ContractError(f"column {where}: not in the feed: {', '.join(sorted(set(used) - feed))}")
         for key in ("date_format", "ts_format"):

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from .values import strip, whole_part
 
+#: fixed values: the functions that a transform may call, with their most arguments
 FUNCTIONS = {"lower": 1, "upper": 1, "strip": 1, "round": 2}
+#: fixed value: a number as an argument
+ARGUMENT = r"-?\d+(\.\d+)?"
 
 
 @dataclass(frozen=True)
@@ -43,7 +46,7 @@ def parse(text: str, feed: set[str]) -> Transform:
     for a in args:
         if "{" in a:
             out.append(_template(a))
-        elif re.fullmatch(r"-?\d+(\.\d+)?", a):
+        elif re.fullmatch(ARGUMENT, a):
             out.append((Part("number", a),))
         elif a[:1] in "'\"" or (feed and a not in feed):
             if a[:1] not in "'\"" and re.fullmatch(r"\w+\(.*", a):
@@ -58,11 +61,17 @@ def inputs_of(t: Transform) -> list[str]:
     return [p.value for arg in t.args for p in arg if p.kind == "column"]
 
 
-def compiled(t: Transform) -> Column:
-    """The transform as a column. ``round`` of text that is no number is null."""
+def compiled(t: Transform, feed: set[str] | None = None) -> Column:
+    """The transform as a column. ``round`` of text that is no number is null. With ``feed``,
+    placeholders that are none of its columns are empty."""
+
+    def part(p: Part) -> Column:
+        if p.kind != "column":
+            return F.lit(p.value)
+        return F.lit("") if feed is not None and p.value not in feed else F.coalesce(F.col(p.value).cast("string"), F.lit(""))
 
     def arg(parts: tuple[Part, ...]) -> Column:
-        own = [F.coalesce(F.col(p.value).cast("string"), F.lit("")) if p.kind == "column" else F.lit(p.value) for p in parts]
+        own = [part(p) for p in parts]
         return own[0] if len(own) == 1 else F.concat(*own)
 
     if t.function is None:
@@ -84,5 +93,5 @@ def expected(feed, contract, carry: list[str] | None = None):
     """The table that the feed must become, as text in contract order: one projection. A
     transform wins over a source name. ``carry`` keeps feed columns, such as a row order."""
     own = set(feed.columns)
-    cols = [(compiled(parse(c.transform, own)) if c.transform else F.col(c.source_name)).alias(c.name) for c in contract.columns]
+    cols = [(compiled(parse(c.transform, own), own) if c.transform else F.col(c.source_name)).alias(c.name) for c in contract.columns]
     return feed.select(*cols, *(carry or []))

@@ -6,36 +6,59 @@ are compared, so a value that cannot be read equals only the same text and never
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: what text stripping removes
 WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: fixed values: what reads as true
 TRUE = ["true", "1", "t", "yes"]
-#: directives that a format may hold
-DIRECTIVES = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s", "%f": "[SSSSSS][SSSSS][SSSS][SSS][SS][S]"}
+#: fixed values: strptime's directives that a format may hold, with the text that each reads
+DIRECTIVES = {
+    "%Y": r"(?!0000)[0-9]{4}",
+    "%m": "1[0-2]|0[1-9]|[1-9]",
+    "%d": "3[01]|[12][0-9]|0[1-9]|[1-9]",
+    "%H": "2[0-3]|[01][0-9]|[0-9]",
+    "%M": "[0-5][0-9]|[0-9]",
+    "%S": "[0-5][0-9]|[0-9]",
+    "%f": "[0-9]{1,6}",
+}
+#: what a format without a directive leaves it at
+_UNSAID = {"%Y": "1900", "%m": "1", "%d": "1", "%H": "0", "%M": "0", "%S": "0", "%f": "0"}
 #: numbers as text: digits in groups, a fraction, an exponent
 _DIGITS = r"[0-9]+(_[0-9]+)*"
 _PLAIN = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})$"
 NUMBER = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
-#: scales that a number is held at, from the finest: what overflows one is tried at the next
-SCALES = (18, 10, 0)
+#: by a rule, decimal digits of all scripts but ASCII, and their ASCII digits
+_OTHER_DIGITS = "".join(chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd")
+_THEIR_DIGITS = "".join(str(unicodedata.digit(c)) for c in _OTHER_DIGITS)
 
 
-def date_pattern(fmt: str) -> str:
-    """A strptime format as a Spark pattern; other directives are refused."""
-    out, i = "", 0
+def date_pattern(fmt: str) -> tuple[str, str]:
+    """A strptime format as a pattern, and the same value in ISO form with the pattern's groups;
+    other directives, and a directive that comes twice, are refused. Blanks read blanks of any
+    number, letters any case."""
+    out, groups, i = "", {}, 0
     while i < len(fmt):
         two = fmt[i : i + 2]
-        if two in DIRECTIVES:
-            out, i = out + DIRECTIVES[two], i + 2
+        if two in DIRECTIVES and two not in groups:
+            groups[two] = f"${len(groups) + 1}"
+            out, i = out + f"({DIRECTIVES[two]})", i + 2
         elif fmt[i] == "%":
-            raise ValueError(f"directive {two} is not supported")
+            raise ValueError(f"directive {two} is not supported, or comes twice")
+        elif fmt[i].isspace():
+            while i < len(fmt) and fmt[i].isspace():
+                i += 1
+            out += r"\s+"
         else:
-            out, i = out + (f"'{fmt[i]}'" if fmt[i].isalpha() else "''" if fmt[i] == "'" else fmt[i]), i + 1
-    return out
+            out, i = out + (fmt[i] if fmt[i].isalnum() else "\\" + fmt[i]), i + 1
+    said = _UNSAID | groups
+    return f"(?iU)^{out}$", f"{said['%Y']}-{said['%m']}-{said['%d']} {said['%H']}:{said['%M']}:{said['%S']}.{said['%f']}"
 
 
 def java_regex(pattern: str) -> str:
@@ -78,17 +101,25 @@ class Value:
         return F.when(self.typed.isNotNull(), typed).when(self.raw.isNotNull(), F.concat(F.lit("B:"), self.raw)).otherwise("N:")
 
 
+def ascii_digits(s: Column) -> Column:
+    """Text with decimal digits of any script as ASCII ones."""
+    return F.translate(s, _OTHER_DIGITS, _THEIR_DIGITS)
+
+
 def _day(s: Column, fmt: str) -> Column:
-    """A date by its format; the usual form of ISO dates is read without a formatter."""
+    """A date by its format; the usual form of ISO dates needs no rewriting."""
     slow = _time(s, fmt).cast("date")
     if fmt != "%Y-%m-%d":
         return slow
-    usual = (F.length(s) == 10) & (F.substring(s, 5, 1) == "-") & (F.substring(s, 8, 1) == "-") & (s >= "0") & (s < ":")
-    return F.when(usual, s.try_cast("date")).otherwise(slow)
+    return F.when(s.rlike("^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"), s.try_cast("date")).otherwise(slow)
 
 
 def _time(s: Column, fmt: str) -> Column:
-    return F.try_to_timestamp(F.regexp_replace(s, r"\s+", " "), F.lit(date_pattern(fmt))).cast("timestamp_ntz")
+    """A time by its format, as the clock shows it: no zone is passed through. What has the
+    format's form is rewritten and marked, so that the form is looked for once."""
+    pattern, iso = date_pattern(fmt)
+    marked = F.regexp_replace(ascii_digits(s), F.lit(pattern), F.lit(iso + "\u0000"))
+    return F.when(marked.endswith("\u0000"), F.rtrim(marked, F.lit("\u0000")).try_cast("timestamp_ntz"))
 
 
 def _ungrouped(s: Column) -> Column:
@@ -105,32 +136,72 @@ def whole_part(s: Column, kind: str) -> Column:
     return F.when(s.rlike(_PLAIN), cut.try_cast(kind)).when(s.rlike(NUMBER), digits.try_cast("decimal(38,18)").try_cast(kind))
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _magnitude(digits: Column) -> Column:
+    """Of a number's text: the place of its first digit other than 0, its digits from there to
+    its last one other than 0 (none for 0), and whether it is below 0. Numbers of one sign
+    compare by place, then digits, at any size."""
+    whole, part = (F.regexp_extract(digits, r"^[+-]?([0-9]*)\.?([0-9]*)", i) for i in (1, 2))
+    exponent = F.regexp_extract(digits, r"[eE]([+-]?[0-9]+)$", 1)
+    far = 1 << 62  # exponents beyond that count as that
+    most = F.when(exponent.startswith("-"), -far).otherwise(far)
+    shift = F.when(exponent == "", 0).otherwise(F.greatest(F.least(F.coalesce(exponent.try_cast("bigint"), most), F.lit(far)), F.lit(-far)))
+    bare = F.ltrim(F.concat(whole, part), F.lit("0"))
+    place = F.length(bare) - F.length(part) - 1 + shift
+    return F.struct(place.alias("place"), F.rtrim(bare, F.lit("0")).alias("digits"), digits.startswith("-").alias("minus"))
+
+
+def bound(b: object) -> Decimal:
+    """A range's bound; what is no finite number is an error of the contract."""
+    try:
+        x = Decimal(str(b))
+    except ArithmeticError:
+        raise ValueError(f"range: {b!r} is no number") from None
+    if not x.is_finite():
+        raise ValueError(f"range: {b!r} is no number")
+    return x
+
+
+def _against(x: Column, b: Decimal) -> Column:
+    """-1, 0 or 1: a number by its magnitude against a bound, exactly."""
+    want, at = "".join(map(str, b.as_tuple().digits)).strip("0"), b.adjusted()
+    minus = x["minus"] & (x["digits"] != "")
+    if not want:
+        return F.when(x["digits"] == "", 0).when(minus, -1).otherwise(1)
+    size = F.when(x["digits"] == "", -1).when(x["place"] != at, F.when(x["place"] > at, 1).otherwise(-1)).when(x["digits"] == want, 0).when(x["digits"] > want, 1).otherwise(-1)
+    return F.when(minus, -size).otherwise(1) if b.is_signed() else F.when(minus, -1).otherwise(size)
+
+
 def in_range(s: Column, lo: object, hi: object) -> Column:
-    """Whether a number is within inclusive bounds: exactly up to 38 digits, beyond that by its
-    double. Null if the text is no number."""
-    digits, out = _ungrouped(s), None
-    for scale in SCALES:
-        x = digits.try_cast(f"decimal(38,{scale})")
-        test = x.between(*[F.lit(str(b)).try_cast("decimal(38,18)") for b in (lo, hi)])
-        out = F.when(x.isNotNull(), test) if out is None else out.when(x.isNotNull(), test)
-    plain = s.try_cast("decimal(38,18)")
-    exact = F.when(s.rlike(NUMBER), out.otherwise(digits.try_cast("double").between(float(lo), float(hi))))
-    return F.when(plain.isNotNull(), plain.between(*[F.lit(str(b)).try_cast("decimal(38,18)") for b in (lo, hi)])).otherwise(exact)
+    """Whether a number is within inclusive bounds, exactly at any size of number and bounds.
+    Null if the text is no number."""
+    low, high = bound(lo), bound(hi)
+    within = lambda x: (_against(x, low) >= 0) & (_against(x, high) <= 0)
+    exact = F.when(s.rlike(NUMBER), _let(F.replace(s, F.lit("_"), F.lit("")), lambda digits: _let(_magnitude(digits), within)))
+    if not all(x.adjusted() < 20 and x.as_tuple().exponent >= -18 for x in (low, high)):
+        return exact
+    # short texts are read as decimals, without loss
+    short = (F.length(s) < 20) & s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    return F.when(short, s.try_cast("decimal(38,18)").between(*[F.lit(format(x, "f")).cast("decimal(38,18)") for x in (low, high)])).otherwise(exact)
 
 
 def normalize(c: Column, spec) -> Value:
     """The normal form of ``c`` under the contract column ``spec``."""
     s = text(c)
     if spec.type == "integer":
-        typed = F.coalesce(s.try_cast("bigint"), whole_part(s, "bigint"))
+        typed = F.coalesce(s.try_cast("bigint"), whole_part(ascii_digits(s), "bigint"))
     elif spec.type == "decimal":
         kind = f"decimal(38,{spec.scale})"
-        typed = F.coalesce(s.try_cast(kind), _ungrouped(s).try_cast(kind))
+        typed = F.coalesce(s.try_cast(kind), _ungrouped(ascii_digits(s)).try_cast(kind))
     elif spec.type == "date":  # a typed date is one already; text must have the declared format
         typed = F.when(F.typeof(c) == "date", s.try_cast("date")).otherwise(_day(s, spec.date_format))
-    elif spec.type == "timestamp":
+    elif spec.type == "timestamp":  # so is a typed time
         formats = ([spec.ts_format] if spec.ts_format else []) + ["%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S.%f"]
-        typed = F.coalesce(*[_time(s, f) for f in formats])
+        typed = F.when(F.typeof(c).startswith("timestamp"), s.try_cast("timestamp_ntz")).otherwise(F.coalesce(*[_time(s, f) for f in formats]))
     elif spec.type == "boolean":
         typed = F.when(s.isNotNull(), F.lower(s).isin(TRUE))
     else:
@@ -144,9 +215,9 @@ def readable(c: Column, spec) -> Column:
     a deliberate difference, for no decimal column can hold them."""
     s = strip(c)
     if spec.type == "integer":
-        return s.rlike(rf"^[+-]?{_DIGITS}$")
+        return ascii_digits(s).rlike(rf"^[+-]?{_DIGITS}$")
     if spec.type == "decimal":
-        return s.rlike(NUMBER)
+        return ascii_digits(s).rlike(NUMBER)
     if spec.type == "date":
         return _day(s, spec.date_format).isNotNull()
     if spec.type == "timestamp":

@@ -87,7 +87,7 @@ def _nulls(table: str) -> str:
 
 _BATCH = "[cast(count(*) as varchar), cast(sum(cast(total as decimal(18,2))) as varchar), cast(count(distinct customer_id) as varchar)]"
 _SUMMARY = f"""select 'orders' as contract, '1.0' as contract_version, 'test' as environment, target_count, source_count,
- missing + extra + diffs as mismatch_count, (select cast(sum(failing_rows) as bigint) from r) as validation_rule_failures, cast(0 as bigint) as schema_errors,
+ missing + extra + diffs as mismatch_count, (select cast(sum(failing_rows) as bigint) from r) as validation_rule_failures, (select cast(count(*) > 0 as bigint) from target where priority is null) as schema_errors,
  'FAIL' as final_status, '2024-01-01T00:00:00' as timestamp from (select {_COUNTS})"""
 
 
@@ -142,6 +142,23 @@ SQL: dict[str, str] = {
  from (select *, row_number() over (order by seq) as n from ({DUCK_FEED})) where seq % 53 = 1""",
     "ragged_errors": f"""select 'ragged' as "check", min(n) as position, 'ragged rows (col count != 6) at lines [' || string_agg(cast(n as varchar), ', ' order by n) || ']' as message
  from (select n from (select seq, row_number() over (order by seq) as n from ({DUCK_FEED})) where seq % 53 = 1 order by n limit 5)""",
+    "quoted_records": """select count(*) as records, cast(sum(lines) as bigint) as lines, cast(0 as bigint) as undecodable, cast(2 as bigint) as width, count(*) filter (where more) as ragged,
+ array_to_string((array_agg(n order by n) filter (where more))[1:5], ',') as first_ragged
+ from (select row_number() over (order by c_custkey) as n, case when c_custkey % 5 = 0 then 2 else 1 end as lines, c_custkey % 31 = 7 as more from customer)""",
+    "quoted_ragged": """select n as number, cast(3 as bigint) as width, cast(2 as bigint) as expected,
+ c_custkey || ',' || case when c_custkey % 5 = 0 then '"' || c_name || chr(10) || '""x"", ' || c_mktsegment || '"' else c_name end || ',more' as record
+ from (select *, row_number() over (order by c_custkey) as n from customer) where c_custkey % 31 = 7""",
+    "encoded_feeds": """select encoding, count(*) + 1 as records, cast(2 as bigint) as width, cast(0 as bigint) as undecodable, cast(0 as bigint) as ragged, 'clé,prénom' as header
+ from customer, (values ('UTF-16LE'), ('ISO-8859-1'), ('UTF-8')) e(encoding) group by encoding""",
+    "header_of_files": """select distinct cast(c_nationkey as varchar) as nation, c_mktsegment as segment, 'header_name' as "check", cast(2 as bigint) as position,
+ 'header column 2: expected ''c_fullname'', got ''c_name''' as message from customer""",
+    "date_edges": """with t as (select o_orderkey as k, cast(o_orderdate as date) as day, strftime(o_orderdate, '%Y-%m-%d') as iso from orders)
+select k, case when k % 5 in (0, 2) then iso end as value, case k % 5 when 1 then iso[1:9] || 'T' when 3 then iso || ' 00:00:00' when 4 then strftime(day, '%d.%m.%Y') end as unreadable,
+ k % 5 in (0, 2) as passes from t""",
+    "timestamp_zone_edges": "select event_id as k, '2024-03-31 02:' || strftime(ts, '%M:%S') as value, cast(null as varchar) as unreadable from events",
+    "range_large_bounds": "select o_orderkey as k, o_orderkey % 3 <> 2 and cast(o_orderkey as hugeint) * 10000000000000000000 <= 10000000000000000000000 as passes from orders",
+    "transform_unknown": f"select o_orderkey as order_id, o_orderpriority || '//' as label from ({DUCK_FEED})",
+    "missing_table": f"""select 'exists' as "check", cast(null as varchar) as "column", 'table orders_target does not exist' as message, count(*) as rows from ({DUCK_FEED})""",
     "row_count_errors": f"""select 'empty' as "check", cast(0 as bigint) as position, 'file is empty' as message
  union all select 'row_count', count(*), 'row count: expected 7, got ' || count(*) from ({DUCK_FEED})""",
     "row_count_check": f"select count(*) as n, 'row count: expected 7, got ' || count(*) as message from ({DUCK_FEED})",
@@ -204,6 +221,8 @@ select *, missing + extra + diffs as mismatch_count from c""",
     "gate_files": _gate("files", source="0"),
     "gate_rules": CTE + _gate("rules", failures="(select sum(failing_rows) from r where rule_id <> 'regex:priority')"),
     "gate_schema": _gate("schema", errors=2),
+    "gate_nulls": _gate("schema", errors=1),
+    "gate_keys": _gate("schema", errors=1),
     "gate_count": _gate("count", target="(select count(*) from orders where o_orderkey % 50 <> 0)"),
     "gate_compare": _gate("compare", target=_ALL, mismatches="(select count(*) from orders where o_orderkey % 41 = 0)"),
     "failure_layers": CTE + """select layer, cast(sum(n) as bigint) as failures from (select 'source data' as layer, failing_rows as n from r

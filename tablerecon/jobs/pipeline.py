@@ -15,7 +15,7 @@ SUMMARY = (
     "contract string, contract_version string, environment string, target_count long, source_count long, mismatch_count long, "
     "validation_rule_failures long, schema_errors long, final_status string, timestamp string"
 )
-#: file findings that a run keeps
+#: file findings of which a run keeps the messages; ``Run.findings`` counts all
 MOST_ERRORS = 100
 
 
@@ -26,6 +26,7 @@ class Run:
     summary: DataFrame
     errors: list[str] = field(default_factory=list)
     rows: DataFrame | None = None
+    findings: int = 0
 
 
 class _Gates:
@@ -43,37 +44,35 @@ class _Gates:
         return bool(self.failed) and self.stop
 
 
-def file_errors(spark: SparkSession, path: str, contract) -> list[str]:
-    """Messages of the header and metadata checks, up to MOST_ERRORS of each."""
-    header = files.header_errors(spark, path, contract) if contract.source.get("header", True) else None
-    found = [r["message"] for r in header.limit(MOST_ERRORS).collect()] if header is not None else []
-    return found + [r["message"] for r in files.metadata_errors(spark, path, contract).limit(MOST_ERRORS).collect()]
-
-
 def _after_load(gates: _Gates, got: dict[str, int], contract, expected: DataFrame, target: DataFrame | None, order: tuple[list[str], list[str]], errors: list[str]) -> DataFrame | None:
-    """Schema, count and comparison of a target with the expected rows."""
+    """Schema (with nulls and keys, told from the rows), count and comparison of a target with
+    the expected rows. The target is read once for nulls, keys and count, and the comparison
+    starts only if they are in order."""
     own = schema_check.schema_errors(target, contract)
+    facts = None
+    if target is not None and {c.name for c in contract.columns} <= set(target.columns):
+        facts = schema_check.live_facts(target, contract).first()
+        own += schema_check.data_errors(facts, contract)
     errors += own
     got["schema_errors"] = len(own)
     gates.check("schema", bool(own))
-    if gates.closed or target is None or set(target.columns) != {c.name for c in contract.columns}:
+    if gates.closed or facts is None or set(target.columns) != {c.name for c in contract.columns}:
         return None
-    rows = compare.joined(expected, target, contract, order, counted=True)
-    counts = compare.counts(rows).first()
-    got["target_count"] = counts["target_count"]
-    gates.check("count", counts["target_count"] != contract.metadata.get("expected_row_count", counts["source_count"]))
+    got["target_count"] = facts["rows"]
+    gates.check("count", facts["rows"] != contract.metadata.get("expected_row_count", got["source_count"]))
     if gates.closed:
         return None
-    got["mismatch_count"] = counts["mismatch_count"]
-    gates.check("compare", counts["mismatch_count"] > 0)
+    rows = compare.joined(expected, target, contract, order, counted=True)
+    got["mismatch_count"] = compare.counts(rows).first()["mismatch_count"]
+    gates.check("compare", got["mismatch_count"] > 0)
     return rows
 
 
-def _finish(spark: SparkSession, contract, gates: _Gates, got: dict[str, int], errors: list[str], rows: DataFrame | None, environment: str, timestamp: str) -> Run:
+def _finish(spark: SparkSession, contract, gates: _Gates, got: dict[str, int], errors: list[str], rows: DataFrame | None, environment: str, timestamp: str, findings: int) -> Run:
     status = "FAIL" if gates.failed else "PASS"
     order = ("target_count", "source_count", "mismatch_count", "validation_rule_failures", "schema_errors")
     values = (contract.name, contract.version, environment, *[int(got[k]) for k in order], status, timestamp)
-    return Run(status, gates.failed[0] if gates.failed else None, spark.createDataFrame([values], SUMMARY), errors, rows)
+    return Run(status, gates.failed[0] if gates.failed else None, spark.createDataFrame([values], SUMMARY), errors, rows, findings)
 
 
 def _nothing() -> dict[str, int]:
@@ -102,24 +101,26 @@ def reconcile(contract, feed: DataFrame, target: DataFrame | None, feed_order: l
     if not gates.closed:
         expected = expected_rows(feed, contract, carry=_carried(contract, feed_order))
         rows = _after_load(gates, got, contract, expected, target, (feed_order, target_order), errors)
-    return _finish(feed.sparkSession, contract, gates, got, errors, rows, environment, timestamp)
+    return _finish(feed.sparkSession, contract, gates, got, errors, rows, environment, timestamp, len(errors))
 
 
 def run(spark: SparkSession, contract, feed_path: str, target_path: str, load: bool = True, read_only: bool = False, environment: str = "test", timestamp: str = "1970-01-01T00:00:00", stop_at_gates: bool = True) -> Run:
     """From feed files to a verdict: header and metadata checks, rules, load of the expected
-    rows into ``target_path`` (with ``load``; else what is there is checked), schema, count,
-    comparison. The first failing gate stops the run, so nothing is loaded from a feed that
-    failed before; the summary is made in any case.
+    rows into ``target_path`` (with ``load``; else what is there is checked), schema with nulls
+    and keys, count, comparison. The first failing gate stops the run, so nothing is loaded from
+    a feed that failed before; the summary is made in any case. The file checks count the feed's
+    rows and tell whether records run over lines, which the feed is then read for.
 
     Rows of one key that occur more than once are taken in file order, target rows by all of
     their columns.
     """
     gates, got, rows = _Gates(stop_at_gates), _nothing(), None
-    errors = file_errors(spark, feed_path, contract)
-    gates.check("files", bool(errors))
-    feed = files.with_order(files.read_feed(spark, feed_path, contract), "__order")
+    found = files.check_files(spark, feed_path, contract, MOST_ERRORS)
+    errors = list(found.messages)
+    gates.check("files", found.n > 0)
+    feed = files.with_order(files.read_feed(spark, feed_path, contract, multi_line=found.broken > 0), "__order")
     if not gates.closed:
-        got["source_count"] = feed.count()
+        got["source_count"] = feed.count() if found.n else found.rows
         _rules(gates, got, contract, feed)
     if not gates.closed:
         expected = expected_rows(feed, contract, carry=["__order"])
@@ -128,7 +129,7 @@ def run(spark: SparkSession, contract, feed_path: str, target_path: str, load: b
         target = _read_or_none(spark, contract, target_path)
         order = (["__order"], [c for c in target.columns] if target is not None else [])
         rows = _after_load(gates, got, contract, expected, target, order, errors)
-    return _finish(spark, contract, gates, got, errors, rows, environment, timestamp)
+    return _finish(spark, contract, gates, got, errors, rows, environment, timestamp, found.n + len(errors) - len(found.messages))
 
 
 def _read_or_none(spark: SparkSession, contract, path: str) -> DataFrame | None:

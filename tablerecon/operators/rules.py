@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.transforms import inputs_of, parse
-from ..functions.values import in_range, is_empty, java_regex, readable, strip
+from ..functions.values import ascii_digits, in_range, is_empty, java_regex, readable, strip
 
 SAMPLES = 5
 REPORT = "rule_id string, column string, failing_rows long, samples array<string>"
@@ -34,7 +34,7 @@ def flags(contract, feed_columns: list[str]) -> list[tuple[str, str, Column]]:
         if c.type != "string":
             add("type", there & ~F.coalesce(readable(raw, c), F.lit(False)))
         if c.type in ("integer", "decimal") and c.range:
-            add("range", there & ~in_range(s, *c.range))
+            add("range", there & ~in_range(ascii_digits(s), *c.range))
         if c.max_length:
             add("max_length", there & (F.char_length(raw) > c.max_length))
         if c.regex:

@@ -58,10 +58,15 @@ def null_counts(live: DataFrame, contract) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("nulls")) for c in cols])))
 
 
-def schema_report(live: DataFrame, contract) -> DataFrame:
+def schema_report(live: DataFrame | None, contract, waiting: DataFrame | None = None) -> DataFrame:
     """``check, column, message, rows``: the findings, each with the rows it concerns, and a
-    nullability finding for every column that holds nulls against the contract; one pass."""
+    nullability finding for every column that holds nulls against the contract; one pass. Of a
+    table that is missing the rows are those that wait to be loaded."""
     found = findings(live, contract)
+    if live is None:
+        [(check, _, message)] = found
+        count = waiting.agg(F.count("*").alias("rows"))
+        return count.select(F.lit(check).alias("check"), F.lit(None).cast("string").alias("column"), F.lit(message).alias("message"), "rows")
     named = [c for c in contract.columns if c.name in live.columns]
     nulls = {c.name: F.count_if(F.col(c.name).isNull()) for c in named if not c.nullable}
     row = live.agg(F.count("*").alias("__n"), *[n.alias(c) for c, n in nulls.items()])
@@ -72,13 +77,35 @@ def schema_report(live: DataFrame, contract) -> DataFrame:
     return row.select(F.inline(F.array_compact(F.array(*[x.cast(_FINDING) for x in out]))))
 
 
+def live_facts(live: DataFrame, contract) -> DataFrame:
+    """One row: ``rows``, ``nulls`` (a map of the nulls in every column that the contract forbids
+    them in), ``null_keys``, ``duplicate_keys`` (keys that occur more than once) and
+    ``surplus_rows`` (rows beyond their first). One pass and one pre-aggregated shuffle."""
+    null_key = F.lit(False)
+    for k in contract.keys:
+        v = normalize(F.col(k), contract.column(k))
+        null_key = null_key | (v.typed.isNull() & v.raw.isNull())
+    guarded = [c.name for c in contract.columns if not c.nullable and c.name in live.columns]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"__n{i}") for i, c in enumerate(guarded)]
+    per = with_keys(live, contract).groupBy(*key_names(contract)).agg(F.count("*").alias("__rows"), F.count_if(null_key).alias("__null_keys"), *nulls)
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    by_column = [x for i, c in enumerate(guarded) for x in (F.lit(c), zero(F.col(f"__n{i}")))]
+    return per.agg(
+        zero(F.col("__rows")).alias("rows"), (F.create_map(*by_column) if by_column else F.create_map().cast("map<string,bigint>")).alias("nulls"), zero(F.col("__null_keys")).alias("null_keys"),
+        F.count_if(F.col("__rows") > 1).alias("duplicate_keys"), zero(F.col("__rows") - 1).alias("surplus_rows"),
+    )
+
+
+def data_errors(facts, contract) -> list[str]:
+    """Messages on a row of ``live_facts``: columns with nulls that the contract forbids, and a
+    key that is none, for a part of it is null or it occurs more than once."""
+    out = [messages.NULLABILITY.format(column=c.name, expected=False, got=True) for c in contract.columns if facts["nulls"].get(c.name)]
+    if facts["null_keys"] or facts["duplicate_keys"]:
+        out.append(messages.PRIMARY_KEY.format(expected=list(contract.keys), got=[]))
+    return out
+
+
 def key_integrity(live: DataFrame, contract) -> DataFrame:
     """Rows with a null key part, keys that occur more than once, and the rows beyond their
     first; one pre-aggregated shuffle."""
-    nulls = F.lit(False)
-    for k in contract.keys:
-        v = normalize(F.col(k), contract.column(k))
-        nulls = nulls | (v.typed.isNull() & v.raw.isNull())
-    per = with_keys(live, contract).groupBy(*key_names(contract)).agg(F.count("*").alias("n"), F.count_if(nulls).alias("nulls"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return per.agg(zero(F.sum("nulls")).alias("null_keys"), F.count_if(F.col("n") > 1).alias("duplicate_keys"), zero(F.sum(F.col("n") - 1)).alias("surplus_rows"))
+    return live_facts(live, contract).select("null_keys", "duplicate_keys", "surplus_rows")

@@ -3,37 +3,33 @@
 
 from __future__ import annotations
 
-import csv
 import re
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import messages
+from . import records
 
 BAD = "__bad_record"
 CHECKS = "file string, check string, position long, message string"
-#: record numbers that a message names
-NAMED = 5
-UTF8 = ("utf-8", "utf8", "utf-8-sig")
-#: encodings in which a line feed is not the one byte 0x0A
-WIDE = ("utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be")
+_CHECK = "array<struct<check:string,position:bigint,message:string>>"
 
 
-def read_feed(spark: SparkSession, path: str, contract, keep_bad: bool = False) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, contract, keep_bad: bool = False, multi_line: bool = False) -> DataFrame:
     """The feed with every column text, under the contract's names; an empty field reads as
     null, which everywhere in this library is the same as blank. A path may be a file, a folder
-    or a prefix of any store that Spark reads."""
+    or a prefix of any store that Spark reads. With ``multi_line`` (or the contract's) records
+    may hold line breaks within quotes; a file is then read by one task."""
     src = contract.source
     fields = [T.StructField(c, T.StringType()) for c in contract.source_columns]
     if keep_bad:
         fields.append(T.StructField(BAD, T.StringType()))
     reader = spark.read.schema(T.StructType(fields)).option("header", src.get("header", True)).option("enforceSchema", True)
     reader = reader.option("sep", src.get("delimiter", ",")).option("encoding", src.get("encoding", "utf-8")).option("quote", '"').option("escape", '"')
-    reader = reader.option("multiLine", src.get("multi_line", False)).option("mode", "PERMISSIVE").option("columnPruning", not keep_bad)
+    reader = reader.option("multiLine", multi_line or src.get("multi_line", False)).option("mode", "PERMISSIVE").option("columnPruning", not keep_bad)
     return reader.option("columnNameOfCorruptRecord", BAD).csv(path)
 
 
@@ -43,147 +39,143 @@ def with_order(feed: DataFrame, name: str = "seq") -> DataFrame:
     return feed.withColumn(name, order)
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    file = F.regexp_replace("_metadata.file_path", "^file:/+", "file:///")
-    place = [file.alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    return spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("id"))
+def _row(check: str, position, message) -> Column:
+    return F.struct(F.lit(check).alias("check"), F.lit(position).cast("long").alias("position"), F.lit(message).alias("message") if isinstance(message, str) else message.alias("message"))
 
 
-def _input_files(spark: SparkSession, path: str) -> list[str]:
-    return sorted(re.sub("^file:/+", "file:///", f) for f in spark.read.text(path).inputFiles())
+def _said(text: str, **parts: Column) -> Column:
+    """A message with columns in its places."""
+    out = [F.lit(x) if i % 2 == 0 else parts[x].cast("string") for i, x in enumerate(re.split(r"\{(\w+)\}", text)) if x]
+    return F.concat(*out)
+
+
+def _header_checks(header: Column, expected: list[str]) -> Column:
+    """Findings on a header's fields, as an array."""
+    got = F.size(header)
+    count = F.when(got != len(expected), _row("header_count", got, _said(messages.HEADER_COUNT, expected=F.lit(len(expected)), got=got)))
+    names = []
+    for i, want in enumerate(expected, 1):
+        field = F.get(header, F.lit(i - 1))
+        names.append(F.when((got >= i) & (field != want), _row("header_name", i, _said(messages.HEADER_NAME, i=F.lit(i), expected=F.lit(want), got=field))))
+    return F.array_compact(F.array(count, *names)).cast(_CHECK)
+
+
+def _encoding(contract) -> str:
+    name = contract.metadata.get("encoding", contract.source.get("encoding", "utf-8")) if contract else "utf-8"
+    return name.lower().replace("_", "-")
+
+
+def _encoding_check(encoding: str) -> Column:
+    n = F.col("undecodable")
+    return F.when(n > 0, _row("encoding", n, _said(messages.NOT_DECODABLE, encoding=F.lit(encoding), lines=n)))
+
+
+def _ragged_check() -> Column:
+    named = F.concat(F.lit("["), F.array_join("first_ragged", ", "), F.lit("]"))
+    return F.when(F.col("ragged") > 0, _row("ragged", F.get("first_ragged", F.lit(0)), _said(messages.RAGGED, width=F.col("width"), lines=named)))
+
+
+def _empty_check() -> Column:
+    return F.when(F.col("records") == 0, _row("empty", 0, messages.EMPTY_FILE))
+
+
+def _rows(contract) -> Column:
+    header = 1 if contract.source.get("header", True) else 0
+    return F.greatest(F.col("records") - header, F.lit(0)).cast("long")
 
 
 def header_errors(spark: SparkSession, path: str, contract) -> DataFrame:
-    """The header's count and names against the contract, per file. Of each file only its first
-    line is read; a file without one has an empty header. One line a file reaches the driver."""
-    src, expected, out = contract.source, contract.source_columns, []
-    for file in _input_files(spark, path):
-        first = spark.read.option("encoding", src.get("encoding", "utf-8")).text(file).first()
-        got = next(csv.reader([first["value"]], delimiter=src.get("delimiter", ",")), []) if first else []
-        if len(got) != len(expected):
-            out.append((file, "header_count", len(got), messages.HEADER_COUNT.format(expected=len(expected), got=len(got))))
-        for i, (want, name) in enumerate(zip(expected, got, strict=False), 1):
-            if want != name:
-                out.append((file, "header_name", i, messages.HEADER_NAME.format(i=i, expected=want, got=name)))
-    return spark.createDataFrame(out, CHECKS)
-
-
-def _undecodable(lines: DataFrame, encoding: str) -> DataFrame:
-    """``file, n``: the lines of each file that are not of the encoding. UTF-8 and ASCII are
-    told by column functions, others by Python's codec over batches of lines."""
-    if encoding in UTF8:
-        return lines.groupBy("file").agg(F.count_if(~F.is_valid_utf8("value")).alias("n"))
-    raw = lines.select("file", F.col("value").cast("binary").alias("raw"))
-    if encoding in ("ascii", "us-ascii"):
-        return raw.groupBy("file").agg(F.count_if(F.hex("raw").rlike("^(..)*[89A-F].")).alias("n"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bad: dict[str, int] = {}
-            for file, line in zip(b.column("file").to_pylist(), b.column("raw").to_pylist(), strict=True):
-                try:
-                    line.decode(encoding)
-                    bad.setdefault(file, 0)
-                except UnicodeDecodeError:
-                    bad[file] = bad.get(file, 0) + 1
-            yield pa.record_batch([pa.array(list(bad), pa.string()), pa.array(list(bad.values()), pa.int64())], ["file", "n"])
-
-    return raw.mapInArrow(run, "file string, n long").groupBy("file").agg(F.sum("n").alias("n"))
+    """The header's count and names against the contract, per file, in the feed's encoding; a
+    file without a record has an empty header. One job for all files (``records.heads``)."""
+    found = records.heads(spark, path, contract.source.get("encoding", "utf-8"), contract.source.get("delimiter", ","))
+    return found.select("file", F.inline(_header_checks(F.col("header"), contract.source_columns)))
 
 
 def encoding_errors(spark: SparkSession, path: str, contract=None) -> DataFrame:
     """Files that hold lines which are not of ``metadata.encoding`` (UTF-8 if none is declared);
-    ``position`` is how many. Encodings of two or four bytes a character are read file by file,
-    whole; there ``position`` is 1."""
-    encoding = (contract.metadata.get("encoding", "utf-8") if contract else "utf-8").lower().replace("_", "-")
-    if encoding in WIDE:
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                bad = []
-                for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
-                    try:
-                        content.decode(encoding)
-                    except UnicodeDecodeError:
-                        bad.append(file)
-                yield pa.record_batch([pa.array(bad, pa.string()), pa.array([1] * len(bad), pa.int64())], ["file", "n"])
-
-        found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, n long")
-    else:
-        found = _undecodable(_lines(spark, path), encoding).where("n > 0")
-    head, tail = messages.NOT_DECODABLE.format(encoding=encoding, lines="\0").split("\0")
-    message = F.concat(F.lit(head), F.col("n"), F.lit(tail))
-    return found.select("file", F.lit("encoding").alias("check"), F.col("n").alias("position"), message.alias("message"))
-
-
-def _width(contract) -> Column:
-    """Fields of a line; delimiters within quotes do not count, a blank line has none."""
-    bare = F.regexp_replace("value", '"([^"]|"")*"', "")
-    delimiter = F.lit(contract.metadata.get("delimiter", contract.source.get("delimiter", ",")))
-    return F.when(F.col("value") == "", 0).otherwise(F.length(bare) - F.length(F.replace(bare, delimiter, F.lit(""))) + 1)
-
-
-def _blocks(lines: DataFrame) -> DataFrame:
-    """Per split of a file: its lines, the id and width of its first one, and the lines before
-    it in the file. A row a split."""
-    per = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min_by("width", "id").alias("head"))
-    w = Window.partitionBy("file").orderBy("block")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return per.select("file", "block", "n", "first", F.first("head").over(whole).alias("expected"), (F.sum("n").over(w) - F.col("n")).alias("before"))
-
-
-def ragged_rows(spark: SparkSession, path: str, contract) -> DataFrame:
-    """``file, number, width, expected, record``: lines whose width is not that of the file's
-    first record, by their number in the file (header is 1). Records are lines; in a feed with
-    line breaks within quotes (``multi_line``) a record's lines are told one by one."""
-    lines = _lines(spark, path).withColumn("width", _width(contract))
-    blocks = _blocks(lines).withColumnRenamed("n", "in_block")
-    bad = lines.join(blocks, ["file", "block"]).where(F.col("width") != F.col("expected"))
-    number = F.col("before") + F.col("id") - F.col("first") + 1
-    return bad.select("file", number.alias("number"), "width", "expected", F.col("value").alias("record"))
+    ``position`` is how many."""
+    found = records.facts(spark, path, contract)
+    return found.select("file", F.inline(F.array_compact(F.array(_encoding_check(_encoding(contract)))).cast(_CHECK)))
+
+
+def ragged_rows(spark: SparkSession, path: str, contract, facts: DataFrame | None = None) -> DataFrame:
+    """``file, number, width, expected, record``: records whose width is not that of the file's
+    first record, by their number in the file (header is 1)."""
+    return records.ragged_records(spark, path, contract, facts)
 
 
 def ragged_errors(spark: SparkSession, path: str, contract) -> DataFrame:
     """One row per file with ragged records: ``position`` is the first, the message names the
-    first NAMED."""
-    w = Window.partitionBy("file").orderBy("number")
-    few = ragged_rows(spark, path, contract).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= NAMED)
-    per = few.groupBy("file", "expected").agg(F.array_sort(F.collect_list("number")).alias("numbers"))
-    named = F.concat(F.lit("["), F.array_join("numbers", ", "), F.lit("]"))
-    width, lines = messages.RAGGED.split("{width}")[0], messages.RAGGED.split("{width}")[1].split("{lines}")[0]
-    message = F.concat(F.lit(width), F.col("expected"), F.lit(lines), named)
-    return per.select("file", F.lit("ragged").alias("check"), F.col("numbers")[0].alias("position"), message.alias("message"))
+    first few."""
+    return records.facts(spark, path, contract).select("file", F.inline(F.array_compact(F.array(_ragged_check())).cast(_CHECK)))
 
 
 def file_counts(spark: SparkSession, path: str, contract) -> DataFrame:
-    """``file, records, rows``: lines of every file under a path or prefix, and those that are
+    """``file, records, rows``: records of every file under a path or prefix, and those that are
     data. Empty files count as well."""
-    files = spark.createDataFrame([(f,) for f in _input_files(spark, path)], "file string")
-    n = _lines(spark, path).groupBy("file").agg(F.count("*").alias("records"))
-    records = F.coalesce("records", F.lit(0).cast("long"))
-    header = 1 if contract.source.get("header", True) else 0
-    return files.join(n, "file", "left").select("file", records.alias("records"), F.greatest(records - header, F.lit(0)).cast("long").alias("rows"))
+    return records.facts(spark, path, contract).select("file", "records", _rows(contract).alias("rows"))
 
 
 def count_errors(counts: DataFrame, contract) -> DataFrame:
     """From ``file_counts``: files without a record, and ``metadata.expected_row_count`` against
     the rows of all files (a feed of headers only has 0). A feed that is empty throughout has
     the first finding alone."""
-    empty = counts.where("records = 0").select("file", F.lit("empty").alias("check"), F.lit(0).cast("long").alias("position"), F.lit(messages.EMPTY_FILE).alias("message"))
+    empty = counts.select("file", F.inline(F.array_compact(F.array(_empty_check())).cast(_CHECK)))
     expected = contract.metadata.get("expected_row_count")
     if expected is None:
         return empty
     total = counts.agg(F.sum("records").alias("records"), F.sum("rows").alias("got")).where((F.col("records") > 0) & (F.col("got") != expected))
-    head = messages.ROW_COUNT.format(expected=expected, got="")
-    return empty.unionByName(total.select(F.lit(None).cast("string").alias("file"), F.lit("row_count").alias("check"), F.col("got").alias("position"), F.concat(F.lit(head), F.col("got")).alias("message")))
+    row = _row("row_count", F.col("got"), _said(messages.ROW_COUNT, expected=F.lit(expected), got=F.col("got")))
+    return empty.unionByName(total.select(F.lit(None).cast("string").alias("file"), F.inline(F.array(row).cast(_CHECK))))
+
+
+@dataclass(frozen=True)
+class Findings:
+    """What the files of a feed look like: how many findings there are, the first ones' messages,
+    and the numbers of data rows and of lines that are not a record of their own."""
+
+    n: int
+    messages: list[str]
+    rows: int
+    broken: int
+
+
+def check_files(spark: SparkSession, path: str, contract, most: int = 100) -> Findings:
+    """Header, encoding, empty files, ragged records and the row count, in one pass over the raw
+    lines. Of the findings all are counted and the first ``most``, by file, reach the driver. As
+    long as lines do not decode, only that and the header are looked at."""
+    with_header = contract.source.get("header", True)
+    header = _header_checks(F.coalesce("header", F.array().cast("array<string>")), contract.source_columns) if with_header else F.array().cast(_CHECK)
+    facts = records.facts(spark, path, contract)
+    if with_header and records.codec_name(contract.source.get("encoding", "utf-8")) != records.encoding_of(contract):
+        # the header is read in the encoding that the feed is read in
+        named = records.heads(spark, path, contract.source.get("encoding", "utf-8"), contract.source.get("delimiter", ","))
+        facts = facts.drop("header").join(named.select("file", "header"), "file")
+    bad = F.array_compact(F.array(_encoding_check(_encoding(contract)))).cast(_CHECK)
+    rest = F.array_compact(F.array(_empty_check(), _ragged_check())).cast(_CHECK)
+    per = facts.select("file", "records", _rows(contract).alias("rows"), (F.col("lines") - F.col("records")).alias("broken"), header.alias("header"), bad.alias("bad"), rest.alias("rest"))
+    size = lambda c: F.coalesce(F.sum(F.size(c)), F.lit(0)).cast("long").alias(f"n_{c}")
+    kept = lambda c: F.when(F.size(c) > 0, F.struct("file", F.transform(c, lambda x: x["message"]).alias("m")))
+    first = lambda c: F.slice(F.array_sort(F.collect_list(kept(c))), 1, most).alias(c)  # noqa: E731  a file with findings each
+    row = per.agg(F.sum("records").alias("records"), F.sum("rows").alias("rows"), F.sum("broken").alias("broken"), *[f(c) for c in ("header", "bad", "rest") for f in (size, first)]).first()
+    checks = ["header", "bad"] if row["n_bad"] else ["header", "rest"]
+    found = [m for c in checks for x in row[c] for m in x["m"]]
+    n, expected = sum(row[f"n_{c}"] for c in checks), contract.metadata.get("expected_row_count")
+    rows = row["rows"] or 0
+    if not row["n_bad"] and expected is not None and row["records"] and rows != expected:
+        n, found = n + 1, [*found[: most - 1], messages.ROW_COUNT.format(expected=expected, got=rows)]
+    return Findings(n, found[:most], rows, row["broken"] or 0)
 
 
 def metadata_errors(spark: SparkSession, path: str, contract) -> DataFrame:
-    """Encoding (alone, if it fails), then empty files, ragged records and the row count."""
-    bad = encoding_errors(spark, path, contract)
+    """Encoding (alone, if it fails), then empty files, ragged records and the row count. The
+    raw lines are read once; what is kept of them is a row a file."""
+    facts = records.facts(spark, path, contract).persist()
+    bad = facts.select("file", F.inline(F.array_compact(F.array(_encoding_check(_encoding(contract)))).cast(_CHECK)))
     if bad.take(1):
         return bad
-    return count_errors(file_counts(spark, path, contract), contract).unionByName(ragged_errors(spark, path, contract))
+    counts = facts.select("file", "records", _rows(contract).alias("rows"))
+    return count_errors(counts, contract).unionByName(facts.select("file", F.inline(F.array_compact(F.array(_ragged_check())).cast(_CHECK))))
 
 
 def row_count_check(feed: DataFrame, expected: int | None) -> DataFrame:
