@@ -90,34 +90,54 @@ def _path(levels: dict[str, int]) -> list[tuple[str, int]]:
     return [(r, i) for i in range(len(GRID)) for r in RULES if i < levels[r]]
 
 
+def _with_levels(counts: DataFrame) -> DataFrame:
+    """Adds the stratum, and per rule its level: how many cutoffs of the grid its statistic is
+    over. They are told once, in a step of their own, so that what counts them stays small
+    enough to be compiled."""
+    levels = {f"_{r}": sum((F.when(_value(r) > c, 1).otherwise(0) for c in GRID), F.lit(0)) for r in RULES}
+    return counts.withColumns({"_s": _stratum(), **levels})
+
+
 def _first_step(paths: dict[int, list[tuple[str, int]]]):
     """The first step of the stratum's path at which the document is rejected, or the path's
-    length. A value over one level is over all later, stricter ones."""
-    out = F.lit(None).cast("int")
-    for s, path in paths.items():
-        at = {step: n for n, step in enumerate(path)}
-        steps = [F.element_at(F.array(*[F.lit(at.get((r, i), len(path))) for i in range(len(GRID) + 1)]), sum((F.when(_value(r) <= c, 1).otherwise(0) for c in GRID), F.lit(1))) for r in RULES]
-        out = F.when(_stratum() == s, F.least(*steps)).otherwise(out)
-    return out
+    length, from its levels. A value over one level is over all later, stricter ones."""
+    steps = []
+    for r in RULES:
+        of = []
+        for s in range(len(BANDS) + 1):
+            at = {step: n for n, step in enumerate(paths[s])}
+            # a value over n cutoffs is over the last n of the grid, of which the first is met first
+            firsts = [at.get((r, len(GRID) - n), len(paths[s])) for n in range(len(GRID) + 1)]
+            of.append(F.array(*map(F.lit, firsts)))
+        steps.append(F.get(F.get(F.array(*of), F.col("_s")), F.col(f"_{r}")))
+    return F.least(*steps)
 
 
 def choose_cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict[int, dict[str, float]]:
-    """Cutoffs by stratum and rule, from ``labels`` (``doc_id, quality``): two aggregates of
-    fixed width over all labelled documents. A document labelled good and bad counts as good
+    """Cutoffs by stratum and rule, from ``labels`` (``doc_id, quality``): two small histograms
+    over all labelled documents. A document labelled good and bad counts as good
     where good ones are guarded; labels other than 0 and 1 are left out."""
     own = counts.join(labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")), "doc_id")
     tests = id_remainder(5) != 0
-    sums = [F.count_if(_value(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)]
-    seen = {(row["s"], row["quality"]): row for row in own.where(~tests).groupBy(_stratum().alias("s"), "quality").agg(F.count("*").alias("n"), *sums).collect()}
+    own = cut(_with_levels(own).select("doc_id", "quality", "_s", *[f"_{r}" for r in RULES]))
+    each = F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"_{r}").alias("level")) for r in RULES]))
+    seen: dict[tuple[int, int, str], dict[int, int]] = {}
+    for row in own.where(~tests).select("_s", "quality", each).groupBy("_s", "quality", "rule", "level").count().collect():
+        seen.setdefault((row["_s"], row["quality"], row["rule"]), {})[row["level"]] = row["count"]
+
+    def share(s: int, quality: int, rule: str, i: int) -> float:
+        """Of the stratum's documents of a quality, those over the grid's i-th cutoff."""
+        own = seen.get((s, quality, rule), {})
+        return sum(n for level, n in own.items() if level >= len(GRID) - i) / max(sum(own.values()), 1)
+
     paths = {}
     for s in range(len(BANDS) + 1):
         levels = {}
         for r in RULES:
-            share = lambda q, i, s=s, r=r: seen[s, q][f"{r}_{i}"] / seen[s, q]["n"] if (s, q) in seen else 0.0
-            worth = [share(0, i) - 20 * share(1, i) for i in range(len(GRID))]
+            worth = [share(s, 0, r, i) - 20 * share(s, 1, r, i) for i in range(len(GRID))]
             levels[r] = worth.index(max(worth)) + 1 if max(worth) > 0 else 0
         paths[s] = _path(levels)
-    good = own.where(tests & (F.col("quality") == 1)).groupBy(_stratum().alias("s"), _first_step(paths).alias("step")).agg(F.count("*").alias("n")).collect()
+    good = own.where(tests & (F.col("quality") == 1)).groupBy(F.col("_s").alias("s"), _first_step(paths).alias("step")).agg(F.count("*").alias("n")).collect()
     out: dict[int, dict[str, float]] = {}
     for s, path in paths.items():
         mine = {row["step"]: row["n"] for row in good if row["s"] == s}

@@ -558,3 +558,13 @@ def test_pipeline(spark):
         rows = kept
     packed = p.run(spark, SF).toPandas()
     assert set(packed.doc_id) == {r.doc_id for r in rows.collect()}
+
+
+def test_rule_cutoffs_are_compiled(spark, docs):
+    """No step of learning or applying cutoffs falls back to interpretation."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert quality_rules.judge(docs, labels).count() == docs.count()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
