@@ -32,8 +32,8 @@ MOST = 2
 BLOCK = 16
 SHARD_BLOCKS = 1 << 20
 SEED = "mix"
-#: words and rows of a part of a stream, about
-PART_WORDS, PART_ROWS = 1 << 24, 1 << 17
+#: parts of a stream at least; words and rows of one, about
+PARTS, PART_WORDS, PART_ROWS = 256, 1 << 24, 1 << 17
 #: divisors that one aggregate tries
 TRIES = 32
 #: blocks that are ranked, if there are not more sources
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, s
     """
     rows = cut(sizes(docs))
     n = rows.agg(F.count("*"), F.sum(F.col("size") * F.col("copies"))).first()
-    parts = int(max(n[0] / PART_ROWS, (n[1] or 0) / PART_WORDS)) + 1
+    parts = PARTS + int(max(n[0] / PART_ROWS, (n[1] or 0) / PART_WORDS))
     sources = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     sources = cut(apportioned(targets(sources), block))
     shards = int((sources.agg(F.sum("blocks")).first()[0] or 0) / shard_blocks) + 1
