@@ -101,6 +101,12 @@ class Value:
         return F.when(self.typed.isNotNull(), typed).when(self.raw.isNotNull(), F.concat(F.lit("B:"), self.raw)).otherwise("N:")
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it; the generated code
+    has it once as well."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def ascii_digits(s: Column) -> Column:
     """Text with decimal digits of any script as ASCII ones."""
     return F.translate(s, _OTHER_DIGITS, _THEIR_DIGITS)
@@ -119,7 +125,7 @@ def _time(s: Column, fmt: str) -> Column:
     format's form is rewritten and marked, so that the form is looked for once."""
     pattern, iso = date_pattern(fmt)
     marked = F.regexp_replace(ascii_digits(s), F.lit(pattern), F.lit(iso + "\u0000"))
-    return F.when(marked.endswith("\u0000"), F.rtrim(marked, F.lit("\u0000")).try_cast("timestamp_ntz"))
+    return _let(marked, lambda x: F.when(x.endswith("\u0000"), F.rtrim(x, F.lit("\u0000")).try_cast("timestamp_ntz")))
 
 
 def _ungrouped(s: Column) -> Column:
@@ -136,11 +142,6 @@ def whole_part(s: Column, kind: str) -> Column:
     return F.when(s.rlike(_PLAIN), cut.try_cast(kind)).when(s.rlike(NUMBER), digits.try_cast("decimal(38,18)").try_cast(kind))
 
 
-def _let(value: Column, f) -> Column:
-    """``f`` of a value that is worked out once, however often ``f`` names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _magnitude(digits: Column) -> Column:
     """Of a number's text: the place of its first digit other than 0, its digits from there to
     its last one other than 0 (none for 0), and whether it is below 0. Numbers of one sign
@@ -193,10 +194,10 @@ def normalize(c: Column, spec) -> Value:
     """The normal form of ``c`` under the contract column ``spec``."""
     s = text(c)
     if spec.type == "integer":
-        typed = F.coalesce(s.try_cast("bigint"), whole_part(ascii_digits(s), "bigint"))
+        typed = F.coalesce(s.try_cast("bigint"), _let(ascii_digits(s), lambda x: whole_part(x, "bigint")))
     elif spec.type == "decimal":
         kind = f"decimal(38,{spec.scale})"
-        typed = F.coalesce(s.try_cast(kind), _ungrouped(ascii_digits(s)).try_cast(kind))
+        typed = F.coalesce(s.try_cast(kind), _let(ascii_digits(s), _ungrouped).try_cast(kind))
     elif spec.type == "date":  # a typed date is one already; text must have the declared format
         typed = F.when(F.typeof(c) == "date", s.try_cast("date")).otherwise(_day(s, spec.date_format))
     elif spec.type == "timestamp":  # so is a typed time

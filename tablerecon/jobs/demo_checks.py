@@ -1,5 +1,5 @@
 """More operations over the test tables: records and encodings of files, edges of values, gates
-on nulls and keys."""
+on nulls and keys, comparison by digests."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import contract as contracts
 from ..functions.transforms import expected
 from ..functions.values import in_range, normalize, readable
-from ..operators import schema_check
+from ..operators import compare, digests, schema_check
 from ..sources import files, records
 from . import demo
 from .demo import FEED_COLUMNS, ORDERS, Query
@@ -128,5 +128,34 @@ def gate_keys(spark: SparkSession, d: str) -> DataFrame:
     return demo._gated(spark, demo.clean_feed(spark, d), live=loaded.unionByName(loaded.where("order_id % 29 = 0")))
 
 
-_NAMED = [quoted_records, quoted_ragged, encoded_feeds, header_of_files, date_edges, timestamp_zone_edges, range_large_bounds, transform_unknown, missing_table, gate_nulls, gate_keys]
+# --- comparison by digests
+
+
+def _by_digest(spark: SparkSession, d: str) -> DataFrame:
+    return digests.joined(demo._expected(spark, d), demo.target(spark, d), demo.CONTRACT, (["seq"], ["order_id"]))
+
+
+def digest_column_diffs(spark: SparkSession, d: str) -> DataFrame:
+    return compare.diffs(_by_digest(spark, d), demo.CONTRACT)
+
+
+def digest_missing_and_extra(spark: SparkSession, d: str) -> DataFrame:
+    return _by_digest(spark, d).where("kind <> 'matched'").select("order_id", "kind")
+
+
+def digest_composite_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Line items, of which many share a key: the last row of each counts."""
+    rows = digests.joined(*demo._lines(spark, d), demo.LINE_CONTRACT, (["at"], ["at"]))
+    return compare.diffs(rows, demo.LINE_CONTRACT)
+
+
+def batch_key_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of both sides by day of order; on most days they are the same."""
+    clean = expected(demo.clean_feed(spark, d), demo.CONTRACT, carry=["seq"])
+    live = demo._loaded(spark, d).where("order_id % 400 <> 7")
+    rows = digests.key_sets(clean, live, demo.CONTRACT, ("substring(order_date, 1, 7)", "date_format(order_date, 'yyyy-MM')"))
+    return rows.select("group", "expected_rows", "actual_rows", "agrees", "only_expected", "only_actual")
+
+
+_NAMED = [digest_column_diffs, digest_missing_and_extra, digest_composite_keys, batch_key_sets, quoted_records, quoted_ragged, encoded_feeds, header_of_files, date_edges, timestamp_zone_edges, range_large_bounds, transform_unknown, missing_table, gate_nulls, gate_keys]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _NAMED}

@@ -159,6 +159,14 @@ select k, case when k % 5 in (0, 2) then iso end as value, case k % 5 when 1 the
     "range_large_bounds": "select o_orderkey as k, o_orderkey % 3 <> 2 and cast(o_orderkey as hugeint) * 10000000000000000000 <= 10000000000000000000000 as passes from orders",
     "transform_unknown": f"select o_orderkey as order_id, o_orderpriority || '//' as label from ({DUCK_FEED})",
     "missing_table": f"""select 'exists' as "check", cast(null as varchar) as "column", 'table orders_target does not exist' as message, count(*) as rows from ({DUCK_FEED})""",
+    "digest_column_diffs": CTE + "select * from d",
+    "digest_missing_and_extra": CTE + "select order_id, kind from j where kind <> 'matched'",
+    "digest_composite_keys": LINES + """, e as (select * from l where n = 1),
+a as (select * from (select * exclude (n), row_number() over (partition by order_id, line order by n) as n from l where order_id % 50 <> 0) where n = 1)
+select cast(order_id as varchar) as order_id, cast(line as varchar) as line, 'quantity' as "column", cast(quantity as varchar) as expected, cast(cast(quantity + 1 as decimal(18,2)) as varchar) as actual
+ from e semi join a using (order_id, line) where l_partkey % 41 = 0""",
+    "batch_key_sets": """select strftime(o_orderdate, '%Y-%m') as "group", count(*) as expected_rows, count(*) filter (where o_orderkey % 400 <> 7) as actual_rows,
+ count(*) filter (where o_orderkey % 400 = 7) = 0 as agrees, count(*) filter (where o_orderkey % 400 = 7) as only_expected, cast(0 as bigint) as only_actual from orders group by 1""",
     "row_count_errors": f"""select 'empty' as "check", cast(0 as bigint) as position, 'file is empty' as message
  union all select 'row_count', count(*), 'row count: expected 7, got ' || count(*) from ({DUCK_FEED})""",
     "row_count_check": f"select count(*) as n, 'row count: expected 7, got ' || count(*) as message from ({DUCK_FEED})",

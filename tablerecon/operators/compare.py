@@ -124,11 +124,13 @@ def detail(rows: DataFrame, contract, limit: int = 10) -> DataFrame:
     return out.unionByName(part(keys_only(extra(rows, contract)), "extra")).unionByName(part(diffs(rows, contract), "diff"))
 
 
-def row_hashes(df: DataFrame, contract, order_by: list[str]) -> DataFrame:
-    """Keys and one digest of all normal forms, nulls and unreadable text marked. Digests are
+def row_hashes(df: DataFrame, contract, order_by: list[str], columns: list[str] | None = None) -> DataFrame:
+    """Keys and one digest of the normal forms (of ``columns``, if given), nulls and unreadable
+    text marked; every part goes with its length, so that none runs into the next. Digests are
     made before the last-wins step, so only they and the order are shuffled."""
-    parts = [normalize(F.col(c.name), c).part() for c in contract.columns]
-    digest = F.sha2(F.to_json(F.array(*parts)), 256)
+    parts = [normalize(F.col(c), contract.column(c)).part() for c in columns or [c.name for c in contract.columns]]
+    told = F.transform(F.array(*parts), lambda p: F.concat(F.length(p).cast("string"), F.lit(","), p))
+    digest = F.sha2(F.array_join(told, ","), 256)
     return _last(df, contract, digest, order_by).select(*key_names(contract), F.col("row").alias("digest"))
 
 
