@@ -12,7 +12,7 @@ from .. import contract as contracts
 from ..functions.transforms import expected
 from ..functions.values import in_range, normalize, readable
 from ..operators import compare, digests, schema_check
-from ..sources import files, records
+from ..sources import files, records, versions
 from . import demo
 from .demo import FEED_COLUMNS, ORDERS, Query
 
@@ -128,6 +128,67 @@ def gate_keys(spark: SparkSession, d: str) -> DataFrame:
     return demo._gated(spark, demo.clean_feed(spark, d), live=loaded.unionByName(loaded.where("order_id % 29 = 0")))
 
 
+# --- totals, versions, records of runs
+
+
+def _totals(spark: SparkSession, d: str, off: int) -> DataFrame:
+    """Totals as a sender would declare them, from the table itself; ``off`` by so much."""
+    rows = demo.clean_feed(spark, d)
+    n, least = rows.agg(F.count("*"), F.min(F.col("o_custkey").cast("long"))).first()
+    total = rows.agg(F.sum(F.col("o_totalprice").cast("decimal(20,2)"))).first()[0]
+    declared = [{"column": "o_totalprice", "sum": str(total + off), "count": n + off}, {"column": "o_custkey", "min": least}]
+    return files.control_total_errors(rows, contracts.load({**ORDERS, "metadata": {"control_totals": declared}}))
+
+
+def control_totals_met(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(spark, d, 0)
+
+
+def control_totals_missed(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(spark, d, 1)
+
+
+def load_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs load, the second is replayed, a third breaks off: the second one's rows stay."""
+    base = demo._folder(spark, "versions")
+    rows = demo._expected(spark, d)
+    versions.load_version(rows.where("seq % 2 = 0"), demo.CONTRACT, base, "first")
+    for _ in range(2):
+        versions.load_version(rows, demo.CONTRACT, base, "second")
+    broken = rows.withColumn("order_id", F.when(F.rand(1) < 2, F.raise_error(F.lit("lost"))).otherwise(F.col("order_id")))
+    try:
+        versions.load_version(broken, demo.CONTRACT, base, "third")
+    except Exception as e:
+        if "lost" not in str(e):
+            raise
+    got = versions.read_version(spark, base)
+    return got.select(F.col("order_id").cast("string"), F.col("total").cast("string"), "priority")
+
+
+def run_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs recorded, the first one twice: what each found can be looked up again."""
+    path = demo._folder(spark, "audit")
+    for run_id, columns in (("r1", ["total"]), ("r2", ["status"]), ("r1", ["total"])):
+        rows = demo._joined(spark, d, columns, counted=True)
+        summary = compare.counts(rows).withColumn("contract", F.lit("orders"))
+        versions.record_run(summary, compare.diffs(rows, demo.CONTRACT), demo.CONTRACT, path, run_id)
+    runs = spark.read.parquet(f"{path}/runs").select("run_id", "source_count", "missing", "diffs")
+    stored = spark.read.parquet(f"{path}/differences").groupBy(F.col("run").alias("run_id")).agg(F.count("*").alias("stored"), F.min("order_id").alias("first_key"))
+    return runs.join(stored, "run_id")
+
+
+def feed_increment(spark: SparkSession, d: str) -> DataFrame:
+    """A feed by segment; the second batch brings one more segment and another file of the first."""
+    path, manifest = demo._folder(spark, "feed"), demo._folder(spark, "manifest")
+    rows = demo._t(spark, d, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("part")).repartition(1)
+    rows.where("part <> 'BUILDING'").write.partitionBy("part").csv(path)
+    versions.take(spark, versions.increment(spark, path, manifest), manifest, "b1")
+    rows.where("part = 'BUILDING' or part = 'MACHINERY' and c_custkey % 2 = 0").write.mode("append").partitionBy("part").csv(path)
+    found = versions.increment(spark, path, manifest)
+    part = F.regexp_extract("file", "part=([^/]+)/", 1).alias("part")
+    return found.select(part, "state")
+
+
 # --- comparison by digests
 
 
@@ -157,5 +218,5 @@ def batch_key_sets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("group", "expected_rows", "actual_rows", "agrees", "only_expected", "only_actual")
 
 
-_NAMED = [digest_column_diffs, digest_missing_and_extra, digest_composite_keys, batch_key_sets, quoted_records, quoted_ragged, encoded_feeds, header_of_files, date_edges, timestamp_zone_edges, range_large_bounds, transform_unknown, missing_table, gate_nulls, gate_keys]
+_NAMED = [control_totals_met, control_totals_missed, load_versions, run_audit, feed_increment, digest_column_diffs, digest_missing_and_extra, digest_composite_keys, batch_key_sets, quoted_records, quoted_ragged, encoded_feeds, header_of_files, date_edges, timestamp_zone_edges, range_large_bounds, transform_unknown, missing_table, gate_nulls, gate_keys]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _NAMED}

@@ -167,6 +167,16 @@ select cast(order_id as varchar) as order_id, cast(line as varchar) as line, 'qu
  from e semi join a using (order_id, line) where l_partkey % 41 = 0""",
     "batch_key_sets": """select strftime(o_orderdate, '%Y-%m') as "group", count(*) as expected_rows, count(*) filter (where o_orderkey % 400 <> 7) as actual_rows,
  count(*) filter (where o_orderkey % 400 = 7) = 0 as agrees, count(*) filter (where o_orderkey % 400 = 7) as only_expected, cast(0 as bigint) as only_actual from orders group by 1""",
+    "control_totals_met": "select cast(null as varchar) as \"column\", cast(null as varchar) as measure, cast(null as varchar) as expected, cast(null as varchar) as got, cast(null as varchar) as message from orders where false",
+    "control_totals_missed": """with t as (select sum(cast(o_totalprice as decimal(18,2))) as s, count(*) as n from orders),
+f as (select 'sum' as measure, cast(s + 1 as varchar) as expected, cast(s as varchar) as got from t union all select 'count', cast(n + 1 as varchar), cast(n as varchar) from t),
+g as (select measure, case when measure = 'sum' then regexp_replace(regexp_replace(expected, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') else expected end as expected,
+ case when measure = 'sum' then regexp_replace(regexp_replace(got, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') else got end as got from f)
+select 'o_totalprice' as "column", *, 'control total o_totalprice ' || measure || ': expected ' || expected || ', got ' || got as message from g""",
+    "load_versions": CTE + f"select order_id, total, priority from ({_LOADED})",
+    "run_audit": CTE + """select run_id, (select count(*) from feed) as source_count, (select count(*) from j where kind = 'missing') as missing, count(*) as diffs, count(*) as stored, min(order_id) as first_key
+ from d join (values ('r1', 'total'), ('r2', 'status')) x(run_id, c) on d."column" = x.c group by run_id""",
+    "feed_increment": "select distinct c_mktsegment as part, 'new' as state from customer where c_mktsegment = 'BUILDING' or c_mktsegment = 'MACHINERY' and c_custkey % 2 = 0",
     "row_count_errors": f"""select 'empty' as "check", cast(0 as bigint) as position, 'file is empty' as message
  union all select 'row_count', count(*), 'row count: expected 7, got ' || count(*) from ({DUCK_FEED})""",
     "row_count_check": f"select count(*) as n, 'row count: expected 7, got ' || count(*) as message from ({DUCK_FEED})",

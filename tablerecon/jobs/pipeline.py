@@ -105,7 +105,7 @@ def reconcile(contract, feed: DataFrame, target: DataFrame | None, feed_order: l
 
 
 def run(spark: SparkSession, contract, feed_path: str, target_path: str, load: bool = True, read_only: bool = False, environment: str = "test", timestamp: str = "1970-01-01T00:00:00", stop_at_gates: bool = True) -> Run:
-    """From feed files to a verdict: header and metadata checks, rules, load of the expected
+    """From feed files to a verdict: header and metadata checks, declared totals, rules, load of the expected
     rows into ``target_path`` (with ``load``; else what is there is checked), schema with nulls
     and keys, count, comparison. The first failing gate stops the run, so nothing is loaded from
     a feed that failed before; the summary is made in any case. The file checks count the feed's
@@ -119,6 +119,9 @@ def run(spark: SparkSession, contract, feed_path: str, target_path: str, load: b
     errors = list(found.messages)
     gates.check("files", found.n > 0)
     feed = files.with_order(files.read_feed(spark, feed_path, contract, multi_line=found.broken > 0), "__order")
+    if contract.metadata.get("control_totals") and not gates.closed:
+        errors += [r["message"] for r in files.control_total_errors(feed, contract).collect()]  # a row a total
+        gates.check("totals", len(errors) > len(found.messages))
     if not gates.closed:
         got["source_count"] = feed.count() if found.n else found.rows
         _rules(gates, got, contract, feed)

@@ -15,3 +15,4 @@ TYPE_MISMATCH = "column '{column}' type mismatch: expected {expected}, got {got}
 NULLABILITY = "column '{column}' nullability mismatch: expected nullable={expected}, got {got}"
 PRIMARY_KEY = "primary key mismatch: expected {expected}, got {got}"
 READ_ONLY = "refusing to load under a read-only session"
+CONTROL_TOTAL = "control total {column} {measure}: expected {expected}, got {got}"

@@ -190,3 +190,23 @@ def control_totals(df: DataFrame, column: str) -> DataFrame:
     """Count, sum, least and greatest of a numeric column, exact to two places."""
     x = F.col(column).try_cast("decimal(18,2)")
     return df.agg(F.count(x).alias("n"), F.sum(x).cast("string").alias("total"), F.min(x).cast("string").alias("least"), F.max(x).cast("string").alias("greatest"))
+
+
+def control_total_errors(feed: DataFrame, contract) -> DataFrame:
+    """``column, measure, expected, got, message``: declared totals (``metadata.control_totals``,
+    a list of ``column`` and any of ``sum, count, min, max``) that the feed does not meet. Sums
+    are exact decimals; text that is no number takes no part. All totals come from one pass."""
+    declared = [(t["column"], m, t[m]) for t in contract.metadata.get("control_totals", []) for m in ("sum", "count", "min", "max") if m in t]
+    if not declared:
+        return feed.sparkSession.createDataFrame([], "column string, measure string, expected string, got string, message string")
+    number = lambda c: F.col(c).try_cast("decimal(38,10)")
+    told = {"sum": lambda c: F.coalesce(F.sum(number(c)), F.lit(0)), "count": lambda c: F.count(number(c)), "min": lambda c: F.min(number(c)), "max": lambda c: F.max(number(c))}
+    row = feed.agg(*[told[m](c).cast("decimal(38,10)").alias(f"t{i}") for i, (c, m, _) in enumerate(declared)])
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    found = []
+    for i, (c, m, want) in enumerate(declared):
+        expected, got = F.lit(str(want)).cast("decimal(38,10)"), F.col(f"t{i}")
+        shown, said = plain(expected), F.coalesce(plain(got), F.lit("none"))
+        message = _said(messages.CONTROL_TOTAL, column=F.lit(c), measure=F.lit(m), expected=shown, got=said)
+        found.append(F.when(~expected.eqNullSafe(got), F.struct(F.lit(c).alias("column"), F.lit(m).alias("measure"), shown.alias("expected"), said.alias("got"), message.alias("message"))))
+    return row.select(F.inline(F.array_compact(F.array(*found))))
