@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .. import contract as contracts
 from ..functions.transforms import expected
 from ..functions.values import in_range, normalize, readable
-from ..operators import compare, digests, schema_check
+from ..operators import compare, digests, patterns, schema_check
 from ..sources import files, records, versions
-from . import demo
+from . import demo, demo_sql
 from .demo import FEED_COLUMNS, ORDERS, Query
 
 # --- files
@@ -218,5 +218,41 @@ def batch_key_sets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("group", "expected_rows", "actual_rows", "agrees", "only_expected", "only_actual")
 
 
-_NAMED = [control_totals_met, control_totals_missed, load_versions, run_audit, feed_increment, digest_column_diffs, digest_missing_and_extra, digest_composite_keys, batch_key_sets, quoted_records, quoted_ragged, encoded_feeds, header_of_files, date_edges, timestamp_zone_edges, range_large_bounds, transform_unknown, missing_table, gate_nulls, gate_keys]
+# --- patterns of differences
+
+
+def _found(spark: SparkSession, rows: DataFrame, contract: contracts.Contract) -> DataFrame:
+    """Patterns of the stored differences of a comparison."""
+    path = demo._folder(spark, "differences")
+    rows.where(F.size("diffs") > 0).write.parquet(path)
+    return patterns.mismatch_patterns(spark.read.parquet(path), contract, 0.05)
+
+
+def mismatch_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """A target with a delta, a factor, days off, day and month turned, cuts, lost blanks,
+    another case, two columns swapped, a prefix, nulls and differences without a pattern."""
+    live = demo._sql(spark, d, demo_sql.PATTERNED_SQL)
+    clean = expected(demo.clean_feed(spark, d), demo.RUN_CONTRACT, carry=["seq"])
+    return _found(spark, compare.joined(clean, live, demo.RUN_CONTRACT, (["seq"], ["order_id"])), demo.RUN_CONTRACT)
+
+
+EVENTS = contracts.load({
+    "contract_name": "events", "version": "1", "source": {"columns": ["event_id", "ts", "event_type"]}, "target": {"table": "events"}, "keys": ["event_id"],
+    "columns": [
+        {"name": "event_id", "source_name": "event_id", "type": "integer", "nullable": False}, {"name": "ts", "source_name": "ts", "type": "timestamp", "nullable": True},
+        {"name": "event_type", "source_name": "event_type", "type": "string", "nullable": True},
+    ],
+})
+
+
+def mismatch_pattern_times(spark: SparkSession, d: str) -> DataFrame:
+    """Events whose times were written in another zone, or late, and whose types were recoded."""
+    k, rows = F.col("event_id"), demo._t(spark, d, "events").select("event_id", "ts", "event_type")
+    moved = F.when(k % 7 == 0, F.expr("ts + interval '5' hour + interval '30' minute")).when(k % 7 == 1, F.expr("ts - interval '5' second")).otherwise(F.col("ts"))
+    recoded = F.when(k % 11 == 0, F.concat("event_type", F.lit("_v2"))).when(k % 11 == 1, F.substring("event_type", 1, 2)).otherwise(F.col("event_type"))
+    live = rows.withColumn("ts", moved).withColumn("event_type", recoded)
+    return _found(spark, compare.joined(rows, live, EVENTS, (["event_id"], ["event_id"])), EVENTS)
+
+
+_NAMED = [mismatch_patterns, mismatch_pattern_times, control_totals_met, control_totals_missed, load_versions, run_audit, feed_increment, digest_column_diffs, digest_missing_and_extra, digest_composite_keys, batch_key_sets, quoted_records, quoted_ragged, encoded_feeds, header_of_files, date_edges, timestamp_zone_edges, range_large_bounds, transform_unknown, missing_table, gate_nulls, gate_keys]
 QUERIES: dict[str, Query] = {f.__name__: f for f in _NAMED}

@@ -28,6 +28,16 @@ from (
  union all
  select o_orderkey + 10000000, o_custkey, o_orderstatus, cast(o_totalprice as decimal(18,2)), cast(o_orderdate as date), o_orderpriority
  from orders where o_orderkey % 61 = 0) t"""
+#: target with planted patterns of differences
+PATTERNED_SQL = """
+select k as order_id, case when k % 29 = 0 then -o_custkey else o_custkey end as customer_id,
+ case when k % 19 = 0 then o_orderstatus else lower(o_orderstatus) end as status, case when k % 19 = 0 then lower(o_orderstatus) else o_orderstatus end as status_code,
+ cast(case k % 11 when 0 then round(price, 1) + 0.5 when 1 then round(price, 1) * 100 when 2 then round(price, 1) + k + 0.01 else round(price, 1) end as decimal(38,2)) as total,
+ case when k % 13 = 0 then date_add(day, -1) when k % 13 = 1 and extract(day from day) <= 12
+  then make_date(cast(extract(year from day) as int), cast(extract(day from day) as int), cast(extract(month from day) as int)) else day end as order_date,
+ case k % 17 when 0 then substring(o_orderpriority, 1, 5) when 1 then lower(o_orderpriority) when 2 then replace(o_orderpriority, ' ', '') else o_orderpriority end as priority,
+ case k % 23 when 0 then concat('X-', o_orderpriority, '/', o_orderstatus) when 1 then null else concat(o_orderpriority, '/', o_orderstatus) end as label
+from (select *, o_orderkey as k, cast(o_totalprice as decimal(18,2)) as price, cast(o_orderdate as date) as day from orders) t"""
 _DUCK_DATE = "strftime(o_orderdate, '%Y-%m-%d')"
 DUCK_FEED = FEED_SQL.replace("{date}", _DUCK_DATE)
 
@@ -249,6 +259,22 @@ select *, missing + extra + diffs as mismatch_count from c""",
     "mismatch_clusters": CTE + f'select "column", {_KIND} as kind, count(*) as cells, min(order_id) as example from d group by 1, 2',
     "batch_aggregates": CTE + f"""select metric, expected, actual, expected = actual as agrees from (select unnest(['rows', 'total', 'customers']) as metric,
  unnest((select {_BATCH} from e1)) as expected, unnest((select {_BATCH} from target)) as actual)""",
+    "mismatch_patterns": """with t as (select o_orderkey as k, o_custkey as c, o_orderpriority as p, extract(day from o_orderdate) as day, extract(month from o_orderdate) as month from orders),
+x as (select 'customer_id' as "column", 'ratio' as pattern, '-1' as parameter, k from t where k % 29 = 0 and c <> 0
+ union all select 'status', 'swapped with', 'status_code', k from t where k % 19 = 0
+ union all select 'status_code', 'swapped with', 'status', k from t where k % 19 = 0
+ union all select 'total', case k % 11 when 0 then 'delta' when 1 then 'ratio' else 'other' end, case k % 11 when 0 then '0.5' when 1 then '100' end, k from t where k % 11 < 3
+ union all select 'order_date', 'days', '-1', k from t where k % 13 = 0
+ union all select 'order_date', 'day and month swapped', null, k from t where k % 13 = 1 and day <= 12 and day <> month
+ union all select 'priority', 'cut to', '5', k from t where k % 17 = 0 and length(p) > 5
+ union all select 'priority', 'case', null, k from t where k % 17 = 1 and lower(p) <> p
+ union all select 'priority', 'blanks', null, k from t where k % 17 = 2 and p like '% %'
+ union all select 'label', 'prefix added', 'X-', k from t where k % 23 = 0
+ union all select 'label', 'null for value', null, k from t where k % 23 = 1)
+select "column", pattern, parameter, count(*) as cells, cast(sum(count(*)) over (partition by "column") as bigint) as column_cells, min(cast(k as varchar)) as example from x group by 1, 2, 3""",
+    "mismatch_pattern_times": """with x as (select 'ts' as "column", case event_id % 7 when 0 then 'zone' else 'seconds' end as pattern, case event_id % 7 when 0 then '+05:30' else '-5' end as parameter, event_id from events where event_id % 7 < 2
+ union all select 'event_type', case event_id % 11 when 0 then 'suffix added' else 'cut to' end, case event_id % 11 when 0 then '_v2' else '2' end, event_id from events where event_id % 11 < 2 and event_type is not null)
+select "column", pattern, parameter, count(*) as cells, cast(sum(count(*)) over (partition by "column") as bigint) as column_cells, min(cast(event_id as varchar)) as example from x group by 1, 2, 3""",
     "row_hash_compare": CTE + "select distinct order_id from d",
     "run_trend": """select 'orders' as contract, 'test' as environment, y || '-01-01T00:00:00' as timestamp, 'run-' || y as run_id, n as mismatch_count,
  cast(lag(n) over (order by y) as varchar) as before, cast(n - lag(n) over (order by y) as varchar) as change

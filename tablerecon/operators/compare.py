@@ -110,18 +110,15 @@ def counts(rows: DataFrame) -> DataFrame:
 
 
 def detail(rows: DataFrame, contract, limit: int = 10) -> DataFrame:
-    """The first ``limit`` of each list, by key."""
-    none = F.lit(None).cast("string")
-
-    def part(df: DataFrame, kind: str) -> DataFrame:
-        order = [*contract.keys, *(["column"] if kind == "diff" else [])]
-        return df.orderBy(*order).limit(limit).withColumn("kind", F.lit(kind))
-
-    def keys_only(df: DataFrame) -> DataFrame:
-        return df.select(*contract.keys, none.alias("column"), none.alias("expected"), none.alias("actual"))
-
-    out = part(keys_only(missing(rows, contract)), "missing")
-    return out.unionByName(part(keys_only(extra(rows, contract)), "extra")).unionByName(part(diffs(rows, contract), "diff"))
+    """The first ``limit`` of each list, by key: one pass over the join, every task keeps its
+    first ones of each list before they are exchanged."""
+    none = F.array(F.struct(*[F.lit(None).cast("string").alias(x) for x in ("column", "expected", "actual")])).cast(_CELLS)
+    kind = F.when(F.col("kind") == "matched", "diff").otherwise(F.col("kind")).alias("kind")
+    cells = F.when(F.col("kind") == "matched", F.col("diffs")).otherwise(none)
+    each = rows.select(*contract.keys, kind, F.inline(cells))
+    w = Window.partitionBy("kind").orderBy(*contract.keys, "column")
+    first = each.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit)
+    return first.select(*contract.keys, "column", "expected", "actual", "kind")
 
 
 def row_hashes(df: DataFrame, contract, order_by: list[str], columns: list[str] | None = None) -> DataFrame:

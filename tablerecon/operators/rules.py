@@ -1,5 +1,5 @@
-"""Data-quality rules over a raw feed: one pass counts all flags, one more finds samples of
-those that fail; a unique column costs one pre-aggregated shuffle."""
+"""Data-quality rules over a raw feed: one pass tells all flags, for counts and samples alike; a
+unique column costs one pre-aggregated shuffle, and one more reading for samples if it fails."""
 
 from __future__ import annotations
 
@@ -83,6 +83,16 @@ def failures(feed: DataFrame, contract, order_by: list[str], only: set[str] | No
     return out
 
 
+def _repeated_counts(feed: DataFrame, contract) -> dict[str, tuple[str, int]]:
+    """Rule id -> (column, failing rows) of the uniqueness rules that fail."""
+    found: dict[str, tuple[str, int]] = {}
+    for rule, col, source in unique_columns(contract, feed.columns):
+        n = _repeated(feed, source).agg(F.sum("n")).first()[0]
+        if n:
+            found[rule] = (col, n)
+    return found
+
+
 def failing_counts(feed: DataFrame, contract) -> dict[str, tuple[str, int]]:
     """Rule id -> (column, failing rows) of the rules that fail: one aggregate over the feed for
     all flags, one per unique column. One row each reaches the driver."""
@@ -91,25 +101,41 @@ def failing_counts(feed: DataFrame, contract) -> dict[str, tuple[str, int]]:
     if rules_:
         row = feed.agg(*[F.count_if(bad).alias(f"f{i}") for i, (_, _, bad) in enumerate(rules_)]).first()
         found |= {rule: (col, row[i]) for i, (rule, col, _) in enumerate(rules_) if row[i]}
-    for rule, col, source in unique_columns(contract, feed.columns):
-        n = _repeated(feed, source).agg(F.sum("n")).first()[0]
-        if n:
-            found[rule] = (col, n)
-    return found
+    return found | _repeated_counts(feed, contract)
+
+
+def _first_samples(rows: DataFrame, order_by: list[str]) -> DataFrame:
+    """Up to SAMPLES rows a rule in row order; every task keeps its first ones before they are
+    exchanged."""
+    w = Window.partitionBy("rule_id").orderBy(*order_by)
+    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= SAMPLES).select("rule_id", "__n", "sample")
 
 
 def report(feed: DataFrame, contract, order_by: list[str]) -> DataFrame:
     """``rule_id, column, failing_rows, samples``: failing rules, up to SAMPLES samples each in
-    row order. Runs at once: counts first, then samples of the rules that fail, limited before
-    the shuffle; a feed without failures is read once, and once more per unique column."""
-    found = failing_counts(feed, contract)
-    samples: dict[str, list[str]] = {}
-    if found:
-        w = Window.partitionBy("rule_id").orderBy(*order_by)
-        some = failures(feed, contract, order_by, set(found)).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= SAMPLES)
-        for r in some.select("rule_id", "__n", "sample").orderBy("rule_id", "__n").collect():  # SAMPLES rows a rule
-            samples.setdefault(r["rule_id"], []).append(r["sample"])
-    rows = [(rule, col, n, samples.get(rule, [])) for rule, (col, n) in found.items()]
+    row order. Runs at once: the feed is read once for all flags, its failing rows (samples and
+    order alone) are kept while they are counted and samples are chosen; they are told again from
+    the feed where an executor that held them is lost. Unique columns are read on their own."""
+    found: dict[str, tuple[str, int]] = {}
+    parts, names = [], [rule for rule, _, _ in flags(contract, feed.columns)]
+    kept = failures(feed, contract, order_by, set(names)).persist() if names else None
+    try:
+        if kept is not None:
+            for r in kept.groupBy("rule_id", "column").agg(F.count("*").alias("n")).collect():  # a row a rule
+                found[r["rule_id"]] = (r["column"], r["n"])
+            if found:
+                parts.append(_first_samples(kept, order_by))
+        repeated = _repeated_counts(feed, contract)
+        if repeated:
+            parts.append(_first_samples(failures(feed, contract, order_by, set(repeated)), order_by))
+        samples: dict[str, list[str]] = {}
+        for part in parts:
+            for r in part.orderBy("rule_id", "__n").collect():  # SAMPLES rows a rule
+                samples.setdefault(r["rule_id"], []).append(r["sample"])
+    finally:
+        if kept is not None:
+            kept.unpersist()
+    rows = [(rule, col, n, samples.get(rule, [])) for rule, (col, n) in (found | repeated).items()]
     return feed.sparkSession.createDataFrame(rows, REPORT)
 
 

@@ -5,6 +5,7 @@ import datetime as dt
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tablerecon import contract as contracts
 from tablerecon.functions.transforms import expected
@@ -149,7 +150,7 @@ def test_files_and_load(spark, tmp_path):
 
 
 FAST = [
-    "recon_counts", "column_diffs", "dq_report", "dq_samples", "composite_key_compare", "row_hash_compare", "full_reconciliation", "normalize_edges", "range_edges", "normalize_blank",
+    "recon_counts", "mismatch_detail", "column_diffs", "dq_report", "dq_samples", "composite_key_compare", "row_hash_compare", "full_reconciliation", "normalize_edges", "range_edges", "normalize_blank",
     "normalize_timestamp", "transform_round", "transform_strip", "schema_errors", "ragged_errors", "row_count_errors", "feed_files", "encoding_declared", "gate_pass", "gate_schema",
 ]
 
@@ -308,6 +309,30 @@ def test_counts_and_rules_read_once(spark, tmp_path):
     assert marked.count("Relation [") == 3  # flags once, the unique column and its repeated values
 
 
+def test_samples_in_the_pass_that_counts(spark, tmp_path):
+    """A report tells every row of the feed once, failing or not; the detail reads each side once
+    and cuts lists before the exchange."""
+    told = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        told.add(1)
+        return x
+
+    plain = contracts.load({**CUSTOMER, "columns": [{k: v for k, v in c.items() if k != "unique"} for c in CUSTOMER["columns"]]})
+    bad = [(*r[:4], "-1" if r[6] % 2 else r[4], "unknown" if r[6] > 3 else r[5], r[6]) for r in ROWS]
+    feed = spark.createDataFrame(bad, KIND).withColumn("balance", F.udf(seen, "string").asNondeterministic()("balance"))
+    got = {r["rule_id"]: (r["failing_rows"], r["samples"]) for r in rules.report(feed, plain, ["seq"]).collect()}
+    assert got == {"range:balance": (10, ["1", "3", "5", "7", "9"]), "allowed_values:status": (17, ["4", "5", "6", "7", "8"])}
+    assert told.value == len(ROWS)
+    _, target = clean(spark)
+    target.write.parquet(str(tmp_path / "t")), spark.createDataFrame(bad, KIND).write.parquet(str(tmp_path / "f"))
+    feed, target = spark.read.parquet(str(tmp_path / "f")), spark.read.parquet(str(tmp_path / "t"))
+    detail = compare.detail(compare.joined(expected(feed, C, ["seq"]), target.where("id > 2"), C, (["seq"], ["id"])), C, 3)
+    plan = detail._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and "WindowGroupLimit" in plan
+    assert rows_of(detail.select("kind", "id", "column")) == [("diff", "10", "status"), ("diff", "11", "balance"), ("diff", "11", "status"), ("missing", "1", None), ("missing", "2", None)]
+
+
 def run_over(spark, tmp_path, lines, contract=C, live=None, **more):
     feed, target = str(tmp_path / "feed.csv"), str(tmp_path / "target")
     write(tmp_path / "feed.csv", "\n".join(lines) + "\n")
