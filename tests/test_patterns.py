@@ -1,8 +1,11 @@
 """Patterns of differences, each planted in a comparison's rows."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tablerecon import contract as contracts
+from tablerecon.jobs import demo, demo_checks
 from tablerecon.operators import compare, patterns
 
 TYPES = {"n": "integer", "d": "decimal", "day": "date", "at": "timestamp", "s": "string", "t": "string", "b": "boolean"}
@@ -70,3 +73,19 @@ def test_from_a_comparison(spark):
     a = e.withColumn("d", F.when(F.col("n") % 2 == 0, F.col("d").cast("decimal(10,2)") * 100).otherwise(F.col("d").cast("decimal(10,2)")).cast("string"))
     rows = compare.joined(e, a, C, (["id"], ["id"]))
     assert {tuple(r) for r in patterns.mismatch_patterns(rows, C).collect()} == {("d", "ratio", "100", 20, 20, "0")}
+
+
+@pytest.mark.parametrize("name", ["mismatch_patterns", "mismatch_pattern_times"])
+def test_queries(spark, name):
+    """Planted patterns over the test tables, against SQL that knows where they were planted."""
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("orders", "events"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    got = demo_checks.QUERIES[name](spark, d)
+    cols = ", ".join(f'"{c}"' for c in got.columns)
+    assert {tuple(r) for r in got.collect()} == set(con.sql(f"select {cols} from ({demo.ORACLE_SQL[name]})").fetchall())
+
+
+def test_share_out_of_bounds(spark):
+    with pytest.raises(ValueError, match="min_share"):
+        patterns.mismatch_patterns(spark.createDataFrame([], KIND), C, 0)
