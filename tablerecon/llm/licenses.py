@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: fixed steps; the scan has NOTICES for the first (what a text must hold, pattern, replacement), in this order, after lower-casing;
-#: the syntax is common to Java, RE2 and Python
+#: fixed steps after NOTICES: (what a text must hold, pattern, replacement), in this order, after
+#: lower-casing; the syntax is common to Java, RE2 and Python
 LINES = [
-    (("copyright", "(c)", "©"), r"(^|\n)[ \t#*/;%-]*(copyright|\(c\)|©)[^\n]*", "\n"),
     (("all rights reserved",), r"(^|\n)[ \t#*/;%-]*all rights reserved[. \t]*", "\n"),
     (("http",), r"https?://(www\.)?", " "),
     (("",), r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’–—©®™]+", " "),
@@ -27,14 +26,26 @@ LINES = [
 _MARGIN = r"[ \t#*/;%-]*"
 #: words that follow "copyright" in running text, unless a colon follows them
 _PROSE = "notices?|holders?|owners?|laws?|licen[cs](?:es?|ing|ed)|statements?|interests?|protect(?:ion|ed)|acts?|and|or|in|is|are|of|to|for|on|as|by law|that|which|this|shall|may|must|will|with|from|any|infringements?|claims?|information|ownership|page|symbols?|lines?|terms?|treat(?:y|ies)|rights?|status|policy|registration|materials?|works?|control|headers?|disclaimers?|years?|dates?|permissions?|grants?|management|assignments?|attributions?|restrictions?|has|have|not|you|if|each|all"
-#: copyright notices, which a line may also begin with by wrapping: (what a text must hold, what
-#: it must not, pattern, replacement). With a mark or a year a line is a notice; with a holder
-#: only, it must begin a paragraph or follow a title. "(c)" after "(b)" is an item of a list
-NOTICES = [
-    (("copyright", "(c)", "©"), None, rf"(^|\n){_MARGIN}(?:©|(?:\(c\)[ \t]*)?copyright[ \t:]*(?:\(c\)|©|&copy;|[\[<{{])|\(c\)[ \t]*copyright|(?:(?:\(c\)|copyright|by)[ \t:,-]*)+(?:19|20)[0-9][0-9]|copyright[ \t:]+(?!(?:{_PROSE})\b(?![ \t]*:))[^\n]*\b(?:19|20)[0-9][0-9]\b)[^\n]*", "$1"),
-    (("copyright",), None, rf"(^|\n{_MARGIN}\n|licen[cs]e[^\n]{{0,12}}\n)(?:{_MARGIN}copyright[ \t:]+(?!(?:{_PROSE})\b(?![ \t]*:))[^ \t\n][^\n]*(?:\n|$))+", "$1\n"),
-    (("(c)",), "(b)", rf"(^|\n{_MARGIN}\n|licen[cs]e[^\n]{{0,12}}\n)(?:{_MARGIN}\(c\)[ \t:]+[^ \t\n][^\n]*(?:\n|$))+", "$1\n"),
-]
+
+
+def _notices(word: str, named: str) -> list[tuple[tuple[str, ...], str | None, str, str]]:
+    """Copyright notices, which a line may also begin with by wrapping: (what a text must hold,
+    what it must not, pattern, replacement). ``word`` is the pattern of the word itself,
+    ``named`` of the word and what parts it from a holder, that is, from no running text.
+
+    With a mark or a year a line is a notice; with a holder only, it must begin a paragraph or
+    follow a title. "(c)" after "(b)" is an item of a list."""
+    marked = rf"(?:\(c\)[ \t]*)?{word}[ \t:]*(?:\(c\)|©|&copy;|[\[<{{])|\(c\)[ \t]*{word}"
+    dated = rf"(?:\(c\)|{word})[ \t:,-]*(?:(?:\(c\)|{word}|by)[ \t:,-]*)*(?:19|20)[0-9][0-9]|{named}[^\n]*\b(?:19|20)[0-9][0-9]\b"
+    begins = rf"(^|\n{_MARGIN}\n|licen[cs]e[^\n]{{0,12}}\n)"
+    return [
+        (("copyright", "(c)", "©"), None, rf"(^|\n){_MARGIN}(?:©|{marked}|{dated})[^\n]*", "$1"),
+        (("copyright",), None, rf"{begins}(?:{_MARGIN}{named}[^ \t\n][^\n]*(?:\n|$))+", "$1\n"),
+        (("(c)",), "(b)", rf"{begins}(?:{_MARGIN}\(c\)[ \t:]+[^ \t\n][^\n]*(?:\n|$))+", "$1\n"),
+    ]
+
+
+NOTICES = _notices("copyright", rf"copyright[ \t:]+(?![ \t:]*(?:{_PROSE})\b(?![ \t]*:))")
 #: equivalent spellings, replaced in this order
 SPELLINGS = [("licence", "license"), ("licensing", "license"), ("sub license", "sublicense"), ("non commercial", "noncommercial"), ("favour", "favor"), ("judgement", "judgment"), ("whilst", "while"), ("version 2 0", "version 2"), ("version 3 0", "version 3")]
 #: a line without one of these is no known licence; checked against the table of known ones
@@ -103,7 +114,7 @@ def canonical_text(text: str) -> str:
     for _, without, pattern, by in NOTICES:
         if without is None or without not in text:
             text = re.sub(pattern, by.replace("$1", r"\1"), text)
-    for _, pattern, by in LINES[1:]:
+    for _, pattern, by in LINES:
         text = re.sub(pattern, by, text)
     for was, by in SPELLINGS:
         text = text.replace(was, by)
@@ -113,7 +124,7 @@ def canonical_text(text: str) -> str:
 def canonical(text):
     """The canonical form as a column."""
     text = F.lower(text)
-    for holds, without, pattern, by in [*NOTICES, *((h, None, p, b) for h, p, b in LINES[1:])]:
+    for holds, without, pattern, by in [*NOTICES, *((h, None, p, b) for h, p, b in LINES)]:
         done = F.regexp_replace(text, F.lit(pattern), F.lit(by))
         if any(holds):
             test = F.lit(False)
@@ -158,26 +169,52 @@ def scan(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] = KN
     )
 
 
+#: in SQL, whose patterns know no look-ahead, the word before running text gets this in its midst
+_MARK = r"\x01"
+
+
 def oracle_sql(known: list[tuple[str, str]] = KNOWN) -> str:
-    """The scan as DuckDB SQL, without the shortcuts. It drops every line that begins like a
-    notice (``LINES[0]``), so it is the scan only for texts without such lines."""
+    """The scan as DuckDB SQL, without the shortcuts, in the same canonical form: the word before
+    running text is marked first, so that a notice is told without look-ahead. (A text that
+    holds the mark within that word itself would come out otherwise.)"""
 
     def quoted(x: str) -> str:
         return "E'" + x.replace("\\", "\\\\").replace("'", "''").replace("\n", "\\n") + "'"
 
-    def form(x: str) -> str:
-        x = f"lower({x})"
-        for _, pattern, by in LINES:
-            x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    def replaced(x: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({x}, {quoted(pattern)}, {by}, 'g')"
+
+    def steps(name: str, source: str, columns: str) -> str:
+        """CTEs that end in ``name``, with the digest of the column ``t`` of ``source``."""
+        prose = rf"([ \t:]+(?:{_PROSE})"
+        of = [
+            replaced("lower(t)", rf"copyright{prose}\b)", "'copyrigh' || chr(1) || E't\\\\1'"),
+            replaced("t", rf"copyrigh{_MARK}t{prose}[ \t]*:)", "E'copyright\\\\1'"),
+        ]
+        for _, without, pattern, by in _notices(rf"copyrigh{_MARK}?t", r"copyright[ \t:]+"):
+            done = replaced("t", pattern, quoted(by.replace("$1", r"\1")))
+            of.append(f"case when contains(t, '{without}') then t else {done} end" if without else done)
+        of.append("replace(t, 'copyrigh' || chr(1) || 't', 'copyright')")
+        of += [replaced("t", pattern, quoted(by)) for _, pattern, by in LINES]
+        last = "t"
         for was, by in SPELLINGS:
-            x = f"replace({x}, '{was}', '{by}')"
-        return f"sha256(trim({x}, ' '))"
-
-    rows = ", ".join(f"('{d}', '{i}')" for d, i in sorted(known_digests(known).items()))
+            last = f"replace({last}, '{was}', '{by}')"
+        of.append(f"sha256(trim({last}, ' '))")
+        out = []
+        for i, x in enumerate(of):
+            out.append(f"{name if i == len(of) - 1 else f'{name}_{i}'} as (select {columns}, {x} as t from {source})")
+            source = f"{name}_{i}"
+        return ",\n".join(out)
+
+    rows = ", ".join(f"('{d}', '{i}')" for d, i in sorted(known_digests(known, WHOLE).items()))
     return f"""
 with known(digest, license_id) as (values {rows}),
-docs as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
-lines as (select r, unnest(string_split(text, E'\\n')) as line from docs),
-hits as (select r, string_agg(distinct license_id, ',' order by license_id) as line_licenses, count(*) as n from lines join known on known.digest = {form('line')} group by r)
-select doc_id, {form('text')} as digest, known.license_id, coalesce(line_licenses, '') as line_licenses, coalesce(n, 0) as n_license_lines
-from docs left join hits using (r) left join known on known.digest = {form('text')}"""
+docs as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+{steps("whole", "docs", "r, doc_id")},
+line as (select r, unnest(string_split(t, E'\\n')) as t from docs),
+{steps("lines", "line", "r")},
+hits as (select r, string_agg(distinct license_id, ',' order by license_id) as line_licenses, count(*) as n
+  from lines join known on known.digest = lines.t group by r)
+select doc_id, whole.t as digest, known.license_id, coalesce(line_licenses, '') as line_licenses,
+  coalesce(n, 0) as n_license_lines
+from whole left join hits using (r) left join known on known.digest = whole.t"""

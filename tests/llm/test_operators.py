@@ -474,6 +474,32 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(spark, docs).count() == docs.count() and licenses.scan(spark, empty).count() == 0
 
 
+def _same_as_sql(rows):
+    """The scan's rows against its SQL over the same texts."""
+    import duckdb
+    import pandas as pd
+
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame({"doc_id": [r.doc_id for r in rows], "text": [r.text for r in rows]}))
+    want = {r[0]: r[1:] for r in db.execute(licenses.oracle_sql()).fetchall()}
+    assert [(r.text, want[r.doc_id]) for r in rows if want[r.doc_id] != (r.digest, r.license_id, r.line_licenses, r.n_license_lines)] == []
+
+
+def _with_text(spark, df):
+    return licenses.scan(spark, df).join(df, "doc_id").collect()
+
+
+def test_licence_sql(spark):
+    """Lines that begin like a notice, running text among them, alone and between others."""
+    words = ["copyright", "copyright ", "(c)", "©", "by", "notice", "holder", "Foo Ltd", "2020", "in 1999", ":", ",", "  ", "&copy;", "[year]", "and", "years", "by law", "noticeboard", "x"]
+    made = random.Random(5)
+    lines = ["".join(made.choice(["", " ", "# ", "\t"]) + w for w in made.choices(words, k=made.randint(1, 6))) for _ in range(1500)]
+    texts = ["", None, "copyright  notice 2020", "copyright  holders: Foo", "(c) copyright owners", "\ncopyright notice: 2001 x", "(a) x\n(b) y\n\n(c) z 2020", *lines]
+    for _ in range(1500):
+        texts.append("\n".join(made.choice(lines + ["", "MIT License", "Released under the MIT licence", "(b) item"]) for _ in range(made.randint(2, 6))))
+    _same_as_sql(_with_text(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+
+
 def test_licenses_wrapped(spark):
     import textwrap
 
@@ -491,7 +517,9 @@ def test_licenses_wrapped(spark):
         rows.append("MIT License\n" + head + "\n\n" + lead)
         want[rows[-1]] = "MIT"
     df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
-    got = {r.doc_id: (r.license_id, r.digest) for r in licenses.scan(spark, df).collect()}
+    scanned = _with_text(spark, df)
+    _same_as_sql(scanned)
+    got = {r.doc_id: (r.license_id, r.digest) for r in scanned}
     assert [(t, want[t]) for i, t in enumerate(rows) if got[i][0] != want[t]] == []
     assert all(hashlib.sha256(licenses.canonical_text(t).encode()).hexdigest() == got[i][1] for i, t in enumerate(rows))
     for t in ("keep the\ncopyright notice", "the\ncopyright owner agrees", "(a) x\n\n(b) y\n\n(c) you must keep"):
@@ -513,7 +541,8 @@ def test_whole_licences(spark):
         want += [(3 * i, license_id), (3 * i + 1, license_id), (3 * i + 2, None)]
         one = " ".join(text.split())  # a whole licence as one line of a longer text
         rows.append((1000 + i, "Notes\n" + one + "\nmore"))
-    got = {r.doc_id: r for r in licenses.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in _with_text(spark, spark.createDataFrame(rows, "doc_id long, text string"))}
+    _same_as_sql(got.values())
     assert [(i, got[i].license_id) for i, _ in want] == want
     assert {got[1000 + i].line_licenses for i, name in enumerate(names) if name in ("MPL-2.0", "Artistic")} == {"MPL-2.0", "Artistic-1.0-Perl"}
 
