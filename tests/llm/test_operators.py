@@ -131,12 +131,49 @@ def test_topk_prunes(spark):
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:5]
     rows = stored(topk_search.integer_vectors(df), "v")
     pivots = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(24).collect()]
-    data = topk_search._trees(topk_search._near_pivots(rows, pivots), 128, 6)
-    queries = topk_search._trees(topk_search._near_pivots(rows.where("vec_id % 50 = 0"), pivots), 16, 1 << 62, topk_search.GROUP)
+    dealt = topk_search.cells(rows, pivots, 128)
+    data = topk_search._trees(dealt, 128, 6)
+    queries = topk_search._trees(topk_search._query_cells(dealt.where("vec_id % 50 = 0"), 16), 16, 1 << 62, topk_search.GROUP)
     pairs = topk_search.block_pairs(queries, data, topk_search._first_search(queries, data, 5)).count()
     assert pairs < 0.35 * data.count() * queries.count()
 
 
+def test_topk_deals_again(spark, monkeypatch):
+    """Few pivots for many vectors: cells are dealt again until they are blocks, except where all
+    vectors are equal; every row stays, and the result is exact."""
+    monkeypatch.setattr(topk_search, "PIVOTS", 3)
+    monkeypatch.setattr(topk_search, "FAN", 4)
+    monkeypatch.setattr(topk_search, "DEAL_BYTES", 4000)
+    monkeypatch.setattr(topk_search, "CHUNK", 4)
+    rng = np.random.default_rng(10)
+    x = np.concatenate([c + rng.normal(size=(100, 6)) * 0.1 for c in rng.normal(size=(8, 6)) * 2] + [np.ones((400, 6))])
+    df = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = stored(topk_search.integer_vectors(df), "v")
+    dealt = topk_search.cells(rows, [r.v for r in rows.orderBy("vec_id").limit(3).collect()], 10)
+    assert sorted(r.vec_id for r in dealt.select("vec_id").collect()) == list(range(1200))
+    held = {r.cell: r["count"] for r in dealt.groupBy("cell").count().collect()}
+    assert max(map(len, held)) > 3 and sorted(held.values())[-2] <= 20 and max(held.values()) >= 400
+    blocks = topk_search._trees(dealt, 10, 1 << 62)
+    roots = [(np.frombuffer(r.centre), r.radius, np.frombuffer(r.centres).reshape(-1, 6), np.frombuffer(r.radii)) for r in topk_search._over(topk_search._roots(blocks)).collect()]
+    assert all((np.linalg.norm(cs - c, axis=1) + rs <= radius).all() for c, radius, cs, rs in roots)
+    got = topk_search.search(df, "vec_id % 50 = 0", 5, block=10, query_block=4).toPandas()
+    v = np.floor(256 * x).astype(np.int64)
+    for q in range(0, len(v), 50):
+        s = v @ v[q]
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.vec_id.tolist() == [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:5]
+
+
+def test_topk_overflow(spark):
+    """Scores of up to 63 bits are exact; larger ones are refused."""
+    big = float(2**22)
+    df = spark.createDataFrame([(0, [big, big]), (1, [big, 1.0]), (2, [-big, 3.0])], "vec_id long, embedding array<double>")
+    n = int(256 * big)
+    assert [(r.vec_id, r.score) for r in topk_search.search(df, "vec_id = 0", 2).orderBy("rank").collect()] == [(1, n * n + 256 * n), (2, -n * n + 768 * n)]
+    with pytest.raises(OverflowError):
+        topk_search.search(df.union(spark.createDataFrame([(3, [1e9, 1e9])], df.schema)), "vec_id = 0")
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
