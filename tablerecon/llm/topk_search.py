@@ -41,6 +41,8 @@ BASE = 1.3
 CHILDREN = 16
 #: vectors that stand for parts of the space, at most; of a cell that is dealt again, at most
 PIVOTS, FAN = 256, 16
+#: vectors of the sample for each pivot
+SAMPLE = 16
 #: a digit of a path
 DIGITS = "0123456789abcdef"
 #: balls that one row holds, and that are compared with a query block at once
@@ -200,6 +202,26 @@ def _unpacked(row: dict, dim: int) -> dict[str, np.ndarray]:
     return out | {c: out[c].reshape(-1, dim).astype(np.int64) for c in ("vectors", "centre")}
 
 
+def chosen_pivots(rows: DataFrame, n: int) -> list[list[int]]:
+    """Up to ``n`` vectors far from each other: each next one is drawn from a sample of SAMPLE times
+    as many, by its squared distance to the nearest of those before, so that few clusters of the
+    sample are left without one. The sample only decides how well bounds prune."""
+    some = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE * n).select("v").collect()]
+    made = np.random.default_rng(1)
+    out: list[list[int]] = []
+    for dim in sorted({len(v) for v in some}):
+        x = np.array([v for v in some if len(v) == dim], np.float64)
+        far, want = np.full(len(x), np.inf), -(-n * len(x) // len(some))
+        at = 0
+        for _ in range(min(want, n - len(out))):
+            out.append(x[at].astype(np.int64).tolist())
+            far = np.minimum(far, ((x - x[at]) ** 2).sum(1))
+            if not far.sum():
+                break
+            at = int(made.choice(len(x), p=far / far.sum()))
+    return out
+
+
 def _near_pivots(rows: DataFrame, pivots: list[list[int]]) -> DataFrame:
     """``dim, cell, vec_id, v``: each vector with the two digits of its nearest pivot of its own
     dimension (of 0 if there is none)."""
@@ -412,8 +434,7 @@ def search(vectors: DataFrame, query_test: str, k: int = 5, block: int = 4096, q
     n, most = rows.agg(F.count("*"), F.max(square)).first()
     if n and most >= 2.0**63 * (1 - 1e-9):
         raise OverflowError("a score of these vectors may not fit 64 bits")
-    pivots = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(PIVOTS, n // block + 1)).select("v").collect()]
-    rows = cells(rows, pivots, block)
+    rows = cells(rows, chosen_pivots(rows, min(PIVOTS, n // block + 1)), block)
     data = _trees(rows, block, k + 1)
     queries = _trees(_query_cells(rows.where(query_test), query_block), query_block, 1 << 62, GROUP)
     first = _first_search(queries, data, k)

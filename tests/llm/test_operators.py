@@ -130,7 +130,8 @@ def test_topk_prunes(spark):
         s = v @ v[q]
         assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:5]
     rows = stored(topk_search.integer_vectors(df), "v")
-    pivots = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(24).collect()]
+    pivots = topk_search.chosen_pivots(rows, 24)
+    assert pivots == topk_search.chosen_pivots(rows, 24) and len({min(range(12), key=lambda i: sum((centres[i] * 256 - p) ** 2)) for p in map(np.array, pivots)}) == 12
     dealt = topk_search.cells(rows, pivots, 128)
     data = topk_search._trees(dealt, 128, 6)
     queries = topk_search._trees(topk_search._query_cells(dealt.where("vec_id % 50 = 0"), 16), 16, 1 << 62, topk_search.GROUP)
