@@ -107,6 +107,24 @@ def _write_csv(rows: DataFrame, header: list[str], columns: list[str], path: str
     return path
 
 
+def _write_parts(rows: DataFrame, columns: list[str], order: list[str], path: str, by: list[str] | None = None, header: bool = True, **options: str) -> str:
+    """A feed in parts, in ``order``, with a header before the first row: many tasks write it, and
+    each sorts its own share. ``by`` gives a folder, and so a feed, per value."""
+    by = by or []
+    cells = rows.select(*[F.col(c).cast("string").alias(c) for c in columns], *by, F.struct(*order).alias("__at"))
+    if header:
+        one = rows.select(*by).distinct() if by else rows.sparkSession.range(1)
+        cells = cells.unionByName(one.select(*[F.lit(c).alias(c) for c in columns], *by), allowMissingColumns=True)  # no place: first
+    dealt = cells.repartitionByRange(*by, "__at").sortWithinPartitions(*by, "__at")
+    writer = dealt.select(*columns, *by).write.options(emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options)
+    (writer.partitionBy(*by) if by else writer).csv(path)
+    return path
+
+
+def _in_parts(**source) -> contracts.Contract:
+    return contracts.load({**ORDERS, "source": {**ORDERS["source"], "parts": True, **source}})
+
+
 def _csv(spark: SparkSession, d: str, header: list[str], columns: list[str] = FEED_COLUMNS) -> str:
     """The feed as files, under another header."""
     return _write_csv(feed(spark, d), header, columns, _folder(spark, "feed"))
@@ -164,12 +182,11 @@ def contract_schema(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feed_files(spark: SparkSession, d: str) -> DataFrame:
-    """A prefix of several files, one per order status."""
+    """A prefix of several feeds in parts, one per order status."""
     path = _folder(spark, "feed")
-    rows = feed(spark, d).select(*FEED_COLUMNS, F.col("o_orderstatus").alias("part")).repartition(1)
-    rows.write.option("header", True).partitionBy("part").csv(path)
-    part = F.regexp_extract("file", "part=([^/]+)/", 1).alias("part")
-    return files.file_counts(spark, path, CONTRACT).select(part, "records", "rows")
+    _write_parts(feed(spark, d).withColumn("part", F.col("o_orderstatus")), FEED_COLUMNS, ["seq"], path, ["part"])
+    part = F.regexp_extract("file", "part=([^/]+)$", 1).alias("part")
+    return files.file_counts(spark, path, _in_parts()).select(part, "records", "rows")
 
 
 # --- file checks

@@ -22,8 +22,11 @@ def read_feed(spark: SparkSession, path: str, contract, keep_bad: bool = False,
     """The feed with every column text, under the contract's names; an empty field reads as
     null, which everywhere in this library is the same as blank. A path may be a file, a folder
     or a prefix of any store that Spark reads. With ``multi_line`` (or the contract's) records
-    may hold line breaks within quotes; a file is then read by one task."""
+    may hold line breaks within quotes; a file is then read by one task. Of a feed in parts
+    (``records``) each file is read on its own, so its header and such records are refused."""
     src = contract.source
+    if src.get("parts", False) and (src.get("header", True) or multi_line or src.get("multi_line", False)):
+        raise ValueError("a feed in parts is read without a header and without records over several lines")
     fields = [T.StructField(c, T.StringType()) for c in contract.source_columns]
     if keep_bad:
         fields.append(T.StructField(BAD, T.StringType()))
@@ -87,7 +90,7 @@ def _rows(contract) -> Column:
 def header_errors(spark: SparkSession, path: str, contract) -> DataFrame:
     """The header's count and names against the contract, per file, in the feed's encoding; a
     file without a record has an empty header. One job for all files (``records.heads``)."""
-    found = records.heads(spark, path, contract.source.get("encoding", "utf-8"), contract.source.get("delimiter", ","))
+    found = records.heads(spark, path, contract.source.get("encoding", "utf-8"), contract.source.get("delimiter", ","), records.parts_of(contract))
     return found.select("file", F.inline(_header_checks(F.col("header"), contract.source_columns)))
 
 
@@ -149,7 +152,7 @@ def check_files(spark: SparkSession, path: str, contract, most: int = 100) -> Fi
     facts = records.facts(spark, path, contract)
     if with_header and records.codec_name(contract.source.get("encoding", "utf-8")) != records.encoding_of(contract):
         # the header is read in the encoding that the feed is read in
-        named = records.heads(spark, path, contract.source.get("encoding", "utf-8"), contract.source.get("delimiter", ","))
+        named = records.heads(spark, path, contract.source.get("encoding", "utf-8"), contract.source.get("delimiter", ","), records.parts_of(contract))
         facts = facts.drop("header").join(named.select("file", "header"), "file")
     bad = F.array_compact(F.array(_encoding_check(_encoding(contract)))).cast(_CHECK)
     rest = F.array_compact(F.array(_empty_check(), _ragged_check())).cast(_CHECK)
