@@ -207,31 +207,32 @@ def header_count_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bytes(spark: SparkSession, d: str, every: int, byte: str) -> str:
-    """Customer names in one file, with a byte in every few of them."""
+    """Customer names in a feed in parts, with a byte in every few of them."""
     path = _folder(spark, "bytes")
     name = F.encode("c_name", "UTF-8")
     broken = F.when(F.col("c_custkey") % every == 0, F.concat(name, F.unhex(F.lit(byte)))).otherwise(name)
-    _t(spark, d, "customer").coalesce(1).select(broken.cast("string").alias("line")).write.text(path)
+    _t(spark, d, "customer").select(broken.cast("string").alias("line")).write.text(path)
     return path
 
 
 def encoding_errors(spark: SparkSession, d: str) -> DataFrame:
-    return _shape(files.encoding_errors(spark, _bytes(spark, d, 29, "FF"), CONTRACT))
+    return _shape(files.encoding_errors(spark, _bytes(spark, d, 29, "FF"), _in_parts()))
 
 
 def encoding_declared(spark: SparkSession, d: str) -> DataFrame:
     """cp1252 has no character for 0x81; é would be fine."""
-    contract = contracts.load({**ORDERS, "metadata": {"encoding": "cp1252"}})
+    contract = contracts.load({**ORDERS, "source": {**ORDERS["source"], "parts": True}, "metadata": {"encoding": "cp1252"}})
     return _shape(files.encoding_errors(spark, _bytes(spark, d, 23, "E981"), contract))
 
 
 def _ragged(spark: SparkSession, d: str) -> tuple[str, contracts.Contract]:
-    """Lines of the feed in order, in one file, every 53rd of them cut before its last field."""
+    """Lines of the feed in order, in parts, every 53rd of them cut before its last field. Numbers
+    run through all parts."""
     path = _folder(spark, "ragged")
     cells = [F.col(c) for c in FEED_COLUMNS]
     line = F.when(F.col("seq") % 53 == 1, F.concat_ws(",", *cells[:5])).otherwise(F.concat_ws(",", *cells))
-    feed(spark, d).orderBy("seq").coalesce(1).select(line.alias("line")).write.text(path)
-    return path, contracts.load({**ORDERS, "source": {**ORDERS["source"], "header": False}})
+    feed(spark, d).orderBy("seq").select(line.alias("line")).write.text(path)
+    return path, _in_parts(header=False)
 
 
 def ragged_rows(spark: SparkSession, d: str) -> DataFrame:
