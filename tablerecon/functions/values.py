@@ -77,10 +77,9 @@ def strip(c: Column) -> Column:
 
 def text(c: Column) -> Column:
     """Stripped text, null if blank. The NaN of a float or double column is null too; the text
-    "NaN" of a feed is a text like any other."""
-    s = strip(c)
-    nan = F.typeof(c).isin("float", "double") & (s == "NaN")
-    return F.when((s == "") | nan, None).otherwise(s)
+    "NaN" of a feed is a text like any other. ``nullif`` strips once a mention."""
+    nan = F.when(F.typeof(c).isin("float", "double"), "NaN")
+    return F.nullif(F.nullif(strip(c), F.lit("")), nan)
 
 
 def is_empty(c: Column) -> Column:
@@ -96,9 +95,9 @@ class Value:
         return F.coalesce(self.typed.cast("string"), self.raw)
 
     def part(self) -> Column:
-        """One text that is never null: V: and the value, B: and unreadable text, N: for null."""
-        typed = F.concat(F.lit("V:"), self.typed.cast("string"))
-        return F.when(self.typed.isNotNull(), typed).when(self.raw.isNotNull(), F.concat(F.lit("B:"), self.raw)).otherwise("N:")
+        """One text that is never null: V: and the value, B: and unreadable text, N: for null. The
+        value is mentioned once, as a row works it out at every mention."""
+        return F.coalesce(F.concat(F.lit("V:"), self.typed.cast("string")), F.concat(F.lit("B:"), self.raw), F.lit("N:"))
 
 
 def _let(value: Column, f) -> Column:
@@ -107,6 +106,13 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def chosen(items: list[tuple[Column, Column]], kind: str) -> Column:
+    """An array (``kind`` is its type) of the items whose condition holds. No function over an array
+    is in it, as there is in ``array_compact``: what that holds is not compiled."""
+    none = F.array().cast(kind)
+    return F.flatten(F.array(*[F.when(there, F.array(item).cast(kind)).otherwise(none) for there, item in items]))
+
+
 def ascii_digits(s: Column) -> Column:
     """Text with decimal digits of any script as ASCII ones."""
     return F.translate(s, _OTHER_DIGITS, _THEIR_DIGITS)
@@ -117,7 +123,7 @@ def _day(s: Column, fmt: str) -> Column:
     slow = _time(s, fmt).cast("date")
     if fmt != "%Y-%m-%d":
         return slow
-    return F.when(s.rlike("^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"), s.try_cast("date")).otherwise(slow)
+    return F.coalesce(F.regexp_extract(s, "^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$", 0).try_cast("date"), slow)
 
 
 def _time(s: Column, fmt: str) -> Column:

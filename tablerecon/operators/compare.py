@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.values import normalize
+from ..functions.values import chosen, normalize
 
 _CELLS = "array<struct<column:string,expected:string,actual:string>>"
 
@@ -70,10 +70,10 @@ def joined(expected: DataFrame, actual: DataFrame, contract, order_by: tuple[lis
     for c in names:
         same = F.col(f"e.{c}.typed").eqNullSafe(F.col(f"a.{c}.typed")) & F.col(f"e.{c}.raw").eqNullSafe(F.col(f"a.{c}.raw"))
         cell = F.struct(F.lit(c).alias("column"), F.col(f"e.{c}.shown").alias("expected"), F.col(f"a.{c}.shown").alias("actual"))
-        cells.append(F.when(~same, cell))
+        cells.append((~same, cell))
     kind = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra").otherwise("matched")
     none = F.array().cast(_CELLS)
-    diffs = F.when(kind == "matched", F.array_compact(F.array(*cells)) if cells else none).otherwise(none)
+    diffs = F.when(kind == "matched", chosen(cells, _CELLS) if cells else none).otherwise(none)
     rows = [F.coalesce(F.col(f"{side}.rows"), F.lit(0)).alias(name) for side, name in (("e", "source_rows"), ("a", "target_rows"))]
     return both.select(*shown_keys(contract), kind.alias("kind"), diffs.alias("diffs"), *(rows if counted else []))
 
@@ -125,10 +125,12 @@ def row_hashes(df: DataFrame, contract, order_by: list[str], columns: list[str]
     """Keys and one digest of the normal forms (of ``columns``, if given), nulls and unreadable
     text marked; every part goes with its length, so that none runs into the next. Digests are
     made before the last-wins step, so only they and the order are shuffled."""
-    parts = [normalize(F.col(c), contract.column(c)).part() for c in columns or [c.name for c in contract.columns]]
-    told = F.transform(F.array(*parts), lambda p: F.concat(F.length(p).cast("string"), F.lit(","), p))
-    digest = F.sha2(F.array_join(told, ","), 256)
-    return _last(df, contract, digest, order_by).select(*key_names(contract), F.col("row").alias("digest"))
+    names = columns or [c.name for c in contract.columns]
+    # columns of their own: within a function over an array, a form is told again at every mention
+    told = df.withColumns({f"__p{i}": normalize(F.col(c), contract.column(c)).part() for i, c in enumerate(names)})
+    parts = [x for i in range(len(names)) for x in (F.length(f"__p{i}").cast("string"), F.lit(","), F.col(f"__p{i}"), F.lit(","))]
+    digest = F.sha2(F.concat(*parts), 256)
+    return _last(told, contract, digest, order_by).select(*key_names(contract), F.col("row").alias("digest"))
 
 
 def differing_keys(expected: DataFrame, actual: DataFrame, contract, order_by: tuple[list[str], list[str]]) -> DataFrame:

@@ -7,6 +7,9 @@
    are told by key and digest alone.
 3. Cells are looked at for the keys whose digests differ, or that one side lacks.
 
+Where the ranges that differ hold most of the rows, steps 2 and 3 would read and shuffle nearly all
+of both sides twice more; then the rows are compared at once instead, with the same result.
+
 Digests have 128 bits, so equal ones are taken for equal tables.
 """
 
@@ -25,16 +28,14 @@ SENT_KEYS = 1 << 20
 _LOW = 0xFFFFFFFF
 
 
-def _told(parts: list[Column]) -> Column:
-    """Normal forms as one text, each with its length."""
-    return F.array_join(F.transform(F.array(*parts), lambda p: F.concat(F.length(p).cast("string"), F.lit(","), p)), ",")
-
-
 def summed(rows: DataFrame, by: str, parts: list[Column], *more: Column) -> DataFrame:
     """``by, __n``, the columns ``more`` and an order-free digest of the rows' parts: the sums of
-    both halves of two hashes. A sum cannot overflow below 2^31 rows of a group."""
-    told = rows.withColumn("__told", _told(parts))
-    hashed = told.withColumns({f"__h{seed}": F.xxhash64(F.lit(seed), "__told") for seed in (1, 2)})
+    both halves of two hashes. A sum cannot overflow below 2^31 rows of a group. A hash over
+    several parts takes in where each ends, and parts are worked out once for both hashes (within
+    a function over an array they would be told again at every mention)."""
+    told = rows.withColumns({f"__p{i}": p for i, p in enumerate(parts)})
+    own = [f"__p{i}" for i in range(len(parts))]
+    hashed = told.withColumns({f"__h{seed}": F.xxhash64(F.lit(seed), *own) for seed in (1, 2)})
     halves = [f(F.col(f"__h{seed}")) for seed in (1, 2) for f in (lambda h: h.bitwiseAND(F.lit(_LOW)), lambda h: F.shiftrightunsigned(h, 32))]
     return hashed.groupBy(by).agg(F.count("*").alias("__n"), *more, *[F.sum(x).alias(f"__d{i}") for i, x in enumerate(halves)])
 
@@ -54,19 +55,32 @@ def range_digests(df: DataFrame, contract, columns: list[str], ranges: int = RAN
     return summed(_ranged(df, contract, ranges), "__range", [*map(F.col, compare.key_names(contract)), *_parts(contract, columns)])
 
 
-def differing_ranges(expected: DataFrame, actual: DataFrame, contract, columns: list[str], ranges: int = RANGES, keys_unique: bool = False) -> DataFrame:
-    """``__range`` of the ranges that must be looked into. Unless keys are known to be unique,
-    ranges in which one comes twice are among them: there both sides may hold the same rows and
-    yet end with different ones. Where digests agree it is enough to ask one side."""
+def ranges_side_by_side(expected: DataFrame, actual: DataFrame, contract, columns: list[str], ranges: int = RANGES) -> DataFrame:
+    """``__range, differs`` and ``rows``, how many it has on both sides; a row a range."""
     e, a = (range_digests(df, contract, columns, ranges) for df in (expected, actual))
     facts = ["__n", *(f"__d{i}" for i in range(4))]
     e = e.select("__range", F.struct(*facts).alias("e"))
     a = a.select("__range", F.struct(*facts).alias("a"))
-    out = e.join(a, "__range", "full_outer").where(~F.col("e").eqNullSafe(F.col("a"))).select("__range")
-    if keys_unique:
-        return out
-    keys = _ranged(expected, contract, ranges).groupBy("__range", F.xxhash64(*compare.key_names(contract)).alias("__key"), F.xxhash64(F.lit(3), *compare.key_names(contract)).alias("__key2"))
-    return out.unionByName(keys.agg(F.count("*").alias("n")).where("n > 1").select("__range")).distinct()
+    n = F.coalesce(F.col("e.__n"), F.lit(0)) + F.coalesce(F.col("a.__n"), F.lit(0))
+    return e.join(a, "__range", "full_outer").select("__range", (~F.col("e").eqNullSafe(F.col("a"))).alias("differs"), n.alias("rows"))
+
+
+def _repeating(expected: DataFrame, contract, ranges: int, side_by_side: DataFrame) -> DataFrame:
+    """``__range`` of the ranges that agree and in which a key comes twice."""
+    agreeing = side_by_side.where("not differs").select("__range")
+    names = compare.key_names(contract)
+    keys = _ranged(expected, contract, ranges).join(F.broadcast(agreeing), "__range", "left_semi")
+    keys = keys.groupBy("__range", F.xxhash64(*names).alias("__key"), F.xxhash64(F.lit(3), *names).alias("__key2"))
+    return keys.agg(F.count("*").alias("n")).where("n > 1").select("__range").distinct()
+
+
+def differing_ranges(expected: DataFrame, actual: DataFrame, contract, columns: list[str], ranges: int = RANGES, keys_unique: bool = False, side_by_side: DataFrame | None = None) -> DataFrame:
+    """``__range`` of the ranges that must be looked into. Unless keys are known to be unique,
+    ranges in which one comes twice are among them: there both sides may hold the same rows and
+    yet end with different ones. Where digests agree it is enough to ask one side."""
+    both = ranges_side_by_side(expected, actual, contract, columns, ranges) if side_by_side is None else side_by_side
+    out = both.where("differs").select("__range")
+    return out if keys_unique else out.unionByName(_repeating(expected, contract, ranges, both))
 
 
 def joined(
@@ -75,7 +89,11 @@ def joined(
     """The rows of ``compare.joined`` that are missing, extra or differ; those that agree are
     left out, and mostly never shuffled. Runs at once as far as the differing keys."""
     names = [c for c in columns or [c.name for c in contract.columns] if c not in contract.keys]
-    found = differing_ranges(expected, actual, contract, names, ranges, keys_unique).persist()
+    both = ranges_side_by_side(expected, actual, contract, names, ranges).persist()  # a row a range
+    n, differing = both.agg(F.sum("rows"), F.sum(F.when(F.col("differs"), F.col("rows")))).first()
+    if 2 * (differing or 0) > (n or 0):
+        return compare.joined(expected, actual, contract, order_by, columns).where("kind <> 'matched' or size(diffs) > 0")
+    found = differing_ranges(expected, actual, contract, names, ranges, keys_unique, both).persist()
     found.count()
     keys = compare.key_names(contract)
 
@@ -108,7 +126,7 @@ def key_sets(expected: DataFrame, actual: DataFrame, contract, group: tuple[str,
     sides = [side(df, by) for df, by in zip((expected, actual), group, strict=True)]
     facts = []
     for df, name in zip(sides, ("e", "a"), strict=True):
-        own = summed(df, "__group", [F.col(k) for k in keys], F.approx_count_distinct("__told").alias("keys")).withColumnRenamed("__n", "rows")
+        own = summed(df, "__group", [F.col(k) for k in keys], F.approx_count_distinct("__h1").alias("keys")).withColumnRenamed("__n", "rows")
         facts.append(own.select(F.col("__group").alias(f"{name}_group"), F.struct("rows", "keys").alias(name), F.struct("rows", *(f"__d{i}" for i in range(4))).alias(f"{name}_digest")))
     both = facts[0].join(facts[1], F.col("e_group").eqNullSafe(F.col("a_group")), "full_outer")
     named = F.when(F.col("e").isNotNull(), F.col("e_group")).otherwise(F.col("a_group"))
