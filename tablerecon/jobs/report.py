@@ -10,13 +10,14 @@ from ..operators import compare
 
 def failure_layers(rows: DataFrame, rule_report: DataFrame, contract, file_checks: DataFrame | None = None, schema_errors: list[str] | None = None) -> DataFrame:
     """Failures by likely layer: file checks are extract, rules are source data, schema errors
-    target schema, keys are load, transformed columns transform, other cells load."""
+    target schema, keys are load, transformed columns transform, other cells load. One pass over
+    the comparison."""
     derived = [c.name for c in contract.columns if c.transform]
     one = F.lit(1).cast("long").alias("n")
     parts = rule_report.select(F.lit("source data").alias("layer"), F.col("failing_rows").alias("n"))
-    parts = parts.unionByName(rows.where("kind <> 'matched'").select(F.lit("load").alias("layer"), one))
-    cells = compare.diffs(rows, contract).select(F.when(F.col("column").isin(derived), "transform").otherwise("load").alias("layer"), one)
-    parts = parts.unionByName(cells)
+    # a row that is missing or extra has no cells: it stands as one without a column
+    cells = rows.select(F.inline_outer("diffs"), "kind").where("kind <> 'matched' or column is not null")
+    parts = parts.unionByName(cells.select(F.when(F.col("column").isin(derived), "transform").otherwise("load").alias("layer"), one))
     if file_checks is not None:
         parts = parts.unionByName(file_checks.select(F.lit("extract").alias("layer"), one))
     if schema_errors:
