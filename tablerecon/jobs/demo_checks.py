@@ -169,9 +169,10 @@ def run_audit(spark: SparkSession, d: str) -> DataFrame:
     """Two runs recorded, the first one twice: what each found can be looked up again."""
     path = demo._folder(spark, "audit")
     for run_id, columns in (("r1", ["total"]), ("r2", ["status"]), ("r1", ["total"])):
-        rows = demo._joined(spark, d, columns, counted=True)
+        rows = demo._joined(spark, d, columns, counted=True).persist()  # summary and differences come from one comparison
         summary = compare.counts(rows).withColumn("contract", F.lit("orders"))
         versions.record_run(summary, compare.diffs(rows, demo.CONTRACT), demo.CONTRACT, path, run_id)
+        rows.unpersist()
     runs = spark.read.parquet(f"{path}/runs").select("run_id", "source_count", "missing", "diffs")
     stored = spark.read.parquet(f"{path}/differences").groupBy(F.col("run").alias("run_id")).agg(F.count("*").alias("stored"), F.min("order_id").alias("first_key"))
     return runs.join(stored, "run_id")
