@@ -34,6 +34,8 @@ _UNSAID = {"%Y": "1900", "%m": "1", "%d": "1", "%H": "0", "%M": "0", "%S": "0",
 _DIGITS = r"[0-9]+(_[0-9]+)*"
 _PLAIN = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})$"
 NUMBER = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+#: most numbers, in a form without groups, which is looked for first as it takes less time
+_USUAL = r"^[+-]?[0-9]+(?:\.[0-9]+)?$"
 #: by a rule, decimal digits of all scripts but ASCII, and their ASCII digits
 _OTHER_DIGITS = "".join(chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd")
 _THEIR_DIGITS = "".join(str(unicodedata.digit(c)) for c in _OTHER_DIGITS)
@@ -71,8 +73,11 @@ _BARE = "^(tinyint|smallint|int|bigint|decimal.*|float|double|date|timestamp.*|b
 
 
 def strip(c: Column) -> Column:
+    """Text without blanks at its ends. Text whose first and last characters are visible ASCII ones
+    has none, and needs no search for each of them."""
     s = c.cast("string")
-    return F.when(F.typeof(c).rlike(_BARE), s).otherwise(F.btrim(s, F.lit(WHITE)))
+    bare = F.substring(s, 1, 1).between("!", "~") & F.substring(s, -1, 1).between("!", "~")
+    return F.when(F.typeof(c).rlike(_BARE) | bare, s).otherwise(F.btrim(s, F.lit(WHITE)))
 
 
 def text(c: Column) -> Column:
@@ -114,8 +119,8 @@ def chosen(items: list[tuple[Column, Column]], kind: str) -> Column:
 
 
 def ascii_digits(s: Column) -> Column:
-    """Text with decimal digits of any script as ASCII ones."""
-    return F.translate(s, _OTHER_DIGITS, _THEIR_DIGITS)
+    """Text with decimal digits of any script as ASCII ones; ASCII text has no others."""
+    return F.when(F.octet_length(s) == F.char_length(s), s).otherwise(F.translate(s, _OTHER_DIGITS, _THEIR_DIGITS))
 
 
 def _day(s: Column, fmt: str) -> Column:
@@ -123,7 +128,7 @@ def _day(s: Column, fmt: str) -> Column:
     slow = _time(s, fmt).cast("date")
     if fmt != "%Y-%m-%d":
         return slow
-    return F.coalesce(F.regexp_extract(s, "^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$", 0).try_cast("date"), slow)
+    return F.coalesce(F.when(s.rlike(r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}\z"), s.try_cast("date")), slow)
 
 
 def _time(s: Column, fmt: str) -> Column:
@@ -192,8 +197,11 @@ def in_range(s: Column, lo: object, hi: object) -> Column:
     if not all(x.adjusted() < 20 and x.as_tuple().exponent >= -18 for x in (low, high)):
         return exact
     # short texts are read as decimals, without loss
-    short = (F.length(s) < 20) & s.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")
-    return F.when(short, s.try_cast("decimal(38,18)").between(*[F.lit(format(x, "f")).cast("decimal(38,18)") for x in (low, high)])).otherwise(exact)
+    short = (F.length(s) < 20) & s.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$")
+    told = s.try_cast("decimal(38,18)").between(*[F.lit(format(x, "f")).cast("decimal(38,18)") for x in (low, high)])
+    # the nearest double keeps the order: one strictly within the bounds' own is of a number within
+    near = s.try_cast("double")
+    return F.when(short, F.when((near > float(low)) & (near < float(high)), True).otherwise(told)).otherwise(exact)
 
 
 def normalize(c: Column, spec) -> Value:
@@ -222,9 +230,9 @@ def readable(c: Column, spec) -> Column:
     a deliberate difference, for no decimal column can hold them."""
     s = strip(c)
     if spec.type == "integer":
-        return ascii_digits(s).rlike(rf"^[+-]?{_DIGITS}$")
+        return s.rlike("^[+-]?[0-9]+$") | ascii_digits(s).rlike(rf"^[+-]?{_DIGITS}$")
     if spec.type == "decimal":
-        return ascii_digits(s).rlike(NUMBER)
+        return s.rlike(_USUAL) | ascii_digits(s).rlike(NUMBER)
     if spec.type == "date":
         return _day(s, spec.date_format).isNotNull()
     if spec.type == "timestamp":
